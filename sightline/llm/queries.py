@@ -4,16 +4,32 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
+from .embedding_dedup import OP3_SQL, op3_embedding_dedup
+from .html_text import op8_html_text
+from .mixing import op9_mixing
+from .ngram_join import op10_ngram_join
 from .packing import op1_packing
+from .pii import op2_pii
+from .quality import op5_quality_rules
 from .sharding import op7_shards
 from .token_counts import op4_token_counts
+from .url_filters import op6_url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_pii": op2_pii,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op4_token_counts": op4_token_counts,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_url_filters": op6_url_filters,
     "op7_shards": op7_shards,
+    "op8_html_text": op8_html_text,
+    "op9_mixing": op9_mixing,
+    "op10_ngram_join": op10_ngram_join,
+    "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_embedding_dedup": OP3_SQL}
