@@ -124,7 +124,8 @@ def strongest_span(points: DataFrame, spans: DataFrame, keys: Sequence[str], tim
 
 def last_started(points: DataFrame, spans: DataFrame, keys: Sequence[str], time: str) -> DataFrame:
     """points with the span that started last at or before the time (`match`), null if it has ended by then."""
-    out = asof_join(points, spans, keys, time, "start_sec", order=["start_sec", "end_sec"])
+    rest = [c for c in spans.columns if c not in (*keys, "start_sec", "end_sec")]
+    out = asof_join(points, spans, keys, time, "start_sec", order=["start_sec", "end_sec", *rest])
     ended = F.col("match")["end_sec"] < F.col(time)
     return out.withColumn("match", F.when(~F.coalesce(ended, F.lit(False)), F.col("match")))
 

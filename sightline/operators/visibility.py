@@ -21,7 +21,7 @@ def classified_samples(samples: DataFrame, intervals: DataFrame, keys: Sequence[
     """
     ids = ["video_id", "assoc_id", "i"]
     held = stab_join(samples.select(*dict.fromkeys([*ids, *keys, "time_sec"])), intervals, keys, "time_sec", "start_sec", "end_sec", bucket=bucket)
-    best = first_match(held, ids, F.struct("s_start_sec", F.coalesce("s_end_sec", F.lit(float("inf")))), ["s_state", "s_confidence"])
+    best = first_match(held, ids, F.struct("s_start_sec", F.coalesce("s_end_sec", F.lit(float("inf"))), "s_state"), ["s_state", "s_confidence"])
     rung = status_ladder(
         F.col("raw_status") == "in_motion", ~F.col("raw_status").isin("no_track_available", "no_valid_mask"), F.col("in_view"), F.col("s_state"), F.col("s_confidence"), F.col("occluded")
     )

@@ -14,13 +14,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as samples of objects; a unit of time is 1,080 seconds, so that they share an axis with the spans."""
+    """Events as samples of objects; a unit of time is 1,000 seconds, so that they share an axis with the spans."""
     e = read(spark, sf_dir, "events")
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
     micros = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', ts)")
     base = e.select(
         F.concat(F.lit("P0"), (F.col("user_id") % 4 + 1).cast("string"), F.lit("-v")).alias("video_id"), F.col("user_id").alias("assoc_id"), "event_id",
-        F.round(micros / F.lit(1080000000.0), 6).alias("time_sec"), "event_type", F.col("value").alias("score"), k.alias("k"),
+        (micros / F.lit(1000000000.0)).alias("time_sec"), "event_type", F.col("value").alias("score"), k.alias("k"),
     )
     status = (
         F.when(F.col("event_type") == "view", "in_view").when(F.col("event_type") == "click", "in_motion").when(F.col("event_type") == "purchase", "observed_visible_in_open_fixture")
@@ -41,7 +41,7 @@ SAMPLES = """
 samples AS (
   SELECT *, row_number() OVER (PARTITION BY assoc_id ORDER BY time_sec, event_id) - 1 AS i FROM (
     SELECT 'P0' || CAST(user_id % 4 + 1 AS VARCHAR) || '-v' AS video_id, user_id AS assoc_id, event_id,
-      round((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 1080000000.0, 6) AS time_sec, event_type, value AS score, k,
+      (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 1000000000.0 AS time_sec, event_type, value AS score, k,
       CASE event_type WHEN 'view' THEN 'in_view' WHEN 'click' THEN 'in_motion' WHEN 'purchase' THEN 'observed_visible_in_open_fixture' WHEN 'signup' THEN 'out_of_view' ELSE 'unobservable_no_data' END AS status,
       CASE event_type WHEN 'click' THEN 'in_motion' WHEN 'error' THEN 'no_valid_mask' ELSE 'ok' END AS raw_status,
       event_type IN ('view', 'purchase') AS in_view, k % 7 = 0 AS occluded,

@@ -352,10 +352,14 @@ def hidden(spark, d):
     return Q.hidden_candidates(spans, s, tracks, videos, 20.0, 1.0).select("assoc_id", "query_sec", "usable_sec", "last_stable_sec")
 
 
-@query("qst12_visible_candidates")
+@query("qst12_visible_candidates", """
+SELECT video_id, assoc_id, time_sec, turn FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY rnd, assoc_id) AS turn FROM (SELECT *, row_number() OVER (PARTITION BY video_id, assoc_id ORDER BY place_order) AS rnd FROM (
+  SELECT *, row_number() OVER (PARTITION BY video_id, assoc_id ORDER BY again, time_sec) AS place_order FROM (SELECT *, CASE WHEN row_number() OVER (PARTITION BY video_id, assoc_id, fixture ORDER BY time_sec) > 1 THEN 1 ELSE 0 END AS again FROM (
+    SELECT r.video_id, r.assoc_id, r.start_sec, r.end_sec, arg_min(s.time_sec, (abs(s.time_sec - (r.start_sec + r.end_sec) / 2), s.time_sec)) AS time_sec, arg_min(coalesce(s.fixture, ''), (abs(s.time_sec - (r.start_sec + r.end_sec) / 2), s.time_sec)) AS fixture
+    FROM bruns r JOIN b s ON s.assoc_id = r.assoc_id AND s.stable AND s.time_sec BETWEEN r.start_sec AND r.end_sec WHERE r.visible GROUP BY 1, 2, 3, 4))))) WHERE turn <= 50""", A.SAMPLES, BOOL_RUNS)
 def seen(spark, d):
     s, spans = bool_spans(spark, d)
-    return Q.visible_candidates(spans, s, 50).select("video_id", "assoc_id", "time_sec", "turn")
+    return Q.visible_candidates(spans, s, 50).select("video_id", "assoc_id", "time_sec", c("turn").cast("long"))
 
 
 @query("qst1_qst10_qst16_trajectories")

@@ -217,13 +217,13 @@ CLOCK = "lpad(CAST(t // 36000 AS VARCHAR), 2, '0') || ':' || lpad(CAST(t % 36000
 
 
 @query("str1_str2_str12_str18_str19_time_text", f"""
-SELECT event_id, '<TIME ' || {CLOCK} || ' video 1>' AS token, 'h' || CAST(t // 10 AS VARCHAR) || 'p' || CAST(t % 10 AS VARCHAR) AS horizon, substring(sha1(video_id || '|' || CAST(assoc_id AS VARCHAR) || '|' || format('{{:.6f}}', time_sec)), 1, 12) AS item,
+SELECT event_id, '<TIME ' || {CLOCK} || ' video 1>' AS token, 'h' || CAST(t // 10 AS VARCHAR) || 'p' || CAST(t % 10 AS VARCHAR) AS horizon, substring(sha1(video_id || '|' || CAST(assoc_id AS VARCHAR) || '|' || format('{{:.6f}}', floor(time_sec))), 1, 12) AS item,
   round(t / 10.0, 1) AS seconds, lpad(CAST(CAST(floor(time_sec) AS BIGINT) // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(CAST(floor(time_sec) AS BIGINT) % 60 AS VARCHAR), 2, '0') AS minutes
 FROM (SELECT *, CAST(round_even(time_sec * 10, 0) AS BIGINT) AS t FROM samples)""", A.SAMPLES)
 def time_text(spark, d):
     t = c("time_sec")
     return A.samples(spark, d).select(
-        "event_id", N.time_token(t).alias("token"), N.horizon_token(t).alias("horizon"), N.item_id(c("video_id"), c("assoc_id").cast("string"), t).alias("item"),
+        "event_id", N.time_token(t).alias("token"), N.horizon_token(t).alias("horizon"), N.item_id(c("video_id"), c("assoc_id").cast("string"), F.floor(t).cast("double")).alias("item"),
         F.round(N.seconds_of(N.clock(t)), 1).alias("seconds"), N.minutes_of(t).alias("minutes"),
     )
 

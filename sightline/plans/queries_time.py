@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.statuses import COARSE_STATUSES, is_stable, is_visible, priority, status_ladder
+from ..functions.statuses import is_stable, is_visible, priority, status_ladder
 from ..operators import islands as I
 from ..operators import temporal as T
 from ..operators.visibility import classified_samples, coarse_intervals, merged_tracks
@@ -236,7 +236,12 @@ def placement_before(spark, d):
     return T.placement_before(p, A.tracks(spark, d).select("assoc_id", "track_id", "end_sec"), A.masks(spark, d), OBJ, "start_sec").select("span_id", "track_id", "placement_sec")
 
 
-@query("jn22_flt9_merged_tracks")
+@query("jn22_flt9_merged_tracks", f"""
+SELECT event_id, status, visible, stable, last_value(CASE WHEN visible THEN i END IGNORE NULLS) OVER (PARTITION BY assoc_id ORDER BY time_sec, i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_visible_index FROM (
+  SELECT *, {VISIBLE_SQL} AS visible, {STABLE_SQL} AS stable FROM (
+    SELECT s.event_id, s.assoc_id, s.time_sec, s.i, coalesce(CASE WHEN p.end_sec >= s.time_sec THEN p.status END, CASE WHEN raw_status = 'in_motion' THEN 'in_motion' WHEN NOT in_view THEN 'out_of_view' ELSE raw_status END) AS status FROM samples s
+    LEFT JOIN (SELECT s.event_id, arg_max(p.end_sec, (p.start_sec, p.end_sec, p.status)) AS end_sec, arg_max(p.status, (p.start_sec, p.end_sec, p.status)) AS status
+      FROM samples s JOIN spans p ON s.assoc_id = p.assoc_id AND p.end_sec IS NOT NULL AND p.start_sec <= s.time_sec GROUP BY 1) p USING (event_id)))""", A.SAMPLES, A.SPANS)
 def merged(spark, d):
     s = A.samples(spark, d).select("assoc_id", "event_id", "i", "time_sec", "raw_status", "in_view")
     return merged_tracks(s, A.spans(spark, d).where("end_sec is not null").select("assoc_id", "start_sec", "end_sec", "status"), OBJ).select("event_id", "status", "visible", "stable", "last_visible_index")
@@ -304,10 +309,19 @@ def intervals(spark, d):
     return keyed.where("span_id % 40 = 0").select("fixture", "state", F.lit("medium").alias("confidence"), "start_sec", "end_sec")
 
 
-@query("visibility_pipeline_coarse_intervals")
+INTERVALS = """iv AS (SELECT ['P01_cupboard.002', 'P01_drawer.001', 'P01_fridge.003'][span_id % 3 + 1] AS fixture, state, start_sec, end_sec FROM spans WHERE span_id % 40 = 0),
+held AS (SELECT s.event_id, arg_min(v.state, (v.start_sec, coalesce(v.end_sec, CAST('infinity' AS DOUBLE)), v.state)) AS state FROM samples s JOIN iv v ON s.fixture = v.fixture AND s.time_sec >= v.start_sec AND (v.end_sec IS NULL OR s.time_sec <= v.end_sec) GROUP BY 1),
+rung AS (SELECT *, CASE WHEN raw_status = 'in_motion' THEN 0 WHEN raw_status IN ('no_track_available', 'no_valid_mask') THEN 1 WHEN NOT in_view THEN 2 WHEN state = 'closed' THEN 3 WHEN state = 'open' THEN 4 WHEN occluded THEN 5 ELSE 6 END AS r FROM samples LEFT JOIN held USING (event_id)),
+cls AS (SELECT video_id, assoc_id, i, time_sec, fixture, ['in_motion', 'unobservable_no_data', 'out_of_view', 'occluded_inside_closed_fixture', 'potentially_visible_inside_open_fixture', 'geometrically_occluded', 'in_view'][r + 1] AS status,
+  ['object in motion', 'no stable track or mask available', 'projection outside image', 'inside a closed fixture', 'inside an open fixture', 'line of sight blocked by scene geometry', 'in view, not inside a fixture'][r + 1] AS reason, CASE WHEN r IN (3, 4) THEN 'medium' END AS confidence FROM rung)"""
+
+
+@query("visibility_pipeline_coarse_intervals", """
+SELECT video_id, assoc_id, run, status, min(time_sec) AS start_sec, max(time_sec) AS end_sec, count(*) AS n_samples, arg_min(reason, (time_sec, i)) AS reason, nullif(arg_min(coalesce(fixture, ''), (time_sec, i)), '') AS fixture,
+  nullif(arg_min(coalesce(confidence, ''), (time_sec, i)), '') AS confidence FROM (
+  SELECT *, sum(ch) OVER (PARTITION BY video_id, assoc_id ORDER BY time_sec, i) AS run FROM (SELECT *, CASE WHEN status IS DISTINCT FROM lag(status, 1, status) OVER (PARTITION BY video_id, assoc_id ORDER BY time_sec, i) THEN 1 ELSE 0 END AS ch FROM cls))
+GROUP BY video_id, assoc_id, run, status""", A.SAMPLES, A.SPANS, INTERVALS)
 def pipeline(spark, d):
     """The engine's main path: samples are classified against fixture intervals and collapsed to spans."""
     return coarse_intervals(classified_samples(A.samples(spark, d), intervals(spark, d), ["fixture"]))
 
-
-DOMAIN = COARSE_STATUSES

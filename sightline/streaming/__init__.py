@@ -1,0 +1,2 @@
+"""No operator here: nothing that the library computes consumes an unbounded input. Runs, as-of joins and state machines work on bounded tables,
+one video's samples at a time; a streaming form would keep the last sample and state of each object with transformWithStateInPandas."""
