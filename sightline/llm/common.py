@@ -102,6 +102,11 @@ def parts_for(rows: int, per_part: int = 4096) -> int:
     return max(1, -(-rows // per_part))
 
 
+def id_columns(name: str = "doc_id") -> list[Column]:
+    """The id with 0 for null, and whether it is null: pandas would turn a batch of ids with a null into floats, which large ids don't survive."""
+    return [F.coalesce(F.col(name).cast("long"), F.lit(0)).alias("doc_id"), F.col(name).isNull().alias("_no_id")]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

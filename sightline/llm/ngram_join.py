@@ -9,9 +9,8 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import checkpointed, connected_components, small, table, text_of
+from .common import checkpointed, connected_components, id_columns, small, table, text_of
 
 #: Share of a set that its prefix under the hash order has; more prunes better and costs more rows.
 HASH_PREFIX = 0.2
@@ -84,10 +83,11 @@ def hashed_sets(docs: DataFrame, width: int, share: float, text: str) -> DataFra
                 tokens = shingles(t, width)
                 rows.append((len(tokens), *fingerprint(tokens), tokens[: len(tokens) - kept_out(len(tokens), share)].view(np.int64)))
             out = pd.DataFrame(rows, columns=["n", "fp_a", "fp_b", "prefix"])
-            out.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy(dtype=object))
-            yield out.astype({"doc_id": "Int64"})
+            out.insert(0, "doc_id", pd.array(batch["doc_id"], dtype="Int64"))
+            out.loc[batch["_no_id"].to_numpy(), "doc_id"] = pd.NA
+            yield out
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(text).alias("_text")).mapInPandas(
+    return docs.select(*id_columns(), text_of(text).alias("_text")).mapInPandas(
         sets, "doc_id long, n long, fp_a long, fp_b long, prefix array<long>"
     )
 

@@ -13,13 +13,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table, text_of
+from .common import checkpointed, id_columns, table, text_of
 
 #: Chunks whose ids a worker remembers; the memory is emptied when full.
 MEMORY_ENTRIES = 400_000
 #: Pieces that are packed together, and the longest piece that a document's remainder is cut into.
 BLOCK_PIECES, PIECE_TOKENS = 1024, 512
-SPECIAL = ("<|endoftext|>", 50256)
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
 
 
@@ -140,16 +139,17 @@ def encode_pieces(docs: DataFrame, tokenizer: str, end_id: int | None, capacity:
         end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows = []
-            for doc, t in zip(batch["doc_id"], batch["_text"], strict=True):
+            for doc, none, t in zip(batch["doc_id"], batch["_no_id"], batch["_text"], strict=True):
                 ids = encoder.encode(t) + end
-                doc = None if pd.isna(doc) else int(doc)
+                doc = None if none else doc
                 for start, length in cut(len(ids) // 4, capacity, piece):
                     part = ids[4 * start : 4 * (start + length)]
                     rows.append((doc, start, length, zlib.crc32(part), len(ids) // 4, part if keep_ids else None))
-            out = pd.DataFrame(rows, columns=[x.split()[0] for x in PIECES.split(", ")])
-            yield out.astype({"doc_id": "Int64"})
+            out = pd.DataFrame([r[1:] for r in rows], columns=[x.split()[0] for x in PIECES.split(", ")][1:])
+            out.insert(0, "doc_id", pd.array([r[0] for r in rows], dtype="Int64"))
+            yield out
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(text).alias("_text")).mapInPandas(pieces, PIECES)
+    return docs.select(*id_columns(), text_of(text).alias("_text")).mapInPandas(pieces, PIECES)
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int | None = 1, piece: int = PIECE_TOKENS, block: int = BLOCK_PIECES, keep_ids: bool = False, text: str = "text") -> DataFrame:
@@ -167,6 +167,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int | No
     pieces = checkpointed(encode_pieces(docs, tokenizer, end_id, capacity, piece, keep_ids, text))
     blocks = max(1, -(-pieces.count() // block))
     dealt = pieces.withColumn("_block", F.pmod(F.xxhash64("doc_id", "start", F.spark_partition_id(), F.monotonically_increasing_id()), F.lit(blocks)))
+    dealt = dealt.withColumn("_no_id", F.col("doc_id").isNull()).fillna(0, ["doc_id"])
     columns = [f for f in PIECES.split(", ")]
 
     def windows(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -183,7 +184,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int | No
                 at += lengths[i]
         return rows.drop(columns="_block").assign(sequence_id=sequence, offset=offset)
 
-    packed = dealt.groupBy("_block").applyInPandas(windows, ", ".join([*columns, "sequence_id long", "offset long"]))
+    packed = dealt.groupBy("_block").applyInPandas(windows, ", ".join([*columns, "_no_id boolean", "sequence_id long", "offset long"]))
+    packed = packed.withColumn("doc_id", F.when(~F.col("_no_id"), F.col("doc_id"))).drop("_no_id")
     return packed if keep_ids else packed.drop("ids")
 
 

@@ -71,15 +71,14 @@ def measures(text: str) -> tuple[int, ...]:
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the columns of MEASURES in place of the text."""
     names = [x.split()[0] for x in MEASURES.split(", ")]
-    keep = [f for f in docs.schema.fields if f.name not in {text, *names}]
 
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf(MEASURES)
+    def measure(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            got = pd.DataFrame([measures(t) for t in batch.pop("_text")], columns=names, dtype="int64", index=batch.index)
-            yield pd.concat([batch, got], axis=1)
+            yield pd.DataFrame([measures(t) for t in batch], columns=names, dtype="int64")
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), MEASURES])
-    return docs.select(*(docs[f.name] for f in keep), text_of(text).alias("_text")).mapInPandas(measure, schema)
+    keep = [c for c in docs.columns if c not in {text, *names}]
+    return docs.select(*keep, measure(text_of(text)).alias("_m")).select(*keep, "_m.*")
 
 
 def with_rules(df: DataFrame) -> DataFrame:

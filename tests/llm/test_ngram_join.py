@@ -79,6 +79,8 @@ def test_empty_null_and_repeated_rows(spark):
     rows = sorted(((r.doc_id or 0), r.n_shingles, r.component_id) for r in jaccard_components(docs).collect())
     assert rows == [(0, 2, 1), (1, 2, 1), (1, 2, 1), (2, 0, 2), (3, 0, 3)]
     assert jaccard_components(docs.limit(0)).count() == 0
+    large = spark.createDataFrame([(2**62 + 1, "a b c d e f"), (None, "x"), (2**62 + 3, "A b c d e f")], "doc_id long, text string").coalesce(1)
+    assert {(r.doc_id, r.component_id) for r in jaccard_components(large).collect()} == {(2**62 + 1, 2**62 + 1), (2**62 + 3, 2**62 + 1), (None, None)}
 
 
 def test_components(spark):

@@ -143,6 +143,8 @@ def test_risk_controlled_cutoffs_reject_junk_and_keep_good(spark):
     none = quality_verdicts(docs, labels.limit(0)).where("kept").count()
     assert none == 4051
     assert quality_verdicts(docs.limit(0), labels).count() == 0
+    large = spark.createDataFrame([(2**62 + 1, "en", good), (None, "en", good)], "doc_id long, lang string, text string").coalesce(1)
+    assert {r.doc_id for r in quality_verdicts(large, labels).collect()} == {2**62 + 1, None}
 
 
 def test_water_fill():

@@ -120,6 +120,8 @@ def test_pack_edge_cases(spark):
     assert pack(docs.where("doc_id < 3"), BYTE, end_id=None).count() == 0
     kept = pack(docs, BYTE, keep_ids=True).where("doc_id = 2").first()
     assert kept.ids == (1).to_bytes(4, "little")
+    large = spark.createDataFrame([(2**62 + 1, "a b"), (None, "c")], "doc_id long, text string").coalesce(1)
+    assert sorted(r.doc_id or 0 for r in pack(large, BYTE).collect()) == [0, 2**62 + 1]
     twice = pack(docs.union(docs), BYTE).where("doc_id = 1").collect()
     assert len(twice) == 2
 
