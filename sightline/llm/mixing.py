@@ -51,7 +51,8 @@ def leaf_budgets(leaves: DataFrame, weights: Mapping[str, Mapping[str, float]],
     lacks by the siblings of its ancestors. Each node's children are one group of a Spark job.
     """
     capacity = leaves.withColumn("capacity", F.col("tokens") * float(max_epochs))
-    nodes = capacity.groupBy(F.lit(0).alias("root")).agg((F.sum("tokens") * float(budget_share)).alias("budget"))
+    whole = (leaves.agg(F.sum("tokens")).first()[0] or 0) * float(budget_share)
+    nodes = None
     path: list[str] = []
     for level in LEVELS:
         own = dict(weights.get(level, {}))
@@ -64,7 +65,7 @@ def leaf_budgets(leaves: DataFrame, weights: Mapping[str, Mapping[str, float]],
                 on = on & F.col(c).eqNullSafe(F.col(f"p_{c}"))
             children = children.join(nodes, on).drop(*parent)
         else:
-            children = children.crossJoin(F.broadcast(nodes.select("budget")))  # one row
+            children = children.withColumn("budget", F.lit(whole))
         schema = ", ".join([*(f"{c} string" for c in [*path, level]), "budget double"])
         children = children.withColumn("_parent", F.struct(*path) if path else F.lit(0))
         nodes = children.groupBy("_parent").applyInPandas(dividing([*path, level], own), schema)

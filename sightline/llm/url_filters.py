@@ -78,15 +78,15 @@ def host_words(hosts: DataFrame, unigrams: DataFrame) -> DataFrame:
         "name", f"explode(flatten(transform(sequence(1, length(name)), i -> transform(sequence(2, {LONGEST}), k -> if(i + k - 1 <= length(name), substring(name, i, k), null))))) as word"
     ).where("word is not null").distinct()
     counts = parts.join(unigrams, "word").groupBy("name").agg(F.collect_list(F.struct("word", "n")).alias("known"))
-    total = unigrams.agg(F.coalesce(F.sum("n"), F.lit(1)).alias("total"))
-    each = names.select("name").distinct().join(counts, "name", "left").crossJoin(F.broadcast(total))  # one row
+    total = unigrams.agg(F.sum("n")).first()[0] or 1
+    each = names.select("name").distinct().join(counts, "name", "left")
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for name, known, total in zip(batch["name"], batch["known"], batch["total"], strict=True):
+            for name, known in zip(batch["name"], batch["known"], strict=True):
                 found = {} if known is None else {x["word"]: x["n"] for x in known}
-                rows.append((name, best_split(name, found, int(total))))
+                rows.append((name, best_split(name, found, total)))
             yield pd.DataFrame(rows, columns=["name", "words"])
 
     segmented = each.mapInPandas(split, "name string, words array<string>")
@@ -99,10 +99,9 @@ def naive_bayes(tokens: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("verdict") == "allow", F.col("n")).otherwise(0)).alias("a"),
         F.sum(F.when(F.col("verdict") == "block", F.col("n")).otherwise(0)).alias("b"),
     )
-    sums = counts.agg(F.coalesce(F.sum("a"), F.lit(0)).alias("all_a"), F.coalesce(F.sum("b"), F.lit(0)).alias("all_b"), F.count("*").alias("kinds"))
-    return counts.crossJoin(F.broadcast(sums)).select(  # one row
-        "token", (F.log(F.col("a") + 1.0) - F.log(F.col("all_a") + F.col("kinds")) - F.log(F.col("b") + 1.0) + F.log(F.col("all_b") + F.col("kinds"))).alias("weight")
-    )
+    all_a, all_b, kinds = counts.agg(F.sum("a"), F.sum("b"), F.count("*")).first()
+    shift = math.log((all_b or 0) + kinds) - math.log((all_a or 0) + kinds) if kinds else 0.0
+    return counts.select("token", (F.log(F.col("a") + 1.0) - F.log(F.col("b") + 1.0) + shift).alias("weight"))
 
 
 def judged_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, html: str = "html", url: str = "url") -> DataFrame:
@@ -133,14 +132,11 @@ def judged_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULE
     )
     tokens = checkpointed(tokens)
     weights = naive_bayes(tokens.where("by_rule is not null").select("token", F.col("by_rule").alias("verdict"), "n"))
-    shares = urls.agg(*(F.coalesce(F.sum(F.when(F.col("by_rule") == v, F.col("n"))), F.lit(0)).alias(v) for v in ("allow", "block")))
+    allowed, blocked = (x or 0 for x in urls.agg(*(F.sum(F.when(F.col("by_rule") == v, F.col("n"))) for v in ("allow", "block"))).first())
+    prior = math.log(allowed + 1.0) - math.log(blocked + 1.0)
+    by_words = F.when(F.lit(blocked == 0) | (F.coalesce("score", F.lit(0.0)) + prior >= 0), "allow").otherwise("block")
     scores = tokens.where("by_rule is null").join(weights, "token").groupBy("host", "path").agg(F.sum("weight").alias("score"))
-    decided = urls.join(scores, ["host", "path"], "left").crossJoin(F.broadcast(shares)).select(  # one row
-        "host", "path", "rule",
-        F.coalesce("by_rule", F.when(
-            (F.col("block") == 0) | (F.coalesce("score", F.lit(0.0)) + F.log(F.col("allow") + 1.0) - F.log(F.col("block") + 1.0) >= 0), "allow"
-        ).otherwise("block")).alias("verdict"),
-    )
+    decided = urls.join(scores, ["host", "path"], "left").select("host", "path", "rule", F.coalesce("by_rule", by_words).alias("verdict"))
     return parts.join(small(checkpointed(decided), 200_000), ["host", "path"])
 
 
