@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, small, table
+from .common import checkpointed, table
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: (host, path, verdict): the production rules.
@@ -137,7 +137,7 @@ def judged_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULE
     by_words = F.when(F.lit(blocked == 0) | (F.coalesce("score", F.lit(0.0)) + prior >= 0), "allow").otherwise("block")
     scores = tokens.where("by_rule is null").join(weights, "token").groupBy("host", "path").agg(F.sum("weight").alias("score"))
     decided = urls.join(scores, ["host", "path"], "left").select("host", "path", "rule", F.coalesce("by_rule", by_words).alias("verdict"))
-    return parts.join(small(checkpointed(decided), 200_000), ["host", "path"])
+    return parts.join(decided, ["host", "path"])
 
 
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
