@@ -31,7 +31,8 @@ CHECKS = {
     "card": f"exists(array({DIGITS}), d -> length(d) between 16 and 19 and {LUHN})",
     "phone": f"length({DIGITS}) between 8 and 15",
 }
-#: Words that can reveal: letters only.
+#: Words that can reveal: runs of letters, of 3 to so many.
+LONGEST_TERM = 64
 WORD_SPLIT = "[^\\\\p{L}]+"
 TEXT_TERMS = f"array_distinct(split(lower(coalesce(text, '')), '{WORD_SPLIT}'))"
 
@@ -85,7 +86,7 @@ def revealing_terms(docs: DataFrame, spanned: DataFrame, reach: int = 80, contex
         f"concat(substring(_text, greatest(1, s.start + 1 - {reach}), least({reach}, s.start)), '\\u0000', substring(_text, s.end + 1, {reach})) as around",
     )
     words = F.expr(f"array_distinct(split(lower(around), '{WORD_SPLIT}'))")
-    met = near.select("doc_id", "entity", F.xxhash64("around").alias("window"), words.alias("words")).select("*", F.explode("words").alias("term")).where(F.length("term") >= 3)
+    met = near.select("doc_id", "entity", F.xxhash64("around").alias("window"), words.alias("words")).select("*", F.explode("words").alias("term")).where(F.length("term").between(3, LONGEST_TERM))
     # Three min-hashes of the other words: near copies of a passage nearly all share them, independent surroundings don't.
     sketch = ", ".join(f"array_min(transform(array_remove(words, term), w -> xxhash64({i}, w)))" for i in range(3))
     met = met.select("doc_id", "entity", "term", "window", F.expr(f"xxhash64({sketch})").alias("context"))
@@ -118,22 +119,19 @@ def private_spans(docs: DataFrame, reach: int = 80, contexts: int = 3, strength:
     narrow = docs.select("doc_id", "text")
     terms = checkpointed(revealing_terms(narrow, base_spans(narrow), reach, contexts, strength))
     held = small(terms)
-    has = (
-        narrow.select("doc_id", F.explode(F.expr(TEXT_TERMS)).alias("term"))
-        .join(held, "term").groupBy("doc_id")
-        .agg(F.sort_array(F.collect_set(F.struct("term", "action"))).alias("_terms"))
-    )
-    has = small(checkpointed(has.withColumnRenamed("doc_id", "_doc")), 100_000)
+    found = checkpointed(narrow.select(F.col("doc_id").alias("_doc"), F.explode(F.expr(TEXT_TERMS)).alias("term")).join(held, "term"))
+    has = found.groupBy("_doc").agg(F.sort_array(F.collect_set(F.struct("term", "action"))).alias("_terms"))
+    has = F.broadcast(has) if found.limit(100_001).count() <= 100_000 else has  # so many terms of bounded length at most
     spans = base_spans(docs)
     joined = spans.join(has, spans.doc_id.eqNullSafe(has._doc), "left").drop("_doc")
     pattern = "concat('(?iu)(?<![\\\\p{L}])(?:', array_join(transform(_terms, x -> x.term), '|'), ')(?![\\\\p{L}])')"
-    found = f"""
+    located_terms = f"""
         if(_terms is null, cast(array() as array<struct<kind: string, start: int, end: int, value: string>>),
            filter(transform({located("text", pattern)},
              x -> named_struct('kind', if(exists(_terms, t -> t.term = lower(x.value) and t.action = 'generalise'), 'generalised', 'removed'),
                                'start', x.start, 'end', x.start + length(x.value), 'value', x.value)),
              x -> not exists(base, b -> b.start < x.end and x.start < b.end)))"""
-    return joined.withColumn("terms", F.expr(found)).drop("_terms")
+    return joined.withColumn("terms", F.expr(located_terms)).drop("_terms")
 
 
 def listed(spans: str) -> str:
