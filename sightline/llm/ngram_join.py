@@ -17,11 +17,11 @@ HASH_PREFIX = 0.2
 #: Documents with one prefix token up to this many are compared pair by pair at once; larger buckets by way of a leader.
 BUCKET = 24
 #: Documents and shingles in a block of a candidate group, of which two are compared in a task.
-BLOCK_DOCS, BLOCK_SHINGLES = 1024, 2_000_000
+BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1_000_000
 #: 64-bit words of the parity bitmap that stands for a hash prefix.
 BITMAP = 8
 #: Words whose hashes a worker remembers.
-MEMORY_ENTRIES = 1_000_000
+MEMORY_ENTRIES = 150_000
 
 
 class WordHashes(dict):
@@ -86,6 +86,7 @@ def hashed_sets(docs: DataFrame, width: int, share: float, text: str) -> DataFra
             out.insert(0, "doc_id", pd.array(batch["doc_id"], dtype="Int64"))
             out.loc[batch["_no_id"].to_numpy(), "doc_id"] = pd.NA
             yield out
+        WORDS.clear()  # an idle worker holds no memory
 
     return docs.select(*id_columns(), text_of(text).alias("_text")).mapInPandas(
         sets, "doc_id long, n long, fp_a long, fp_b long, prefix array<long>"
@@ -104,6 +105,7 @@ def full_sets(docs: DataFrame, width: int, share: float) -> DataFrame:
                 odd = (np.bincount((head % np.uint64(64 * BITMAP)).astype(np.int64), minlength=64 * BITMAP) & 1).astype(np.uint8)
                 rows.append((doc, len(tokens), len(head), np.packbits(odd).view(np.int64), tokens.view(np.int64)))
             yield pd.DataFrame(rows, columns=["doc_id", "n", "n_prefix", "bitmap", "tokens"])
+        WORDS.clear()
 
     return docs.mapInPandas(sets, "doc_id long, n long, n_prefix long, bitmap array<long>, tokens array<long>")
 
@@ -129,14 +131,17 @@ def linked_blocks(percent: int):
         used, code = np.unique(code, return_inverse=True)
         order = np.argsort(code, kind="stable")
         owner, code = owner[order], code[order]
-        step = max(64, 16_000_000 // max(count, 1))
+        step = max(64, 8_000_000 // max(count, 1))
         for low in range(0, len(used), step):
             a, b = np.searchsorted(code, [low, low + step])
             there = np.zeros((count, min(step, len(used) - low)), np.float32)
             there[owner[a:b], code[a:b] - low] = 1
             common += there @ there.T
-        overlap = np.rint(common).astype(np.int64)
-        link = 100 * overlap >= percent * (sizes[:, None] + sizes[None, :] - overlap)
+        link = np.empty((count, count), bool)
+        for low in range(0, count, 256):
+            overlap = np.rint(common[low : low + 256]).astype(np.int64)
+            link[low : low + 256] = 100 * overlap >= percent * (sizes[low : low + 256, None] + sizes[None, :] - overlap)
+        del common
         block = rows["block"].to_numpy()
         if count and block[0] != block[-1]:
             link &= block[:, None] != block[None, :]

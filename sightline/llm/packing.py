@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import checkpointed, id_columns, table, text_of
 
 #: Chunks whose ids a worker remembers; the memory is emptied when full.
-MEMORY_ENTRIES = 400_000
+MEMORY_ENTRIES = 300_000
 #: Pieces that are packed together, and the longest piece that a document's remainder is cut into.
 BLOCK_PIECES, PIECE_TOKENS = 1024, 512
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
@@ -148,6 +148,7 @@ def encode_pieces(docs: DataFrame, tokenizer: str, end_id: int | None, capacity:
             out = pd.DataFrame([r[1:] for r in rows], columns=[x.split()[0] for x in PIECES.split(", ")][1:])
             out.insert(0, "doc_id", pd.array([r[0] for r in rows], dtype="Int64"))
             yield out
+        encoder.clear()  # an idle worker holds no memory
 
     return docs.select(*id_columns(), text_of(text).alias("_text")).mapInPandas(pieces, PIECES)
 
