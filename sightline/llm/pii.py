@@ -76,7 +76,7 @@ def revealing_terms(docs: DataFrame, spanned: DataFrame, reach: int = 80, contex
     a document if the term stands within `reach` characters of the entity. Over all documents:
     PMI(term; entity) = log p(entity | term) - log p(entity), which is at most the entity's information,
     -log p(entity), and reaches it when the term never occurs without the entity. A term discloses if it meets
-    the entity in at least `contexts` different surroundings (copies of a passage are one, and near copies rarely are more) and its PMI
+    the entity in at least `contexts` different surroundings (copies of a passage are one, and near copies rarely are more), however many copies there are besides, and its PMI
     is at least `strength` of the entity's information. It is removed if p(entity | term) is at least
     remove_at, else generalised. The counts cover all documents.
     """
@@ -86,15 +86,14 @@ def revealing_terms(docs: DataFrame, spanned: DataFrame, reach: int = 80, contex
         f"concat(substring(_text, greatest(1, s.start + 1 - {reach}), least({reach}, s.start)), '\\u0000', substring(_text, s.end + 1, {reach})) as around",
     )
     words = F.expr(f"array_distinct(split(lower(around), '{WORD_SPLIT}'))")
-    met = near.select("doc_id", "entity", F.xxhash64("around").alias("window"), words.alias("words")).select("*", F.explode("words").alias("term")).where(F.length("term").between(3, LONGEST_TERM))
+    met = near.select("doc_id", "entity", words.alias("words")).select("*", F.explode("words").alias("term")).where(F.length("term").between(3, LONGEST_TERM))
     # Three min-hashes of the other words: near copies of a passage nearly all share them, independent surroundings don't.
     sketch = ", ".join(f"array_min(transform(array_remove(words, term), w -> xxhash64({i}, w)))" for i in range(3))
-    met = met.select("doc_id", "entity", "term", "window", F.expr(f"xxhash64({sketch})").alias("context"))
-    met = checkpointed(met.groupBy("doc_id", "entity", "term").agg(F.min("window").alias("window"), F.min("context").alias("context")))
+    met = met.select("doc_id", "entity", "term", F.expr(f"xxhash64({sketch})").alias("context"))
+    met = checkpointed(met.groupBy("doc_id", "entity", "term").agg(F.min("context").alias("context")))
     of_entity = near.select("doc_id", "entity").distinct().groupBy("entity").agg(F.count("*").alias("with_entity"))
     total = docs.count()
-    joint = met.groupBy("entity", "term").agg(F.count("*").alias("both"), F.countDistinct("context").alias("contexts"), F.countDistinct("window").alias("windows"))
-    joint = joint.where((F.col("contexts") >= contexts) & (2 * F.col("contexts") >= F.col("windows")))
+    joint = met.groupBy("entity", "term").agg(F.count("*").alias("both"), F.countDistinct("context").alias("contexts")).where(F.col("contexts") >= contexts)
     # A term is in at least the documents where it stands near any entity; most terms can't disclose by that bound, and needn't be counted in all texts.
     bound = met.groupBy("term").agg(F.countDistinct("doc_id").alias("with_near"))
     informed = joint.join(of_entity, "entity").withColumn("information", F.expr(f"-log2(with_entity / {total}D)"))

@@ -87,6 +87,18 @@ def test_revealing_terms(spark):
     assert sanitised(docs.limit(0)).count() == 0
 
 
+def test_near_copies_dont_hide_a_term_that_surroundings_disclose(spark):
+    filler = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    rows = [(i, " ".join(filler[(i + j) % 10] for j in range(8))) for i in range(200)]
+    rows += [(300 + i, f"{filler[i]} {filler[i + 1]} Zorblat zorb.lat@mail.example.com {filler[i + 2]} alpha") for i in range(5)]
+    copies = [(400 + i, f"passage {i} copied: Zorblat zorb.lat@mail.example.com, and no. {i} more") for i in range(20)]
+    copies_only = [(500 + i, f"passage {i} copied: Quuxly quux@mail.example.com, and no. {i} more") for i in range(20)]
+    docs = spark.createDataFrame([*rows, *copies, *copies_only, (600, "a page on Zorblat and Quuxly")], "doc_id long, text string")
+    found = {r.doc_id: [s.value for s in r.terms] for r in private_spans(docs).collect()}
+    assert found[600] == ["Zorblat"]
+    assert {d for d, x in found.items() if x} == {*range(300, 305), *range(400, 420), 600}
+
+
 def test_sanitised_overlaps_and_extra_columns(spark):
     docs = spark.createDataFrame([(1, "call +4111111111111111 or 4111 1111 1111 1111 x", 5)], "doc_id long, text string, terms int")
     row = sanitised(docs).first()
