@@ -37,8 +37,10 @@ BOILERPLATE_WORDS = set(
 )
 #: Hashed features of a model: a bound on its size.
 FEATURES = 4096
-#: Cost of calling a block what its labelled part is not, and the edges' weights.
-SEED_COST, NEXT_WEIGHT, NEAR_WEIGHT = 8.0, 0.6, 0.6
+#: Boilerplate elements that no article inside them overrides; a form may hold a whole page.
+HELD_TAGS = BOILERPLATE_TAGS - {"form"}
+#: Cost of calling a block what its labelled part is not, and the edges' weights; the classifier's cost, up to 6, can outvote it.
+SEED_COST, NEXT_WEIGHT, NEAR_WEIGHT = 3.0, 0.6, 0.6
 
 
 @dataclass
@@ -46,7 +48,7 @@ class Block:
     text: str
     path: tuple[int, ...]  # the open elements' numbers, from the root
     tag: str
-    names: frozenset[str]  # tags and class, id and role words of the open elements
+    names: frozenset[str]  # tags of the open elements, and class, id and role words of those from the innermost labelled article or main on
     linked: int  # characters in links
     seed: int  # 1 content, -1 boilerplate, 0 unknown
 
@@ -55,9 +57,11 @@ def blocks(page: str) -> list[Block]:
     """The page's blocks with text, in page order; markup may be broken, cut off or nested wrongly.
 
     An open element ends with its end tag or that of an element around it. White space inside a block becomes one space.
+    Elements and names label the part they enclose. Names of html and body label nothing; names that contradict each other or their
+    element label no content; an article overrides names and forms around it, and a main element all that is around it.
     """
     out: list[Block] = []
-    open_: list[tuple[str, int, frozenset[str], int]] = [("", 0, frozenset(), 0)]
+    open_: list[tuple[str, int, frozenset[str], int, bool]] = [("", 0, frozenset(), 0, False)]
     text: list[str] = []
     linked = links = skipped = 0
     number = at = 0
@@ -67,8 +71,7 @@ def blocks(page: str) -> list[Block]:
         if text:
             if whole := " ".join(html.unescape("".join(text)).split()):
                 inside = next((x for x in reversed(open_) if x[0] not in INLINE), open_[0])
-                names = frozenset().union(*(x[2] for x in open_))
-                out.append(Block(whole, tuple(x[1] for x in open_ if x[0] not in INLINE), inside[0], names, linked, open_[-1][3]))
+                out.append(Block(whole, tuple(x[1] for x in open_ if x[0] not in INLINE), inside[0], open_[-1][2] | {x[0] for x in open_[1:]}, linked, open_[-1][3]))
             text.clear()
         linked = 0
 
@@ -126,18 +129,24 @@ def blocks(page: str) -> list[Block]:
                     break
                 if open_[i][0] not in INLINE:
                     break
-        words = {tag}
-        for name in NAMED.finditer(m[3]):
-            words.update(w for w in re.split(r"[^a-z]+", (name[2] or name[3] or name[4] or "").lower()) if w)
-        own = words - {tag}
-        outer = open_[-1][3]
-        seed = outer
-        if tag in BOILERPLATE_TAGS or own & BOILERPLATE_WORDS:
+        own: set[str] = set()
+        if tag not in ("html", "body"):
+            for name in NAMED.finditer(m[3]):
+                own.update(w for w in re.split(r"[^a-z]+", (name[2] or name[3] or name[4] or "").lower()) if w)
+        _, _, around, seed, held = open_[-1]
+        good, bad = tag in CONTENT_TAGS or bool(own & CONTENT_WORDS), bool(own & BOILERPLATE_WORDS)
+        if tag in BOILERPLATE_TAGS:
             seed = -1
-        elif outer >= 0 and (tag in CONTENT_TAGS or own & CONTENT_WORDS):
+        elif good and bad:
+            seed = min(seed, 0)
+        elif bad:
+            seed = -1
+        elif tag == "main" or tag == "article" and not held:
+            seed, held, around = 1, False, frozenset()
+        elif good and seed >= 0:
             seed = 1
         number += 1
-        open_.append((tag, number, frozenset(words), seed))
+        open_.append((tag, number, around | own, seed, held or tag in HELD_TAGS))
         links += tag == "a"
         skipped += tag in SKIPPED
     flush()

@@ -9,7 +9,7 @@ import pytest
 import corpus_pipeline
 from sightline.llm import embedding_dedup
 from sightline.llm.embedding_dedup import OP3_SQL, CoverTree, near_duplicate_vectors, near_pairs, op3_embedding_dedup
-from sightline.llm.html_text import blocks, content_side, extract_main_text, op8_html_text
+from sightline.llm.html_text import FEATURES, blocks, content_side, extract_main_text, main_text, op8_html_text
 from sightline.llm.url_filters import RULES, best_split, judged_urls, op6_url_filters
 
 SF = "/root/testdata/sf0.001"
@@ -189,3 +189,41 @@ def test_pipeline_stages(spark):
         assert stage(spark, docs.limit(0), SF).count() == 0
         docs = spark.createDataFrame(out.collect(), docs.schema)
     assert docs.count() == pieces.select("doc_id").distinct().count()
+
+
+STORY = "".join(f"<p>Sentence {i} of the story goes on, with commas, for quite a few words, and ends here.</p>" for i in range(6))
+MENU = "<nav><a href=a>Home</a> <a href=b>Shop</a></nav>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<html><body class='has-sidebar'>{MENU}<article>{STORY}</article></body></html>",
+        f"<html><body>{MENU}<div id='content-sidebar-wrap'><main>{STORY}</main></div></body></html>",
+        f"<html><body>{MENU}<div class='no-sidebar'><article>{STORY}</article></div></body></html>",
+        f"<html><body>{MENU}<form id=page><article class=post>{STORY}</article></form></body></html>",
+        f"<html><body>{MENU}<article class='post comments-open'>{STORY}</article></body></html>",
+    ],
+)
+def test_a_name_around_an_article_doesnt_take_its_text(spark, page):
+    other = f"<html><body>{MENU}<article>{STORY}</article><div class=sidebar><a href=x>Top ten</a></div><footer>© 2020 | Legal</footer></body></html>"
+    rows = [(0, page), *((i, other) for i in range(1, 9))]
+    text = extract_main_text(spark.createDataFrame(rows, "page_id long, html string")).where("page_id = 0").first().text
+    assert text.count("Sentence") == 6 and "Shop" not in text
+
+
+def test_labels_of_nested_elements():
+    def seeds(page):
+        return [b.seed for b in blocks(page)]
+
+    assert seeds("<aside><article>a teaser</article></aside>") == [-1] and seeds("<nav>menu<main>text</main></nav>") == [-1, 1]
+    assert seeds("<div class=comments><article class=comment>a comment</article></div>") == [-1]
+    assert seeds("<article>text<div class=entry-footer>tags</div><div class=share>share</div></article>") == [1, 0, -1]
+
+
+def test_the_classifier_can_outvote_a_name():
+    weights = np.zeros(FEATURES + 1)
+    weights[FEATURES] = 5.0
+    assert main_text(f"<div class=no-sidebar>{STORY}</div>", weights).count("Sentence") == 6
+    weights[FEATURES] = 1.0
+    assert main_text(f"<div class=no-sidebar>{STORY}</div>", weights) == ""
