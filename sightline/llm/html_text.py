@@ -23,6 +23,8 @@ NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))
 SKIPPED = {"script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "head", "title", "select", "textarea", "button"}
 RAW = {"script", "style", "textarea", "title"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+#: Elements that can stand in a head; any other ends it.
+HEAD_TAGS = {"head", "html", "base", "basefont", "bgsound", "link", "meta", "title", "style", "script", "noscript", "noframes", "template"}
 #: Elements that stand within a block.
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img input".split())
 #: Elements and names that say what a part of a page is; they give the classifier its training labels.
@@ -56,7 +58,7 @@ class Block:
 def blocks(page: str) -> list[Block]:
     """The page's blocks with text, in page order; markup may be broken, cut off or nested wrongly.
 
-    An open element ends with its end tag or that of an element around it. White space inside a block becomes one space.
+    An open element ends with its end tag or that of an element around it, a head also with the body or whatever can't stand in one. White space inside a block becomes one space.
     Elements and names label the part they enclose. Names of html and body label nothing; names that contradict each other or their
     element label no content; an article overrides names and forms around it, and a main element all that is around it.
     """
@@ -75,8 +77,17 @@ def blocks(page: str) -> list[Block]:
             text.clear()
         linked = 0
 
+    def end_head() -> None:
+        nonlocal links, skipped
+        first = next(i for i, x in enumerate(open_) if x[0] == "head")
+        links -= sum(x[0] == "a" for x in open_[first:])
+        skipped -= sum(x[0] in SKIPPED for x in open_[first:])
+        del open_[first:]
+
     def said(piece: str) -> None:
         nonlocal linked
+        if open_[-1][0] == "head" and piece.strip():
+            end_head()
         if piece and not skipped:
             text.append(piece)
             if links:
@@ -114,6 +125,8 @@ def blocks(page: str) -> list[Block]:
                         if name == tag:
                             break
             continue
+        if open_[-1][0] == "head" and tag not in HEAD_TAGS or tag == "body" and any(x[0] == "head" for x in open_):
+            end_head()
         if tag in VOID or m[3].endswith("/"):
             continue
         if tag in RAW:

@@ -227,3 +227,15 @@ def test_the_classifier_can_outvote_a_name():
     assert main_text(f"<div class=no-sidebar>{STORY}</div>", weights).count("Sentence") == 6
     weights[FEATURES] = 1.0
     assert main_text(f"<div class=no-sidebar>{STORY}</div>", weights) == ""
+
+
+def test_a_head_without_end_tag_takes_no_text():
+    def texts(page):
+        return [b.text for b in blocks(page)]
+
+    assert texts("<html><head><title>t</title><body><article>story</article>") == ["story"]
+    assert texts("<head><meta charset=utf-8><noscript><link href=x><body><p>story") == ["story"]
+    assert texts("<head><title>t</title><p>story</p></head><p>more") == ["story", "more"]
+    assert texts("<head><title>t</title>story<p>more") == ["story", "more"]
+    assert texts("<head><head><script>x</script></head><body>story") == ["story"]
+    assert texts("<html><head><title>t</title><style>x</style></head><body><header>menu</header>story") == ["menu", "story"]
