@@ -284,7 +284,7 @@ def anchors(spark, d):
 def projected(spark, d):
     """Places seen from the pose of the nearest frame."""
     p = A.points(spark, d)
-    poses = p.where("vec_id % 3 = 0").select(c("label").alias("video_id"), c("vec_id").alias("pose_frame"), c("pose").alias("camera_from_world"))
+    poses = p.select(c("label").alias("video_id"), c("vec_id").alias("pose_frame"), c("pose").alias("camera_from_world"))
     return V.projected(p.select(c("label").alias("video_id"), c("vec_id").alias("frame_index"), c("a").alias("world")), poses, A.LENS).select("frame_index", F.round("camera.z", 4).alias("z"), F.round("pixel.u", 3).alias("u"))
 
 
