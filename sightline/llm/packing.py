@@ -6,7 +6,7 @@ import heapq
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -15,18 +15,16 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, id_columns, table, text_of
 
-#: Chunks whose ids a worker remembers; the memory is emptied when full.
-MEMORY_ENTRIES = 300_000
 #: Pieces that are packed together, and the longest piece that a document's remainder is cut into.
 BLOCK_PIECES, PIECE_TOKENS = 1024, 512
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
 
 
-class ByteEncoder(dict):
-    """The ids of a text as little-endian unsigned 32-bit numbers, remembered for each word with its space."""
+class ByteEncoder:
+    """The ids of a text as little-endian unsigned 32-bit numbers."""
 
-    #: Texts in which a single space between two other characters isn't all the white space but line ends.
-    odd = re.compile(r"[^\S \n]|[\x1c-\x1f]|  | \n|\n |^\s|\s$")
+    #: White space so long that the pattern's look-ahead would exhaust its stack on it.
+    long_space = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
 
     def __init__(self, path: str):
         import json
@@ -38,29 +36,34 @@ class ByteEncoder(dict):
         from .token_counts import byte_symbols
 
         code = {s: b for b, s in enumerate(byte_symbols())}
-        ranks = {bytes(code[c] for c in x): n for x, n in spec["model"]["vocab"].items()}
+        self.ranks = {bytes(code[c] for c in x): n for x, n in spec["model"]["vocab"].items()}
         # The public pattern of byte-level BPE with use_regex.
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        self.encoding = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.encoding = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})
         self.special = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in spec["added_tokens"]}
         self.special_split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
 
-    def direct(self, text: str) -> bytes:
-        return np.array(self.encoding.encode_ordinary(text), "<u4").tobytes()
+    @cached_property
+    def whole(self):
+        """Merges all that it is given as one word."""
+        import tiktoken
+
+        return tiktoken.Encoding("whole", pat_str=r"(?s:.+)", mergeable_ranks=self.ranks, special_tokens={})
 
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= MEMORY_ENTRIES:
-            self.clear()
-        ids = self.direct(chunk)
-        if len(chunk) <= 64:
-            self[chunk] = ids
-        return ids
+    @staticmethod
+    def numbers(encoding, text: str) -> bytes:
+        return encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
 
     def plain(self, text: str) -> bytes:
-        if not text or self.odd.search(text):
-            return self.direct(text)
-        # A space between two characters that aren't white space starts a token.
-        return b"".join(map(self.__getitem__, text.replace(" ", "\x00 ").split("\x00"))) if "\x00" not in text else self.direct(text)
+        """Long white space is a word by itself but for its last character, which belongs to what follows, as the pattern has it."""
+        out, at = [], 0
+        if len(text) >= 10000:
+            for run in self.long_space.finditer(text):
+                end = run.end() - (run.end() < len(text))
+                out += [self.numbers(self.encoding, text[at : run.start()]), self.numbers(self.whole, text[run.start() : end])]
+                at = end
+        out.append(self.numbers(self.encoding, text[at:] if at else text))
+        return b"".join(out)
 
     def encode(self, text: str) -> bytes:
         """A special token's string in the text becomes its id, as the library does by default."""
@@ -148,7 +151,6 @@ def encode_pieces(docs: DataFrame, tokenizer: str, end_id: int | None, capacity:
             out = pd.DataFrame([r[1:] for r in rows], columns=[x.split()[0] for x in PIECES.split(", ")][1:])
             out.insert(0, "doc_id", pd.array([r[0] for r in rows], dtype="Int64"))
             yield out
-        encoder.clear()  # an idle worker holds no memory
 
     return docs.select(*id_columns(), text_of(text).alias("_text")).mapInPandas(pieces, PIECES)
 
@@ -163,7 +165,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int | No
     block's windows are near-equal and not quite full; keep_ids adds the ids as bytes.
 
     A document without ids (an empty text and no end_id) has no piece; repeated rows are packed
-    each; extra columns of docs are left out.
+    each; extra columns of docs are left out. Pieces of equal length lie in the order of doc_id and start; without rows
+    the result is empty. A very long text is cut into windows as it is; white space of any length is one word.
     """
     pieces = checkpointed(encode_pieces(docs, tokenizer, end_id, capacity, piece, keep_ids, text))
     blocks = max(1, -(-pieces.count() // block))

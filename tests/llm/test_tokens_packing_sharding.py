@@ -48,6 +48,19 @@ def test_byte_ids_as_the_library(texts):
         assert np.frombuffer(byte_encoder(BYTE).encode(t), "<u4").tolist() == Tokenizer_byte.encode(t, add_special_tokens=False).ids, t[:80]
 
 
+@pytest.mark.parametrize("t", [" " * 30_000 + "abc", "x" + "\n" * 20_000 + " y  z", "  " * 8000 + "a" + " " * 12_000, " " * 10_000 + "<|endoftext|>" + " " * 10_001 + "b", "\x1c" * 20_000 + "a"], ids=range(5))
+def test_byte_ids_of_long_white_space(t):
+    assert np.frombuffer(byte_encoder(BYTE).encode(t), "<u4").tolist() == Tokenizer_byte.encode(t, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("t", [" " * 2_000_000, "a" * 2_000_000, "!" * 2_000_000, "1." * 1_000_000, "a b" + "\u3000" * 1_000_000], ids=range(5))
+def test_very_long_texts_are_encoded_and_counted(spark, t):
+    ids = byte_encoder(BYTE).encode(t)
+    docs = spark.createDataFrame([(1, t)], "doc_id long, text string")
+    assert pack(docs, BYTE).agg({"length": "sum"}).first()[0] == len(ids) // 4 + 1
+    assert (count_tokens(docs, WORD).first().n_tokens == 0) == (not t.strip())
+
+
 def test_op4(spark, texts):
     rows = op4_token_counts(spark, SF).collect()
     assert len(rows) == len(texts)
