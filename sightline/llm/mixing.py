@@ -43,14 +43,25 @@ def dividing(path: list[str], weights: Mapping[str, float]):
     return divide
 
 
+def takes(name: Column, weights: Mapping[str, float]) -> Column:
+    """Whether a name's weight is over 0; null has the weight of others."""
+    others = weights.get("*", 1.0) > 0
+    listed = [n for n, w in weights.items() if n != "*" and (w > 0) != others]
+    return F.coalesce(name.isin(listed) != F.lit(others), F.lit(others)) if listed else F.lit(others)
+
+
 def leaf_budgets(leaves: DataFrame, weights: Mapping[str, Mapping[str, float]], budget_share: float, max_epochs: int) -> DataFrame:
     """leaves(domain, lang, source, tokens) with budget, in tokens.
 
     From the root down, a node's budget goes to its children by weight, but no child gets more than its whole
     subtree has in max_epochs. So a shortage is made up by siblings while they can, and only what a whole subtree
-    lacks by the siblings of its ancestors. Each node's children are one group of a Spark job.
+    lacks by the siblings of its ancestors. A leaf below a name of weight 0 can take nothing, so its tokens are no capacity of
+    the nodes above it. Each node's children are one group of a Spark job.
     """
-    capacity = leaves.withColumn("capacity", F.col("tokens") * float(max_epochs))
+    able = F.lit(True)
+    for level in LEVELS:
+        able = able & takes(F.col(level), dict(weights.get(level, {})))
+    capacity = leaves.withColumn("capacity", F.when(able, F.col("tokens") * float(max_epochs)).otherwise(0.0))
     whole = (leaves.agg(F.sum("tokens")).first()[0] or 0) * float(budget_share)
     nodes = None
     path: list[str] = []
@@ -77,6 +88,11 @@ def leaf_budgets(leaves: DataFrame, weights: Mapping[str, Mapping[str, float]],
     return leaves.join(budgets, on).drop(*(f"b_{c}" for c in LEVELS))
 
 
+def words() -> Column:
+    """The number of words of the text; none for a null one."""
+    return F.regexp_count(text_of(), F.lit(r"[^\x20\x09-\x0D]+"))
+
+
 def mix(docs: DataFrame, domain: Column, weights: Mapping[str, Mapping[str, float]] | None = None, budget_share: float = 1.0, max_epochs: int = 4, seed: int = 0, tokens: Column | None = None) -> DataFrame:
     """(doc_id, domain, lang, source, n_tokens, epoch): a row for each time that a document is taken.
 
@@ -86,10 +102,11 @@ def mix(docs: DataFrame, domain: Column, weights: Mapping[str, Mapping[str, floa
     epoch e the longest prefix of that epoch's seeded order within the rest.
 
     The order's running totals go over ranges of a hash, so that no leaf, however large, is in one task.
-    Null levels are names of their own; an empty text has no tokens and comes with the prefix it stands in. Rows
-    that repeat are taken each. Without rows the result is empty.
+    Null levels are names of their own, of the others' weight; an empty text has no tokens and comes with the prefix it stands in. Rows
+    that repeat are taken each; rows with equal hashes come in the order of doc_id. Without rows the result is empty. Very long texts count whole; one longer than what is left of
+    its leaf's budget ends the prefix. Columns of docs other than doc_id, lang and source are left out.
     """
-    count = tokens if tokens is not None else F.regexp_count(text_of(), F.lit(r"[^\x20\x09-\x0D]+"))
+    count = tokens if tokens is not None else words()
     rows = docs.select("doc_id", domain.cast("string").alias("domain"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), count.cast("long").alias("n_tokens"))
     rows = checkpointed(rows)
     leaves = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"))
@@ -131,8 +148,8 @@ def domain_of(source: str = "source") -> Column:
 
 def mixed_documents(docs: DataFrame, budget_share: float = 0.7, seed: int = 0) -> DataFrame:
     """docs cut down to the mixture, each document once at most; all columns stay. Rows with the same doc_id stay or go together."""
-    one = docs.dropDuplicates(["doc_id"]) if docs.select("doc_id").distinct().count() < docs.count() else docs
-    taken = mix(one, domain_of(), WEIGHTS, budget_share, max_epochs=1, seed=seed).select(F.col("doc_id").alias("_taken"))
+    rows = docs.select("doc_id", "lang", "source", words().alias("_n")).groupBy("doc_id").agg(F.min(F.struct("lang", "source", "_n")).alias("_v")).select("doc_id", "_v.*")
+    taken = mix(rows, domain_of(), WEIGHTS, budget_share, max_epochs=1, seed=seed, tokens=F.col("_n")).select(F.col("doc_id").alias("_taken"))
     return docs.join(small(checkpointed(taken)), docs.doc_id.eqNullSafe(F.col("_taken")), "left_semi").select(*docs.columns)
 
 

@@ -1,11 +1,12 @@
 import hashlib
 import math
+import random
 import re
 
 import pytest
 
-from sightline.llm.mixing import LEVELS, domain_of, mix, mixed_documents, op9_mixing, water_fill
-from sightline.llm.pii import op2_pii, private_spans, sanitised
+from sightline.llm.mixing import LEVELS, WEIGHTS, domain_of, mix, mixed_documents, op9_mixing, water_fill
+from sightline.llm.pii import base_spans, op2_pii, private_spans, sanitised
 from sightline.llm.quality import binomial_tail, certified_step, measures, op5_quality_rules, quality_verdicts, upper_bound
 
 SF = "/root/testdata/sf0.001"
@@ -177,7 +178,8 @@ def brute_mix(rows, weights, share, epochs):
             return {prefix: budget}
         names = sorted({k[len(prefix)] for k in leaves if k[: len(prefix)] == prefix})
         w = [weights.get(LEVELS[len(prefix)], {}).get(x, 1.0) for x in names]
-        caps = [epochs * sum(v for k, v in leaves.items() if k[: len(prefix) + 1] == (*prefix, x)) for x in names]
+        able = lambda k: all(weights.get(level, {}).get(x, 1.0) > 0 for level, x in zip(LEVELS, k, strict=True))
+        caps = [epochs * sum(v for k, v in leaves.items() if k[: len(prefix) + 1] == (*prefix, x) and able(k)) for x in names]
         out = {}
         for x, b in zip(names, water_fill(budget, w, caps), strict=True):
             out |= fill((*prefix, x), b)
@@ -216,5 +218,108 @@ def test_mix_edge_cases(spark):
     assert mix(docs.limit(0), domain_of()).count() == 0
     kept = mixed_documents(docs, budget_share=1.0)
     assert kept.columns == docs.columns and kept.count() == 4
-    assert op9_mixing(spark, SF).count() > 0
-    assert not math.isnan(1)
+    assert kept.select("doc_id", "text").subtract(docs.select("doc_id", "text")).count() == 0
+
+
+def test_zero_weights_leave_their_tokens_to_others(spark):
+    """A leaf that can take nothing is no capacity of its ancestors: their siblings get what it would have."""
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(i, "w " * 10, "en" if i < 10 else "de", "src0" if i < 60 else "src12") for i in range(120)], "doc_id long, text string, lang string, source string")
+    weights = {"domain": {"web": 0.5, "forum": 0.5}, "lang": {"de": 0.0}}
+    taken = mix(docs, domain_of(), {"domain": weights["domain"], "lang": {"de": 0.0, "*": 1.0}}, budget_share=0.5, max_epochs=1)
+    assert taken.count() == 10  # all of English, as the forum has none
+    weights = {"domain": {"web": 0.5, "forum": 0.5}, "source": {"src0": 0.0}}
+    taken = mix(docs, domain_of(), weights, budget_share=0.5, max_epochs=1).groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()
+    assert [(r.source, r.n) for r in taken] == [("src12", 600)]
+
+
+def test_op9_against_brute_force(spark):
+    """The query's takings per leaf, and each leaf's prefix in its seeded order, on the whole small table."""
+    import re
+
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", domain_of().alias("d")).collect()
+    n = {r.doc_id: len(re.findall("[^\x20\x09-\x0D]+", r.text or "")) for r in rows}
+    leaves, budgets = brute_mix([(r.d, r.lang, r.source, n[r.doc_id]) for r in rows], WEIGHTS, 1.0, 4)
+    taken, epochs = {}, {}
+    for r in op9_mixing(spark, SF).collect():
+        k = (r.domain, r.lang, r.source)
+        assert r.n_tokens == n[r.doc_id]
+        taken[k] = taken.get(k, 0) + r.n_tokens
+        epochs.setdefault(r.doc_id, []).append(r.epoch)
+    longest = {}
+    for r in rows:
+        k = (r.d, r.lang, r.source)
+        longest[k] = max(longest.get(k, 0), n[r.doc_id])
+    for k, b in budgets.items():
+        assert b - longest[k] - 1e-6 <= taken.get(k, 0) <= b + 1e-6, (k, b, taken.get(k))
+    assert all(sorted(e) == list(range(len(e))) for e in epochs.values())
+    for r in rows:  # whole epochs take every document
+        k = (r.d, r.lang, r.source)
+        if leaves[k]:
+            assert len(epochs.get(r.doc_id, [])) in (int(budgets[k] / leaves[k] + 1e-9), int(budgets[k] / leaves[k] + 1e-9) + 1)
+
+
+LONG = {"domain": "x@" + "a." * 100_000 + "com", "numbers": "1." * 400_000, "letters": "a" * 2_000_000, "spaces": " " * 2_000_000}
+
+
+@pytest.mark.parametrize(("name", "kinds"), [("domain", ["email"]), ("numbers", ["ip"] * 100_000), ("letters", []), ("spaces", [])])
+def test_long_texts_have_all_their_spans(spark, name, kinds):
+    t = LONG[name]
+    found = base_spans(spark.createDataFrame([(1, t)], "doc_id long, text string")).select("base.kind", "base.start", "base.end").first()
+    assert list(found.kind) == kinds
+    if name == "numbers":
+        assert list(found.start) == list(range(0, 800_000, 8)) and list(found.end) == list(range(7, 800_000, 8))
+    if name == "domain":
+        assert (found.start, found.end) == ([0], [len(t)])
+
+
+def test_words_that_the_window_cuts_are_no_terms(spark):
+    """Six windows end within `catalogue`; the unrelated document keeps its cat."""
+    fill = ("aa bb " * 20)[:75] + " "
+    texts = ["plain text"] + [f"{w} joe@corp.com {fill}catalogue" for w in ("red", "blue", "green", "pink", "grey", "gold")] + ["my cat sleeps"] * 2 + ["other words here"] * 40
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r for r in private_spans(docs).collect()}
+    assert not out[7].terms and not out[8].terms
+
+
+def test_disclosure_against_brute_force(spark):
+    """Terms and actions equal those counted by hand over all documents."""
+    import re
+
+    from sightline.llm.pii import revealing_terms
+
+    rng = random.Random(3)
+    common = [f"{a}{b}" for a in ("lor", "ips", "dol", "sit", "amet") for b in ("em", "um", "or", "is", "an")]
+    docs = []
+    for i in range(300):
+        words = rng.sample(common, 12)
+        if i % 4 == 0:
+            words.insert(rng.randrange(12), ["ann@mail.org", "10.0.0.7", "+49 30 1234567"][i % 3])
+            words.insert(rng.randrange(13), ["kestrel", "falcon", "plover"][i % 3])
+        elif i % 40 == 3:
+            words.insert(3, "plover")
+        docs.append((i, " ".join(words)))
+    got, _ = revealing_terms(spark.createDataFrame(docs, "doc_id long, text string"), base_spans(spark.createDataFrame(docs, "doc_id long, text string")))
+    with_term, both, of = {}, {}, {}
+    for i, t in docs:
+        for w in set(re.split("[^a-z]+", t.lower())):
+            with_term.setdefault(w, set()).add(i)
+        m = re.search(r"[a-z]+@[a-z.]+|10\.0\.0\.7|\+[0-9 ]+[0-9]", t)
+        if m:
+            of.setdefault(m[0], set()).add(i)
+            left, right = t[max(0, m.start() - 80) : m.start()], t[m.end() : m.end() + 80]
+            left = re.sub("^[a-z]+", "", t[m.start() - 81] + left) if m.start() > 80 else left
+            right = re.sub("[a-z]+$", "", right + t[m.end() + 80]) if m.end() + 80 < len(t) else right
+            for w in set(re.findall("[a-z]{3,}", left + " " + right)):
+                both.setdefault((m[0], w), set()).add(i)
+    want = {}
+    for (e, w), d in both.items():
+        information = -math.log2(len(of[e]) / len(docs))
+        posterior = len(d) / len(with_term[w])
+        assert posterior <= 1
+        pmi = math.log2(posterior) + information
+        if len(d) >= 3 and pmi > 0 and pmi >= 0.9 * information:
+            want[w] = max(want.get(w, 0), posterior)
+    assert {r.term: r.action for r in got.collect()} == {w: "remove" if p >= 0.9 else "generalise" for w, p in want.items()}
+    assert "kestrel" in want
