@@ -15,8 +15,8 @@ from .common import checkpointed, connected_components, small, table
 VECTORS_A_PIVOT, MOST_PIVOTS = 1024, 16_384
 #: Vectors of a cell, and of its visitors, in one task; larger ones are split over tasks.
 CELL, VISITORS = 4096, 8192
-#: Points of a tree's leaf, pairs that are verified at once, and room for rounding in the bounds.
-LEAF, PAIRS, ROUNDING = 32, 1_000_000, 1e-7
+#: Points of a tree's leaf, numbers that are gathered at once to verify pairs, distances computed at once, and room for rounding in the bounds.
+LEAF, GATHERED, GAPS, ROUNDING = 32, 4_000_000, 4_000_000, 1e-7
 
 
 class CoverTree:
@@ -69,30 +69,43 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (a @ b.T)))
 
 
-def near_pairs(a: CoverTree, b: CoverTree, reach: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs that hold all pairs of a point of a and one of b within reach, in chunks.
+def near_pairs(a: CoverTree, b: CoverTree, reach: float) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """Index arrays that hold all pairs of a point of a and one of b within reach.
 
-    Two nodes whose centres are farther apart than their radii and reach together have no such pair.
+    Two nodes whose centres are farther apart than their radii and reach together have no such pair; where centres and radii
+    together stay within reach all pairs are: (points of one, points of the other, True), not expanded. The rest comes in
+    chunks of single pairs, (i, j, False), whose number is bounded before they are made.
     """
+    most = max(LEAF * LEAF, GATHERED // max(1, a.points.shape[1]))
     left, right, held = [], [], 0
     todo = [(np.array([0]), np.array([0]))]
     while todo:
         x, y = todo.pop()
+        if len(x) * len(y) > GAPS and len(x) > 1:
+            todo += [(x[: len(x) // 2], y), (x[len(x) // 2 :], y)]
+            continue
         gap = _distances(a.points[a.center[x]], b.points[b.center[y]])
-        close = np.argwhere(gap <= a.radius[x][:, None] + b.radius[y][None, :] + reach + ROUNDING)
-        inner = (a.children[x[close[:, 0]]] > 0) | (b.children[y[close[:, 1]]] > 0)
-        for i, j in close[inner]:
-            todo.append((a.below(x[i]), b.below(y[j])))
-        for i, j in close[~inner]:
-            p, q = a.order[a.low[x[i]] : a.high[x[i]]], b.order[b.low[y[j]] : b.high[y[j]]]
-            left.append(np.repeat(p, len(q)))
-            right.append(np.tile(q, len(p)))
-            held += len(p) * len(q)
-            if held >= PAIRS:
-                yield np.concatenate(left), np.concatenate(right)
-                left, right, held = [], [], 0
+        both = a.radius[x][:, None] + b.radius[y][None, :]
+        close = np.argwhere(gap <= both + reach + ROUNDING)
+        for i, j in close:
+            p, q = x[i], y[j]
+            own, other = a.order[a.low[p] : a.high[p]], b.order[b.low[q] : b.high[q]]
+            if gap[i, j] + both[i, j] <= reach - ROUNDING:
+                yield own, other, True
+            elif a.children[p] or b.children[q]:
+                todo.append((a.below(p), b.below(q)))
+            else:
+                step = max(1, most // len(other))
+                for low in range(0, len(own), step):
+                    part = own[low : low + step]
+                    if held and held + len(part) * len(other) > most:
+                        yield np.concatenate(left), np.concatenate(right), False
+                        left, right, held = [], [], 0
+                    left.append(np.repeat(part, len(other)))
+                    right.append(np.tile(other, len(part)))
+                    held += len(part) * len(other)
     if held:
-        yield np.concatenate(left), np.concatenate(right)
+        yield np.concatenate(left), np.concatenate(right), False
 
 
 def linked(raw_a, norm_a, raw_b, norm_b, i, j, threshold: float) -> np.ndarray:
@@ -101,15 +114,15 @@ def linked(raw_a, norm_a, raw_b, norm_b, i, j, threshold: float) -> np.ndarray:
 
 
 def cell_links(threshold: float):
-    """A task: a cell's members and some of its visitors. Links of each member, and edges that connect what is linked."""
+    """A task: a cell's members and some of its visitors. Weights linked with each member, and edges that connect what is linked."""
     reach = float(np.sqrt(2.0 - 2.0 * threshold))
 
     def links(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("vec_id", kind="stable", ignore_index=True)
+        rows = rows.sort_values(["vec_id", "h1", "h2"], kind="stable", ignore_index=True)
         raw = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
         norm = np.sqrt(np.einsum("ij,ij->i", raw, raw))
         unit = raw / norm[:, None]
-        ids, member = rows["vec_id"].to_numpy(), rows["member"].to_numpy(bool)
+        ids, weight, member = rows["vec_id"].to_numpy(), rows["weight"].to_numpy(np.int64), rows["member"].to_numpy(bool)
         home, away = np.flatnonzero(member), np.flatnonzero(~member)
         count, root = np.zeros(len(rows), np.int64), np.arange(len(rows))
 
@@ -126,24 +139,32 @@ def cell_links(threshold: float):
                 open_ = root[i] != root[j]
                 i, j = i[open_], j[open_]
 
+        def add(to: np.ndarray, of: np.ndarray) -> None:
+            np.add.at(count, to, weight[of])
+
+        def visit(tree: CoverTree, points: np.ndarray, other: CoverTree, others: np.ndarray, same: bool) -> None:
+            """same: both are one tree, so each pair comes from both sides and a point meets itself."""
+            for i, j, sure in near_pairs(tree, other, reach):
+                i, j = points[i], others[j]
+                if sure:
+                    own = weight[i] if same and i[0] in j else 0  # the same node, else two without a common point
+                    count[i] += weight[j].sum() - own
+                    found(np.concatenate([i, np.full(len(j), i[0])]), np.concatenate([np.full(len(i), j[0]), j]))
+                    continue
+                ok = linked(raw, norm, raw, norm, i, j, threshold)
+                if same:
+                    ok &= i != j
+                add(i[ok], j[ok])
+                found(i[ok], j[ok])
+
         if len(home):
             tree = CoverTree(unit[home])
             if rows["first"].iloc[0]:
-                for i, j in near_pairs(tree, tree, reach):
-                    i, j = home[i], home[j]
-                    ok = (i < j) & linked(raw, norm, raw, norm, i, j, threshold)
-                    i, j = i[ok], j[ok]
-                    count += np.bincount(np.concatenate([i, j]), minlength=len(rows))
-                    found(i, j)
+                visit(tree, home, tree, home, True)
             if len(away):
-                for i, j in near_pairs(tree, CoverTree(unit[away]), reach):
-                    i, j = home[i], away[j]
-                    ok = linked(raw, norm, raw, norm, i, j, threshold)
-                    i, j = i[ok], j[ok]
-                    count += np.bincount(i, minlength=len(rows))
-                    found(i, j)
+                visit(tree, home, CoverTree(unit[away]), away, False)
         keep = (count > 0) | (root != np.arange(len(rows)))
-        return pd.DataFrame({"vec_id": ids[keep], "n": np.where(member, count, 0)[keep], "dst": ids[root[keep]]})
+        return pd.DataFrame({"h1": rows["h1"].to_numpy()[keep], "h2": rows["h2"].to_numpy()[keep], "vec_id": ids[keep], "n": np.where(member, count, 0)[keep], "dst": ids[root[keep]]})
 
     return links
 
@@ -160,18 +181,22 @@ def usable(vectors: DataFrame) -> DataFrame:
 def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.98, pivots: int = MOST_PIVOTS) -> DataFrame:
     """(vec_id, n_links, component_id, kept) per row: links join vectors with the same label and a cosine of at least the threshold.
 
-    A bounded set of vectors, those with the lowest hashes, serves as pivots of their labels; each vector belongs to the
-    cell of the nearest. A vector also visits a cell that, by the cell's radius and by the distance of both pivots, may hold
-    a vector in reach. Each task builds cover trees of a cell's members and of its visitors and traverses them in
-    pairs; bounds only discard what can't be linked, and links are verified in double precision. Large cells
-    and crowds of visitors are split over tasks. No pairs leave a task: links are counted, and linked vectors tied to one of them.
+    Equal vectors of a label are one point with a weight, told by 128 bits of hash. A bounded set of points, those with the lowest hashes, serves as
+    pivots of their labels; each point belongs to the cell of the nearest. A point also visits a cell that, by the cell's radius and by the distance of both pivots, may hold
+    a point in reach. Each task builds cover trees of a cell's members and of its visitors and traverses them in
+    pairs; bounds discard what can't be linked and take whole pairs of nodes that must be, and the rest is verified in double precision. Large cells
+    and crowds of visitors are split over tasks. No pairs leave a task: links are counted, and linked points tied to one of them.
 
     A vector that is null, zero, or has null or non-finite components, or whose label or dimension has no other, is linked with nothing; so is
-    one with a null label. Rows that share a vec_id count one by one as vectors and are returned each, with the id's links summed. Extra columns are left out.
+    one with a null label. Rows that share a vec_id count one by one as vectors and are returned each, with the id's links summed. A cosine of
+    exactly the threshold links. Extra columns are left out; no rows give no rows.
     """
-    good = checkpointed(usable(vectors).withColumn("dim", F.size("embedding")))
-    wanted = int(min(pivots, max(1, good.count() // VECTORS_A_PIVOT)))
-    sample = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(wanted).select("label", "dim", "embedding").collect()  # at most MOST_PIVOTS rows
+    good = checkpointed(usable(vectors).select("vec_id", "label", "embedding", F.size("embedding").alias("dim"), *(F.xxhash64(F.lit(i), "label", "embedding").alias(f"h{i}") for i in (1, 2))))
+    each = good.select("vec_id", "h1", "h2")
+    classes = good.groupBy("h1", "h2").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("weight"), F.first(F.struct("label", "embedding", "dim")).alias("v"))
+    points = checkpointed(classes.select("h1", "h2", "vec_id", "weight", "v.label", "v.embedding", "v.dim"))
+    wanted = int(min(pivots, max(1, points.count() // VECTORS_A_PIVOT)))
+    sample = points.orderBy("h1", "h2").limit(wanted).select("label", "dim", "embedding").collect()  # at most MOST_PIVOTS rows
     space: dict = {}
     for r in sample:
         v = np.array(r.embedding)
@@ -190,9 +215,9 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.98, pivots:
                 gap = _distances(units(own), centers) if centers is not None else np.zeros((len(own), 1))
                 yield own.assign(cell=gap.argmin(1), gap=gap.min(1))
 
-    kind = good.schema["label"].dataType.simpleString()
-    base = f"vec_id long, label {kind}, embedding array<double>, dim int"
-    placed = checkpointed(good.mapInPandas(cells, base + ", cell long, gap double"))
+    kind = points.schema["label"].dataType.simpleString()
+    base = f"h1 long, h2 long, vec_id long, weight long, label {kind}, embedding array<double>, dim int"
+    placed = checkpointed(points.mapInPandas(cells, base + ", cell long, gap double"))
     radii: dict = {}
     for r in placed.groupBy("label", "dim", "cell").agg(F.max("gap").alias("radius")).join(small(_labels(space, placed)), ["label", "dim"], "left_semi").collect():
         radii.setdefault((r.label, r.dim), {})[r.cell] = r.radius  # at most a row for each pivot
@@ -219,20 +244,29 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.98, pivots:
         "chunks", F.greatest(F.lit(1), F.ceil((F.coalesce("guests", F.lit(0)) + F.col("inside") * CELL) / VISITORS)).cast("int")
     ).select(*key, "subs", "chunks")
     plan = small(checkpointed(plan))
-    own = visiting.join(plan, key).withColumn("sub", F.pmod(F.xxhash64("vec_id"), "subs").cast("int"))
-    members = own.select(*key, "sub", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(True).alias("member"), "vec_id", "embedding")
-    siblings = own.where("subs > 1").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))).where("to != sub").select(*key, F.col("to").alias("sub"), "chunks", "vec_id", "embedding")
-    strangers = visiting.select("label", "dim", F.explode("targets").alias("cell"), "vec_id", "embedding").join(plan, key).select(
-        *key, F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"), "chunks", "vec_id", "embedding"
+    own = visiting.join(plan, key).withColumn("sub", F.pmod("h1", "subs").cast("int"))
+    point = ["h1", "h2", "vec_id", "weight", "embedding"]
+    members = own.select(*key, "sub", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(True).alias("member"), *point)
+    siblings = own.where("subs > 1").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))).where("to != sub").select(*key, F.col("to").alias("sub"), "chunks", *point)
+    strangers = visiting.select("label", "dim", F.explode("targets").alias("cell"), *point).join(plan, key).select(
+        *key, F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"), "chunks", *point
     )
-    visitors = siblings.union(strangers).select(*key, "sub", F.pmod(F.xxhash64("vec_id", F.lit(1)), "chunks").cast("int").alias("chunk"), F.lit(False).alias("member"), "vec_id", "embedding")
+    visitors = siblings.union(strangers).select(*key, "sub", F.pmod("h2", "chunks").cast("int").alias("chunk"), F.lit(False).alias("member"), *point)
     tasks = members.union(visitors).withColumn("first", F.col("chunk") == 0)
-    found = checkpointed(tasks.groupBy(*key, "sub", "chunk").applyInPandas(cell_links(threshold), "vec_id long, n long, dst long"))
-    counts = found.groupBy("vec_id").agg(F.sum("n").alias("n_links"))
-    components = connected_components(found.select(F.col("vec_id").alias("src"), "dst").where("src != dst"))
+    found = checkpointed(tasks.groupBy(*key, "sub", "chunk").applyInPandas(cell_links(threshold), "h1 long, h2 long, vec_id long, n long, dst long"))
+    links = found.select(F.col("vec_id").alias("src"), "dst").where("src != dst")
+    several = each.groupBy("vec_id").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a != b").select("vec_id")
+    named = points.select("h1", "h2", F.col("vec_id").alias("rep"), "weight")
+    # Rows of different classes that share an id are one node.
+    links = links.union(each.join(several, "vec_id").join(named, ["h1", "h2"]).select(F.col("vec_id").alias("src"), F.col("rep").alias("dst")).where("src != dst"))
+    components = connected_components(links)
+    counts = found.groupBy("h1", "h2").agg(F.sum("n").alias("n"))
+    judged = named.join(counts, ["h1", "h2"], "left").join(components, F.col("rep") == F.col("node"), "left").select(
+        "h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("component", "rep").alias("component")
+    )
+    judged = each.join(judged, ["h1", "h2"]).groupBy("vec_id").agg(F.sum("n").alias("n_links"), F.min("component").alias("component"))
     return (
-        vectors.select(F.col("vec_id").cast("long").alias("vec_id"))
-        .join(counts, "vec_id", "left").join(components.withColumnRenamed("node", "vec_id"), "vec_id", "left")
+        vectors.select(F.col("vec_id").cast("long").alias("vec_id")).join(judged, "vec_id", "left")
         .select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
         .withColumn("kept", F.col("vec_id") == F.col("component_id"))
     )
