@@ -6,30 +6,34 @@ import html
 import math
 import re
 import zlib
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_of
+from .common import table, text_of, unit_hash
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+TAG = re.compile(r"(/?)([A-Za-z][A-Za-z0-9:-]*)")
+ATTRIBUTES = re.compile(r"[^>\"']*")
 NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 #: Elements whose content is no text of the page.
 SKIPPED = {"script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "head", "title", "select", "textarea", "button"}
 RAW = {"script", "style", "textarea", "title"}
+RAW_END = {t: re.compile(rf"</{t}(?![A-Za-z0-9:-])", re.I) for t in RAW}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 #: Elements that can stand in a head; any other ends it.
 HEAD_TAGS = {"head", "html", "base", "basefont", "bgsound", "link", "meta", "title", "style", "script", "noscript", "noframes", "template"}
 #: Elements that stand within a block.
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img input".split())
-#: Elements and names that say what a part of a page is; they give the classifier its training labels.
+#: Elements that say what a part of a page is: they are seeds of the cut and give the classifier its training labels.
 CONTENT_TAGS = {"article", "main"}
 BOILERPLATE_TAGS = {"nav", "header", "footer", "aside", "form", "menu", "dialog"}
+#: Words of class, id and role names from which a feature's weight starts before pages are seen.
 CONTENT_WORDS = set("article content main post entry story body text".split())
 BOILERPLATE_WORDS = set(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion promoted nav navbar navigation menu breadcrumb breadcrumbs header "
@@ -39,180 +43,288 @@ BOILERPLATE_WORDS = set(
 )
 #: Hashed features of a model: a bound on its size.
 FEATURES = 4096
+#: What features weigh before any page is seen, and the number of blocks that this counts as much as.
+CONTENT_NAME, BOILERPLATE_NAME, PRIOR_BLOCKS = 1.0, -2.5, 20
+TEXT_PRIOR = {"words 0": -1.0, "words 1": -1.0, "words 4": 1.5, "words 5": 2.0, "words 6": 2.5, "words 7": 2.5, "links 0": 0.5, "links 2": -1.0, "links 3": -1.5, "links 4": -1.5, "stop True": 0.7, "stop False": -0.5}
+#: Bounds of one feature's weight and of their sum.
+MOST_WEIGHT, MOST_COST = 2.5, 6.0
+#: Pages that the classifier is fitted on, in the mean: a seeded hash draws them.
+FIT_PAGES = 20_000
 #: Boilerplate elements that no article inside them overrides; a form may hold a whole page.
 HELD_TAGS = BOILERPLATE_TAGS - {"form"}
-#: Cost of calling a block what its labelled part is not, and the edges' weights; the classifier's cost, up to 6, can outvote it.
-SEED_COST, NEXT_WEIGHT, NEAR_WEIGHT = 3.0, 0.6, 0.6
+#: Cost of calling a block what its element is not, and of calling content what stands outside the articles of a page that has some; the edges' weights.
+SEED_COST, OUTSIDE_COST, NEXT_WEIGHT, NEAR_WEIGHT = 3.0, 2.0, 0.6, 0.6
+
+
+def feature(name: str) -> int:
+    return zlib.crc32(name.encode()) % FEATURES
 
 
 @dataclass
 class Block:
     text: str
-    path: tuple[int, ...]  # the open elements' numbers, from the root
     tag: str
-    names: frozenset[str]  # tags of the open elements, and class, id and role words of those from the innermost labelled article or main on
+    names: frozenset[int]  # features of the class, id and role words of the open elements, from the innermost labelled article or main on
     linked: int  # characters in links
     seed: int  # 1 content, -1 boilerplate, 0 unknown
+    inside: bool  # in an article or main element
+    depth: int
+    parent: int  # number of the element around the block's own
+    steps: int  # elements between this block and the one before
+
+
+@dataclass
+class Element:
+    tag: str
+    number: int
+    parent: int
+    names: frozenset[int]
+    seed: int
+    held: bool
+    inside: bool
+
+
+def tag_end(page: str, at: int) -> int:
+    """Where the tag whose attributes start at `at` ends: at the first > outside quoted values, else at the page's end. A quote that isn't closed, or doesn't follow a =, is none."""
+    low = at
+    while True:
+        at = ATTRIBUTES.match(page, at).end()
+        if at >= len(page) or page[at] == ">":
+            return at
+        close = page.find(page[at], at + 1) if page[low:at].rstrip().endswith("=") else -1
+        at = low = (close if close >= 0 else at) + 1
 
 
 def blocks(page: str) -> list[Block]:
-    """The page's blocks with text, in page order; markup may be broken, cut off or nested wrongly.
+    """The page's blocks with text, in page order; markup may be broken, cut off or nested wrongly. Time is linear in the page's length.
 
-    An open element ends with its end tag or that of an element around it, a head also with the body or whatever can't stand in one. White space inside a block becomes one space.
-    Elements and names label the part they enclose. Names of html and body label nothing; names that contradict each other or their
-    element label no content; an article overrides names and forms around it, and a main element all that is around it.
+    An open element ends with its end tag or that of an element around it, a head also with the body or whatever can't stand in one; a link with its end tag or the
+    element it stands in. White space inside a block becomes one space. Elements label the part they enclose: an article or main what isn't in another element inside that says
+    otherwise; a boilerplate name inside an article, or as an article's only kind of name, leaves it open. Names of html and body count for nothing, and those around an article or main don't either.
     """
     out: list[Block] = []
-    open_: list[tuple[str, int, frozenset[str], int, bool]] = [("", 0, frozenset(), 0, False)]
+    stack = [Element("", 0, 0, frozenset(), 0, False, False)]
+    counts: Counter[str] = Counter()
     text: list[str] = []
-    linked = links = skipped = 0
-    number = at = 0
+    linked = skipped = number = at = before = 0
+    link_depth = 0  # of the element in which the open link stands
+    lowest = 1  # elements that were open all the time since the last block
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, before, lowest
         if text:
             if whole := " ".join(html.unescape("".join(text)).split()):
-                inside = next((x for x in reversed(open_) if x[0] not in INLINE), open_[0])
-                out.append(Block(whole, tuple(x[1] for x in open_ if x[0] not in INLINE), inside[0], open_[-1][2] | {x[0] for x in open_[1:]}, linked, open_[-1][3]))
+                e, depth = stack[-1], len(stack)
+                low = min(lowest, depth)
+                out.append(Block(whole, e.tag, e.names, linked, e.seed, e.inside, depth, e.parent, before + depth - 2 * low))
+                before = lowest = depth
             text.clear()
         linked = 0
 
+    def close() -> str:
+        nonlocal skipped, lowest, link_depth
+        if not skipped and stack[-1].tag not in SKIPPED:
+            flush()
+        tag = stack.pop().tag
+        counts[tag] -= 1
+        skipped -= tag in SKIPPED
+        lowest = min(lowest, len(stack))
+        if len(stack) < link_depth:
+            link_depth = 0
+        return tag
+
     def end_head() -> None:
-        nonlocal links, skipped
-        first = next(i for i, x in enumerate(open_) if x[0] == "head")
-        links -= sum(x[0] == "a" for x in open_[first:])
-        skipped -= sum(x[0] in SKIPPED for x in open_[first:])
-        del open_[first:]
+        while close() != "head":
+            pass
 
     def said(piece: str) -> None:
         nonlocal linked
-        if open_[-1][0] == "head" and piece.strip():
+        if not piece:
+            return
+        if stack[-1].tag == "head" and piece.strip():
             end_head()
-        if piece and not skipped:
+        if not skipped:
             text.append(piece)
-            if links:
+            if link_depth:
                 linked += len(piece)
 
-    while at < len(page):
-        m = TOKEN.search(page, at)
+    last = page.rfind(">")
+    start = 0  # of text that has not been said
+    while (at := page.find("<", at)) >= 0:
+        m = TAG.match(page, at + 1)
         if not m:
-            said(page[at:])
-            break
-        said(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                end = len(page) if end < 0 else end + 3
+            elif page.startswith(("<!", "<?"), at) and at < last:
+                end = page.find(">", at) + 1
+            else:
+                at += 1
+                continue
+            said(page[start:at])
+            start = at = end
             continue
+        said(page[start:at])
+        end = tag_end(page, m.end())
+        attributes = page[m.end() : end]
+        start = at = min(end + 1, len(page))
         tag = m[2].lower()
-        if tag not in INLINE:
+        if tag in INLINE:
+            if tag in VOID:
+                said(" ")
+            elif tag == "a":
+                link_depth = 0 if m[1] else len(stack)
+            continue
+        if m[1] and not counts[tag] and tag != "p":
+            continue  # the end of nothing
+        if not skipped and (tag == "p" if m[1] else tag not in SKIPPED or tag in ("head", "title")):
             flush()
-        elif tag in VOID:
-            said(" ")
         if m[1]:
-            if any(x[0] == tag for x in open_):
-                if tag in INLINE:  # closes itself only, and never a block around it
-                    for i in range(len(open_) - 1, 0, -1):
-                        if open_[i][0] == tag:
-                            links -= tag == "a"
-                            del open_[i]
-                            break
-                        if open_[i][0] not in INLINE:
-                            break
-                else:
-                    while True:
-                        name = open_.pop()[0]
-                        links -= name == "a"
-                        skipped -= name in SKIPPED
-                        if name == tag:
-                            break
+            if counts[tag] > 0:
+                while close() != tag:
+                    pass
             continue
-        if open_[-1][0] == "head" and tag not in HEAD_TAGS or tag == "body" and any(x[0] == "head" for x in open_):
+        if stack[-1].tag == "head" and tag not in HEAD_TAGS or tag == "body" and counts["head"] > 0:
             end_head()
-        if tag in VOID or m[3].endswith("/"):
+        if tag in VOID or attributes.endswith("/"):
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            found = RAW_END[tag].search(page, at)
+            start = at = min(tag_end(page, found.end()) + 1, len(page)) if found else len(page)
             continue
-        if tag in ("p", "li", "tr", "td", "th", "dt", "dd", "option"):  # ends one of its kind that is still open
-            for i in range(len(open_) - 1, 0, -1):
-                if open_[i][0] == tag:
-                    links -= sum(x[0] == "a" for x in open_[i:])
-                    skipped -= sum(x[0] in SKIPPED for x in open_[i:])
-                    del open_[i:]
-                    break
-                if open_[i][0] not in INLINE:
-                    break
-        own: set[str] = set()
-        if tag not in ("html", "body"):
-            for name in NAMED.finditer(m[3]):
-                own.update(w for w in re.split(r"[^a-z]+", (name[2] or name[3] or name[4] or "").lower()) if w)
-        _, _, around, seed, held = open_[-1]
-        good, bad = tag in CONTENT_TAGS or bool(own & CONTENT_WORDS), bool(own & BOILERPLATE_WORDS)
+        if tag in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and stack[-1].tag == tag:
+            close()  # ends one of its kind that is still open
+        said_names: set[str] = set()
+        if tag not in ("html", "body") and "=" in attributes:
+            for name in NAMED.finditer(attributes):
+                said_names.update(w for w in re.split(r"[^a-z]+", (name[2] or name[3] or name[4] or "").lower()) if w)
+        outer = stack[-1]
+        own = frozenset(feature(f"in {x}") for x in said_names)
+        bad, good = bool(said_names & BOILERPLATE_WORDS), bool(said_names & CONTENT_WORDS)
+        names = outer.names if own <= outer.names else outer.names | own
+        seed, held, inside = outer.seed, outer.held or tag in HELD_TAGS, outer.inside
         if tag in BOILERPLATE_TAGS:
             seed = -1
-        elif good and bad:
-            seed = min(seed, 0)
-        elif bad:
-            seed = -1
         elif tag == "main" or tag == "article" and not held:
-            seed, held, around = 1, False, frozenset()
-        elif good and seed >= 0:
-            seed = 1
+            inside = True
+            if bad and not good:
+                seed = min(seed, 0)
+            else:
+                seed, held, names = 1, False, own
+        elif bad:
+            seed = min(seed, 0)
         number += 1
-        open_.append((tag, number, around | own, seed, held or tag in HELD_TAGS))
-        links += tag == "a"
+        stack.append(Element(tag, number, outer.number, names, seed, held, inside))
+        counts[tag] += 1
         skipped += tag in SKIPPED
+    said(page[start:])
     flush()
     return out
 
 
 def features(b: Block) -> list[int]:
     """Numbers of the block's features: names around it, its element, its length, share of links, ends and digits."""
-    said = [f"in {x}" for x in b.names]
+    n = len(b.text)
     words = b.text.count(" ") + 1
-    said += [f"tag {b.tag}", f"words {int(math.log2(words))}", f"links {round(4 * min(1.0, b.linked / len(b.text)))}"]
-    said += [f"stop {b.text[-1] in '.!?:;'}", f"commas {min(3, b.text.count(',') * 10 // words)}", f"depth {min(8, len(b.path))}"]
-    said += [f"sign {'©' in b.text or '|' in b.text or '»' in b.text}", f"digits {min(3, sum(c.isdigit() for c in b.text) * 8 // len(b.text))}"]
-    return sorted({zlib.crc32(x.encode()) % FEATURES for x in said})
+    said = (
+        f"tag {b.tag}", f"words {min(7, int(math.log2(words)))}", f"links {round(4 * min(1.0, b.linked / n))}",
+        f"stop {b.text[-1] in '.!?:;'}", f"commas {min(3, b.text.count(',') * 10 // words)}", f"depth {min(8, b.depth)}",
+        f"sign {'©' in b.text or '|' in b.text or '»' in b.text}", f"digits {min(3, sum(map(b.text.count, '0123456789')) * 8 // n)}",
+    )
+    return sorted(b.names.union(map(known_feature, said)))
+
+
+@lru_cache(maxsize=4096)
+def known_feature(name: str) -> int:
+    return feature(name)
 
 
 def content_side(cost: np.ndarray, edges: list[tuple[int, int, float]]) -> np.ndarray:
     """Which nodes the minimum cut leaves on the content side.
 
     cost > 0: the capacity from the source, paid for calling the node boilerplate; < 0: the capacity to the sink. edges
-    have the same capacity both ways. Augmenting paths are shortest ones, found breadth first from all sources at once.
+    have the same capacity both ways. A node whose own cost exceeds all its edges lies on its side in every minimum cut, so it is
+    taken out and its edges become its neighbours' costs; the others get a maximum flow by blocking flows over shortest paths.
     """
-    left = cost.astype(float).tolist()
-    flow: list[dict[int, float]] = [{} for _ in left]
+    net = cost.astype(float).tolist()
+    n, tiny = len(net), 1e-12
+    near: list[dict[int, float]] = [{} for _ in net]
     for i, j, w in edges:
-        flow[i][j] = flow[i].get(j, 0.0) + w
-        flow[j][i] = flow[j].get(i, 0.0) + w
+        if i != j:
+            near[i][j] = near[i].get(j, 0.0) + w
+            near[j][i] = near[j].get(i, 0.0) + w
+    side: list[bool | None] = [None] * n
+    sure = [i for i in range(n) if abs(net[i]) > sum(near[i].values()) + 1e-9]
+    while sure:
+        i = sure.pop()
+        if side[i] is not None:
+            continue
+        side[i] = net[i] > 0
+        for j, w in near[i].items():
+            net[j] += w if side[i] else -w
+            del near[j][i]
+            if side[j] is None and abs(net[j]) > sum(near[j].values()) + 1e-9:
+                sure.append(j)
+        near[i] = {}
+    free = [i for i in range(n) if side[i] is None]
+    if not free:
+        return np.array(side, bool)
+    # Residual capacities: from the source, to the sink, and of arcs (2k and 2k + 1 are each other's reverse).
+    source, sink = {i: max(0.0, net[i]) for i in free}, {i: max(0.0, -net[i]) for i in free}
+    to: list[int] = []
+    room: list[float] = []
+    arcs: dict[int, list[int]] = {i: [] for i in free}
+    for i in free:
+        for j, w in near[i].items():
+            if i < j:
+                arcs[i].append(len(to))
+                arcs[j].append(len(to) + 1)
+                to += [j, i]
+                room += [w, w]
     while True:
-        came = {i: -1 for i, c in enumerate(left) if c > 1e-12}
-        queue, end = deque(came), -1
-        while queue and end < 0:
+        level = {i: 0 for i in free if source[i] > tiny}
+        queue, reached = deque(level), False
+        while queue:
             i = queue.popleft()
-            for j, w in flow[i].items():
-                if w > 1e-12 and j not in came:
-                    came[j] = i
-                    if left[j] < -1e-12:
-                        end = j
+            reached = reached or sink[i] > tiny
+            for k in arcs[i]:
+                if room[k] > tiny and to[k] not in level:
+                    level[to[k]] = level[i] + 1
+                    queue.append(to[k])
+        if not reached:
+            for i in free:
+                side[i] = i in level
+            return np.array(side, bool)
+        at = dict.fromkeys(level, 0)
+        for start in [i for i in level if level[i] == 0]:
+            path: list[int] = []
+            here = start
+            while source[start] > tiny:
+                if sink[here] > tiny:
+                    pushed = min(source[start], sink[here], *(room[k] for k in path))
+                    source[start] -= pushed
+                    sink[here] -= pushed
+                    for k in path:
+                        room[k] -= pushed
+                        room[k ^ 1] += pushed
+                    full = next((x for x, k in enumerate(path) if room[k] <= tiny), len(path))
+                    if full < len(path):
+                        here = to[path[full] ^ 1]
+                        del path[full:]
+                    continue
+                while at[here] < len(arcs[here]):
+                    k = arcs[here][at[here]]
+                    if room[k] > tiny and level.get(to[k], -1) == level[here] + 1:
                         break
-                    queue.append(j)
-        if end < 0:
-            side = np.zeros(len(left), bool)
-            side[list(came)] = True
-            return side
-        path, i = [], end
-        while came[i] >= 0:
-            path.append((came[i], i))
-            i = came[i]
-        pushed = min(left[i], -left[end], *(flow[a][b] for a, b in path))
-        left[i] -= pushed
-        left[end] += pushed
-        for a, b in path:
-            flow[a][b] -= pushed
-            flow[b][a] = flow[b].get(a, 0.0) + pushed
+                    at[here] += 1
+                if at[here] < len(arcs[here]):
+                    path.append(arcs[here][at[here]])
+                    here = to[path[-1]]
+                elif path:
+                    here = to[path.pop() ^ 1]
+                    at[here] += 1
+                else:
+                    break
 
 
 def edges_of(found: list[Block]) -> list[tuple[int, int, float]]:
@@ -220,17 +332,10 @@ def edges_of(found: list[Block]) -> list[tuple[int, int, float]]:
     out, last = [], {}
     for i, b in enumerate(found):
         if i:
-            a = found[i - 1]
-            same = 0
-            for x, y in zip(a.path, b.path, strict=False):
-                if x != y:
-                    break
-                same += 1
-            out.append((i - 1, i, NEXT_WEIGHT / (1 + len(a.path) + len(b.path) - 2 * same)))
-        parent = b.path[:-1]
-        if parent in last:
-            out.append((last[parent], i, NEAR_WEIGHT))
-        last[parent] = i
+            out.append((i - 1, i, NEXT_WEIGHT / (1 + b.steps)))
+        if b.parent in last:
+            out.append((last[b.parent], i, NEAR_WEIGHT))
+        last[b.parent] = i
     return out
 
 
@@ -238,16 +343,31 @@ def main_text(page: str, weights: np.ndarray) -> str:
     found = blocks(page)
     if not found:
         return ""
-    cost = np.array([max(-6.0, min(6.0, weights[features(b)].sum() + weights[FEATURES])) + SEED_COST * b.seed for b in found])
+    held = any(b.seed > 0 for b in found)
+    cost = np.empty(len(found))
+    for i, b in enumerate(found):
+        own = weights[features(b)].sum() + weights[FEATURES]
+        cost[i] = max(-MOST_COST, min(MOST_COST, own)) + SEED_COST * b.seed - (OUTSIDE_COST if held and not b.inside and not b.seed else 0.0)
     side = content_side(cost, edges_of(found))
     return "\n\n".join(b.text for b, s in zip(found, side, strict=True) if s)
 
 
-def block_weights(pages: DataFrame, html_column: str = "html") -> np.ndarray:
-    """Naive Bayes weights of the features, and of the prior in the last place, from the labelled blocks of all pages.
+def prior_weights() -> np.ndarray:
+    """The weights before any page is seen."""
+    out = np.zeros(FEATURES + 1)
+    for words, weight in ((CONTENT_WORDS, CONTENT_NAME), (BOILERPLATE_WORDS, BOILERPLATE_NAME)):
+        for x in words:
+            out[feature(f"in {x}")] = weight
+    for name, weight in TEXT_PRIOR.items():
+        out[feature(name)] = weight
+    return out
+
+
+def block_weights(pages: DataFrame, html_column: str = "html", fit_pages: int = FIT_PAGES) -> np.ndarray:
+    """Naive Bayes weights of the features, and of the kinds' shares in the last place, from the labelled blocks of about fit_pages pages.
 
-    Each task sums a vector of FEATURES + 1 counts for both labels; Spark adds them up by feature, so at most
-    2 * (FEATURES + 1) rows come back.
+    The pages are drawn by a hash of their markup, all of them where there are no more. Each task sums a vector of FEATURES + 1 counts for both labels; Spark adds them up by feature, so at most
+    2 * (FEATURES + 1) rows come back. A feature's weight lies between its prior and what its blocks say, the nearer to that the more they are.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -257,31 +377,35 @@ def block_weights(pages: DataFrame, html_column: str = "html") -> np.ndarray:
                 for b in blocks(page):
                     if b.seed:
                         total[int(b.seed > 0), [*features(b), FEATURES]] += 1
-        kind, feature = np.nonzero(total)
-        yield pd.DataFrame({"kind": kind, "feature": feature, "n": total[kind, feature]})
+        kind, column = np.nonzero(total)
+        yield pd.DataFrame({"kind": kind, "feature": column, "n": total[kind, column]})
 
-    rows = pages.select(text_of(html_column).alias("_html")).mapInPandas(count, "kind long, feature long, n long").groupBy("kind", "feature").agg(F.sum("n").alias("n")).collect()
+    texts = pages.select(text_of(html_column).alias("_html"))
+    share = fit_pages / max(1, texts.count())
+    drawn = texts.where(unit_hash("_html", seed=8) < share) if share < 1 else texts
+    rows = drawn.mapInPandas(count, "kind long, feature long, n long").groupBy("kind", "feature").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros((2, FEATURES + 1))
     for r in rows:
         counts[r.kind, r.feature] = r.n
-    every = counts[:, FEATURES]
+    every, weights = counts[:, FEATURES], prior_weights()
     if not every.all():
-        return np.zeros(FEATURES + 1)
-    share = (counts + 0.5) / (every[:, None] + 1)
-    weights = np.log(share[1]) - np.log(share[0])
-    weights[counts.sum(0) == 0] = 0
-    weights[FEATURES] = math.log(every[1] / every[0])
+        return weights
+    share_of = (counts + 0.5) / (every[:, None] + 1)
+    seen = counts.sum(0)
+    learned = np.clip(np.log(share_of[1]) - np.log(share_of[0]), -MOST_WEIGHT, MOST_WEIGHT)
+    weights = (seen * learned + PRIOR_BLOCKS * weights) / (seen + PRIOR_BLOCKS)
+    weights[FEATURES] = max(-MOST_WEIGHT, min(MOST_WEIGHT, math.log(every[1] / every[0])))
     return weights
 
 
 def extract_main_text(pages: DataFrame, html_column: str = "html") -> DataFrame:
     """pages without html, with text and n_chars.
 
-    A block is a run of text between block elements. A classifier, trained on blocks whose element or class names say what
-    they are, gives each block a cost for either label; together with those names' own cost they are the terminal
+    A block is a run of text between block elements. A classifier, trained on blocks whose elements say what
+    they are, gives each block a cost for either label from its names, text and links; with the cost of those elements these are the terminal
     capacities. Neighbours in the page and in the tree are tied by edges, and the minimum cut labels all blocks. Content blocks are
     joined by a blank line. A null or empty page, or one without content, has an empty text. Pages of any length are read whole;
-    repeated rows are returned each; columns named text or n_chars are replaced.
+    repeated rows are returned each, and no rows give none; columns named text or n_chars are replaced. Where both labels cost the same a block is boilerplate.
     """
     weights = block_weights(pages, html_column)
 
