@@ -35,19 +35,20 @@ CONTENT_TAGS = {"article", "main"}
 BOILERPLATE_TAGS = {"nav", "header", "footer", "aside", "form", "menu", "dialog"}
 #: Words of class, id and role names from which a feature's weight starts before pages are seen.
 CONTENT_WORDS = set("article content main post entry story body text".split())
-BOILERPLATE_WORDS = set(
-    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion promoted nav navbar navigation menu breadcrumb breadcrumbs header "
-    "masthead footer sidebar side aside widget related recommended recommendations cookie cookies consent gdpr notice alert popup modal overlay newsletter "
-    "subscribe subscription signup login register search share sharing social follow comment comments reply replies discussion disqus respond pagination pager "
+SURE_WORDS = set("ad ads advert adverts advertisement advertising sponsored cookie cookies consent gdpr comment comments replies disqus respond".split())
+BOILERPLATE_WORDS = SURE_WORDS | set(
+    "banner sponsor promo promotion promoted nav navbar navigation menu breadcrumb breadcrumbs header "
+    "masthead footer sidebar side aside widget related recommended recommendations notice alert popup modal overlay newsletter "
+    "subscribe subscription signup login register search share sharing social follow reply discussion pagination pager "
     "tags copyright legal disclaimer toolbar skip".split()
 )
 #: Hashed features of a model: a bound on its size.
 FEATURES = 4096
 #: What features weigh before any page is seen, and the number of blocks that this counts as much as.
-CONTENT_NAME, BOILERPLATE_NAME, PRIOR_BLOCKS = 1.0, -2.5, 20
+CONTENT_NAME, BOILERPLATE_NAME, SURE_NAME, PRIOR_BLOCKS = 1.0, -2.5, -6.0, 20
 TEXT_PRIOR = {"words 0": -1.0, "words 1": -1.0, "words 4": 1.5, "words 5": 2.0, "words 6": 2.5, "words 7": 2.5, "links 0": 0.5, "links 2": -1.0, "links 3": -1.5, "links 4": -1.5, "stop True": 0.7, "stop False": -0.5}
-#: Bounds of one feature's weight and of their sum.
-MOST_WEIGHT, MOST_COST = 2.5, 6.0
+#: Bounds of one feature's learned weight, of the sum of a text's and of the sum of its names'.
+MOST_WEIGHT, MOST_TEXT, MOST_NAMES = 2.5, 4.0, 6.0
 #: Pages that the classifier is fitted on, in the mean: a seeded hash draws them.
 FIT_PAGES = 20_000
 #: Boilerplate elements that no article inside them overrides; a form may hold a whole page.
@@ -223,7 +224,7 @@ def blocks(page: str) -> list[Block]:
 
 
 def features(b: Block) -> list[int]:
-    """Numbers of the block's features: names around it, its element, its length, share of links, ends and digits."""
+    """Numbers of the block's features besides its names: its element, its length, share of links, ends and digits."""
     n = len(b.text)
     words = b.text.count(" ") + 1
     said = (
@@ -231,7 +232,7 @@ def features(b: Block) -> list[int]:
         f"stop {b.text[-1] in '.!?:;'}", f"commas {min(3, b.text.count(',') * 10 // words)}", f"depth {min(8, b.depth)}",
         f"sign {'©' in b.text or '|' in b.text or '»' in b.text}", f"digits {min(3, sum(map(b.text.count, '0123456789')) * 8 // n)}",
     )
-    return sorted(b.names.union(map(known_feature, said)))
+    return sorted(map(known_feature, said))
 
 
 @lru_cache(maxsize=4096)
@@ -346,8 +347,9 @@ def main_text(page: str, weights: np.ndarray) -> str:
     held = any(b.seed > 0 for b in found)
     cost = np.empty(len(found))
     for i, b in enumerate(found):
-        own = weights[features(b)].sum() + weights[FEATURES]
-        cost[i] = max(-MOST_COST, min(MOST_COST, own)) + SEED_COST * b.seed - (OUTSIDE_COST if held and not b.inside and not b.seed else 0.0)
+        said = max(-MOST_TEXT, min(MOST_TEXT, weights[features(b)].sum() + weights[FEATURES]))
+        named = max(-MOST_NAMES, min(MOST_NAMES, weights[list(b.names)].sum())) if b.names else 0.0
+        cost[i] = said + named + SEED_COST * b.seed - (OUTSIDE_COST if held and not b.inside and not b.seed else 0.0)
     side = content_side(cost, edges_of(found))
     return "\n\n".join(b.text for b, s in zip(found, side, strict=True) if s)
 
@@ -355,7 +357,7 @@ def main_text(page: str, weights: np.ndarray) -> str:
 def prior_weights() -> np.ndarray:
     """The weights before any page is seen."""
     out = np.zeros(FEATURES + 1)
-    for words, weight in ((CONTENT_WORDS, CONTENT_NAME), (BOILERPLATE_WORDS, BOILERPLATE_NAME)):
+    for words, weight in ((CONTENT_WORDS, CONTENT_NAME), (BOILERPLATE_WORDS, BOILERPLATE_NAME), (SURE_WORDS, SURE_NAME)):
         for x in words:
             out[feature(f"in {x}")] = weight
     for name, weight in TEXT_PRIOR.items():
@@ -376,7 +378,7 @@ def block_weights(pages: DataFrame, html_column: str = "html", fit_pages: int =
             for page in batch["_html"]:
                 for b in blocks(page):
                     if b.seed:
-                        total[int(b.seed > 0), [*features(b), FEATURES]] += 1
+                        total[int(b.seed > 0), list({*features(b), *b.names, FEATURES})] += 1
         kind, column = np.nonzero(total)
         yield pd.DataFrame({"kind": kind, "feature": column, "n": total[kind, column]})
 
