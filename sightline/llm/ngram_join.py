@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,27 +13,12 @@ from .common import checkpointed, connected_components, id_columns, small, table
 
 #: Share of a set that its prefix under the hash order has; more prunes better and costs more rows.
 HASH_PREFIX = 0.2
-#: Documents with one prefix token up to this many are compared pair by pair at once; larger buckets by way of a leader.
+#: Documents with one prefix token up to this many are paired in one row; larger buckets in blocks.
 BUCKET = 24
-#: Documents and shingles in a block of a candidate group, of which two are compared in a task.
-BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1_000_000
+#: Documents and shingles in a block, of which two are compared in a task; documents in a task of several small groups, and in one of documents beside their leaders.
+BLOCK_DOCS, BLOCK_SHINGLES, TASK_DOCS, STAR_DOCS = 1024, 1_000_000, 4096, 256
 #: 64-bit words of the parity bitmap that stands for a hash prefix.
 BITMAP = 8
-#: Words whose hashes a worker remembers.
-MEMORY_ENTRIES = 150_000
-
-
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMORY_ENTRIES:
-            self.clear()
-        h = xxhash.xxh3_64_intdigest(word, seed=7)
-        if len(word) <= 64:
-            self[word] = h
-        return h
-
-
-WORDS = WordHashes()
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -55,12 +39,13 @@ def shingles(text: str, width: int) -> np.ndarray:
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    hashed = np.fromiter(map(WORDS.__getitem__, words), np.uint64, len(words))
+    hashed = pd.util.hash_array(np.array(words, dtype=object), categorize=False)
     k = min(width, len(words))
     total = np.full(len(words) - k + 1, k, np.uint64)
     for i in range(k):
         total = mixed(total + hashed[i : len(words) - k + 1 + i])
-    return np.unique(total)
+    total.sort()
+    return total[np.concatenate(([True], total[1:] != total[:-1]))]
 
 
 def kept_out(n: int, share: float) -> int:
@@ -86,7 +71,6 @@ def hashed_sets(docs: DataFrame, width: int, share: float, text: str) -> DataFra
             out.insert(0, "doc_id", pd.array(batch["doc_id"], dtype="Int64"))
             out.loc[batch["_no_id"].to_numpy(), "doc_id"] = pd.NA
             yield out
-        WORDS.clear()  # an idle worker holds no memory
 
     return docs.select(*id_columns(), text_of(text).alias("_text")).mapInPandas(
         sets, "doc_id long, n long, fp_a long, fp_b long, prefix array<long>"
@@ -105,7 +89,6 @@ def full_sets(docs: DataFrame, width: int, share: float) -> DataFrame:
                 odd = (np.bincount((head % np.uint64(64 * BITMAP)).astype(np.int64), minlength=64 * BITMAP) & 1).astype(np.uint8)
                 rows.append((doc, len(tokens), len(head), np.packbits(odd).view(np.int64), tokens.view(np.int64)))
             yield pd.DataFrame(rows, columns=["doc_id", "n", "n_prefix", "bitmap", "tokens"])
-        WORDS.clear()
 
     return docs.mapInPandas(sets, "doc_id long, n long, n_prefix long, bitmap array<long>, tokens array<long>")
 
@@ -115,55 +98,138 @@ def least_overlap(n: Column, m: Column, percent: int) -> Column:
     return F.ceil(percent * (n + m) / F.lit(100.0 + percent) - 1e-9)
 
 
+def forest(ids: np.ndarray, link: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that connect what the symmetric matrix connects."""
+    out, new = [], np.ones(len(ids), bool)
+    for first in np.flatnonzero(link.any(1)):
+        if not new[first]:
+            continue
+        new[first] = False
+        wave = [first]
+        while wave:
+            x = wave.pop()
+            for y in np.flatnonzero(link[x] & new):
+                new[y] = False
+                wave.append(y)
+                out.append((ids[x], ids[y]))
+    return out
+
+
+def overlaps(tokens: list[np.ndarray]) -> np.ndarray:
+    """The number of common shingles of each two sets."""
+    count = len(tokens)
+    owner = np.repeat(np.arange(count), [len(x) for x in tokens])
+    _, code, times = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
+    again = times[code] > 1
+    owner, code = owner[again], code[again]
+    common = np.zeros((count, count), np.float32)
+    used, code = np.unique(code, return_inverse=True)
+    order = np.argsort(code, kind="stable")
+    owner, code = owner[order], code[order]
+    step = max(64, 4_000_000 // max(count, 1))
+    for low in range(0, len(used), step):
+        a, b = np.searchsorted(code, [low, low + step])
+        there = np.zeros((count, min(step, len(used) - low)), np.float32)
+        there[owner[a:b], code[a:b] - low] = 1
+        common += there @ there.T
+    return common
+
+
+def similar(common: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    common = np.rint(common).astype(np.int64)
+    return 100 * common >= percent * (n + m - common)
+
+
 def linked_blocks(percent: int):
-    """A task of two blocks (or one) of a candidate group: exact overlaps, and a spanning forest of the links."""
+    """A task: groups (key, i, j), each of two blocks or one. Exact overlaps of sets that aren't connected yet, and a spanning forest of the links."""
 
     def links(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["block", "doc_id"], ignore_index=True)
-        sizes = rows["n"].to_numpy(np.int64)
-        count = len(rows)
-        tokens = np.concatenate([np.asarray(x, np.int64) for x in rows["tokens"]]) if count else np.empty(0, np.int64)
-        owner = np.repeat(np.arange(count), sizes)
-        _, code, times = np.unique(tokens, return_inverse=True, return_counts=True)
-        again = times[code] > 1
-        owner, code = owner[again], code[again]
-        common = np.zeros((count, count), np.float32)
-        used, code = np.unique(code, return_inverse=True)
-        order = np.argsort(code, kind="stable")
-        owner, code = owner[order], code[order]
-        step = max(64, 8_000_000 // max(count, 1))
-        for low in range(0, len(used), step):
-            a, b = np.searchsorted(code, [low, low + step])
-            there = np.zeros((count, min(step, len(used) - low)), np.float32)
-            there[owner[a:b], code[a:b] - low] = 1
-            common += there @ there.T
-        link = np.empty((count, count), bool)
-        for low in range(0, count, 256):
-            overlap = np.rint(common[low : low + 256]).astype(np.int64)
-            link[low : low + 256] = 100 * overlap >= percent * (sizes[low : low + 256, None] + sizes[None, :] - overlap)
-        del common
-        block = rows["block"].to_numpy()
-        if count and block[0] != block[-1]:
-            link &= block[:, None] != block[None, :]
-        np.fill_diagonal(link, False)
-        ids = rows["doc_id"].to_numpy()
-        out, new = [], np.ones(count, bool)
-        for first in range(count):
-            if not new[first]:
-                continue
-            new[first] = False
-            wave = [first]
-            while wave:
-                x = wave.pop()
-                for y in np.flatnonzero(link[x] & new):
-                    new[y] = False
-                    wave.append(y)
-                    out.append((ids[x], ids[y]))
+        out = []
+        for _, own in rows.groupby(["key", "i", "j"], sort=True):
+            own = own.sort_values("doc_id", ignore_index=True)
+            sizes, group, block = own["n"].to_numpy(np.int64), own["component"].to_numpy(), own["block"].to_numpy()
+            common = overlaps([np.asarray(x, np.int64) for x in own["tokens"]])
+            link = np.empty(common.shape, bool)
+            for low in range(0, len(own), 256):
+                part = slice(low, low + 256)
+                link[part] = similar(common[part], sizes[part, None], sizes[None, :], percent) & (group[part, None] != group[None, :])
+            if (block != block[0]).any():
+                link &= block[:, None] != block[None, :]
+            out += forest(own["doc_id"].to_numpy(), link)
         return pd.DataFrame(out, columns=["src", "dst"]).astype("int64")
 
     return links
 
 
+def passing_blocks(percent: int):
+    """A task: buckets (key, i, j) of one prefix token, each of two blocks or one. A spanning forest of the pairs that pass all filters and aren't connected yet."""
+
+    def passing(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, own in rows.groupby(["key", "i", "j"], sort=True):
+            own = own.sort_values("doc_id", ignore_index=True)
+            n, at, head, group = (own[c].to_numpy(np.int64) for c in ("n", "at", "n_prefix", "component"))
+            bitmap, block = np.stack(own["bitmap"].to_numpy()).astype(np.int64).view(np.uint64), own["block"].to_numpy()
+            link = np.empty((len(own), len(own)), bool)
+            for low in range(0, len(own), 128):
+                x = slice(low, low + 128)
+                left, right = n[x, None], n[None, :]
+                need = np.ceil(percent * (left + right) / (100.0 + percent) - 1e-9)
+                ok = (group[x, None] != group[None, :]) & (100 * np.minimum(left, right) >= percent * np.maximum(left, right))
+                ok &= np.minimum(at[x, None], at[None, :]) + np.minimum(left - at[x, None], right - at[None, :]) >= need
+                differ = sum(np.bitwise_count(bitmap[x, k, None] ^ bitmap[None, :, k]).astype(np.int64) for k in range(BITMAP))
+                link[x] = ok & (differ <= head[x, None] + head[None, :] - 2 * (need - np.maximum(left - head[x, None], right - head[None, :])))
+            if (block != block[0]).any():
+                link &= block[:, None] != block[None, :]
+            out += forest(own["doc_id"].to_numpy(), link)
+        return pd.DataFrame(out, columns=["src", "dst"]).astype("int64")
+
+    return passing
+
+
+def star_links(percent: int):
+    """A task: some documents and their leaders. The documents that are linked with their leader."""
+
+    def links(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for leader, own in rows.groupby("key", sort=True):
+            tokens, ids = own["tokens"].to_numpy(), own["doc_id"].to_numpy()
+            center = np.sort(np.asarray(tokens[np.flatnonzero(ids == leader)[0]], np.int64))
+            common = np.array([np.isin(np.asarray(x, np.int64), center, assume_unique=True).sum() for x in tokens])
+            ok = similar(common, own["n"].to_numpy(np.int64), np.int64(len(center)), percent) & (ids != leader)
+            out += [(leader, x) for x in ids[ok]]
+        return pd.DataFrame(out, columns=["src", "dst"]).astype("int64")
+
+    return links
+
+
+def dealt(rows: DataFrame, weight: Column) -> DataFrame:
+    """rows(key, component, doc_id, ...) with task, i, j and block, so that any two rows of a key and of different components meet in a group (key, i, j).
+
+    weight: a row's share of a block. A key within one block is one group, and a task has many of those. A larger key is dealt into
+    blocks: a component that fills a block has its own ones, which meet the others' but not one another; all else is dealt by a hash.
+    """
+    rows = checkpointed(rows.withColumn("_w", weight))
+    keys = rows.groupBy("key").agg(F.sum("_w").alias("_all"), F.count("*").alias("_rows"))
+    tasks = 1 + (keys.agg(F.sum("_rows")).first()[0] or 0) // TASK_DOCS
+    large = keys.where(F.col("_all") > 1).select("key")
+    light = rows.join(large, "key", "left_anti").select("*", F.pmod(F.xxhash64("key"), F.lit(tasks)).alias("task"), F.lit("").alias("i"), F.lit("").alias("j"), F.lit("").alias("block"))
+    sizes = rows.join(large, "key", "left_semi").groupBy("key", "component").agg(F.sum("_w").alias("_sum"))
+    owned = sizes.where("_sum > 1").select("key", F.col("component").alias("_own"), F.ceil("_sum").cast("long").alias("_blocks"))
+    others = sizes.where("_sum <= 1").groupBy("key").agg(F.ceil(F.sum("_sum")).cast("long").alias("_blocks"))
+    name = lambda own, at: F.concat_ws("/", own, at)
+    names = owned.select("key", F.col("_own").cast("string").alias("_owner"), "_blocks").union(others.select("key", F.lit("rest").alias("_owner"), "_blocks"))
+    names = names.select("key", "_owner", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_at")).select("key", "_owner", name(F.col("_owner"), F.col("_at")).alias("block"))
+    second = names.select("key", F.col("_owner").alias("_owner2"), F.col("block").alias("j"))
+    meet = names.withColumnRenamed("block", "i").join(second, "key").where("i <= j and (_owner != _owner2 or _owner = 'rest')").select("key", "i", "j")
+    sides = meet.select("key", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    placed = rows.join(large, "key", "left_semi").join(owned.withColumnRenamed("_own", "component"), ["key", "component"], "left").join(others.withColumnRenamed("_blocks", "_rest"), "key", "left")
+    placed = placed.withColumn("block", F.when(F.col("_blocks").isNotNull(), name(F.col("component").cast("string"), F.pmod(F.xxhash64("doc_id"), "_blocks"))).otherwise(name(F.lit("rest"), F.pmod(F.xxhash64("doc_id"), "_rest"))))
+    heavy = placed.join(sides, ["key", "block"]).withColumn("task", F.xxhash64("key", "i", "j"))
+    columns = [*(c for c in rows.columns if c != "_w"), "task", "i", "j", "block"]
+    return light.select(columns).union(heavy.select(columns))
+
+
 def similar_links(sets: DataFrame, percent: int) -> DataFrame:
     """Links (src, dst) that connect what all links among sets(doc_id, n, n_prefix, bitmap, tokens) connect."""
     t = percent / 100
@@ -180,38 +246,60 @@ def similar_links(sets: DataFrame, percent: int) -> DataFrame:
         .select("doc_id", "n", (F.col("alone") + F.col("at")).alias("at"), F.col("entry.token").alias("token"))
     )
     prefixes = checkpointed(prefixes)
-    buckets = prefixes.groupBy("token").agg(F.count("*").alias("m"), F.min("doc_id").alias("leader")).where("m > 1")
-    met = prefixes.join(buckets, "token")
-    hot = met.where(F.col("m") > BUCKET).select(F.col("leader").alias("src"), F.col("doc_id").alias("dst"))
+    buckets = checkpointed(prefixes.groupBy("token").agg(F.count("*").alias("m"), F.min("doc_id").alias("leader")).where("m > 1"))
+    narrow = sets.select("doc_id", "n", "n_prefix", "bitmap")
+    texts = sets.select("doc_id", "n", "tokens")
+    # Near copies in large buckets: all are compared with one of them, and those linked with it needn't meet again.
+    stars = prefixes.join(buckets.where(F.col("m") > BUCKET), "token").where("doc_id != leader").select("leader", "doc_id").distinct()
+    stars = checkpointed(stars.join(small(narrow, 100_000), "doc_id").join(_renamed(narrow, "leader"), "leader").where(_alike(percent)).select("leader", "doc_id"))
+    chunk = F.pmod(F.xxhash64("doc_id"), F.lit(1 + stars.count() // STAR_DOCS))  # documents of all leaders
+    stars = stars.withColumn("chunk", chunk)
+    each_star = stars.select(F.col("leader").alias("key"), "chunk", "doc_id").union(stars.select(F.col("leader").alias("key"), "chunk", F.col("leader").alias("doc_id")).distinct())
+    close = checkpointed(each_star.join(texts, "doc_id").groupBy("chunk").applyInPandas(star_links(percent), "src long, dst long"))
+    known = connected_components(close)
+    about = narrow.join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    about = checkpointed(about.drop("n"))
+    met = prefixes.join(buckets, "token").join(small(about, 100_000), "doc_id")
     # Small buckets: pairs that can be similar by size, by place in order two, and by what they share of order one's prefix.
-    about = small(sets.select("doc_id", "n_prefix", "bitmap"), 100_000)
-    members = met.where(F.col("m") <= BUCKET).join(about, "doc_id").groupBy("token").agg(
-        F.collect_list(F.struct("doc_id", "n", "at", "n_prefix", "bitmap")).alias("members")
-    )
+    members = met.where(F.col("m") <= BUCKET).groupBy("token").agg(F.collect_list(F.struct("doc_id", "n", "at", "n_prefix", "bitmap", "component")).alias("members"))
     pairs = members.select(F.explode("members").alias("a"), "members").select(
-        "a", F.explode(F.filter("members", lambda b: (b["doc_id"] > F.col("a.doc_id")) & _may_match(F.col("a"), b, percent))).alias("b")
-    )
-    candidates = pairs.select(F.col("a.doc_id").alias("src"), F.col("b.doc_id").alias("dst")).distinct().union(hot.distinct())
-    groups = checkpointed(connected_components(candidates).withColumnRenamed("component", "candidates"))
-    joined = groups.join(sets.select("doc_id", "n", "tokens"), groups.node == sets.doc_id).drop("node")
-    weight = groups.join(sets.select("doc_id", "n"), groups.node == sets.doc_id).groupBy("candidates").agg(
-        F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")
-    )
-    dealt = joined.join(weight, "candidates").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    meet = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "candidates", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "n", "tokens"
+        "a", F.explode(F.filter("members", lambda b: (b["doc_id"] > F.col("a.doc_id")) & (b["component"] != F.col("a.component")) & _may_match(F.col("a"), b, percent))).alias("b")
     )
-    return meet.groupBy("candidates", "i", "j").applyInPandas(linked_blocks(percent), "src long, dst long")
+    # Large ones: the same tests in blocks of the documents that aren't connected yet.
+    hot = met.where(F.col("m") > BUCKET)
+    open_ = hot.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("token")
+    hot = dealt(hot.join(open_, "token", "left_semi").drop("m", "leader").withColumnRenamed("token", "key"), F.lit(1.0 / BLOCK_DOCS))
+    passed = hot.groupBy("task").applyInPandas(passing_blocks(percent), "src long, dst long")
+    candidates = pairs.select(F.col("a.doc_id").alias("src"), F.col("b.doc_id").alias("dst")).union(passed).distinct()
+    groups = connected_components(candidates).select(F.col("component").alias("key"), F.col("node").alias("doc_id"))
+    weighed = checkpointed(groups.join(about.select("doc_id", "component"), "doc_id").join(sets.select("doc_id", "n"), "doc_id"))
+    tasks = dealt(weighed, 1.0 / BLOCK_DOCS + F.col("n") / BLOCK_SHINGLES).drop("n").join(texts, "doc_id")
+    return tasks.groupBy("task").applyInPandas(linked_blocks(percent), "src long, dst long").union(close)
+
+
+def _renamed(narrow: DataFrame, name: str) -> DataFrame:
+    return narrow.select(F.col("doc_id").alias(name), *(F.col(c).alias(f"l_{c}") for c in ("n", "n_prefix", "bitmap")))
+
+
+def _alike(percent: int) -> Column:
+    """Whether a document's and a leader's sizes and hash prefixes allow a link."""
+    n, m = F.col("n"), F.col("l_n")
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & _prefixes_match(n, m, F.col("n_prefix"), F.col("l_n_prefix"), F.col("bitmap"), F.col("l_bitmap"), percent)
+
+
+def _prefixes_match(n: Column, m: Column, head_a: Column, head_b: Column, bits_a: Column, bits_b: Column, percent: int) -> Column:
+    in_prefix = least_overlap(n, m, percent) - F.greatest(n - head_a, m - head_b)
+    differ = sum((F.bit_count(bits_a[i].bitwiseXOR(bits_b[i])) for i in range(BITMAP)), F.lit(0))
+    return differ <= head_a + head_b - 2 * in_prefix
 
 
 def _may_match(a: Column, b: Column, percent: int) -> Column:
     n, m = a["n"], b["n"]
-    need = least_overlap(n, m, percent)
-    in_time = F.least(a["at"], b["at"]) + 1 + F.least(n - a["at"], m - b["at"]) - 1
-    out_a, out_b = n - a["n_prefix"], m - b["n_prefix"]
-    in_prefix = need - F.greatest(out_a, out_b)
-    differ = sum((F.bit_count(a["bitmap"][i].bitwiseXOR(b["bitmap"][i])) for i in range(BITMAP)), F.lit(0))
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (in_time >= need) & (differ <= a["n_prefix"] + b["n_prefix"] - 2 * in_prefix)
+    in_time = F.least(a["at"], b["at"]) + F.least(n - a["at"], m - b["at"])
+    return (
+        (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (in_time >= least_overlap(n, m, percent))
+        & _prefixes_match(n, m, a["n_prefix"], b["n_prefix"], a["bitmap"], b["bitmap"], percent)
+    )
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", share: float | None = None) -> DataFrame:
@@ -224,11 +312,12 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, text:
     rarest first: similar sets share a token of their prefixes in it. Candidates must pass both
     (order one's overlap is tested on a parity bitmap of the prefix), and sizes and places must
     allow the overlap. Groups that candidates connect are verified on whole sets in pairs of blocks. A token's
-    bucket is never expanded into all pairs: beyond 24 documents it connects its members to one of them as
-    candidates, and verification returns a spanning forest of the exact links.
+    bucket is never expanded into all pairs: beyond 24 documents all are first compared with one of them, and those that it is linked with
+    are connected for good; the others are tested by all filters in blocks, which keep a spanning forest of what passes. Verification returns a spanning forest of the exact links.
 
     A null or empty text, or one without words, has no shingles and is linked with nothing. Rows without a
-    doc_id are linked through equal sets only; rows that share a doc_id count as one document. Similarity is
+    doc_id are linked through equal sets only; rows that share a doc_id count as one document and are returned each. A similarity of exactly the
+    percentage links. Texts of any length are read whole. Similarity is
     of 64-bit shingle hashes. Extra columns are left out; no rows give no rows.
     """
     share = max(HASH_PREFIX, 1 - percent / 100 + 0.05) if share is None else share
