@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import geometry as G
 from ..functions.names import class_prompt
@@ -77,10 +78,23 @@ def searched(pixels: DataFrame, width: int, height: int, scale: float = 1.5) ->
     return pixels.where("pixel is not null").withColumn("_r", r).select("*", *(F.col("_r")[c].alias(f"r{c}") for c in ("x1", "y1", "x2", "y2"))).drop("_r")
 
 
-def confident(rows: DataFrame, least: float) -> DataFrame:
-    """Detections over a threshold, best first."""
-    return rows.where(F.col("score") >= least).orderBy(F.col("score").desc())
+def confident(rows: DataFrame, least: float, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Detections of at least a threshold with their place in their key, best first."""
+    return rows.where(F.col("score") >= least).withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("score").desc(), *order)))
 
 
 def prompt_of(classes: Column) -> Column:
     return class_prompt(classes)
+
+
+def audited(samples: DataFrame, name: str, keys: Sequence[str], width: int, height: int, slack: float = 20.0, least: float = 0.0) -> DataFrame:
+    """samples(keys, pixel, phrase) with the detector's verdict on the whole image: skipped without a pixel, detected if the box found, grown by the slack, holds the pixel, else not_detected; and the box's score if it does.
+
+    Only samples with a pixel reach the detector.
+    """
+    asked = samples.where("pixel is not null").select(*keys, "pixel", "phrase", *(F.lit(v).alias(n) for n, v in (("rx1", 0), ("ry1", 0), ("rx2", width), ("ry2", height))))
+    found = detections(asked, name, keys)
+    u, v = F.col("pixel")["u"], F.col("pixel")["v"]
+    hit = (F.col("score") >= least) & (u >= F.col("x1") - slack) & (u <= F.col("x2") + slack) & (v >= F.col("y1") - slack) & (v <= F.col("y2") + slack)
+    verdicts = found.select(*keys, F.when(hit, "detected").otherwise("not_detected").alias("_verdict"), F.when(hit, F.col("score")).alias("match_score"))
+    return samples.join(verdicts, list(keys), "left").withColumn("verdict", F.coalesce("_verdict", F.lit("skipped"))).drop("_verdict")

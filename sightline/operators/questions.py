@@ -12,11 +12,17 @@ from ..functions import geometry as G
 from ..functions import names as N
 from ..functions.statuses import covers_hidden_window
 from .rank import capped_with_ids, closest_sample, keep_first, location_first, round_robin
-from .temporal import EPS, asof_join
+from .temporal import EPS, asof_join, stab_join
 
 OBJECT = ("video_id", "assoc_id")
 
 
+def held_samples(samples: DataFrame, spans: DataFrame, start: str) -> DataFrame:
+    """Each span of an object with its samples from the start to end_sec; they meet in time buckets."""
+    held = stab_join(samples, spans, OBJECT, "time_sec", start, "end_sec", bucket=32.0)
+    return held.withColumnsRenamed({f"s_{c}": c for c in spans.columns if c not in OBJECT})
+
+
 def hidden_candidates(spans: DataFrame, samples: DataFrame, tracks: DataFrame, videos: DataFrame, h: float, step: float) -> DataFrame:
     """Times at which an object has been out of sight for h seconds and stays so for h more.
 
@@ -27,7 +33,7 @@ def hidden_candidates(spans: DataFrame, samples: DataFrame, tracks: DataFrame, v
     hidden = spans.where(~F.col("visible") & (F.col("end_sec") - F.col("start_sec") >= h)).select(*OBJECT, "start_sec", "end_sec")
     placed = asof_join(hidden, tracks.select(*OBJECT, F.col("end_sec").alias("track_end")), OBJECT, "start_sec", "track_end", name="_t")
     usable = placed.withColumn("usable_sec", F.greatest("start_sec", F.col("_t")["track_end"])).drop("_t").where(F.col("end_sec") - F.col("usable_sec") >= h)
-    hit = usable.join(samples.where(~F.col("visible")).select(*OBJECT, "time_sec", "i"), list(OBJECT)).where((F.col("time_sec") >= F.col("usable_sec")) & (F.col("time_sec") <= F.col("end_sec")))
+    hit = held_samples(samples.where(~F.col("visible")).select(*OBJECT, "time_sec", "i"), usable, "usable_sec")
     ids = [*OBJECT, "start_sec", "end_sec", "usable_sec"]
     query = closest_sample(hit, ids, "time_sec", F.col("usable_sec") + h, ["time_sec", "i"]).withColumnRenamed("time_sec", "query_sec")
     ok = query.join(videos, "video_id").where(covers_hidden_window(F.col("start_sec"), F.col("end_sec"), F.col("query_sec"), h, F.col("video_end"), step))
@@ -39,7 +45,7 @@ def hidden_candidates(spans: DataFrame, samples: DataFrame, tracks: DataFrame, v
 def visible_candidates(spans: DataFrame, samples: DataFrame, limit: int) -> DataFrame:
     """Of each visible span the stable sample closest to its middle; new places of an object first, objects in turns, up to the limit of a video."""
     seen = spans.where("visible").select(*OBJECT, "start_sec", "end_sec")
-    hit = seen.join(samples.where("stable").select(*OBJECT, "time_sec", "i", "fixture"), list(OBJECT)).where((F.col("time_sec") >= F.col("start_sec")) & (F.col("time_sec") <= F.col("end_sec")))
+    hit = held_samples(samples.where("stable").select(*OBJECT, "time_sec", "i", "fixture"), seen, "start_sec")
     middle = (F.col("start_sec") + F.col("end_sec")) / 2
     picked = closest_sample(hit, [*OBJECT, "start_sec", "end_sec"], "time_sec", middle, ["time_sec", "i", "fixture"])
     ordered = location_first(picked, OBJECT, "fixture", "time_sec")
@@ -136,3 +142,68 @@ def detector_gate(rows: DataFrame, keys: Sequence[str], order: Sequence[str], pa
 def exploded_steps(records: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row for each step."""
     return records.select(*keys, F.explode("incremental_steps").alias("s")).select(*keys, "s.*")
+
+
+def still_hidden(candidates: DataFrame, states: DataFrame) -> DataFrame:
+    """Candidates whose object, looked at again at the query time, isn't ok and in view; one without a state then is dropped.
+
+    states(video_id, assoc_id, query_sec, raw_status, in_view).
+    """
+    seen = (F.col("raw_status") == "ok") & F.coalesce("in_view", F.lit(False))
+    each = states.groupBy(*OBJECT, "query_sec").agg(F.max(F.coalesce(seen, F.lit(False))).alias("_seen")).where("not _seen").drop("_seen")
+    return candidates.join(each, [*OBJECT, "query_sec"], "left_semi")
+
+
+def candidate_key(video: Column, obj: Column, t: Column) -> Column:
+    """What a candidate is told by: its video, object, and time to a millionth of a second."""
+    return F.format_string("%s:%s:%.6f", video, obj.cast("string"), t)
+
+
+def visible_records(candidates: DataFrame, name: Column, time: str, order: Sequence[str], cap: int, seed: int | str) -> DataFrame:
+    """Records of one step each for objects that are visible at their time: the answer is Yes, choices stand in a seeded order. At most cap a video, with a running id; candidates with one key count once."""
+    keyed = candidates.withColumn("key", candidate_key(F.col("video_id"), F.col("assoc_id"), F.col(time)))
+    once = keep_first(keyed, [F.col("key")], order)
+    numbered = capped_with_ids(once, ["video_id"], order, cap, "trajectory_id")
+    step = visibility_step(name, F.col(time), F.lit(True), F.col("key"), seed)
+    return numbered.withColumn("incremental_steps", F.array(step)).withColumn("stop_reason", F.lit("object_visible_at_query_time"))
+
+
+def absolute_answers(rows: DataFrame, raw_fixture: str, vocabulary: DataFrame, label: str, key: Column, count: int, seed: int | str) -> DataFrame:
+    """rows with the label of their fixture, count choices from the vocabulary's labels, and the answer's index; a row without a valid label, or a vocabulary too small, is dropped.
+
+    vocabulary(label): distinct labels, a configuration's few.
+    """
+    words = vocabulary.where(N.valid_fixture(F.col(label))).agg(F.sort_array(F.collect_set(label)).alias("_words"))
+    out = rows.withColumn("answer", N.fixture_label(F.col(raw_fixture))).where(N.valid_fixture(F.col("answer"))).crossJoin(F.broadcast(words))
+    out = out.withColumn("choices", N.with_distractors(F.col("answer"), F.col("_words"), count, seed, key)).drop("_words").where("choices is not null")
+    return out.withColumn("correct_idx", N.answer_index(F.col("choices"), F.col("answer")))
+
+
+def flat_questions(candidates: DataFrame, horizon: float, families: dict[str, tuple[Column, Column]], order: Sequence[str]) -> DataFrame:
+    """A row for each question of each candidate, with an id that counts through a family: families by name, each with whether the candidate has it and its answer.
+
+    Families come in turn; one that is wanted but can't be answered (has it, answer null, after the first) ends the candidate's later ones. Ids run over videos in order and the candidates' order.
+    """
+    entries, blocked = [], F.lit(False)
+    for n, (name, (wanted, answer)) in enumerate(families.items()):
+        entries.append(F.when(wanted & ~blocked & answer.isNotNull(), F.struct(F.lit(name).alias("question_class"), answer.cast("string").alias("answer"))))
+        if n:
+            blocked = blocked | (wanted & answer.isNull())
+    each = candidates.withColumn("_q", F.explode(F.array_compact(F.array(*entries)))).select(*candidates.columns, "_q.*")
+    counted = capped_with_ids(each, ["question_class", "video_id"], order, 2**31 - 1, "_number")
+    first = counted.groupBy("question_class").agg(F.min("_number").alias("_least"))
+    token = N.horizon_token(F.lit(float(horizon)))
+    return counted.join(first, "question_class").withColumn("question_id", F.concat_ws("_", "question_class", token, (F.col("_number") - F.col("_least")).cast("string"))).drop("_number", "_least")
+
+
+def clip_window(candidates: DataFrame, video_starts: DataFrame, earlier: float, from_video_start: bool = False) -> DataFrame:
+    """candidates(clip_start_sec, query_sec) with an earlier clip start and the query's time in the clip; one whose clip would start before its video is dropped."""
+    out = candidates.join(video_starts.select("video_id", F.col("start_sec").alias("_first")), "video_id")
+    start = F.col("_first") if from_video_start else F.col("clip_start_sec") - earlier
+    return out.withColumn("clip_start_sec", start).where(F.col("clip_start_sec") >= F.col("_first") - EPS).drop("_first").withColumn("query_in_clip_sec", F.col("query_sec") - F.col("clip_start_sec"))
+
+
+def video_windows(samples: DataFrame) -> DataFrame:
+    """(video_id, start_sec, end_sec, n_samples) from the samples of each video's first object; all objects of a video are sampled at the same times."""
+    each = samples.groupBy(*OBJECT).agg(F.min("time_sec").alias("start_sec"), F.max("time_sec").alias("end_sec"), F.count("*").alias("n_samples"))
+    return each.groupBy("video_id").agg(F.min_by(F.struct("start_sec", "end_sec", "n_samples"), "assoc_id").alias("_w")).select("video_id", "_w.*")

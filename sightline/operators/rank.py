@@ -107,3 +107,11 @@ def chosen_or_sampled(rows: DataFrame, column: str, chosen: Sequence | None, cou
         return rows.where(F.col(column).isin(*chosen))
     ids = rows.select(column).distinct().orderBy(hash_order(seed, F.col(column)), column).limit(count)
     return rows.join(F.broadcast(ids), column, "left_semi")  # at most `count` rows
+
+
+def selected_videos(rows: DataFrame, column: str, explicit: Sequence[str] | None, participants: Sequence[str]) -> DataFrame:
+    """The videos of an explicit list, else all that occur, of the participants if any are given."""
+    found = rows.select(column).where(F.col(column).isNotNull()).distinct()
+    if explicit:
+        return found.where(F.col(column).isin(*explicit))
+    return found.where(F.split(column, "-")[0].isin(*participants)) if participants else found

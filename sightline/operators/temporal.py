@@ -21,11 +21,11 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str,
 
     backward: the last right row at or before the time (strict: before); forward: the first at or after (strict: after).
     Of rows with equal times the last in `order` wins backward and the first forward. Both sides are
-    sorted together once by key and time, and a running last or first value carries the match.
+    sorted together once by key and time, and a running last or first value carries the match. A null time matches nothing.
     """
     back = direction == "backward"
     fields = [F.col(c) for c in right.columns if c not in keys]
-    r = right.select(*keys, F.col(right_time).cast("double").alias("_t"), F.lit(0 if back != strict else 2).alias("_side"), F.struct(*fields).alias("_r"), F.struct(*(order or [right_time])).alias("_o"))
+    r = right.select(*keys, F.col(right_time).cast("double").alias("_t"), F.lit(0 if back != strict else 2).alias("_side"), F.struct(*fields).alias("_r"), F.struct(*(order or [right_time])).alias("_o")).where("_t is not null")
     lefts = [c for c in left.columns if c not in keys]
     empty_r, empty_o = F.lit(None).cast(r.schema["_r"].dataType), F.lit(None).cast(r.schema["_o"].dataType)
     l = left.select(*keys, F.col(time).cast("double").alias("_t"), F.lit(1).alias("_side"), empty_r.alias("_r"), empty_o.alias("_o"), F.struct(*lefts).alias("_l"))
@@ -35,7 +35,7 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str,
         found = F.last("_r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     else:
         found = F.first("_r", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    return both.withColumn(name, found).where("_side = 1").select(*keys, *(F.col("_l")[c].alias(c) for c in lefts), name)
+    return both.withColumn(name, F.when(F.col("_t").isNotNull(), found)).where("_side = 1").select(*keys, *(F.col("_l")[c].alias(c) for c in lefts), name)
 
 
 def nearest_join(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str, right_time: str, order: Sequence[str] = (), tie: str = "later", tolerance: float | None = None, name: str = "match") -> DataFrame:
@@ -54,11 +54,28 @@ def nearest_join(left: DataFrame, right: DataFrame, keys: Sequence[str], time: s
     return out
 
 
+def rejoin(left: DataFrame, right: DataFrame, columns: Sequence[str], how: str = "left") -> DataFrame:
+    """left with what right has for the same values of the columns, null being a value like others."""
+    names = {c: f"_same_{c}" for c in columns}
+    on = F.lit(True)
+    for c, n in names.items():
+        on = on & F.col(c).eqNullSafe(F.col(n))
+    return left.join(right.withColumnsRenamed(names), on, how).drop(*names.values())
+
+
+def ended(spans: DataFrame, points: DataFrame, keys: Sequence[str], time: str, start: str, end: str) -> DataFrame:
+    """spans in which an open one ends with its key's last point, so that it can be listed in buckets; one of a key without points is dropped if open."""
+    last = points.groupBy(*keys).agg(F.max(F.col(time).cast("double")).alias("_last"))
+    shut = spans.where(F.col(end).isNotNull())
+    open_ = spans.where(F.col(end).isNull()).join(last, list(keys)).withColumn(end, F.greatest(F.col(start), F.col("_last")).cast(spans.schema[end].dataType)).drop("_last")
+    return shut.unionByName(open_.select(*spans.columns))
+
+
 def stab_join(points: DataFrame, spans: DataFrame, keys: Sequence[str], time: str, start: str, end: str, eps: float = 0.0, bucket: float | None = None, how: str = "inner") -> DataFrame:
-    """Each point with every span of its key that holds its time: start <= t <= end, a null end being open.
+    """Each point with every span of its key that holds its time: start <= t <= end, a null end being open. Repeated points are joined each.
 
     bucket: a width in time by which both sides meet: a span is listed in the buckets that it reaches, so a key with many spans costs
-    what really overlaps. Spans without end, which would be listed without end too, meet their key's points by themselves.
+    what really overlaps. Spans without end reach to their key's last point. how: inner, or left, which keeps points that no span holds.
     """
     names = [c for c in spans.columns if c not in keys]
     s = spans.select(*keys, *(F.col(c).alias(f"s_{c}") for c in names))
@@ -68,14 +85,44 @@ def stab_join(points: DataFrame, spans: DataFrame, keys: Sequence[str], time: st
         on += [t >= low, F.col(f"s_{end}").isNull() | (t <= high)]
         return points.alias("p").join(s.alias("s"), on, how).drop(*(F.col(f"s.{k}") for k in keys))
     point = points.withColumn("_b", F.floor(t / bucket))
-    shut = s.where(F.col(f"s_{end}").isNotNull()).withColumn("_b", F.explode(F.sequence(F.floor(low / bucket), F.greatest(F.floor(low / bucket), F.floor(high / bucket)))))
-    found = point.join(shut, [*keys, "_b"]).where((t >= low) & (t <= high)).drop("_b")
-    open_ = points.join(s.where(F.col(f"s_{end}").isNull()), list(keys)).where(t >= low)
-    out = found.unionByName(open_)
+    s = s.withColumn("_open", F.col(f"s_{end}").isNull())
+    listed = ended(s, points, keys, time, f"s_{start}", f"s_{end}").withColumn("_b", F.explode(F.sequence(F.floor(low / bucket), F.greatest(F.floor(low / bucket), F.floor(high / bucket)))))
+    found = point.join(listed, [*keys, "_b"]).where((t >= low) & (t <= high)).drop("_b")
+    found = found.withColumn(f"s_{end}", F.when(~F.col("_open"), F.col(f"s_{end}"))).drop("_open")
     if how == "inner":
-        return out
-    missed = points.join(out.select(*points.columns).distinct(), points.columns, "left_anti")
-    return out.unionByName(missed, allowMissingColumns=True)
+        return found
+    missed = rejoin(points, found.select(*points.columns).distinct(), points.columns, "left_anti")
+    return found.unionByName(missed, allowMissingColumns=True)
+
+
+def first_spans(spans: DataFrame, keys: Sequence[str], start: str, end: str, order: Sequence[Column | str] = ()) -> DataFrame:
+    """spans, cut to the times at which each is the first (by its start, then by order) of its key's that hold them: `_after`, which must be passed, to the end.
+
+    In that order a span is first where all before it have ended, so what is left is disjoint, at most one piece of a span, and comes from a running
+    maximum of ends. A span that others cover is dropped. null start, or a null key: dropped.
+    """
+    far = F.coalesce(F.col(end).cast("double"), F.lit(float("inf")))
+    before = Window.partitionBy(*keys).orderBy(start, *order).rowsBetween(Window.unboundedPreceding, -1)
+    return spans.where(F.col(start).isNotNull()).withColumn("_after", F.max(far).over(before)).where(F.col("_after").isNull() | (F.col("_after") < far))
+
+
+def stab_first(points: DataFrame, spans: DataFrame, keys: Sequence[str], time: str, start: str, end: str, order: Sequence[Column | str] = (), bucket: float = 32.0) -> DataFrame:
+    """points with the columns of the first span (s_*) that holds their time, by start and then order; null without one. Each point comes once.
+
+    Only the disjoint pieces of first_spans are joined, in time buckets, so a point meets at most the few pieces of its bucket however many spans overlap.
+    """
+    names = [c for c in spans.columns if c not in keys]
+    pieces = ended(first_spans(spans, keys, start, end, order).withColumn("_open", F.col(end).isNull()), points, keys, time, start, end)
+    t = F.col(time).cast("double")
+    low = F.greatest(F.col(start).cast("double"), F.coalesce("_after", F.lit(float("-inf"))))
+    pieces = pieces.withColumn("_b", F.explode(F.sequence(F.floor(low / bucket), F.greatest(F.floor(low / bucket), F.floor(F.col(end) / bucket)))))
+    # A bucket's pieces are disjoint; the one that holds a time is found among them without multiplying points.
+    value = F.struct(F.col(start).alias("_s"), F.col(end).alias("_e"), "_after", F.struct(*(F.when(~F.col("_open"), F.col(c)).alias(c) if c == end else F.col(c) for c in names)).alias("_v"))
+    listed = pieces.groupBy(*keys, "_b").agg(F.collect_list(value).alias("_pieces"))
+    out = points.withColumn("_b", F.floor(t / bucket)).join(listed, [*keys, "_b"], "left")
+    held = F.filter("_pieces", lambda x: (t >= x["_s"]) & (t <= x["_e"]) & (x["_after"].isNull() | (t > x["_after"])))
+    out = out.withColumn("_hit", F.get(held, 0)["_v"])
+    return out.select(*points.columns, *(F.col("_hit")[c].alias(f"s_{c}") for c in names))
 
 
 def first_match(joined: DataFrame, by: Sequence[str], pick: Column, values: Sequence[str], largest: bool = False) -> DataFrame:
@@ -97,7 +144,7 @@ def choose_track(points: DataFrame, tracks: DataFrame, keys: Sequence[str], time
     future = t.groupBy(*keys, "start_sec").agg(F.min_by(F.struct(*names), "track_pos").alias("_v")).select(*keys, *(F.col("_v")[n].alias(n) for n in names))
     out = asof_join(points, past, keys, time, "end_sec", name="_past", strict=True)
     out = asof_join(out, future, keys, time, "start_sec", direction="forward", strict=True, name="_future")
-    out = out.join(inside, ids, "left")
+    out = rejoin(out, inside, ids)
     pick = lambda n: F.coalesce(F.col("_in")[n], F.col("_past")[n], F.col("_future")[n])
     relation = F.when(F.col("_in").isNotNull(), "in_motion").when(F.col("_past").isNotNull(), "past").when(F.col("_future").isNotNull(), "future").otherwise("no_track_available")
     return out.select(*ids, *(pick(n).alias(n) for n in names), relation.alias("relation"))
@@ -119,7 +166,7 @@ def strongest_span(points: DataFrame, spans: DataFrame, keys: Sequence[str], tim
     ids = points.columns
     held = stab_join(points, spans, keys, time, "start_sec", "end_sec", eps, bucket)
     best = first_match(held, ids, F.struct(priority.alias("p"), (-(F.col("s_end_sec") - F.col("s_start_sec"))).alias("l"), F.col("s_start_sec").alias("s")), ["s_status"], largest=True)
-    return points.join(best, ids, "left").withColumn("status", F.coalesce("s_status", F.lit("out_of_view"))).drop("s_status")
+    return rejoin(points, best, ids).withColumn("status", F.coalesce("s_status", F.lit("out_of_view"))).drop("s_status")
 
 
 def last_started(points: DataFrame, spans: DataFrame, keys: Sequence[str], time: str) -> DataFrame:
@@ -141,12 +188,17 @@ def snap_to_sound(events: DataFrame, sounds: DataFrame, keys: Sequence[str], tol
 
 
 def overlapping(points: DataFrame, spans: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame:
-    """points(start, end) with `overlaps`: whether any span of the key overlaps it; true for a key without spans."""
+    """points(start, end) with `overlaps`: whether any span of the key overlaps it, a null end being open; true for a key without spans. Repeated points come each.
+
+    Of the spans that start by a point's end only the latest end so far matters: a running maximum, and an as-of join.
+    """
     names = points.columns
-    s = spans.select(*keys, F.col("start_sec").alias("_s"), F.coalesce("end_sec", F.lit(float("inf"))).alias("_e"))
-    hit = points.join(s, list(keys)).where((F.col("_s") <= F.col(end)) & (F.col("_e") >= F.col(start))).select(*names).distinct().withColumn("_hit", F.lit(True))
+    so_far = Window.partitionBy(*keys).orderBy("_s").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    s = spans.select(*keys, F.col("start_sec").cast("double").alias("_s"), F.coalesce(F.col("end_sec").cast("double"), F.lit(float("inf"))).alias("_e"))
+    s = s.groupBy(*keys, "_s").agg(F.max("_e").alias("_e")).withColumn("_e", F.max("_e").over(so_far))
     known = s.select(*keys).distinct().withColumn("_known", F.lit(True))
-    return points.join(hit, names, "left").join(known, list(keys), "left").withColumn("overlaps", F.col("_known").isNull() | F.coalesce("_hit", F.lit(False))).select(*names, "overlaps")
+    out = asof_join(points, s, keys, end, "_s", name="_hit").join(known, list(keys), "left")
+    return out.select(*names, (F.col("_known").isNull() | F.coalesce(F.col("_hit")["_e"] >= F.col(start), F.lit(False))).alias("overlaps"))
 
 
 def placement_before(points: DataFrame, tracks: DataFrame, mask_times: DataFrame, keys: Sequence[str], start: str) -> DataFrame:

@@ -11,21 +11,19 @@ from ..functions.geometry import anchored, project_fisheye, transform
 from ..functions.statuses import fallback_status, is_stable, is_visible, status_ladder
 from .aggregates import refined_verdicts
 from .islands import collapse_runs, last_true_index
-from .temporal import first_match, last_started, nearest_join, stab_join
+from .temporal import last_started, nearest_join, rejoin, stab_first
 
 
-def classified_samples(samples: DataFrame, intervals: DataFrame, keys: Sequence[str] = ("video_id", "fixture"), bucket: float | None = 32.0) -> DataFrame:
+def classified_samples(samples: DataFrame, intervals: DataFrame, keys: Sequence[str] = ("video_id", "fixture"), bucket: float = 32.0) -> DataFrame:
     """samples with status, reason and confidence. Of the fixture intervals that hold a sample's time the earliest counts.
 
     samples: video_id, assoc_id, i, time_sec, raw_status, in_view, occluded, fixture; intervals: keys, state, confidence, start_sec, end_sec.
     """
-    ids = ["video_id", "assoc_id", "i"]
-    held = stab_join(samples.select(*dict.fromkeys([*ids, *keys, "time_sec"])), intervals, keys, "time_sec", "start_sec", "end_sec", bucket=bucket)
-    best = first_match(held, ids, F.struct("s_start_sec", F.coalesce("s_end_sec", F.lit(float("inf"))), "s_state"), ["s_state", "s_confidence"])
+    held = stab_first(samples, intervals.select(*keys, "start_sec", "end_sec", "state", "confidence"), keys, "time_sec", "start_sec", "end_sec", [F.coalesce("end_sec", F.lit(float("inf"))), "state"], bucket)
     rung = status_ladder(
         F.col("raw_status") == "in_motion", ~F.col("raw_status").isin("no_track_available", "no_valid_mask"), F.col("in_view"), F.col("s_state"), F.col("s_confidence"), F.col("occluded")
     )
-    return samples.join(best, ids, "left").withColumn("_r", rung).select(*(x for x in samples.columns if x not in ("status", "reason", "confidence")), "_r.status", "_r.reason", "_r.confidence")
+    return held.withColumn("_r", rung).select(*(x for x in samples.columns if x not in ("status", "reason", "confidence")), "_r.status", "_r.reason", "_r.confidence")
 
 
 def coarse_intervals(classified: DataFrame) -> DataFrame:
@@ -77,10 +75,28 @@ def central_object(states: DataFrame, keys: Sequence[str], visible: Column, widt
     return states.where(visible & F.col("pixel").isNotNull()).groupBy(*keys).agg(F.min_by("assoc_id", F.struct((du * du + dv * dv).alias("d"), F.col("assoc_id").alias("a"))).alias("anchor_id"))
 
 
-def matched_boxes(pixels: DataFrame, boxes: DataFrame, keys: Sequence[str], slack: float = 20.0) -> DataFrame:
-    """pixels with how many boxes hold them, grown by the slack, and the box whose centre is closest."""
+def matched_boxes(pixels: DataFrame, boxes: DataFrame, keys: Sequence[str], slack: float = 20.0, cell: float = 128.0) -> DataFrame:
+    """pixels with how many boxes hold them, grown by the slack, and the box whose centre is closest. Repeated pixels are counted once and come each.
+
+    Both meet in cells of the image: a box is listed in those that it reaches.
+    """
     u, v = F.col("pixel")["u"], F.col("pixel")["v"]
-    held = pixels.join(boxes, list(keys)).where((u >= F.col("x1") - slack) & (u <= F.col("x2") + slack) & (v >= F.col("y1") - slack) & (v <= F.col("y2") + slack))
+    reach = lambda a, b: F.sequence(F.floor((F.col(a) - slack) / cell), F.greatest(F.floor((F.col(a) - slack) / cell), F.floor((F.col(b) + slack) / cell)))
+    listed = boxes.withColumn("_cu", F.explode(reach("x1", "x2"))).withColumn("_cv", F.explode(reach("y1", "y2")))
+    near = pixels.distinct().withColumn("_cu", F.floor(u / cell)).withColumn("_cv", F.floor(v / cell)).join(listed, [*keys, "_cu", "_cv"])
+    held = near.where((u >= F.col("x1") - slack) & (u <= F.col("x2") + slack) & (v >= F.col("y1") - slack) & (v <= F.col("y2") + slack))
     du, dv = u - (F.col("x1") + F.col("x2")) / 2.0, v - (F.col("y1") + F.col("y2")) / 2.0
     best = held.groupBy(*pixels.columns).agg(F.count("*").alias("n_boxes"), F.min_by("box_id", F.struct((du * du + dv * dv).alias("d"), F.col("box_id").alias("b"))).alias("box_id"))
-    return pixels.join(best, pixels.columns, "left").fillna(0, ["n_boxes"])
+    return rejoin(pixels, best, pixels.columns).fillna(0, ["n_boxes"])
+
+
+def run_stages(samples: DataFrame, intervals: DataFrame, keys: Sequence[str], occlusion: DataFrame | None = None, detections: DataFrame | None = None) -> DataFrame:
+    """Intervals of all objects from samples to the end: occlusion flags by line of sight if there are any, fixture intervals, runs, and detections' verdicts if there are any.
+
+    occlusion(video_id, assoc_id, i, geometrically_occluded) replaces the samples' flag where it isn't null.
+    """
+    if occlusion is not None:
+        flags = occlusion.select("video_id", "assoc_id", "i", F.col("geometrically_occluded").alias("_flag"))
+        samples = samples.join(flags, ["video_id", "assoc_id", "i"], "left").withColumn("occluded", F.coalesce("_flag", "occluded")).drop("_flag")
+    coarse = coarse_intervals(classified_samples(samples, intervals, keys))
+    return coarse if detections is None else refined_intervals(coarse, detections)

@@ -72,13 +72,13 @@ spans AS (
 
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans with an end as tracks, in the order of their start."""
-    s = spans(spark, sf_dir).where("end_sec is not null and span_id % 5 = 0")
+    s = spans(spark, sf_dir).where("end_sec is not null")
     return s.select("assoc_id", F.col("span_id").alias("track_id"), "start_sec", "end_sec", (F.row_number().over(Window.partitionBy("assoc_id").orderBy("start_sec", "span_id")) - 1).alias("track_pos"))
 
 
 TRACKS = f"""{SPANS}, tracks AS (
   SELECT assoc_id, span_id AS track_id, start_sec, end_sec, row_number() OVER (PARTITION BY assoc_id ORDER BY start_sec, span_id) - 1 AS track_pos
-  FROM spans WHERE end_sec IS NOT NULL AND span_id % 5 = 0
+  FROM spans WHERE end_sec IS NOT NULL
 )"""
 
 
@@ -133,14 +133,14 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as steps of trajectories."""
     return read(spark, sf_dir, "conversations").select(
         F.col("conv_id").alias("trajectory_id"), F.col("turn").alias("position"), (F.col("turn") + 1).cast("string").alias("step"), F.col("role").alias("question_class"),
-        F.substring("text", 1, 24).alias("question"), F.substring("text", 5, 12).alias("answer"), (F.col("turn") >= 5).alias("is_branch"),
+        F.col("text").alias("question"), F.concat(F.lit("A: "), F.col("text")).alias("answer"), (F.col("turn") >= 5).alias("is_branch"),
         (F.length("text") % 11 == 0).alias("skipped"), (F.length("text") % 2 == 0).alias("is_mcq"), (F.length("text") % 4).cast("int").alias("correct_idx"),
     )
 
 
 STEPS = """
 steps AS (
-  SELECT conv_id AS trajectory_id, turn AS position, CAST(turn + 1 AS VARCHAR) AS step, role AS question_class, substring(text, 1, 24) AS question, substring(text, 5, 12) AS answer,
+  SELECT conv_id AS trajectory_id, turn AS position, CAST(turn + 1 AS VARCHAR) AS step, role AS question_class, text AS question, 'A: ' || text AS answer,
     turn >= 5 AS is_branch, length(text) % 11 = 0 AS skipped, length(text) % 2 = 0 AS is_mcq, CAST(length(text) % 4 AS INTEGER) AS correct_idx
   FROM conversations
 )"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import names as N
-from ..functions.statuses import CLAIMS, STATUSES, is_stable, is_visible
+from ..functions.statuses import CLAIMS, STATUSES, claim, is_stable, is_visible
 from ..operators import aggregates as G
 from ..operators import detect as D
 from ..operators import export as E
@@ -116,9 +116,11 @@ def visible_seconds(spark, d):
 
 
 @query("agg18_coverage_density", f"""
-SELECT bucket, round(count(*) / 150.0, 6) AS density FROM (SELECT unnest(range(greatest(0, least(599, CAST(floor(start_sec / 4.0) AS INTEGER))), greatest(0, least(599, CAST(floor(end_sec / 4.0) AS INTEGER))) + 1)) AS bucket FROM runs WHERE {VISIBLE_SQL}) GROUP BY bucket""", A.SAMPLES, RUNS_SQL)
+SELECT bucket, round(count(*) / CAST((SELECT count(DISTINCT assoc_id) FROM runs) AS DOUBLE), 6) AS density FROM (SELECT unnest(range(greatest(0, least(599, CAST(floor(start_sec / 4.0) AS INTEGER))), greatest(0, least(599, CAST(floor(end_sec / 4.0) AS INTEGER))) + 1)) AS bucket FROM runs WHERE {VISIBLE_SQL}) GROUP BY bucket""", A.SAMPLES, RUNS_SQL)
 def coverage(spark, d):
-    return G.coverage(status_runs(spark, d), is_visible(c("status")), 2400.0, 150).withColumn("bucket", c("bucket").cast("long"))
+    runs = status_runs(spark, d)
+    objects = runs.agg(F.count_distinct("assoc_id")).first()[0]
+    return G.coverage(runs, is_visible(c("status")), 2400.0, objects).withColumn("bucket", c("bucket").cast("long"))
 
 
 @query("agg19_fixture_names", "SELECT DISTINCT CASE WHEN fixture = 'mid-air' THEN 'mid-air' ELSE lower(regexp_replace(split_part(fixture, '.', 1), '^[^_]*_', '')) END AS label FROM samples WHERE fixture IS NOT NULL", A.SAMPLES)
@@ -163,10 +165,28 @@ def top_two(spark, d):
     return R.best_and_runner_up(s, ["assoc_id"], "score", "fixture")
 
 
-@query("srt6_srt7_srt10_sort_keys", "SELECT event_id, CASE status WHEN 'in_view' THEN 0 WHEN 'in_motion' THEN 1 ELSE 2 END AS sort_rank FROM samples WHERE score >= 100", A.SAMPLES)
-def sort_keys(spark, d):
-    rank = F.when(c("status") == "in_view", 0).when(c("status") == "in_motion", 1).otherwise(2)
-    return D.confident(A.samples(spark, d), 100).select("event_id", rank.alias("sort_rank"))
+STATUS_RANK = "CASE status WHEN 'in_view' THEN 0 WHEN 'observed_visible_in_open_fixture' THEN 1 WHEN 'in_motion' THEN 2 WHEN 'out_of_view' THEN 3 ELSE 4 END"
+CLAIM_RANK = "CASE WHEN status IN ('in_view', 'observed_visible_in_open_fixture') THEN 0 WHEN status IN ('occluded_inside_closed_fixture', 'geometrically_occluded', 'observed_not_visible_in_open_fixture', 'assumed_not_visible_in_open_fixture') THEN 2 ELSE 1 END"
+
+
+@query("srt6_flattened_items", f"""
+SELECT video_id, assoc_id, run, row_number() OVER (PARTITION BY video_id ORDER BY {STATUS_RANK}, assoc_id, start_sec, end_sec, fixture, n_samples, run) AS place FROM runs""", A.SAMPLES, RUNS_SQL)
+def flattened_items(spark, d):
+    """Seven sort keys, the status's rank first."""
+    rank = F.expr(STATUS_RANK)
+    return R.numbered(status_runs(spark, d), ["video_id"], [rank, "assoc_id", "start_sec", "end_sec", "fixture", "n_samples", "run"], "place").select("video_id", "assoc_id", "run", c("place").cast("long"))
+
+
+@query("srt7_confidence_order", "SELECT event_id, row_number() OVER (PARTITION BY video_id ORDER BY score DESC, event_id) AS place FROM samples WHERE score >= 100", A.SAMPLES)
+def confidence_order(spark, d):
+    return D.confident(A.samples(spark, d), 100, ["video_id"], ["event_id"]).select("event_id", c("place").cast("long"))
+
+
+@query("srt10_claim_order", f"SELECT event_id, row_number() OVER (PARTITION BY video_id ORDER BY {CLAIM_RANK}, event_id) AS place FROM samples", A.SAMPLES)
+def claim_order(spark, d):
+    """What is said to be visible, then what nothing is said of, then what is said to be hidden."""
+    says = claim(c("status"))
+    return R.numbered(A.samples(spark, d), ["video_id"], [F.when(says, 0).when(~says, 2).otherwise(1), "event_id"], "place").select("event_id", c("place").cast("long"))
 
 
 @query("srt8_evenly_spaced", """
@@ -203,9 +223,9 @@ def name_cap(spark, d):
 
 
 @query("win14_video_cap_ids", """
-SELECT event_id, row_number() OVER (ORDER BY video_id, rn) AS record_id FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY event_id) AS rn FROM samples WHERE k % 3 = 0) WHERE rn <= 50""", A.SAMPLES)
+SELECT event_id, row_number() OVER (ORDER BY video_id, rn) AS record_id FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY event_id) AS rn FROM samples) WHERE rn <= 50""", A.SAMPLES)
 def video_cap(spark, d):
-    return R.capped_with_ids(A.samples(spark, d).where("k % 3 = 0"), ["video_id"], ["event_id"], 50).select("event_id", c("record_id").cast("long"))
+    return R.capped_with_ids(A.samples(spark, d), ["video_id"], ["event_id"], 50).select("event_id", c("record_id").cast("long"))
 
 
 @query("win16_keep_first", "SELECT min(event_id) AS event_id FROM samples GROUP BY video_id, assoc_id, round(time_sec, 0)", A.SAMPLES)
@@ -235,18 +255,27 @@ def type_priority(spark, d):
     return X.first_existing_type(events, catalog, ["l_orderkey"], "place").select("l_orderkey", "fixture_type")
 
 
-@query("jn11_interaction_scores")
+@query("jn11_interaction_scores", """
+SELECT track_id, best, best_score, runner_up_score, CASE WHEN best_score >= 0.55 AND best_score - runner_up_score >= 0.12 THEN 'high' WHEN best_score >= 0.30 THEN 'medium' WHEN best_score >= 0.10 THEN 'low' ELSE 'very_low' END AS confidence FROM (
+  SELECT track_id, max(CASE WHEN rn = 1 THEN fixture END) AS best, max(CASE WHEN rn = 1 THEN score END) AS best_score, coalesce(max(CASE WHEN rn = 2 THEN score END), -1.0) AS runner_up_score FROM (
+    SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY score DESC, fixture) AS rn FROM (
+      SELECT e.track_id, f.vec_id AS fixture, round(avg(look), 6) AS score FROM (
+        SELECT track_id, CAST(assoc_id % 10 AS INTEGER) AS place, round_even(start_sec / 100 * 30, 0) AS low, round_even((end_sec / 100 + 1) * 30, 0) AS high FROM tracks) e
+      JOIN points p ON p.label = e.place AND p.vec_id BETWEEN e.low AND e.high
+      JOIN (SELECT fr.vec_id AS frame, fx.vec_id, greatest(0.0, CASE WHEN dist < 1e-6 OR gn < 1e-6 THEN -1.0 ELSE (fr.gx * dx + fr.gy * dy + fr.gz * dz) / (gn * dist) END) * exp(-dist / 1.5) AS look FROM points fr JOIN points fx ON fr.label = fx.label,
+        LATERAL (SELECT fx.ax - fr.cx AS dx, fx.ay - fr.cy AS dy, fx.az - fr.cz AS dz), LATERAL (SELECT sqrt(dx * dx + dy * dy + dz * dz) AS dist, sqrt(fr.gx * fr.gx + fr.gy * fr.gy + fr.gz * fr.gz) AS gn)) f ON f.frame = p.vec_id
+      GROUP BY 1, 2)) GROUP BY track_id)""", A.TRACKS, A.POINTS)
 def interactions(spark, d):
     """Looks of embeddings at fixtures of their label during events."""
     p = A.points(spark, d)
     frames = p.select(c("label").alias("place"), c("vec_id").alias("frame_index"), "camera", "gaze")
-    fixtures = p.where("vec_id % 25 = 0").select(c("label").alias("place"), c("vec_id").alias("fixture"), c("a").alias("position"))
+    fixtures = p.select(c("label").alias("place"), c("vec_id").alias("fixture"), c("a").alias("position"))
     events = A.tracks(spark, d).select("track_id", (c("assoc_id") % 10).cast("int").alias("place"), (c("start_sec") / 100).alias("start_sec"), (c("end_sec") / 100 + 1).alias("end_sec"))
     typed = X.interaction_scores(events, frames, fixtures, ["track_id"], "place", 30.0)
     return R.best_and_runner_up(typed, ["track_id"], "score", "fixture")
 
 
-@query("jn16_jn25_jn35_lookups", """
+@query("jn16_name_lookup", """
 SELECT e.event_id, coalesce(n.n_name, 'unknown') AS area FROM events e LEFT JOIN nation n ON lower(trim(n.n_name)) = lower('Nation_' || CAST(e.user_id % 30 AS VARCHAR))""")
 def lookups(spark, d):
     n = A.read(spark, d, "nation").select(F.lower(F.trim("n_name")).alias("key"), c("n_name").alias("area"))
@@ -254,6 +283,27 @@ def lookups(spark, d):
     return X.looked_up(e, n, ["key"], "area", F.lit("unknown")).select("event_id", "area")
 
 
+@query("jn25_area_of_fixture", """
+SELECT s.event_id, coalesce(r.area, 'counter') AS area FROM samples s
+LEFT JOIN (SELECT participant, fixture, min(fixture_type) AS area FROM masks GROUP BY 1, 2) r ON r.participant = split_part(s.video_id, '-', 1) AND r.fixture = 'f' || CAST(s.k % 17 AS VARCHAR)""", A.SAMPLES, A.MASKS)
+def areas(spark, d):
+    r = A.masks(spark, d).groupBy("participant", "fixture").agg(F.min("fixture_type").alias("area"))
+    s = A.samples(spark, d).select("event_id", F.split("video_id", "-")[0].alias("participant"), F.concat(F.lit("f"), (c("k") % 17).cast("string")).alias("fixture"))
+    return X.looked_up(s, r, ["participant", "fixture"], "area", F.lit("counter")).select("event_id", "area")
+
+
+@query("jn35_state_or_live", """
+SELECT s.event_id, coalesce(p.flag, s.in_view OR s.raw_status = 'in_motion') AS visible FROM samples s LEFT JOIN (SELECT doc_id, max(quality) = 1 AS flag FROM labels GROUP BY doc_id) p ON p.doc_id = s.event_id""", A.SAMPLES)
+def state_or_live(spark, d):
+    """A precomputed flag where there is one, else what the sample itself says."""
+    from ..functions.statuses import live_visible
+
+    p = A.read(spark, d, "labels").groupBy(c("doc_id").alias("event_id")).agg((F.max("quality") == 1).alias("flag"))
+    s = A.samples(spark, d).select("event_id", "raw_status", "in_view")
+    live = F.coalesce(c("in_view"), F.lit(False)) | (c("raw_status") == "in_motion")
+    return X.looked_up(s, p, ["event_id"], "flag", live).select("event_id", live_visible(c("flag"), c("raw_status"), c("in_view")).alias("visible"))
+
+
 @query("jn26_qst20_merged_scores", """
 SELECT event_id, coalesce(s.quality, CASE WHEN event_id % 4 = 0 THEN -1 END) AS score FROM events LEFT JOIN (SELECT doc_id, arg_max(quality, (toxic, quality)) AS quality FROM labels GROUP BY doc_id) s ON s.doc_id = event_id""")
 def merged_scores(spark, d):
@@ -263,11 +313,11 @@ def merged_scores(spark, d):
 
 
 @query("jn29_matched_boxes", """
-SELECT p.vec_id, count(b.vec_id) AS n_boxes, arg_min(b.vec_id, ((p.u - (b.u + 15)) * (p.u - (b.u + 15)) + (p.v - (b.v + 10)) * (p.v - (b.v + 10)), b.vec_id)) AS box_id FROM points p LEFT JOIN points b ON p.label = b.label AND b.vec_id % 7 = 0 AND p.u BETWEEN b.u - 20 AND b.u + 50 AND p.v BETWEEN b.v - 20 AND b.v + 40 GROUP BY p.vec_id""", A.POINTS)
+SELECT p.vec_id, count(b.vec_id) AS n_boxes, arg_min(b.vec_id, ((p.u - (b.u + 15)) * (p.u - (b.u + 15)) + (p.v - (b.v + 10)) * (p.v - (b.v + 10)), b.vec_id)) AS box_id FROM points p LEFT JOIN points b ON p.label = b.label AND p.u BETWEEN b.u - 20 AND b.u + 50 AND p.v BETWEEN b.v - 20 AND b.v + 40 GROUP BY p.vec_id""", A.POINTS)
 def boxes(spark, d):
     p = A.points(spark, d)
     u, v = c("pixel.u"), c("pixel.v")
-    b = p.where("vec_id % 7 = 0").select("label", c("vec_id").alias("box_id"), u.alias("x1"), v.alias("y1"), (u + 30).alias("x2"), (v + 20).alias("y2"))
+    b = p.select("label", c("vec_id").alias("box_id"), u.alias("x1"), v.alias("y1"), (u + 30).alias("x2"), (v + 20).alias("y2"))
     return V.matched_boxes(p.select("label", "vec_id", "pixel"), b, ["label"]).select("vec_id", c("n_boxes").cast("long"), "box_id")
 
 
@@ -280,7 +330,11 @@ def anchors(spark, d):
     return V.relative_to_anchor(s, placed, ["label"]).select(c("assoc_id").alias("vec_id"), "anchor_id", F.round("relative.x", 6).alias("rx"))
 
 
-@query("jn30_jn34_projected_at_frame")
+@query("jn30_jn34_projected_at_frame", """
+SELECT frame_index, round(z, 4) AS z, CASE WHEN z > 1e-9 THEN round(600.0 * (x1 + (2 * x1 * x1 + rr) * 0.001 + 2 * x1 * y1 * -0.002 + 0.0005 * rr + 0.0001 * rr * rr) + 704.0, 3) END AS u FROM (
+  SELECT *, x1 * x1 + y1 * y1 AS rr FROM (SELECT *, a * s0 AS x1, b * s0 AS y1 FROM (SELECT *, CASE WHEN r < 1e-12 THEN 1.0 ELSE th * (1 + 0.1 * th * th - 0.05 * th * th * th * th + 0.01 * th * th * th * th * th * th) / r END AS s0 FROM (
+    SELECT *, sqrt(a * a + b * b) AS r, atan(sqrt(a * a + b * b)) AS th FROM (SELECT *, x / z AS a, y / z AS b FROM (
+      SELECT vec_id AS frame_index, c * ax + s * az + tx AS x, ay + ty AS y, -s * ax + c * az + tz AS z FROM points))))))""", A.POINTS)
 def projected(spark, d):
     """Places seen from the pose of the nearest frame."""
     p = A.points(spark, d)
@@ -309,14 +363,20 @@ def without_failed(spark, d):
     return E.without_failed(A.steps(spark, d), "trajectory_id", c("skipped"), c("step") == "1").select("trajectory_id", "step")
 
 
-@query("str20_str23_nested_updates")
+@query("str20_str23_nested_updates", """
+SELECT trajectory_id, count(anchor) AS n_anchors, round(sum(anchor), 6) AS anchors, 2 AS version, arg_min('{"v":{"position":' || CAST(position AS VARCHAR) || ',"step":"' || step || '"}}', position) AS first_step
+FROM (SELECT *, coalesce(CASE WHEN position % 2 = 0 THEN correct_idx / 1408.0 END, position / 1408.0) AS anchor FROM steps) GROUP BY trajectory_id""", A.STEPS)
 def nested_updates(spark, d):
     """Steps as structs with a field filled in where it is absent, and an older version's structs completed."""
     s = F.struct("position", "step", F.when(c("position") % 2 == 0, c("correct_idx") / F.lit(1408.0)).alias("anchor"))
     rows = A.steps(spark, d).groupBy("trajectory_id").agg(F.array_sort(F.collect_list(s)).alias("steps"))
     filled = E.with_field_if_absent(c("steps"), "anchor", lambda x: x["position"] / F.lit(1408.0))
     one = E.upgraded(F.element_at(filled, 1), {"version": F.lit(2)})
-    return rows.select("trajectory_id", F.size(F.filter(filled, lambda x: x["anchor"].isNotNull())).alias("n_anchors"), one["version"].alias("version"), N.text_of_any(F.element_at(filled, 1)).alias("first_step"))
+    filled_in = F.filter(F.transform(filled, lambda x: x["anchor"]), lambda x: x.isNotNull())
+    return rows.select(
+        "trajectory_id", F.size(filled_in).cast("long").alias("n_anchors"), F.round(F.aggregate(filled_in, F.lit(0.0), lambda a, x: a + x), 6).alias("anchors"), one["version"].alias("version"),
+        N.text_of_any(F.struct(one["position"].alias("position"), one["step"].alias("step"))).alias("first_step"),
+    )
 
 
 @query("qst19_jn27_incremental_manifest", "SELECT event_id FROM samples WHERE status NOT IN (SELECT status FROM samples WHERE event_id < 2)", A.SAMPLES)
@@ -391,17 +451,103 @@ def trajectories(spark, d):
     )
 
 
-@query("qst17_exploded_steps")
+@query("qst17_exploded_steps", "SELECT trajectory_id, position, step, question, answer FROM steps", A.STEPS)
 def flat_steps(spark, d):
     s = A.steps(spark, d).withColumn("choices", F.array().cast("array<string>"))
     rows = s.groupBy("trajectory_id").agg(F.array_sort(F.collect_list(F.struct("position", "step", "question", "answer"))).alias("incremental_steps"))
     return Q.exploded_steps(rows, ["trajectory_id"])
 
 
-@query("udf1_udf6_qst13_qst14_detector_path")
+@query("udf1_udf2_udf6_qst13_qst14_detector_path", """
+SELECT label, vec_id, round(b / 255.0, 6) AS score, 'visible' AS verdict, CAST(x1 + greatest(1, x2 - x1) // 4 AS INTEGER) AS x1, CAST(y1 + greatest(1, y2 - y1) // 4 AS INTEGER) AS y1 FROM (
+  SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM (
+    SELECT *, CAST('0x' || substring(md5('cup|' || x1 || '|' || y1 || '|' || x2 || '|' || y2), 1, 2) AS INTEGER) AS b FROM (
+      SELECT *, greatest(0, least(1408, cu - h)) AS x1, greatest(0, least(1408, cu + h)) AS x2, greatest(0, least(1408, cv - h)) AS y1, greatest(0, least(1408, cv + h)) AS y2 FROM (
+        SELECT *, CAST(round_even(u, 0) AS INTEGER) AS cu, CAST(round_even(v, 0) AS INTEGER) AS cv, CAST(trunc(0.5 * 1.5 * (label * 10.0) + 40) AS INTEGER) AS h FROM points))) WHERE b / 255.0 >= 0.5) WHERE rn <= 2""", A.POINTS)
 def detector_path(spark, d):
     """Regions around pixels, a detector on each, labels, and the first two per label that pass."""
     p = A.points(spark, d).select("label", "vec_id", "pixel", F.lit(None).cast("double").alias("last_size"), (c("label") * 10.0).alias("expected_size"), F.lit(40).alias("slack"), F.lit("cup").alias("phrase"))
     regions = D.searched(p, 1408, 1408).drop("pixel")
     found = D.detections(regions, "stub", ["vec_id"]).withColumn("verdict", D.label_of(c("score")))
     return Q.detector_gate(found, ["label"], ["vec_id"], c("verdict") == "visible", 2).select("label", "vec_id", F.round("score", 6).alias("score"), "verdict", "x1", "y1")
+
+
+@query("udf7_audit_loop", """
+SELECT vec_id, CASE WHEN label % 3 = 0 THEN 'skipped' WHEN hit THEN 'detected' ELSE 'not_detected' END AS verdict, CASE WHEN label % 3 <> 0 AND hit THEN round(b / 255.0, 6) END AS match_score FROM (
+  SELECT *, u BETWEEN 352 - 20 AND 704 + 20 AND v BETWEEN 352 - 20 AND 704 + 20 AS hit, CAST('0x' || substring(md5('object ' || label || '|0|0|1408|1408'), 1, 2) AS INTEGER) AS b FROM points)""", A.POINTS)
+def audit(spark, d):
+    """The stub looks at the whole image for each sample that has a pixel."""
+    p = A.points(spark, d).select("vec_id", F.when(c("label") % 3 != 0, c("pixel")).alias("pixel"), F.concat(F.lit("object "), c("label").cast("string")).alias("phrase"))
+    return D.audited(p, "stub", ["vec_id"], 1408, 1408).select("vec_id", "verdict", F.round("match_score", 6).alias("match_score"))
+
+
+@query("flt19_still_hidden", "SELECT s.event_id FROM samples s WHERE NOT EXISTS (SELECT 1 FROM samples x WHERE x.assoc_id = s.assoc_id AND x.time_sec = s.time_sec AND x.raw_status = 'ok' AND x.in_view)", A.SAMPLES)
+def still_hidden(spark, d):
+    s = A.samples(spark, d).withColumn("query_sec", c("time_sec"))
+    return Q.still_hidden(s.select(*OBJ, "query_sec", "event_id"), s.select(*OBJ, "query_sec", "raw_status", "in_view")).select("event_id")
+
+
+@query("qst22_visible_records", f"""
+SELECT video_id, assoc_id, key, CAST(row_number() OVER (ORDER BY video_id, rn) AS BIGINT) AS trajectory_id, 'Yes' AS answer, CASE WHEN md5('4|' || key || '|Yes') < md5('4|' || key || '|No') THEN 'Yes,No' ELSE 'No,Yes' END AS choices FROM (
+  SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY time_sec, event_id) AS rn FROM (
+    SELECT *, printf('%s:%d:%.6f', video_id, assoc_id, time_sec) AS key, row_number() OVER (PARTITION BY video_id, assoc_id, round(time_sec, 6) ORDER BY time_sec, event_id) AS once FROM samples WHERE {STABLE_SQL}) WHERE once = 1) WHERE rn <= 20""", A.SAMPLES)
+def visible_records(spark, d):
+    s = A.samples(spark, d).where(is_stable(c("status"))).select(*OBJ, "time_sec", "event_id")
+    r = Q.visible_records(s, F.concat(F.lit("object "), c("assoc_id").cast("string")), "time_sec", ["time_sec", "event_id"], 20, 4)
+    step = c("incremental_steps")[0]
+    return r.select("video_id", "assoc_id", "key", "trajectory_id", step["answer"].alias("answer"), F.array_join(step["choices"], ",").alias("choices"))
+
+
+CHOSEN = """labels_ AS (SELECT *, CASE WHEN fixture = 'mid-air' THEN 'mid-air' ELSE lower(regexp_replace(split_part(fixture, '.', 1), '^[^_]*_', '')) END AS label FROM samples WHERE fixture IS NOT NULL),
+words AS (SELECT list_sort(list(DISTINCT label)) AS w FROM labels_ WHERE label NOT IN ('', 'mid-air')),
+others AS (SELECT event_id, label, list_slice(list_transform(list_sort(list_transform(list_filter(w, lambda x: x <> label), lambda x: {'h': md5('6|' || CAST(event_id AS VARCHAR) || '|' || x), 'c': x})), lambda s: s.c), 1, 2) AS o FROM labels_, words WHERE label NOT IN ('', 'mid-air')),
+chosen AS (SELECT event_id, label, list_transform(list_sort(list_transform(list_concat([label], o), lambda x: {'h': md5('6:order|' || CAST(event_id AS VARCHAR) || '|' || x), 'c': x})), lambda s: s.c) AS choices FROM others WHERE len(o) = 2)"""
+
+
+@query("qst21_rnd2_absolute_answers", "SELECT event_id, label AS answer, array_to_string(choices, ',') AS choices, CAST(list_position(choices, label) - 1 AS INTEGER) AS correct_idx FROM chosen", A.SAMPLES, CHOSEN)
+def absolute_answers(spark, d):
+    s = A.samples(spark, d)
+    vocabulary = s.select(N.fixture_label(c("fixture")).alias("label")).distinct()
+    out = Q.absolute_answers(s.select("event_id", "fixture"), "fixture", vocabulary, "label", c("event_id"), 3, 6)
+    return out.select("event_id", "answer", F.array_join("choices", ",").alias("choices"), "correct_idx")
+
+
+@query("qst18_video_windows", "SELECT video_id, min(time_sec) AS start_sec, max(time_sec) AS end_sec, count(*) AS n_samples FROM samples s WHERE assoc_id = (SELECT min(assoc_id) FROM samples x WHERE x.video_id = s.video_id) GROUP BY video_id", A.SAMPLES)
+def video_windows(spark, d):
+    return Q.video_windows(A.samples(spark, d))
+
+
+FAMILIES = """starts AS (SELECT video_id, min(time_sec) AS first_sec FROM samples GROUP BY 1),
+cand AS (SELECT s.*, time_sec - 30 - 5 AS clip_start, (k - 50) / 2.0 AS deg, CASE WHEN k % 4 <> 0 THEN CASE WHEN k % 3 = 0 THEN 'left' ELSE 'right' END END AS rel,
+  CASE WHEN fixture IS NOT NULL AND fixture <> 'mid-air' THEN lower(regexp_replace(split_part(fixture, '.', 1), '^[^_]*_', '')) END AS label FROM samples s JOIN starts USING (video_id) WHERE time_sec - 30 - 5 >= first_sec - 1e-9),
+rot AS (SELECT *, CASE WHEN abs(deg) <= 20 AND abs(abs(deg) - 8) >= 2 AND abs(abs(deg) - 15) >= 2 AND abs(abs(deg) - 25) >= 2 THEN CASE WHEN abs(deg) < 8 THEN 'no significant rotation' WHEN deg > 0 THEN 'left' ELSE 'right' END END AS turn FROM cand),
+asked AS (SELECT event_id, video_id, time_sec, clip_start, 'oos_abs_fixture_location' AS question_class, label AS answer FROM rot WHERE label IS NOT NULL
+  UNION ALL SELECT event_id, video_id, time_sec, clip_start, 'oos_rel_anchor_location', rel FROM rot WHERE rel IS NOT NULL UNION ALL SELECT event_id, video_id, time_sec, clip_start, 'camera_rotation', turn FROM rot WHERE rel IS NOT NULL AND turn IS NOT NULL)"""
+
+
+@query("qst15_flat_questions", """
+SELECT question_class || '_h5p0_' || CAST(row_number() OVER (PARTITION BY question_class ORDER BY video_id, time_sec, event_id) - 1 AS VARCHAR) AS question_id, event_id, answer, round(time_sec - clip_start, 6) AS query_in_clip_sec FROM asked""", A.SAMPLES, FAMILIES)
+def flat_questions(spark, d):
+    """Absolute, relative and rotation questions of all candidates; a candidate without a relative answer has no rotation question either."""
+    from ..functions import geometry as M
+
+    s = A.samples(spark, d)
+    starts = s.groupBy("video_id").agg(F.min("time_sec").alias("start_sec"))
+    cand = Q.clip_window(s.select("video_id", "assoc_id", "event_id", "k", "fixture", c("time_sec").alias("query_sec"), (c("time_sec") - 30).alias("clip_start_sec")), starts, 5.0)
+    label, deg = N.fixture_label(c("fixture")), (c("k") - 50) / F.lit(2.0)
+    relative = F.when(c("k") % 4 != 0, F.when(c("k") % 3 == 0, "left").otherwise("right"))
+    turn = F.when((F.abs(deg) <= 20) & M.off_boundaries(deg), M.side_label(deg))
+    families = {"oos_abs_fixture_location": (F.lit(True), F.when(N.valid_fixture(label), label)), "oos_rel_anchor_location": (F.lit(True), relative), "camera_rotation": (F.lit(True), turn)}
+    return Q.flat_questions(cand, 5.0, families, ["query_sec", "event_id"]).select("question_id", "event_id", "answer", F.round("query_in_clip_sec", 6).alias("query_in_clip_sec"))
+
+
+@query("flt1_jn24_states_at_times", """
+SELECT t.video_id, t.time_sec, o.assoc_id, arg_min(s.event_id, (abs(s.time_sec - t.time_sec), s.time_sec)) AS event_id FROM (SELECT DISTINCT video_id, floor(time_sec / 60) * 60 AS time_sec FROM samples) t
+JOIN (SELECT DISTINCT video_id, assoc_id FROM samples WHERE assoc_id % 7 <> 0) o ON o.video_id = t.video_id LEFT JOIN samples s ON s.assoc_id = o.assoc_id AND abs(s.time_sec - t.time_sec) <= 20 GROUP BY 1, 2, 3""", A.SAMPLES)
+def states_at_times(spark, d):
+    """Objects that are named as skipped have no states."""
+    s = A.samples(spark, d)
+    times = s.select("video_id", (F.floor(c("time_sec") / 60) * 60).cast("double").alias("time_sec")).distinct()
+    objects = s.select("video_id", "assoc_id", F.concat(F.lit("object"), F.when(c("assoc_id") % 7 == 0, " (skipped)").otherwise("")).alias("name")).distinct()
+    seen = s.groupBy("video_id", "assoc_id", c("time_sec").alias("sample_sec")).agg(F.min("event_id").alias("event_id"))
+    return V.states_at(times, objects, seen, 20.0).select("video_id", "time_sec", "assoc_id", c("state.event_id").alias("event_id"))

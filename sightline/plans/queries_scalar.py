@@ -76,10 +76,10 @@ DELTA = "degrees(atan2(ax * qz - az * qx, ax * qx + az * qz))"
 SELECT vec_id, round({HEADING}, 6) AS heading, round({DELTA}, 6) AS delta, CASE WHEN abs({DELTA}) < 8 THEN 'no significant rotation' ELSE (CASE WHEN {DELTA} > 0 THEN 'left' ELSE 'right' END) || (CASE WHEN abs({DELTA}) < 15 THEN ', about 10 degrees' ELSE ', about 20 degrees' END) END AS rotation,
   CASE WHEN abs({DELTA}) < 8 THEN 'no significant rotation' WHEN {DELTA} > 0 THEN 'left' ELSE 'right' END AS side, CASE WHEN abs({DELTA}) <= 15 THEN 'none' WHEN abs({DELTA}) >= 135 THEN 'back' WHEN {DELTA} > 0 THEN 'left' ELSE 'right' END AS turn,
   CASE WHEN az < 0 AND degrees(atan2(abs(ax), az)) >= 45 THEN 'behind' WHEN ax < 0 THEN 'left' ELSE 'right' END AS bearing,
-  abs(abs({DELTA}) - 8) >= 2 AND abs(abs({DELTA}) - 15) >= 2 AND abs(abs({DELTA}) - 25) >= 2 AS clear, round(mod(vec_id * 7, 720) - 360 - 360 * floor((mod(vec_id * 7, 720) - 360 + 180) / 360.0), 6) AS wrapped FROM points WHERE vec_id * 7 % 720 % 360 <> 180""", A.POINTS)
+  abs(abs({DELTA}) - 8) >= 2 AND abs(abs({DELTA}) - 15) >= 2 AND abs(abs({DELTA}) - 25) >= 2 AS clear, CASE WHEN abs(mod(vec_id * 7, 720) - 360) = 180 THEN 180.0 ELSE round(mod(vec_id * 7, 720) - 360 - 360 * floor((mod(vec_id * 7, 720) - 360 + 180) / 360.0), 6) END AS wrapped FROM points""", A.POINTS)
 def turns(spark, d):
     delta = G.yaw_delta(c("a.x"), c("a.z"), c("b.x"), c("b.z"))
-    p = A.points(spark, d).where("vec_id * 7 % 720 % 360 <> 180").withColumn("delta", delta)
+    p = A.points(spark, d).withColumn("delta", delta)
     w = G.wrapped((c("vec_id") * 7 % 720 - 360).cast("double"))
     return p.select(
         "vec_id", r6(G.heading(c("pose")), "heading"), r6(c("delta"), "d"), G.rotation_label(c("delta")).alias("rotation"), G.side_label(c("delta")).alias("side"), G.turn_label(c("delta")).alias("turn"),
@@ -134,7 +134,7 @@ def disagreements(spark, d):
     return A.samples(spark, d).select("event_id", G.disagreement(claim(c("status")), c("k") / F.lit(100.0)).alias("disagreement"))
 
 
-@query("geo8_geo10_unproject_round_trip")
+@query("geo8_geo10_unproject_round_trip", "SELECT vec_id, CAST(0 AS DOUBLE) AS error, round(c * cx + s * cz + tx, 4) AS wx FROM points WHERE cz > 1e-9", A.POINTS)
 def unproject(spark, d):
     """Pixels of the fisheye model turned into directions and projected again: the distance is about 0 wherever the model can be inverted."""
     p = A.points(spark, d).withColumn("px", G.project_fisheye(c("camera"), A.LENS)).where("px is not null")
@@ -144,13 +144,26 @@ def unproject(spark, d):
     return back.select("vec_id", F.round(F.greatest(F.abs(again["u"] - c("px.u")), F.abs(again["v"] - c("px.v"))), 3).alias("error"), F.round(world["x"], 4).alias("wx"))
 
 
-@query("jn28_jn33_ray_occlusion")
+RAYS = """r AS (SELECT label % 2 AS scene, vec_id AS key, ax AS ox, ay AS oy, az AS oz, cx - ax AS wx, cy - ay AS wy, cz - az AS wz, sqrt((cx - ax) * (cx - ax) + (cy - ay) * (cy - ay) + (cz - az) * (cz - az)) AS len FROM points),
+ray AS (SELECT scene, key, ox, oy, oz, wx / len AS wx, wy / len AS wy, wz / len AS wz, len FROM r WHERE len >= 1e-6),
+tri AS (SELECT label % 2 AS scene, qx AS x0, qy AS y0, qz AS z0, gx - qx AS ax, gy - qy AS ay, gz - qz AS az, gx AS bx, gy AS by_, gz AS bz FROM points),
+met AS (SELECT ray.*, t.ax AS e1x, t.ay AS e1y, t.az AS e1z, t.bx AS e2x, t.by_ AS e2y, t.bz AS e2z, ox - x0 AS tx, oy - y0 AS ty, oz - z0 AS tz FROM ray JOIN tri t USING (scene)),
+p AS (SELECT *, wy * e2z - wz * e2y AS px, wz * e2x - wx * e2z AS py, wx * e2y - wy * e2x AS pz, ty * e1z - tz * e1y AS qx, tz * e1x - tx * e1z AS qy, tx * e1y - ty * e1x AS qz FROM met),
+hit AS (SELECT *, e1x * px + e1y * py + e1z * pz AS det FROM p),
+blocked AS (SELECT DISTINCT scene, key FROM hit WHERE abs(det) > 1e-12 AND (tx * px + ty * py + tz * pz) / det >= 0 AND (wx * qx + wy * qy + wz * qz) / det >= 0 AND (tx * px + ty * py + tz * pz) / det + (wx * qx + wy * qy + wz * qz) / det <= 1
+  AND (e2x * qx + e2y * qy + e2z * qz) / det > 1e-9 AND (e2x * qx + e2y * qy + e2z * qz) / det < len - 0.02)"""
+
+
+@query("jn28_jn33_ray_occlusion", """
+SELECT p.label % 2 AS scene, p.vec_id AS key, CASE WHEN ray.key IS NOT NULL THEN CASE WHEN b.key IS NULL THEN CAST(0 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END END AS occluded_fraction, CASE WHEN ray.key IS NOT NULL THEN b.key IS NOT NULL END AS geometrically_occluded
+FROM points p LEFT JOIN ray ON ray.key = p.vec_id LEFT JOIN blocked b ON b.key = p.vec_id""", A.POINTS, RAYS)
 def ray_occlusion(spark, d):
     """Lines of sight between embeddings' places against triangles made of others."""
     p = A.points(spark, d)
     scene = (c("label") % 2).alias("scene")
-    tri = p.where("vec_id % 5 = 0").select(scene, c("a").alias("v0"), c("b").alias("v1"), c("gaze").alias("v2"))
-    ray = p.where("vec_id % 5 <> 0").select(scene, c("vec_id").alias("key"), c("a").alias("origin"), c("camera").alias("target"))
+    third = G.vec(c("b.x") + c("gaze.x"), c("b.y") + c("gaze.y"), c("b.z") + c("gaze.z"))
+    tri = p.select(scene, c("b").alias("v0"), c("gaze").alias("v1"), third.alias("v2"))
+    ray = p.select(scene, c("vec_id").alias("key"), c("a").alias("origin"), c("camera").alias("target"))
     return rays.occlusion_flags(ray.select("scene", "key"), rays.occluded_fraction(ray, tri, "scene"), ["scene", "key"])
 
 
@@ -259,9 +272,9 @@ def hash_sample(spark, d):
 
 @query("rnd5_sampled_frames", """
 SELECT span_id, frame_index, round(frame_index / 30.0, 6) AS time_sec FROM (SELECT *, row_number() OVER (PARTITION BY span_id ORDER BY md5('5|' || CAST(span_id AS VARCHAR) || '|' || CAST(frame_index AS VARCHAR)), frame_index) AS rn FROM (
-  SELECT span_id, unnest(range(CAST(start_sec * 30 AS BIGINT), CAST(end_sec * 30 AS BIGINT) + 1)) AS frame_index FROM spans WHERE end_sec IS NOT NULL AND span_id % 97 = 0)) WHERE rn <= 5""", A.SPANS)
+  SELECT span_id, unnest(range(CAST(round_even(start_sec * 30, 0) AS BIGINT), CAST(round_even((start_sec + (end_sec - start_sec) / 10) * 30, 0) AS BIGINT) + 1)) AS frame_index FROM spans WHERE end_sec IS NOT NULL)) WHERE rn <= 5""", A.SPANS)
 def sampled_frames(spark, d):
-    s = A.spans(spark, d).where("end_sec is not null and span_id % 97 = 0").select("span_id", "start_sec", "end_sec")
+    s = A.spans(spark, d).where("end_sec is not null").select("span_id", "start_sec", (c("start_sec") + (c("end_sec") - c("start_sec")) / 10).alias("end_sec"))
     return R.sampled_frames(s, ["span_id"], "start_sec", "end_sec", 30.0, 5, 5).select("span_id", "frame_index", "time_sec")
 
 
@@ -277,12 +290,34 @@ def chosen(spark, d):
     return R.chosen_or_sampled(A.samples(spark, d), "assoc_id", None, 3, 1).select("event_id")
 
 
-@query("set1_set2_set4_set7_unions", "SELECT assoc_id AS id FROM tracks UNION SELECT user_id FROM events", A.TRACKS)
+@query("set1_union", "SELECT assoc_id AS id FROM tracks UNION SELECT user_id FROM events", A.TRACKS)
 def unions(spark, d):
     return A.tracks(spark, d).select(c("assoc_id").alias("id")).union(A.read(spark, d, "events").select("user_id")).distinct()
 
 
-@query("src18_src19_flt15_manifest", "SELECT page_id, md5(url) AS md5, split_part(split_part(url, '://', 2), '/', 1) AS host FROM pages WHERE url IS NOT NULL AND contains(url, '://')")
+@query("set2_ordered_union", """
+SELECT p_partkey, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ',') AS ids FROM (SELECT p_partkey, [p_type, p_brand, p_type, p_name, p_brand] AS l FROM part)""")
+def ordered_union(spark, d):
+    ids = F.array_distinct(F.concat(F.array("p_type", "p_brand"), F.array("p_type", "p_name", "p_brand")))
+    return A.read(spark, d, "part").select("p_partkey", F.array_join(ids, ",").alias("ids"))
+
+
+@query("set4_status_domains", """
+SELECT assoc_id, array_to_string(list_sort(list_filter(['in_view', 'in_motion', 'out_of_view', 'unobservable_no_data'], lambda x: NOT list_contains(l, x))), ',') AS missing,
+  array_to_string(list_sort(list_distinct(list_concat(l, ['geometrically_occluded']))), ',') AS domain FROM (SELECT assoc_id, list(DISTINCT status) AS l FROM samples GROUP BY assoc_id)""", A.SAMPLES)
+def status_domains(spark, d):
+    known = F.array(*(F.lit(x) for x in ("in_view", "in_motion", "out_of_view", "unobservable_no_data")))
+    seen = A.samples(spark, d).groupBy("assoc_id").agg(F.collect_set("status").alias("l"))
+    return seen.select("assoc_id", F.array_join(F.sort_array(F.array_except(known, c("l"))), ",").alias("missing"), F.array_join(F.sort_array(F.array_union("l", F.array(F.lit("geometrically_occluded")))), ",").alias("domain"))
+
+
+@query("set7_selected_videos", "SELECT DISTINCT video_id FROM samples WHERE split_part(video_id, '-', 1) IN ('P01', 'P03')", A.SAMPLES)
+def selected_videos(spark, d):
+    """Without an explicit list, the videos of the participants."""
+    return R.selected_videos(A.samples(spark, d), "video_id", None, ["P01", "P03"])
+
+
+@query("src18_manifest", "SELECT page_id, md5(url) AS md5, split_part(split_part(url, '://', 2), '/', 1) AS host FROM pages WHERE url IS NOT NULL AND contains(url, '://')")
 def manifest(spark, d):
     from ..sources.readers import manifest as parse
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.statuses import is_stable, is_visible, priority, status_ladder
 from ..operators import islands as I
 from ..operators import temporal as T
-from ..operators.visibility import classified_samples, coarse_intervals, merged_tracks
+from ..operators.visibility import classified_samples, coarse_intervals, merged_tracks, run_stages
 from . import adapters as A
 from .registry import query
 
@@ -110,16 +110,19 @@ def open_close_states(spark, d):
     return I.open_close_intervals(s, s.select("assoc_id").distinct().withColumn("video_end", F.lit(2500.0)), OBJ)
 
 
-@query("win15_ema_smoother")
+@query("win15_ema_smoother", """
+SELECT event_id, round(smooth, 6) AS smooth FROM ema""", "RECURSIVE " + A.SAMPLES.strip(), """ema AS (
+  SELECT assoc_id, i, event_id, score AS smooth FROM samples WHERE i = 0 UNION ALL
+  SELECT s.assoc_id, s.i, s.event_id, CAST(0.7 AS DOUBLE) * s.score + (1 - CAST(0.7 AS DOUBLE)) * e.smooth FROM ema e JOIN samples s ON s.assoc_id = e.assoc_id AND s.i = e.i + 1)""")
 def ema_smoother(spark, d):
     return I.smoothed(A.samples(spark, d).select("assoc_id", "event_id", "time_sec", "score"), OBJ, ["time_sec", "event_id"], "score", 0.7, "smooth").select("event_id", F.round("smooth", 6).alias("smooth"))
 
 
 @query("flt22_interval_invariants", """
 SELECT span_id, rule FROM (SELECT span_id, unnest([CASE WHEN status NOT IN ('in_view', 'out_of_view') THEN 'unknown_status' END, CASE WHEN end_sec < start_sec THEN 'negative_length' END,
-  CASE WHEN lag(end_sec) OVER (PARTITION BY assoc_id ORDER BY start_sec, end_sec) > start_sec THEN 'overlap' END, CASE WHEN rank < 0 THEN 'negative_count' END]) AS rule FROM spans WHERE end_sec IS NOT NULL AND span_id % 11 = 1) WHERE rule IS NOT NULL""", A.SPANS)
+  CASE WHEN lag(end_sec) OVER (PARTITION BY assoc_id ORDER BY start_sec, end_sec) > start_sec THEN 'overlap' END, CASE WHEN rank < 0 THEN 'negative_count' END]) AS rule FROM spans WHERE end_sec IS NOT NULL) WHERE rule IS NOT NULL""", A.SPANS)
 def interval_invariants(spark, d):
-    s = A.spans(spark, d).where("end_sec is not null and span_id % 11 = 1")
+    s = A.spans(spark, d).where("end_sec is not null")
     return I.interval_violations(s, OBJ, ["in_view", "out_of_view"], ["rank"]).select("span_id", "rule")
 
 
@@ -171,8 +174,9 @@ def nearest_tolerance(spark, d):
 @query("jn5_jn7_stab_first_match", """
 SELECT s.event_id, arg_min(p.span_id, (p.start_sec, p.span_id)) AS span_id FROM samples s JOIN spans p ON s.assoc_id = p.assoc_id AND p.start_sec <= s.time_sec AND (p.end_sec IS NULL OR s.time_sec <= p.end_sec) GROUP BY s.event_id""", A.SAMPLES, A.SPANS)
 def stab_first(spark, d):
-    held = T.stab_join(A.samples(spark, d).select("assoc_id", "event_id", "time_sec"), A.spans(spark, d).select("assoc_id", "span_id", "start_sec", "end_sec"), OBJ, "time_sec", "start_sec", "end_sec", bucket=16.0)
-    return T.first_match(held, ["event_id"], F.struct("s_start_sec", "s_span_id"), ["s_span_id"]).withColumnRenamed("s_span_id", "span_id")
+    p = A.spans(spark, d).select("assoc_id", "span_id", "start_sec", "end_sec")
+    held = T.stab_first(A.samples(spark, d).select("assoc_id", "event_id", "time_sec"), p, OBJ, "time_sec", "start_sec", "end_sec", ["span_id"], bucket=16.0)
+    return held.where("s_span_id is not null").select("event_id", F.col("s_span_id").alias("span_id"))
 
 
 @query("jn6_stab_last_started", """
@@ -196,10 +200,10 @@ def stab_priority(spark, d):
 @query("jn9_sound_snap", """
 SELECT t.track_id, coalesce(b.s, t.start_sec) AS start_sec, coalesce(b.e, t.end_sec) AS end_sec, b.s IS NOT NULL AS snapped FROM tracks t
 LEFT JOIN (SELECT t.track_id, arg_min({'s': n.s, 'e': n.e}, (abs(n.mid - (t.start_sec + t.end_sec) / 2), n.mid, n.s, n.e)) AS b FROM tracks t
-  JOIN (SELECT assoc_id, start_sec AS s, end_sec AS e, (start_sec + end_sec) / 2 AS mid FROM spans WHERE span_id % 5 = 2 AND end_sec IS NOT NULL) n
-  ON t.assoc_id = n.assoc_id AND abs(n.mid - (t.start_sec + t.end_sec) / 2) <= 1.5 GROUP BY 1) USING (track_id)""", A.TRACKS)
+  JOIN (SELECT assoc_id, time_sec AS s, time_sec + 0.5 AS e, (time_sec + (time_sec + 0.5)) / 2 AS mid FROM samples) n
+  ON t.assoc_id = n.assoc_id AND abs(n.mid - (t.start_sec + t.end_sec) / 2) <= 1.5 GROUP BY 1) USING (track_id)""", A.SAMPLES, A.TRACKS)
 def sound_snap(spark, d):
-    sounds = A.spans(spark, d).where("span_id % 5 = 2 and end_sec is not null").select("assoc_id", "start_sec", F.col("end_sec").alias("stop_sec"))
+    sounds = A.samples(spark, d).select("assoc_id", F.col("time_sec").alias("start_sec"), (F.col("time_sec") + 0.5).alias("stop_sec"))
     return T.snap_to_sound(A.tracks(spark, d).select("assoc_id", "track_id", "start_sec", "end_sec"), sounds, OBJ).select("track_id", "start_sec", "end_sec", "snapped")
 
 
@@ -216,23 +220,27 @@ def other_objects(spark, d):
     s = A.samples(spark, d).withColumn("t", F.floor("time_sec"))
     done = A.tracks(spark, d).groupBy("assoc_id").agg(F.min("end_sec").alias("first_end"))
     o = s.where(is_stable(F.col("status"))).join(done, "assoc_id").where(F.col("first_end") <= F.col("time_sec") + T.EPS).select("video_id", "t", F.col("assoc_id").alias("other"))
-    return s.join(o, ["video_id", "t"]).where("other <> assoc_id").groupBy("event_id").agg(F.count_distinct("other").alias("n_others"))
+    # Objects of a video and second are counted once, and each sample takes off its own.
+    there = o.distinct().groupBy("video_id", "t").agg(F.count("*").alias("n"))
+    own = o.distinct().select("video_id", "t", F.col("other").alias("assoc_id"), F.lit(1).alias("own"))
+    out = s.join(there, ["video_id", "t"]).join(own, ["video_id", "t", "assoc_id"], "left").select("event_id", (F.col("n") - F.coalesce("own", F.lit(0))).alias("n_others"))
+    return out.where("n_others > 0")
 
 
 @query("jn19_overlap_exists", """
-SELECT p.span_id, NOT EXISTS (SELECT 1 FROM tracks t WHERE t.assoc_id = p.assoc_id) OR EXISTS (SELECT 1 FROM tracks t WHERE t.assoc_id = p.assoc_id AND t.start_sec <= p.end_sec AND t.end_sec >= p.start_sec) AS overlaps
-FROM spans p WHERE p.end_sec IS NOT NULL AND p.span_id % 5 = 1""", A.TRACKS)
+SELECT p.event_id, NOT EXISTS (SELECT 1 FROM tracks t WHERE t.assoc_id = p.assoc_id) OR EXISTS (SELECT 1 FROM tracks t WHERE t.assoc_id = p.assoc_id AND t.start_sec <= p.time_sec + 1 AND t.end_sec >= p.time_sec - 1) AS overlaps
+FROM samples p""", A.SAMPLES, A.TRACKS)
 def overlap_exists(spark, d):
-    p = A.spans(spark, d).where("end_sec is not null and span_id % 5 = 1").select("assoc_id", "span_id", "start_sec", "end_sec")
-    return T.overlapping(p, A.tracks(spark, d), OBJ, "start_sec", "end_sec").select("span_id", "overlaps")
+    p = A.samples(spark, d).select("assoc_id", "event_id", (F.col("time_sec") - 1).alias("from_sec"), (F.col("time_sec") + 1).alias("to_sec"))
+    return T.overlapping(p, A.tracks(spark, d), OBJ, "from_sec", "to_sec").select("event_id", "overlaps")
 
 
 @query("jn20_placement_before", """
 SELECT p.span_id, arg_max(t.track_id, (t.end_sec, t.track_id)) AS track_id, CASE WHEN max(t.end_sec) IS NOT NULL THEN greatest(max(t.end_sec), arg_max(coalesce(m.sec, -1), (t.end_sec, t.track_id))) END AS placement_sec FROM spans p
 LEFT JOIN tracks t ON p.assoc_id = t.assoc_id AND t.end_sec <= p.start_sec LEFT JOIN (SELECT track_id, max(frame_number) / 30.0 AS sec FROM masks GROUP BY 1) m USING (track_id)
-WHERE p.span_id % 5 = 3 GROUP BY p.span_id""", A.TRACKS, A.MASKS)
+GROUP BY p.span_id""", A.TRACKS, A.MASKS)
 def placement_before(spark, d):
-    p = A.spans(spark, d).where("span_id % 5 = 3").select("assoc_id", "span_id", "start_sec")
+    p = A.spans(spark, d).select("assoc_id", "span_id", "start_sec")
     return T.placement_before(p, A.tracks(spark, d).select("assoc_id", "track_id", "end_sec"), A.masks(spark, d), OBJ, "start_sec").select("span_id", "track_id", "placement_sec")
 
 
@@ -248,18 +256,18 @@ def merged(spark, d):
 
 
 @query("jn23_placeholder_anti", """
-SELECT s_suppkey AS fixture, 'closed' AS state, 'assumed_closed' AS confidence FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_partkey % 400 = 7)
-UNION ALL SELECT l_suppkey, 'open', 'medium' FROM lineitem WHERE l_partkey % 400 = 7""")
+SELECT c_custkey AS fixture, 'closed' AS state, 'assumed_closed' AS confidence FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)
+UNION ALL SELECT o_custkey, 'open', 'medium' FROM orders""")
 def placeholder(spark, d):
-    hit = A.read(spark, d, "lineitem").where("l_partkey % 400 = 7").select(F.col("l_suppkey").alias("fixture"))
-    quiet = A.read(spark, d, "supplier").select(F.col("s_suppkey").alias("fixture")).join(hit, "fixture", "left_anti")
+    hit = A.read(spark, d, "orders").select(F.col("o_custkey").alias("fixture"))
+    quiet = A.read(spark, d, "customer").select(F.col("c_custkey").alias("fixture")).join(hit, "fixture", "left_anti")
     return quiet.select("fixture", F.lit("closed").alias("state"), F.lit("assumed_closed").alias("confidence")).unionByName(hit.select("fixture", F.lit("open").alias("state"), F.lit("medium").alias("confidence")))
 
 
 @query("tim1_jn24_time_grid", """
-SELECT span_id, round(start_sec + g.i / 2.0, 6) AS time_sec FROM spans, LATERAL (SELECT unnest(range(CAST(floor((end_sec - start_sec) * 2 + 1e-9) AS BIGINT) + 1)) AS i) g WHERE end_sec IS NOT NULL AND span_id % 9 = 0""", A.SPANS)
+SELECT span_id, round(start_sec + g.i / 2.0, 6) AS time_sec FROM spans, LATERAL (SELECT unnest(range(CAST(floor((end_sec - start_sec) * 2 + 1e-9) AS BIGINT) + 1)) AS i) g WHERE end_sec IS NOT NULL""", A.SPANS)
 def grid(spark, d):
-    return T.time_grid(A.spans(spark, d).where("end_sec is not null and span_id % 9 = 0"), "start_sec", "end_sec", 2.0).select("span_id", "time_sec")
+    return T.time_grid(A.spans(spark, d).where("end_sec is not null"), "start_sec", "end_sec", 2.0).select("span_id", "time_sec")
 
 
 @query("tim2_adaptive_times", """
@@ -306,10 +314,10 @@ def hidden_window(spark, d):
 
 def intervals(spark, d):
     keyed = A.spans(spark, d).withColumn("fixture", F.element_at(F.array(*(F.lit(x) for x in ("P01_cupboard.002", "P01_drawer.001", "P01_fridge.003"))), (F.col("span_id") % 3 + 1).cast("int")))
-    return keyed.where("span_id % 40 = 0").select("fixture", "state", F.lit("medium").alias("confidence"), "start_sec", "end_sec")
+    return keyed.select("fixture", "state", F.lit("medium").alias("confidence"), "start_sec", "end_sec")
 
 
-INTERVALS = """iv AS (SELECT ['P01_cupboard.002', 'P01_drawer.001', 'P01_fridge.003'][span_id % 3 + 1] AS fixture, state, start_sec, end_sec FROM spans WHERE span_id % 40 = 0),
+INTERVALS = """iv AS (SELECT ['P01_cupboard.002', 'P01_drawer.001', 'P01_fridge.003'][span_id % 3 + 1] AS fixture, state, start_sec, end_sec FROM spans),
 held AS (SELECT s.event_id, arg_min(v.state, (v.start_sec, coalesce(v.end_sec, CAST('infinity' AS DOUBLE)), v.state)) AS state FROM samples s JOIN iv v ON s.fixture = v.fixture AND s.time_sec >= v.start_sec AND (v.end_sec IS NULL OR s.time_sec <= v.end_sec) GROUP BY 1),
 rung AS (SELECT *, CASE WHEN raw_status = 'in_motion' THEN 0 WHEN raw_status IN ('no_track_available', 'no_valid_mask') THEN 1 WHEN NOT in_view THEN 2 WHEN state = 'closed' THEN 3 WHEN state = 'open' THEN 4 WHEN occluded THEN 5 ELSE 6 END AS r FROM samples LEFT JOIN held USING (event_id)),
 cls AS (SELECT video_id, assoc_id, i, time_sec, fixture, ['in_motion', 'unobservable_no_data', 'out_of_view', 'occluded_inside_closed_fixture', 'potentially_visible_inside_open_fixture', 'geometrically_occluded', 'in_view'][r + 1] AS status,
@@ -325,3 +333,16 @@ def pipeline(spark, d):
     """The engine's main path: samples are classified against fixture intervals and collapsed to spans."""
     return coarse_intervals(classified_samples(A.samples(spark, d), intervals(spark, d), ["fixture"]))
 
+
+
+@query("qst23_stages", """
+SELECT video_id, assoc_id, run, CASE WHEN status <> 'potentially_visible_inside_open_fixture' THEN status WHEN run % 3 = 0 THEN 'observed_visible_in_open_fixture' WHEN run % 3 = 1 THEN 'observed_not_visible_in_open_fixture' ELSE 'assumed_not_visible_in_open_fixture' END AS status, min(time_sec) AS start_sec, max(time_sec) AS end_sec FROM (
+  SELECT *, sum(ch) OVER (PARTITION BY video_id, assoc_id ORDER BY time_sec, i) AS run FROM (SELECT *, CASE WHEN status IS DISTINCT FROM lag(status, 1, status) OVER (PARTITION BY video_id, assoc_id ORDER BY time_sec, i) THEN 1 ELSE 0 END AS ch FROM cls))
+GROUP BY video_id, assoc_id, run, status""", A.SAMPLES, A.SPANS, INTERVALS)
+def stages(spark, d):
+    """All stages: lines of sight, fixtures, runs, and a detector's answers for two thirds of the runs."""
+    s = A.samples(spark, d)
+    flags = s.select("video_id", "assoc_id", "i", F.col("occluded").alias("geometrically_occluded"))
+    runs = coarse_intervals(classified_samples(s, intervals(spark, d), ["fixture"])).where("run % 3 <> 2")
+    answers = runs.select("video_id", "assoc_id", "run", F.when(F.col("run") % 3 == 0, "visible").otherwise("not_visible").alias("label"), F.lit(0.9).alias("score"))
+    return run_stages(s.withColumn("occluded", F.lit(False)), intervals(spark, d), ["fixture"], flags, answers).select("video_id", "assoc_id", "run", "status", "start_sec", "end_sec")

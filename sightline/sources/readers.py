@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import struct
+import zlib
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from pathlib import PurePosixPath
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,23 +30,27 @@ MERGED = (
 )
 
 
-def json_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A file that is one JSON map, as a column `value`: its ids stay keys and never become columns."""
+def json_document(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
+    """A file that is one JSON map, as a column `value`: its ids stay keys and never become columns.
+
+    One map is one row, and its file one task. lines: files that hold a map in each line, as writers.write_documents makes of a large
+    map once; Spark splits them.
+    """
     kind = schema.removeprefix("value ")
-    return spark.read.text(path, wholetext=True).select(F.from_json("value", kind).alias("value"))
+    return spark.read.text(path, wholetext=not lines).select(F.from_json("value", kind).alias("value"))
 
 
-def object_tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def object_tables(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """objects, tracks and track_masks of a document of object tracks, with places in their lists."""
-    flat = json_document(spark, path, OBJECTS).select(F.explode("value").alias("video_id", "o")).select("video_id", F.explode("o").alias("assoc_id", "v"))
+    flat = json_document(spark, path, OBJECTS, lines).select(F.explode("value").alias("video_id", "o")).select("video_id", F.explode("o").alias("assoc_id", "v"))
     objects = flat.select("video_id", "assoc_id", F.col("v.name").alias("name"))
     tracks = flat.select("video_id", "assoc_id", F.posexplode("v.tracks").alias("track_pos", "t"))
     masks = tracks.select("video_id", "assoc_id", "track_pos", F.posexplode("t.masks").alias("mask_pos", "mask_id"))
     return objects, tracks.select("video_id", "assoc_id", "track_pos", F.col("t.track_id").alias("track_id"), F.col("t.time_segment")[0].alias("start_sec"), F.col("t.time_segment")[1].alias("end_sec")), masks
 
 
-def masks_table(spark: SparkSession, path: str) -> DataFrame:
-    flat = json_document(spark, path, MASKS).select(F.explode("value").alias("video_id", "m")).select("video_id", F.explode("m").alias("mask_id", "v"))
+def masks_table(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    flat = json_document(spark, path, MASKS, lines).select(F.explode("value").alias("video_id", "m")).select("video_id", F.explode("m").alias("mask_id", "v"))
     return flat.select("video_id", "mask_id", "v.frame_number", F.col("v.3d_location").alias("xyz"), "v.bbox", "v.fixture")
 
 
@@ -68,22 +76,22 @@ def narrations_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def calibration(spark: SparkSession, path: str, camera: str = "camera-rgb") -> DataFrame:
+def calibration(spark: SparkSession, path: str, camera: str = "camera-rgb", lines: bool = False) -> DataFrame:
     """One camera of a calibration document; a transform that isn't three or four rows of four is refused."""
-    found = json_document(spark, path, f"value struct<cameras: map<string, {CAMERA}>>").select(F.col("value.cameras")[camera].alias("c"))
+    found = json_document(spark, path, f"value struct<cameras: map<string, {CAMERA}>>", lines).select(F.col("value.cameras")[camera].alias("c"))
     t = F.col("c.T_device_camera")
     shape = F.size(t).isin(3, 4) & F.forall(t, lambda r: F.size(r) == 4)
     checked = F.when(shape, F.slice(F.flatten(t), 1, 12)).otherwise(F.raise_error(F.lit("the camera's transform has a wrong shape")).cast("array<double>"))
     return found.select(F.col("c.image_size")[0].alias("width"), F.col("c.image_size")[1].alias("height"), F.col("c.model_name").alias("model"), F.col("c.projection_params").alias("params"), checked.alias("device_from_camera"), "c.valid_radius")
 
 
-def regions_table(spark: SparkSession, path: str) -> DataFrame:
-    one = json_document(spark, path, REGIONS).select(F.explode("value").alias("participant", "a")).select("participant", F.explode("a").alias("fixture_type", "b"))
+def regions_table(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    one = json_document(spark, path, REGIONS, lines).select(F.explode("value").alias("participant", "a")).select("participant", F.explode("a").alias("fixture_type", "b"))
     return one.select("participant", "fixture_type", F.explode("b").alias("fixture_id", "description"))
 
 
-def fixture_metadata(spark: SparkSession, path: str) -> DataFrame:
-    return json_document(spark, path, FIXTURES).select(F.explode("value").alias("fixture_id", "v")).select("fixture_id", "v.*")
+def fixture_metadata(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    return json_document(spark, path, FIXTURES, lines).select(F.explode("value").alias("fixture_id", "v")).select("fixture_id", "v.*")
 
 
 def box_of_corners(corners: DataFrame, key: str = "fixture_id") -> DataFrame:
@@ -91,9 +99,9 @@ def box_of_corners(corners: DataFrame, key: str = "fixture_id") -> DataFrame:
     return corners.groupBy(key).agg(F.array(*(F.min(c) for c in "xyz")).alias("bbox_min"), F.array(*(F.max(c) for c in "xyz")).alias("bbox_max"))
 
 
-def merged_samples(spark: SparkSession, path: str, video_id: str) -> DataFrame:
+def merged_samples(spark: SparkSession, path: str, video_id: str, lines: bool = False) -> DataFrame:
     """One row for each sample of a document of parallel arrays; an array that is missing or too short gives nulls, and flags false."""
-    flat = json_document(spark, path, MERGED).select(F.explode("value").alias("assoc_id", "v"))
+    flat = json_document(spark, path, MERGED, lines).select(F.explode("value").alias("assoc_id", "v"))
     names = ["visible", "stable", "status", "pixel", "camera_xyz", "frame_index", "fixture", "world_xyz", "last_visible_index"]
     out = flat.select("assoc_id", "v", F.posexplode("v.sampled_times_sec").alias("i", "time_sec"))
     cols = [F.get(F.col(f"v.{n}"), F.col("i")).alias(n) for n in names]
@@ -117,9 +125,73 @@ def mesh_triangles(spark: SparkSession, path: str, participant: Column) -> DataF
     return faces.select(participant.alias("participant"), F.xxhash64("path", "at", "k").alias("tri_id"), "v0", "v1", "v2")
 
 
-def lens_masks(spark: SparkSession, path: str) -> DataFrame:
-    """Raster files as bytes; whether a pixel is valid is a column expression over the lens circle, so they needn't be decoded."""
-    return spark.read.format("binaryFile").load(path)
+def decoded_png(content: bytes) -> tuple[int, int, np.ndarray]:
+    """(width, height, nonzero) of an 8-bit PNG that isn't interlaced: nonzero tells for each pixel, row by row, whether any of its colours is over 0."""
+    if content[:8] != b"\x89PNG\r\n\x1a\n":
+        raise ValueError("no PNG")
+    at, packed = 8, b""
+    while at + 8 <= len(content):
+        length, kind = struct.unpack(">I4s", content[at : at + 8])
+        data = content[at + 8 : at + 8 + length]
+        if kind == b"IHDR":
+            width, height, depth, colour, _, _, interlaced = struct.unpack(">IIBBBBB", data)
+            if depth != 8 or interlaced or colour not in (0, 2, 4, 6):
+                raise ValueError("only 8-bit PNG without palette or interlacing is read")
+        elif kind == b"IDAT":
+            packed += data
+        at += length + 12
+    channels = {0: 1, 2: 3, 4: 2, 6: 4}[colour]
+    lines = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(height, 1 + width * channels)
+    above = np.zeros((width, channels), np.int64)
+    out = np.empty((height, width), bool)
+    for y in range(height):
+        row = lines[y, 1:].reshape(width, channels).astype(np.int64)
+        kind = lines[y, 0]
+        if kind == 1:  # sums along the row
+            row = np.cumsum(row, axis=0) & 255
+        elif kind == 2:
+            row = (row + above) & 255
+        elif kind in (3, 4):
+            left, corner = np.zeros(channels, np.int64), np.zeros(channels, np.int64)
+            for x in range(width):
+                up = above[x]
+                if kind == 3:
+                    guess = (left + up) // 2
+                else:
+                    a, b, c = abs(up - corner), abs(left - corner), abs(left + up - 2 * corner)
+                    guess = np.where((a <= b) & (a <= c), left, np.where(b <= c, up, corner))
+                row[x] = left = (row[x] + guess) & 255
+                corner = up
+        out[y] = (row[:, : 3 if channels > 2 else 1] > 0).any(1)
+        above = row
+    return width, height, out.ravel()
+
+
+def lens_masks(files: DataFrame) -> DataFrame:
+    """files(path, content) of PNG masks with width, height and `invalid`: a flag for each pixel, row by row, true where the mask isn't black."""
+
+    @F.pandas_udf("width int, height int, invalid array<boolean>")
+    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([(w, h, x.tolist()) for w, h, x in map(decoded_png, batch)], columns=["width", "height", "invalid"])
+
+    return files.select("path", decode("content").alias("m")).select("path", "m.*")
+
+
+def pixel_is_valid(u: Column, v: Column, width: Column, height: Column, invalid: Column) -> Column:
+    """Whether the nearest pixel of a mask is valid; out of the image it isn't."""
+    x, y = F.rint(u).cast("int"), F.rint(v).cast("int")
+    inside = (x >= 0) & (y >= 0) & (x < width) & (y < height)
+    return F.coalesce(inside & ~F.get(invalid, F.when(inside, y * width + x)), F.lit(False))
+
+
+def video_source(spark: SparkSession, config: Config, video_id: str, lines: bool = True) -> dict[str, DataFrame]:
+    """All of one video that a stage reads: objects, tracks, track_masks, masks, calibration and frames by their index; nothing is read before it is used."""
+    objects, tracks, track_masks = object_tables(spark, f"{config.data_root}/assoc_info.json", lines)
+    own = {"objects": objects, "tracks": tracks, "track_masks": track_masks, "masks": masks_table(spark, f"{config.data_root}/mask_info.json", lines)}
+    own = {k: t.where(F.col("video_id") == video_id) for k, t in own.items()}
+    frames = frame_poses(spark, config.frames_path(video_id)).where("frame_index is not null")
+    return own | {"frames": frames, "calibration": calibration(spark, f"{config.data_root}/{video_id.split('-')[0]}/{video_id}/calibration.json", lines=lines)}
 
 
 def frame_images(spark: SparkSession, path: str) -> DataFrame:

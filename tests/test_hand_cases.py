@@ -171,3 +171,47 @@ def test_smoother_and_verdicts(spark):
     assert [round(r.e, 6) for r in I.smoothed(s, ["o"], ["i"], "x", 0.7, "e").orderBy("i").collect()] == [1, 0.3, 0.79]
     a = spark.createDataFrame([(1, "detected"), (1, "not_detected"), (2, "skipped")], "o int, verdict string")
     assert rows(interval_verdicts(a, ["o"]), "o", "verdict") == [(1, "detected"), (2, "skipped")]
+
+
+def test_nulls_and_repeats_in_points(spark):
+    """Null columns besides, and points that occur twice, change no answer."""
+    from sightline.functions.statuses import priority
+    from sightline.operators import temporal as T
+    from sightline.operators import visibility as V
+
+    points = spark.createDataFrame([("a", 1.0, None), ("a", 1.0, None), ("a", 9.0, "x"), ("b", 1.0, None), (None, 1.0, None), ("a", None, "y")], "k string, t double, extra string")
+    tracks = spark.createDataFrame([("a", 0, "t1", 0.0, 2.0)], "k string, track_pos int, track_id string, start_sec double, end_sec double")
+    got = sorted((str(r.k), str(r.t), str(r.extra), r.relation, str(r.track_id)) for r in T.choose_track(points, tracks, ["k"], "t").collect())
+    assert got == sorted([("a", "1.0", "None", "in_motion", "t1")] * 2 + [("a", "9.0", "x", "past", "t1"), ("b", "1.0", "None", "no_track_available", "None"), ("None", "1.0", "None", "no_track_available", "None"), ("a", "None", "y", "no_track_available", "None")])
+    spans = spark.createDataFrame([("a", 0.0, 2.0, "in_view"), ("a", 0.5, None, "in_motion")], "k string, start_sec double, end_sec double, status string")
+    shut = spans.where("end_sec is not null")
+    got = sorted((str(r.k), str(r.t), r.status) for r in T.strongest_span(points, shut, ["k"], "t", priority(F.col("s_status")), bucket=4.0).collect())
+    assert got == sorted([("a", "1.0", "in_view")] * 2 + [("a", "9.0", "out_of_view"), ("b", "1.0", "out_of_view"), ("None", "1.0", "out_of_view"), ("a", "None", "out_of_view")])
+    for bucket in (None, 4.0):
+        got = sorted((str(r.k), str(r.t), str(r.s_status)) for r in T.stab_join(points, spans, ["k"], "t", "start_sec", "end_sec", bucket=bucket, how="left").collect())
+        assert got == sorted([("a", "1.0", "in_view"), ("a", "1.0", "in_motion")] * 2 + [("a", "9.0", "in_motion"), ("b", "1.0", "None"), ("None", "1.0", "None"), ("a", "None", "None")])
+    got = sorted((str(r.k), str(r.t), str(r.s_status)) for r in T.stab_first(points, spans, ["k"], "t", "start_sec", "end_sec").collect())
+    assert got == sorted([("a", "1.0", "in_view")] * 2 + [("a", "9.0", "in_motion"), ("b", "1.0", "None"), ("None", "1.0", "None"), ("a", "None", "None")])
+    around = points.where("t is not null").select("*", (F.col("t") - 0.1).alias("f"), (F.col("t") + 0.1).alias("u"))
+    got = sorted((str(r.k), r.t, r.overlaps) for r in T.overlapping(around, shut, ["k"], "f", "u").collect())
+    assert got == [("None", 1.0, True), ("a", 1.0, True), ("a", 1.0, True), ("a", 9.0, False), ("b", 1.0, True)]
+    pixels = points.select("k", "extra", F.struct(F.lit(10.0).alias("u"), F.lit(500.0).alias("v")).alias("pixel"))
+    boxes = spark.createDataFrame([("a", 1, -100.0, 400.0, 20.0, 520.0), ("a", 2, 25.0, 490.0, 40.0, 800.0), ("a", 3, 90.0, 0.0, 99.0, 9.0)], "k string, box_id int, x1 double, y1 double, x2 double, y2 double")
+    got = sorted((str(r.k), r.n_boxes, str(r.box_id)) for r in V.matched_boxes(pixels, boxes, ["k"]).collect())
+    assert got == sorted([("None", 0, "None"), ("b", 0, "None")] + [("a", 2, "1")] * 4)
+
+
+def test_the_first_span_that_holds_a_time(spark):
+    """Against all pairs: many overlapping spans, ties of starts and ends, some without an end."""
+    import random
+
+    from sightline.operators import temporal as T
+
+    rng = random.Random(4)
+    spans = [(rng.choice("ab"), i, float(s := rng.randint(0, 60)), None if rng.random() < 0.1 else float(s + rng.randint(0, 30))) for i, _ in enumerate(range(60))]
+    points = [(rng.choice("abc"), i, rng.randint(-10, 900) / 8) for i in range(400)]
+    out = T.stab_first(spark.createDataFrame(points, "k string, i int, t double"), spark.createDataFrame(spans, "k string, span int, s double, e double"), ["k"], "t", "s", "e", ["span"], bucket=8.0)
+    for r in out.collect():
+        held = sorted((s, n) for k, n, s, e in spans if k == r.k and s <= r.t and (e is None or r.t <= e))
+        assert r.s_span == (held[0][1] if held else None)
+    assert out.count() == 400

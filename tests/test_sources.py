@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sightline.sources import readers as S
 from sightline.sources import writers as W
+from sightline.sources.scratch import shared_folder
 
 
 def put(tmp_path, name, value):
@@ -79,6 +80,56 @@ def test_manifest_and_paths(spark, tmp_path):
         S.first_readable(spark, [str(tmp_path / "none.jsonl")], S.FRAMES)
 
 
+def png(pixels, colour, filters):
+    """A PNG of rows of pixels (lists of channel values), each row filtered as asked."""
+    import struct
+    import zlib
+
+    height, width, n = len(pixels), len(pixels[0]), len(pixels[0][0])
+    raw, above = b"", [0] * (width * n)
+    for row, kind in zip(pixels, filters, strict=True):
+        flat = [v for p in row for v in p]
+        out = []
+        for i, v in enumerate(flat):
+            left, up, corner = flat[i - n] if i >= n else 0, above[i], above[i - n] if i >= n else 0
+            p = left + up - corner
+            paeth = min((abs(p - left), 0, left), (abs(p - up), 1, up), (abs(p - corner), 2, corner))[2]
+            out.append((v - [0, left, up, (left + up) // 2, paeth][kind]) % 256)
+        raw += bytes([kind, *out])
+        above = flat
+    chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, colour, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+@pytest.mark.parametrize(("colour", "n"), [(0, 1), (2, 3), (4, 2), (6, 4)])
+def test_lens_masks_are_decoded(spark, tmp_path, colour, n):
+    import random
+
+    rng = random.Random(colour)
+    pixels = [[[rng.choice([0, 0, 7, 250]) for _ in range(n)] for _ in range(6)] for _ in range(5)]
+    (tmp_path / "m.png").write_bytes(png(pixels, colour, [0, 1, 2, 3, 4]))
+    files = spark.read.format("binaryFile").load(str(tmp_path / "m.png")).select("path", "content")
+    m = S.lens_masks(files)
+    row = m.first()
+    want = [any(v > 0 for v in (p[:3] if n > 2 else p[:1])) for line in pixels for p in line]
+    assert (row.width, row.height, row.invalid) == (6, 5, want)
+    places = m.withColumn("u", F.explode(F.array(*(F.lit(x) for x in (-1.0, 0.4, 2.6, 5.0, 6.0)))))
+    ok = {r.u: r.ok for r in places.select("u", S.pixel_is_valid(F.col("u"), F.lit(1.0), F.col("width"), F.col("height"), F.col("invalid")).alias("ok")).collect()}
+    assert ok == {-1.0: False, 0.4: not want[6], 2.6: not want[9], 5.0: not want[11], 6.0: False}
+
+
+def test_one_video_and_shared_folders(spark, tmp_path):
+    doc = {"P01-v": {"a1": {"name": "cup", "tracks": [{"track_id": "t1", "time_segment": [1.5, 2], "masks": ["m1"]}]}}, "P02-w": {}}
+    put(tmp_path, "assoc_info.json", doc)
+    put(tmp_path, "mask_info.json", {"P01-v": {"m1": {"frame_number": 7, "3d_location": [1, 2, 3], "bbox": None, "fixture": "x"}}})
+    put(tmp_path, "P01/P01-v/framewise_info.jsonl", '{"frame_index": 3, "T_world_device": null}\n')
+    camera = {"image_size": [1408, 1408], "model_name": "FISHEYE624", "projection_params": [1.0] * 15, "T_device_camera": [[1, 0, 0, 0]] * 3, "valid_radius": 700}
+    put(tmp_path, "P01/P01-v/calibration.json", {"cameras": {"camera-rgb": camera}})
+    source = S.video_source(spark, S.Config(str(tmp_path), "out"), "P01-v", lines=False)
+    assert {k: t.count() for k, t in source.items()} == {"objects": 1, "tracks": 1, "track_masks": 1, "masks": 1, "frames": 1, "calibration": 1}
+    assert shared_folder(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir") + "/x-")
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("v1", 'a"b', [1.0, 0.5]), ("v2", "c", [])], "video_id string, name string, xs array<double>")
     assert W.write_json_lines(df, str(tmp_path / "o")) == 2 and (tmp_path / "o" / "video_id=v1").is_dir()
