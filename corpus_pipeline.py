@@ -1,27 +1,25 @@
 """The corpus pipeline: quality rules, near-duplicate removal, personal data, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the
-next stage's docs. All but the last return the columns of documents.
+next stage's docs. All but the last return the columns of documents. Every stage takes null and repeated ids, null and empty texts, texts of any
+length, extra columns (they stay, whatever their names, up to the last stage) and a table without rows, which gives none; how each is judged stands with its stage.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm.common import small
-from sightline.llm.mixing import mixed_documents
-from sightline.llm.ngram_join import keep_one_of_each_group
-from sightline.llm.packing import pack
-from sightline.llm.pii import sanitised
-from sightline.llm.quality import quality_verdicts
-
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
+    """Documents that the rules reject go.
+
+    A null or empty text is rejected, as it has too few words. Rows that share a doc_id stay together if the rules keep any of them; rows
+    without an id count as sharing one. A measure equal to its cutoff is rejected.
+    """
+    from sightline.llm.common import small
+    from sightline.llm.quality import quality_verdicts
+
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     verdicts = quality_verdicts(docs.select("doc_id", "lang", "text"), labels)
     rejected = verdicts.groupBy("doc_id").agg(F.max("kept").alias("any")).where("not any").select(F.col("doc_id").alias("_rejected"))
@@ -29,24 +27,38 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that share 0.8 of their shingles of five words, the one with the smallest doc_id stays."""
+    """Of each group of documents that share 0.8 of their shingles of five words, the one with the smallest doc_id stays.
+
+    Documents without words are no one's duplicates. Rows that share a doc_id stay or go together; rows without an id stay.
+    """
+    from sightline.llm.ngram_join import keep_one_of_each_group
+
     return keep_one_of_each_group(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data and revealing terms are replaced in the texts; n_chars follows."""
+    """Personal data and revealing terms are replaced in the texts; n_chars follows (null for a null text). No row goes."""
+    from sightline.llm.pii import sanitised
+
     return sanitised(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are taken, once at most, to the target weights."""
+    """Documents are taken, once at most, to the target weights, in a seeded order within a source.
+
+    Rows that share a doc_id, or have none, are taken or left together; a text without words goes with the prefix that it stands in.
+    """
+    from sightline.llm.mixing import mixed_documents
+
     return mixed_documents(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 2048 tokens."""
+    """Pieces of documents in sequences of 2048 tokens; each row is packed, a null or empty text as its end token alone."""
     import public_tokenizers
 
+    from sightline.llm.packing import pack
+
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -64,9 +76,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; what lies between two of them goes to the shared checkpoint folder."""
-    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline")
+    from sightline.sources.scratch import shared_folder
+
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{root}/pipeline-{uuid.uuid4().hex}"
+    folder = shared_folder(spark, "pipeline")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
