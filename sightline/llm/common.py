@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..sources.scratch import shared_root
+
 #: A join side of at most this many narrow rows (an id, a few numbers) may be broadcast.
 BROADCAST_ROWS = 1_000_000
 
@@ -16,12 +16,11 @@ BROADCAST_ROWS = 1_000_000
 def checkpointed(df: DataFrame) -> DataFrame:
     """df, written once to the shared folder in spark.checkpoint.dir and read from there.
 
-    A folder of our own is set only where the session names none, as in local tests.
+    A folder of our own is set only where the session names none, in local mode; on a cluster that is an error.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
+        context.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

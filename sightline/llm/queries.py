@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from .embedding_dedup import OP3_SQL, op3_embedding_dedup
@@ -18,6 +17,15 @@ from .sharding import op7_shards
 from .token_counts import op4_token_counts
 from .url_filters import op6_url_filters
 
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five stages of corpus_pipeline.py, which lies beside the package."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_pii": op2_pii,
@@ -29,7 +37,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_text": op8_html_text,
     "op9_mixing": op9_mixing,
     "op10_ngram_join": op10_ngram_join,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline,
 }
 
 ORACLE_SQL: dict[str, str] = {"op3_embedding_dedup": OP3_SQL}
