@@ -24,6 +24,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of an Arrow batch that carries texts.
+TEXT_BATCH = 1000
+
+
+def in_text_batches(df: DataFrame) -> DataFrame:
+    """df, whose texts Python workers are about to read: the session's Arrow batches get TEXT_BATCH rows at most from now on.
+
+    With Spark's 10,000, a batch of long texts takes hundreds of MB in a worker, where it stays as long as the worker lives, and as much beside the JVM's heap.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= TEXT_BATCH:
+        df.sparkSession.conf.set(key, str(TEXT_BATCH))
+    return df
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most so many rows; beyond that Spark shuffles both sides of its join.
 
@@ -51,7 +66,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         now = checkpointed(
             large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -15,8 +15,8 @@ from .common import checkpointed, connected_components, small, table
 VECTORS_A_PIVOT, MOST_PIVOTS = 1024, 16_384
 #: Vectors of a cell, and of its visitors, in one task; larger ones are split over tasks.
 CELL, VISITORS = 4096, 8192
-#: Points of a tree's leaf, numbers that are gathered at once to verify pairs, distances computed at once, and room for rounding in the bounds.
-LEAF, GATHERED, GAPS, ROUNDING = 32, 4_000_000, 4_000_000, 1e-7
+#: Points of a tree's leaf, distances and cosines computed at once, and room for rounding in the bounds.
+LEAF, GAPS, ROUNDING = 32, 2_000_000, 1e-7
 
 
 class CoverTree:
@@ -61,6 +61,9 @@ class CoverTree:
         self.child.append(-1)
         self.children.append(0)
 
+    def within(self, node: int) -> np.ndarray:
+        return self.order[self.low[node] : self.high[node]]
+
     def below(self, node: int) -> np.ndarray:
         return np.arange(self.child[node], self.child[node] + self.children[node]) if self.children[node] else np.array([node])
 
@@ -69,15 +72,13 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (a @ b.T)))
 
 
-def near_pairs(a: CoverTree, b: CoverTree, reach: float) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-    """Index arrays that hold all pairs of a point of a and one of b within reach.
+def near_pairs(a: CoverTree, b: CoverTree, reach: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
+    """(nodes of a, nodes of b, which of their pairs, sure): node pairs that hold, each once, all pairs of a point of a and one of b within reach.
 
     Two nodes whose centres are farther apart than their radii and reach together have no such pair; where centres and radii
-    together stay within reach all pairs are: (points of one, points of the other, True), not expanded. The rest comes in
-    chunks of single pairs, (i, j, False), whose number is bounded before they are made.
+    together stay within reach all their pairs are such (sure). Pairs of leaves that are neither have to be verified. Frontiers of nodes are compared as
+    matrices of a bounded size; leaves that meet the same node go down together.
     """
-    most = max(LEAF * LEAF, GATHERED // max(1, a.points.shape[1]))
-    left, right, held = [], [], 0
     todo = [(np.array([0]), np.array([0]))]
     while todo:
         x, y = todo.pop()
@@ -86,31 +87,20 @@ def near_pairs(a: CoverTree, b: CoverTree, reach: float) -> Iterator[tuple[np.nd
             continue
         gap = _distances(a.points[a.center[x]], b.points[b.center[y]])
         both = a.radius[x][:, None] + b.radius[y][None, :]
-        close = np.argwhere(gap <= both + reach + ROUNDING)
-        for i, j in close:
-            p, q = x[i], y[j]
-            own, other = a.order[a.low[p] : a.high[p]], b.order[b.low[q] : b.high[q]]
-            if gap[i, j] + both[i, j] <= reach - ROUNDING:
-                yield own, other, True
-            elif a.children[p] or b.children[q]:
-                todo.append((a.below(p), b.below(q)))
-            else:
-                step = max(1, most // len(other))
-                for low in range(0, len(own), step):
-                    part = own[low : low + step]
-                    if held and held + len(part) * len(other) > most:
-                        yield np.concatenate(left), np.concatenate(right), False
-                        left, right, held = [], [], 0
-                    left.append(np.repeat(part, len(other)))
-                    right.append(np.tile(other, len(part)))
-                    held += len(part) * len(other)
-    if held:
-        yield np.concatenate(left), np.concatenate(right), False
-
-
-def linked(raw_a, norm_a, raw_b, norm_b, i, j, threshold: float) -> np.ndarray:
-    """Which pairs have a cosine, in double precision, of at least the threshold."""
-    return np.einsum("ij,ij->i", raw_a[i], raw_b[j]) / (norm_a[i] * norm_b[j]) >= threshold
+        sure = gap + both <= reach - ROUNDING
+        open_ = (gap <= both + reach + ROUNDING) & ~sure
+        if sure.any():
+            yield x, y, sure, True
+        inner_x, inner_y = a.children[x] > 0, b.children[y] > 0
+        leaves = open_ & ~inner_x[:, None] & ~inner_y[None, :]
+        if leaves.any():
+            yield x, y, leaves, False
+        for j in np.flatnonzero(inner_y & open_[~inner_x].any(0)):
+            todo.append((x[open_[:, j] & ~inner_x], b.below(y[j])))
+        for i in np.flatnonzero(inner_x & open_[:, ~inner_y].any(1)):
+            todo.append((a.below(x[i]), y[open_[i] & ~inner_y]))
+        for i, j in np.argwhere(open_ & inner_x[:, None] & inner_y[None, :]):
+            todo.append((a.below(x[i]), b.below(y[j])))
 
 
 def cell_links(threshold: float):
@@ -139,30 +129,56 @@ def cell_links(threshold: float):
                 open_ = root[i] != root[j]
                 i, j = i[open_], j[open_]
 
-        def add(to: np.ndarray, of: np.ndarray) -> None:
-            np.add.at(count, to, weight[of])
-
-        def visit(tree: CoverTree, points: np.ndarray, other: CoverTree, others: np.ndarray, same: bool) -> None:
-            """same: both are one tree, so each pair comes from both sides and a point meets itself."""
-            for i, j, sure in near_pairs(tree, other, reach):
-                i, j = points[i], others[j]
+        def tie(tree: CoverTree, points: np.ndarray, nodes: np.ndarray) -> None:
+            """The points of each node are connected with one another."""
+            for x in nodes[tree.high[nodes] - tree.low[nodes] > 1]:
+                own = points[tree.within(x)]
+                found(own, np.full(len(own), own[0]))
+
+        def visit(tree: CoverTree, points: np.ndarray, other: CoverTree, others: np.ndarray) -> None:
+            """Both may be one tree: then each pair comes from both sides, and a point meets itself."""
+            same = tree is other
+            upto = np.concatenate([[0], np.cumsum(weight[others[other.order]])])
+            more = np.zeros(len(points) + 1, np.int64)  # by place in the tree's order: what is added from there on
+            for x, y, pairs, sure in near_pairs(tree, other, reach):
                 if sure:
-                    own = weight[i] if same and i[0] in j else 0  # the same node, else two without a common point
-                    count[i] += weight[j].sum() - own
-                    found(np.concatenate([i, np.full(len(j), i[0])]), np.concatenate([np.full(len(i), j[0]), j]))
+                    total = pairs @ (upto[other.high[y]] - upto[other.low[y]])
+                    np.add.at(more, tree.low[x], total)
+                    np.add.at(more, tree.high[x], -total)
+                    if same:  # a node beside itself: each point has met itself
+                        for i in np.flatnonzero(pairs.any(1) & np.isin(x, y)):
+                            if pairs[i, np.flatnonzero(y == x[i])].any():
+                                own = points[tree.within(x[i])]
+                                count[own] -= weight[own]
+                    at, to = points[tree.center[x]], others[other.center[y]]
+                    p, q = np.nonzero(pairs & (root[at][:, None] != root[to][None, :]))
+                    found(at[p], to[q])
+                    tie(tree, points, x[pairs.any(1)])
+                    tie(other, others, y[pairs.any(0)])
                     continue
-                ok = linked(raw, norm, raw, norm, i, j, threshold)
-                if same:
-                    ok &= i != j
-                add(i[ok], j[ok])
-                found(i[ok], j[ok])
+                rows_, columns = np.flatnonzero(pairs.any(1)), np.flatnonzero(pairs.any(0))
+                to = np.concatenate([others[other.within(k)] for k in y[columns]])
+                of = np.repeat(columns, (other.high - other.low)[y[columns]])
+                at = np.concatenate([points[tree.within(k)] for k in x[rows_]])
+                by = np.repeat(rows_, (tree.high - tree.low)[x[rows_]])
+                step = max(1, GAPS // len(to))
+                for low in range(0, len(at), step):
+                    i = at[low : low + step]
+                    ok = (raw[i] @ raw[to].T) / (norm[i][:, None] * norm[to][None, :]) >= threshold
+                    ok &= pairs[by[low : low + step][:, None], of[None, :]]
+                    if same:
+                        ok &= i[:, None] != to[None, :]
+                    count[i] += ok @ weight[to]
+                    p, q = np.nonzero(ok & (root[i][:, None] != root[to][None, :]))
+                    found(i[p], to[q])
+            count[points[tree.order]] += np.cumsum(more[:-1])
 
         if len(home):
             tree = CoverTree(unit[home])
             if rows["first"].iloc[0]:
-                visit(tree, home, tree, home, True)
+                visit(tree, home, tree, home)
             if len(away):
-                visit(tree, home, CoverTree(unit[away]), away, False)
+                visit(tree, home, CoverTree(unit[away]), away)
         keep = (count > 0) | (root != np.arange(len(rows)))
         return pd.DataFrame({"h1": rows["h1"].to_numpy()[keep], "h2": rows["h2"].to_numpy()[keep], "vec_id": ids[keep], "n": np.where(member, count, 0)[keep], "dst": ids[root[keep]]})
 

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_of, unit_hash
+from .common import in_text_batches, table, text_of, unit_hash
 
 TAG = re.compile(r"(/?)([A-Za-z][A-Za-z0-9:-]*)")
 ATTRIBUTES = re.compile(r"[^>\"']*")
@@ -382,7 +382,7 @@ def block_weights(pages: DataFrame, html_column: str = "html", fit_pages: int =
         kind, column = np.nonzero(total)
         yield pd.DataFrame({"kind": kind, "feature": column, "n": total[kind, column]})
 
-    texts = pages.select(text_of(html_column).alias("_html"))
+    texts = in_text_batches(pages).select(text_of(html_column).alias("_html"))
     share = fit_pages / max(1, texts.count())
     drawn = texts.where(unit_hash("_html", seed=8) < share) if share < 1 else texts
     rows = drawn.mapInPandas(count, "kind long, feature long, n long").groupBy("kind", "feature").agg(F.sum("n").alias("n")).collect()

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, id_columns, table, text_of
+from .common import checkpointed, id_columns, in_text_batches, table, text_of
 
 #: Pieces that are packed together, and the longest piece that a document's remainder is cut into.
 BLOCK_PIECES, PIECE_TOKENS = 1024, 512
@@ -152,7 +152,7 @@ def encode_pieces(docs: DataFrame, tokenizer: str, end_id: int | None, capacity:
             out.insert(0, "doc_id", pd.array([r[0] for r in rows], dtype="Int64"))
             yield out
 
-    return docs.select(*id_columns(), text_of(text).alias("_text")).mapInPandas(pieces, PIECES)
+    return in_text_batches(docs).select(*id_columns(), text_of(text).alias("_text")).mapInPandas(pieces, PIECES)
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int | None = 1, piece: int = PIECE_TOKENS, block: int = BLOCK_PIECES, keep_ids: bool = False, text: str = "text") -> DataFrame:

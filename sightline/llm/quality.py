@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table, text_of
+from .common import checkpointed, in_text_batches, table, text_of
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -78,7 +78,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
             yield pd.DataFrame([measures(t) for t in batch], columns=names, dtype="int64")
 
     keep = [c for c in docs.columns if c not in {text, *names}]
-    return docs.select(*keep, measure(text_of(text)).alias("_m")).select(*keep, "_m.*")
+    return in_text_batches(docs).select(*keep, measure(text_of(text)).alias("_m")).select(*keep, "_m.*")
 
 
 def with_rules(df: DataFrame) -> DataFrame:
@@ -164,9 +164,10 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, stratum: str = "lang",
     """docs without the text, with the measures, base_failed and kept.
 
     labels: doc_id, quality (1: good). A document whose labels disagree or are null is no part of the holdout, which
-    has the good documents that pass the base rules; each counts once. kept is false if base_failed, or if a
-    measure reaches its stratum's certified cutoff. A null stratum is a stratum of its own; without labels
-    only the base rules reject. A null text has no words and fails the base rules.
+    has the good documents that pass the base rules; each doc_id counts once there, rows that share one by the largest of their measures. kept is false if base_failed, or if a
+    measure reaches its stratum's certified cutoff, a measure equal to it included. A null stratum is a stratum of its own; without labels
+    only the base rules reject. A null text has no words and fails the base rules. Rows are returned each, repeated ones too, and no rows give none.
+    Texts of any length are measured whole. Columns of docs with the names of measures, rules, base_failed or kept are replaced; others stay.
     """
     base = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
     found = checkpointed(measured(docs, text).withColumn("base_failed", base))
@@ -174,7 +175,8 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, stratum: str = "lang",
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("quality").alias("r")).where("q = 1 and r = 1").select("doc_id")
     holdout = ruled.where("not base_failed").select(F.col("_stratum").alias("stratum"), "doc_id", *RULES)
     strata = ruled.select("_stratum").distinct().count()
-    cutoffs = risk_cutoffs(holdout.join(good, "doc_id", "left_semi"), strata, risk, delta)
+    once = holdout.join(good, "doc_id", "left_semi").groupBy("doc_id").agg(F.max(F.struct("stratum", *RULES)).alias("_v")).select("_v.*")
+    cutoffs = risk_cutoffs(once, strata, risk, delta)
     for r in RULES:
         cutoffs = cutoffs.withColumnRenamed(r, f"_{r}_cutoff")
     judged = ruled.join(cutoffs.withColumnRenamed("stratum", "_stratum"), "_stratum", "left")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .embedding_dedup import OP3_SQL, op3_embedding_dedup
 from .html_text import op8_html_text
 from .mixing import op9_mixing
-from .ngram_join import op10_ngram_join
+from .ngram_join import OP10_SQL, op10_ngram_join
 from .packing import op1_packing
 from .pii import op2_pii
 from .quality import op5_quality_rules
@@ -40,4 +40,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": pipeline,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_embedding_dedup": OP3_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_embedding_dedup": OP3_SQL, "op10_ngram_join": OP10_SQL}

@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_of
+from .common import in_text_batches, table, text_of
 
 #: Entries that a worker's memory of counted words may have; it is emptied when full.
 MEMORY_ENTRIES = 1_000_000
@@ -130,8 +130,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, text: str =
     """docs with n_bytes, n_tokens and over_limit.
 
     tokenizer: the path of a byte-level BPE file with word ends, on every worker. A null text counts as
-    an empty one: no bytes, no tokens. Columns of docs with the new names are replaced. Texts of any
-    length are counted whole, in time n log n of their longest word.
+    an empty one: no bytes, no tokens. Columns of docs with the new names are replaced, others stay. Rows are returned each, repeated ones too, and
+    no rows give none. A text of exactly limit tokens isn't over it. Texts of any
+    length are counted whole, in time n log n of their longest word; of pairs of equal rank the leftmost is merged first.
     """
 
     @F.pandas_udf("long")
@@ -141,7 +142,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, text: str =
             yield pd.Series([counter.count(t.encode("utf-8", "surrogatepass")) for t in texts], dtype="int64")
 
     return (
-        docs.withColumn("n_bytes", F.octet_length(text_of(text)).cast("long"))
+        in_text_batches(docs).withColumn("n_bytes", F.octet_length(text_of(text)).cast("long"))
         .withColumn("n_tokens", tokens(text_of(text)))
         .withColumn("over_limit", F.col("n_tokens") > limit)
     )

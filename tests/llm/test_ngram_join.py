@@ -1,10 +1,11 @@
 import random
 
+import duckdb
 import pytest
 
 from sightline.llm import ngram_join
 from sightline.llm.common import connected_components
-from sightline.llm.ngram_join import jaccard_components, keep_one_of_each_group, op10_ngram_join
+from sightline.llm.ngram_join import OP10_SQL, jaccard_components, keep_one_of_each_group, op10_ngram_join
 
 SF = "/root/testdata/sf0.001"
 
@@ -74,6 +75,61 @@ def test_near_groups_against_brute_force(spark, monkeypatch, width, percent, buc
     assert kept == {c for _, c in want.values()}
 
 
+def test_op10_sql(spark):
+    duck = duckdb.connect()
+    duck.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    want = {d: (n, c) for d, n, c in duck.execute(OP10_SQL).fetchall()}
+    assert as_dict(op10_ngram_join(spark, SF)) == want
+
+
+def test_templated_documents_form_no_large_candidate_groups(spark, monkeypatch):
+    """Documents of 6 out of 60 pooled sentences: large buckets, but hardly a pair passes all filters."""
+    rng = random.Random(8)
+    pool = [" ".join(f"w{rng.randrange(3000)}" for _ in range(40)) for _ in range(60)]
+    texts = {i: " ".join(rng.sample(pool, 6)) for i in range(800)}
+    seen, verified = [], ngram_join.verified
+    monkeypatch.setattr(ngram_join, "verified", lambda pairs, sets, percent: seen.append(pairs) or verified(pairs, sets, percent))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert as_dict(jaccard_components(docs)) == brute(texts, 5, 80)
+    stars, pairs = seen
+    assert stars.count() < len(texts) and pairs.count() < len(texts)  # before bitmaps of whole sets and verification
+
+
+@pytest.mark.parametrize("dense", [0, 16])
+def test_large_groups_of_near_copies_and_outsiders(spark, monkeypatch, dense):
+    """Copies that their leader connects meet no more; chains and outsiders, in blocks of few documents, are still found."""
+    for name, value in (("BLOCK_DOCS", 32), ("BUCKET", 8), ("DENSE", dense)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(200)]
+    texts = {}
+    for i in range(400):
+        copy = list(base)
+        for _ in range(rng.choice([1, 1, 2])):
+            copy[rng.randrange(200)] = f"x{rng.randrange(10**6)}"
+        texts[i] = " ".join(copy)
+    chain = list(base)
+    for i in range(400, 460):  # each near the one before, the last far from the first
+        for _ in range(2):
+            chain[rng.randrange(200)] = f"y{rng.randrange(10**6)}"
+        texts[i] = " ".join(chain)
+    far = base[:150] + [f"z{i}" for i in range(50)]
+    for i in range(460, 500):
+        copy = list(far)
+        copy[rng.randrange(200)] = f"q{i}"
+        texts[i] = " ".join(copy)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = as_dict(jaccard_components(docs))
+    assert got == brute(texts, 5, 80) and len({c for _, c in got.values()}) > 1
+
+
+def test_very_long_texts_and_exact_similarity(spark):
+    long = " ".join(f"v{i}" for i in range(300_000))
+    texts = {1: long, 2: long + " end", 3: "z" * 2_000_000, 4: " " * 2_000_000, 5: " ".join(f"a{i}" for i in range(84)), 6: " ".join([*(f"a{i}" for i in range(84)), *(f"b{i}" for i in range(20))])}
+    got = as_dict(jaccard_components(spark.createDataFrame(list(texts.items()), "doc_id long, text string")))
+    assert got == brute(texts, 5, 80) and got[6][1] == 5  # 80 of 100 shingles
+
+
 def test_empty_null_and_repeated_rows(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, None), (3, "")], "doc_id long, text string")
     rows = sorted(((r.doc_id or 0), r.n_shingles, r.component_id) for r in jaccard_components(docs).collect())

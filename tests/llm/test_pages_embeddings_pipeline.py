@@ -77,9 +77,24 @@ def test_cover_tree_finds_all_pairs(monkeypatch):
     for node in range(len(tree.center)):
         own = tree.order[tree.low[node] : tree.high[node]]
         assert np.linalg.norm(x[own] - x[tree.center[node]], axis=1).max() <= tree.radius[node] + 1e-7
-    got = {(i, j) for a, b, sure in near_pairs(tree, other, 0.3) for i, j in (((x, y) for x in a.tolist() for y in b.tolist()) if sure else zip(a.tolist(), b.tolist(), strict=True))}
+    met = [(tree.within(x[i]), other.within(y[j]), sure) for x, y, pairs, sure in near_pairs(tree, other, 0.3) for i, j in np.argwhere(pairs)]
+    got = {(i, j) for a, b, _ in met for i in a.tolist() for j in b.tolist()}
+    assert sum(len(a) * len(b) for a, b, _ in met) == len(got)
     gap = np.linalg.norm(x[:300, None] - x[None, 300:], axis=2)
     assert {tuple(p) for p in np.argwhere(gap <= 0.3)} <= got and len(got) < gap.size / 2
+    assert all((gap[np.ix_(a, b)] <= 0.3).all() for a, b, sure in met if sure)
+
+
+def test_large_groups_of_equal_and_close_vectors(spark):
+    """20,000 equal vectors are one point; 6,000 close ones are taken node by node."""
+    rng = np.random.default_rng(1)
+    same = rng.normal(size=16).tolist()
+    center = rng.normal(size=16)
+    rows = [(i, 1, same) for i in range(20_000)] + [(30_000 + i, 1, (center * (1 + i % 7) + 1e-4 * rng.normal(size=16)).tolist()) for i in range(6000)]
+    began = time.monotonic()
+    out = near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").repartition(8))
+    got = {tuple(r) for r in out.groupBy("n_links", "component_id").count().collect()}
+    assert got == {(19_999, 0, 20_000), (5_999, 30_000, 6000)} and time.monotonic() - began < 60
 
 
 def test_best_split():
