@@ -90,22 +90,25 @@ def project_fisheye(v: Column, params: Sequence[Column | float] | Column) -> Col
 
     params: f, cu, cv, k0..k5, p0, p1, s0..s3. Null at a depth of 1e-9 or less; a point on the axis has the principal point.
     """
-    p = [params[i] if isinstance(params, Column) else (F.lit(x) if not isinstance(x, Column) else x) for i, x in enumerate(range(15) if isinstance(params, Column) else params)]
-    f, cu, cv, radial, (p0, p1), (s0, s1, s2, s3) = p[0], p[1], p[2], p[3:9], p[9:11], p[11:15]
+    p = [params[i] if isinstance(params, Column) else x for i, x in enumerate(range(15) if isinstance(params, Column) else params)]
+    f, cu, cv = (F.lit(x) for x in p[:3])
+    radial, (p0, p1), (s0, s1, s2, s3) = p[3:9], p[9:11], p[11:15]
     a, b = v["x"] / v["z"], v["y"] / v["z"]
-    r = F.sqrt(a * a + b * b)
+    r = F.hypot(a, b)
     theta = F.atan(r)
-    square = theta * theta
-    series = F.lit(0.0)
-    for k in reversed(radial):
-        series = (series + k) * square
-    scale = theta * (F.lit(1.0) + series) / r
-    x, y = a * scale, b * scale
-    rr = x * x + y * y
-    u = f * (x + (2 * x * x + rr) * p0 + 2 * x * y * p1 + s0 * rr + s1 * rr * rr) + cu
-    w = f * (y + (2 * y * y + rr) * p1 + 2 * x * y * p0 + s2 * rr + s3 * rr * rr) + cv
+    # The expression is one tree, so what it repeats is kept small: powers of the angle instead of nested products, the bent radius for x * x + y * y, no terms of 0.
+    there = lambda terms: [(k, x) for k, x in terms if isinstance(k, Column) or k]
+    bent = theta
+    for k, power in there((k, 2 * n + 3) for n, k in enumerate(radial)):
+        bent = bent + F.lit(k) * F.pow(theta, F.lit(float(power)))
+    x, y, rr = a * bent / r, b * bent / r, bent * bent
+    u, w = x, y
+    for k, term in there([(p0, 2 * x * x + rr), (p1, 2 * x * y), (s0, rr), (s1, F.pow(bent, F.lit(4.0)))]):
+        u = u + F.lit(k) * term
+    for k, term in there([(p1, 2 * y * y + rr), (p0, 2 * x * y), (s2, rr), (s3, F.pow(bent, F.lit(4.0)))]):
+        w = w + F.lit(k) * term
     pixel = lambda u, w: F.struct(u.cast("double").alias("u"), w.cast("double").alias("v"))
-    return F.when(v["z"] > MIN_DEPTH, F.when(r < MIN_RADIUS, pixel(cu, cv)).otherwise(pixel(u, w)))
+    return F.when(v["z"] > MIN_DEPTH, F.when(r < MIN_RADIUS, pixel(cu, cv)).otherwise(pixel(f * u + cu, f * w + cv)))
 
 
 def in_image(pixel: Column, width, height) -> Column:

@@ -551,3 +551,86 @@ def states_at_times(spark, d):
     objects = s.select("video_id", "assoc_id", F.concat(F.lit("object"), F.when(c("assoc_id") % 7 == 0, " (skipped)").otherwise("")).alias("name")).distinct()
     seen = s.groupBy("video_id", "assoc_id", c("time_sec").alias("sample_sec")).agg(F.min("event_id").alias("event_id"))
     return V.states_at(times, objects, seen, 20.0).select("video_id", "time_sec", "assoc_id", c("state.event_id").alias("event_id"))
+
+
+TOKEN = "'<TIME ' || printf('%02d:%02d:%02d.%d', t // 36000, t // 600 % 60, t // 10 % 60, t % 10) || ' video 1>'"
+NUMBER = "rtrim(rtrim(format('{{:.4f}}', round_even({x}, 4)), '0'), '.')"
+TIMED = "timed AS (SELECT *, CAST(round_even(time_sec * 10, 0) AS BIGINT) AS t, 'object ' || CAST(assoc_id AS VARCHAR) AS name FROM samples)"
+
+
+def step_columns(rows, step, *keys):
+    s = step.alias("s")
+    return rows.select(*keys, s).where("s is not null").select(*keys, c("s.question").alias("question"), c("s.answer").alias("answer"), F.array_join("s.choices", ",").alias("choices"), c("s.correct_idx").alias("correct_idx"))
+
+
+@query("qst1_visibility_step", f"""
+SELECT event_id, 'Is ' || name || ' visible at ' || {TOKEN} || '?' AS question, answer, choices, CAST(CASE WHEN starts_with(choices, answer) THEN 0 ELSE 1 END AS INTEGER) AS correct_idx FROM (
+  SELECT *, CASE WHEN {VISIBLE_SQL} THEN 'Yes' ELSE 'No' END AS answer, CASE WHEN md5('1|' || event_id || '|Yes') < md5('1|' || event_id || '|No') THEN 'Yes,No' ELSE 'No,Yes' END AS choices FROM timed)""", A.SAMPLES, TIMED)
+def visibility_steps(spark, d):
+    name = F.concat(F.lit("object "), c("assoc_id").cast("string"))
+    return step_columns(A.samples(spark, d), Q.visibility_step(name, c("time_sec"), is_visible(c("status")), c("event_id"), 1), "event_id")
+
+
+@query("qst2_last_seen_step", f"""
+SELECT event_id, 'When was ' || name || ' last visible before ' || {TOKEN} || '?' AS question, {TOKEN.replace('t ', 's ').replace(' t %', ' s %')} || ' (' || {NUMBER.format(x='(k + 1) / 64.0')} || ', ' || {NUMBER.format(x='k / 128.0')} || ')' AS answer, '' AS choices, CAST(NULL AS INTEGER) AS correct_idx FROM (
+  SELECT *, CAST(round_even(greatest(0.0, time_sec - 7.5) * 10, 0) AS BIGINT) AS s FROM timed)""", A.SAMPLES, TIMED)
+def last_seen_steps(spark, d):
+    name = F.concat(F.lit("object "), c("assoc_id").cast("string"))
+    return step_columns(A.samples(spark, d), Q.last_seen_step(name, c("time_sec"), c("time_sec") - 7.5, (c("k") + 1) / F.lit(64.0), c("k") / F.lit(128.0)), "event_id")
+
+
+@query("qst3_stopped_step", f"""
+SELECT event_id, 'When did ' || name || ' stop moving before ' || {TOKEN} || '?' AS question, {TOKEN.replace('t ', 's ').replace(' t %', ' s %')} AS answer, '' AS choices, CAST(NULL AS INTEGER) AS correct_idx FROM (
+  SELECT *, CAST(round_even(greatest(0.0, time_sec - 3) * 10, 0) AS BIGINT) AS s FROM timed)""", A.SAMPLES, TIMED)
+def stopped_steps(spark, d):
+    name = F.concat(F.lit("object "), c("assoc_id").cast("string"))
+    return step_columns(A.samples(spark, d), Q.stopped_step(name, c("time_sec"), c("time_sec") - 3), "event_id")
+
+
+@query("qst7_distance_step", """
+SELECT vec_id, 'How far is it from the anchor?' AS question, answer, 'close,medium,far' AS choices, CAST(CASE answer WHEN 'close' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END AS INTEGER) AS correct_idx FROM (
+  SELECT *, CASE WHEN dist < 1.0 THEN 'close' WHEN dist < 1.5 THEN 'medium' ELSE 'far' END AS answer FROM (SELECT vec_id, sqrt((ax - qx) * (ax - qx) + (ay - qy) * (ay - qy) + (az - qz) * (az - qz)) AS dist FROM points))""", A.POINTS)
+def distance_steps(spark, d):
+    from ..functions.geometry import distance
+
+    return step_columns(A.points(spark, d), Q.distance_step(F.lit("it"), F.lit("the anchor"), distance(c("a"), c("b"))), "vec_id")
+
+
+AREAS = """areas AS (SELECT p_partkey, p_brand AS area, list_sort([p_brand, 'left', 'right', 'middle', 'corner']) AS w FROM part),
+picked AS (SELECT p_partkey, area, list_slice(list_transform(list_sort(list_transform(list_filter(w, lambda x: x <> area), lambda x: {'h': md5('3|' || p_partkey || '|' || x), 'c': x})), lambda s: s.c), 1, 3) AS o FROM areas),
+areas_chosen AS (SELECT p_partkey, area, list_transform(list_sort(list_transform(list_concat([area], o), lambda x: {'h': md5('3:order|' || p_partkey || '|' || x), 'c': x})), lambda s: s.c) AS choices FROM picked)"""
+
+
+@query("qst8_area_step", "SELECT p_partkey, 'Which part of the counter is it on?' AS question, area AS answer, array_to_string(choices, ',') AS choices, CAST(list_position(choices, area) - 1 AS INTEGER) AS correct_idx FROM areas_chosen", AREAS)
+def area_steps(spark, d):
+    words = F.array(c("p_brand"), *(F.lit(x) for x in ("left", "right", "middle", "corner")))
+    return step_columns(A.read(spark, d, "part"), Q.area_step(F.lit("it"), c("p_brand"), words, c("p_partkey"), 3), "p_partkey")
+
+
+@query("qst9_qst16_trajectory_records", """
+SELECT video_id, event_id, row_number() OVER (ORDER BY video_id, rn) AS trajectory_id, 1 + CAST(in_view AS INTEGER) + CAST(NOT occluded AS INTEGER) AS n_steps, CAST(k % 2 = 0 AS INTEGER) AS n_branches FROM (
+  SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY time_sec, event_id) AS rn FROM samples) WHERE rn <= 30""", A.SAMPLES)
+def trajectory_records(spark, d):
+    """Steps that are null are left out of a record; branches stand in their own group."""
+    s = A.samples(spark, d).select("video_id", "event_id", "time_sec", F.lit("1").alias("s1"), F.when(c("in_view"), "2").alias("s2"), F.when(~c("occluded"), "3").alias("s3"), F.when(c("k") % 2 == 0, "5a").alias("b1"))
+    r = Q.trajectories(s, ["time_sec", "event_id"], ["s1", "s2", "s3"], ["b1"], 30)
+    return r.select("video_id", "event_id", "trajectory_id", F.size("incremental_steps").alias("n_steps"), F.size(c("branch_groups")["post_step4"]).alias("n_branches"))
+
+
+@query("qst10_drop_reasons", f"""
+SELECT event_id, CASE WHEN raw_status = 'no_valid_mask' THEN 'no_state' WHEN {VISIBLE_SQL} THEN 'one_step' WHEN k % 5 = 0 THEN 'never_visible' WHEN k % 7 = 0 THEN 'in_motion' WHEN fixture IS NULL OR fixture = 'mid-air' THEN 'invalid_fixture' WHEN k % 11 = 0 THEN 'no_placement'
+  WHEN k % 13 = 0 THEN 'seen_before_placement' WHEN k % 17 = 0 THEN 'ambiguous_direction' WHEN k % 19 = 0 THEN 'no_anchor' WHEN occluded THEN 'branch_failed' ELSE 'kept' END AS reason FROM samples""", A.SAMPLES)
+def drop_reasons(spark, d):
+    none = lambda n, x: F.when(c("k") % n != 0, x)
+    placed = none(11, F.when(c("k") % 13 == 0, c("time_sec") + 5).otherwise(c("time_sec") - 5))
+    reason = Q.drop_reason(c("raw_status") != "no_valid_mask", is_visible(c("status")), none(5, c("time_sec")), c("k") % 7 == 0, N.valid_fixture(N.fixture_label(c("fixture"))), placed, none(17, F.lit("Front-left")), none(19, F.lit("a")), ~c("occluded"))
+    return A.samples(spark, d).select("event_id", reason.alias("reason"))
+
+
+@query("rnd3_seeded_anchor", f"""
+SELECT s.event_id, arg_min(o.assoc_id, (md5('11|' || s.assoc_id || '|' || o.assoc_id), o.assoc_id)) AS anchor_id FROM samples s JOIN (SELECT DISTINCT video_id, floor(time_sec / 10) AS t, assoc_id FROM samples WHERE {STABLE_SQL}) o
+ON o.video_id = s.video_id AND o.t = floor(s.time_sec / 10) AND o.assoc_id <> s.assoc_id GROUP BY s.event_id""", A.SAMPLES)
+def seeded_anchor(spark, d):
+    s = A.samples(spark, d).withColumn("query_sec", F.floor(c("time_sec") / 10))
+    eligible = s.where(is_stable(c("status"))).select("video_id", "query_sec", c("assoc_id").alias("anchor_id")).distinct()
+    return Q.with_anchor(s.select("video_id", "assoc_id", "query_sec").distinct(), eligible, 11).join(s.select("video_id", "assoc_id", "query_sec", "event_id"), ["video_id", "assoc_id", "query_sec"]).select("event_id", "anchor_id")
