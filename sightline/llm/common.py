@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..sources.scratch import shared_root
@@ -124,6 +123,3 @@ def id_columns(name: str = "doc_id") -> list[Column]:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-
-def long_field(name: str) -> T.StructField:
-    return T.StructField(name, T.LongType())

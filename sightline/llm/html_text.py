@@ -30,8 +30,7 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 HEAD_TAGS = {"head", "html", "base", "basefont", "bgsound", "link", "meta", "title", "style", "script", "noscript", "noframes", "template"}
 #: Elements that stand within a block.
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img input".split())
-#: Elements that say what a part of a page is: they are seeds of the cut and give the classifier its training labels.
-CONTENT_TAGS = {"article", "main"}
+#: Elements that, like article and main, say what a part of a page is: they are seeds of the cut and give the classifier its training labels.
 BOILERPLATE_TAGS = {"nav", "header", "footer", "aside", "form", "menu", "dialog"}
 #: Words of class, id and role names from which a feature's weight starts before pages are seen.
 CONTENT_WORDS = set("article content main post entry story body text".split())

@@ -6,7 +6,7 @@ import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import pandas as pd
 import regex
@@ -49,6 +49,7 @@ class MergeCounter:
         self.special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special_split = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.path, self.pattern = path, spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.known: dict[str, int] = {}
         self.chunks = _Memory(self.count_chunk)
 
@@ -81,12 +82,24 @@ class MergeCounter:
                 heapq.heappush(heap, s << 32 | h)
         return left
 
-    def count_plain(self, text: str) -> int:
+    @cached_property
+    def newer(self):
+        """Words of a text with characters that Python's tables don't have yet: normalised and split by the library, whose tables are of another version."""
+        from tokenizers import Regex, Tokenizer, pre_tokenizers
+
+        normalizer, split = Tokenizer.from_file(self.path).normalizer, pre_tokenizers.Split(Regex(self.pattern), "removed", invert=True)
+        return lambda text: [word for word, _ in split.pre_tokenize_str(normalizer.normalize_str(text))]
+
+    def split(self, text: str) -> list[str]:
+        if not text.isascii() and any(unicodedata.category(c) == "Cn" for c in text):
+            return self.newer(text)
         text = unicodedata.normalize("NFC", text)
         # Each character is lower-cased by itself: the form of a final sigma does not depend on what follows.
-        text = "".join(c.lower() for c in text) if "Σ" in text else text.lower()
+        return self.words.findall("".join(c.lower() for c in text) if "Σ" in text else text.lower())
+
+    def count_plain(self, text: str) -> int:
         known, total = self.known, 0
-        for word in self.words.findall(text):
+        for word in self.split(text):
             if (n := known.get(word)) is None:
                 n = self.count_word(word.encode())
                 if len(known) >= MEMORY_ENTRIES:
