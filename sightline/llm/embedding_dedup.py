@@ -15,8 +15,8 @@ from .common import checkpointed, connected_components, small, table
 VECTORS_A_PIVOT, MOST_PIVOTS = 1024, 16_384
 #: Vectors of a cell, and of its visitors, in one task; larger ones are split over tasks.
 CELL, VISITORS = 4096, 8192
-#: Points of a tree's leaf, distances and cosines computed at once, and room for rounding in the bounds.
-LEAF, GAPS, ROUNDING = 32, 2_000_000, 1e-7
+#: Candidates for a node's centres that are compared at once; points of a tree's leaf, distances and cosines computed at once, and room for rounding in the bounds.
+CENTERS, LEAF, GAPS, ROUNDING = 64, 32, 2_000_000, 1e-7
 
 
 class CoverTree:
@@ -38,11 +38,21 @@ class CoverTree:
                 continue
             reach = min(reach, self.radius[node]) / 2
             rest, parts = self.order[low:high], []
-            while len(rest):
-                near = _distances(points[rest[:1]], points[rest])[0] <= reach
-                near[0] = True
-                parts.append(rest[near])
-                rest = rest[~near]
+            while len(rest):  # each point goes to the first centre in reach; candidates for centres are compared many at once
+                ahead = min(CENTERS, len(rest))
+                near = _distances(points[rest[:ahead]], points[rest]) <= reach
+                near[np.arange(ahead), np.arange(ahead)] = True
+                centers, free = [], np.ones(ahead, bool)
+                for i in range(ahead):
+                    if free[i]:
+                        centers.append(i)
+                        free &= ~near[i, :ahead]
+                near = near[centers]
+                first = np.where(near.any(0), near.argmax(0), -1)
+                order = np.argsort(first, kind="stable")
+                bounds = np.searchsorted(first[order], np.arange(len(centers) + 1))
+                parts += [rest[order[a:b]] for a, b in zip(bounds, bounds[1:], strict=False)]
+                rest = rest[first < 0]
             self.order[low:high] = np.concatenate(parts)
             self.child[node], self.children[node] = len(self.center), len(parts)
             for part in parts:
