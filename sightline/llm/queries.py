@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .embedding_dedup import OP3_SQL, op3_embedding_dedup
+from .filter_audit import OP12_SQL, op12_filter_audit
 from .html_text import op8_html_text
 from .mixing import op9_mixing
 from .ngram_join import OP10_SQL, op10_ngram_join
@@ -37,7 +38,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_text": op8_html_text,
     "op9_mixing": op9_mixing,
     "op10_ngram_join": op10_ngram_join,
+    "op12_filter_audit": op12_filter_audit,
     "pipeline": pipeline,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_embedding_dedup": OP3_SQL, "op10_ngram_join": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_embedding_dedup": OP3_SQL, "op10_ngram_join": OP10_SQL, "op12_filter_audit": OP12_SQL}
