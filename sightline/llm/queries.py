@@ -13,6 +13,7 @@ from .mixing import op9_mixing
 from .ngram_join import OP10_SQL, op10_ngram_join
 from .packing import op1_packing
 from .pii import op2_pii
+from .prefix_trie import OP13_SQL, op13_prefix_trie
 from .quality import op5_quality_rules
 from .sharding import op7_shards
 from .token_counts import op4_token_counts
@@ -39,7 +40,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_ngram_join": op10_ngram_join,
     "op12_filter_audit": op12_filter_audit,
+    "op13_prefix_trie": op13_prefix_trie,
     "pipeline": pipeline,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_embedding_dedup": OP3_SQL, "op10_ngram_join": OP10_SQL, "op12_filter_audit": OP12_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_embedding_dedup": OP3_SQL, "op10_ngram_join": OP10_SQL, "op12_filter_audit": OP12_SQL, "op13_prefix_trie": OP13_SQL}
