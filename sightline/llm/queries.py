@@ -17,6 +17,7 @@ from .prefix_trie import OP13_SQL, op13_prefix_trie
 from .quality import op5_quality_rules
 from .sharding import op7_shards
 from .token_counts import op4_token_counts
+from .token_output import op11_token_output
 from .url_filters import op6_url_filters
 
 
@@ -39,6 +40,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_text": op8_html_text,
     "op9_mixing": op9_mixing,
     "op10_ngram_join": op10_ngram_join,
+    "op11_token_output": op11_token_output,
     "op12_filter_audit": op12_filter_audit,
     "op13_prefix_trie": op13_prefix_trie,
     "pipeline": pipeline,
