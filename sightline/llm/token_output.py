@@ -85,6 +85,14 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
     write_index(docs.sparkSession, folder)
 
 
+def shard_files(spark: SparkSession, folder: str, kind: int) -> DataFrame:
+    """(shard, content) of the files of ids (0) or keys (1); none where nothing was written."""
+    files = spark.read.format("binaryFile").load(f"{folder}/data")
+    if "shard" not in files.columns:
+        return spark.createDataFrame([], "shard int, content binary")
+    return files.where(F.col("kind") == kind).select("shard", "content")
+
+
 def listed_keys(spark: SparkSession, folder: str) -> DataFrame:
     """(known, doc_id, copy, shard, at, n) of all documents in the files: which of the rows of its id it is, and where its ids begin in the shard."""
 
@@ -98,8 +106,7 @@ def listed_keys(spark: SparkSession, folder: str) -> DataFrame:
                 edge = (run == run[0]) | (run == run[-1])
                 yield pd.DataFrame({"known": r["known"].astype(bool), "doc_id": r["doc_id"], "copy": np.arange(len(r)) - np.flatnonzero(new)[run], "shard": shard, "at": np.cumsum(r["n"]) - r["n"], "n": r["n"], "edge": edge})
 
-    files = spark.read.format("binaryFile").load(f"{folder}/data").where("kind = 1").select("shard", "content")
-    rows = files.mapInPandas(parsed, "known boolean, doc_id long, copy long, shard int, at long, n long, edge boolean")
+    rows = shard_files(spark, folder, 1).mapInPandas(parsed, "known boolean, doc_id long, copy long, shard int, at long, n long, edge boolean")
     rows = checkpointed(rows)
     # Only the first and the last id of a shard can be in others too.
     edges = rows.where("edge").groupBy("known", "doc_id", "shard").agg(F.count("*").alias("c"))
@@ -223,8 +230,7 @@ def read_tokens(spark: SparkSession, folder: str, keys: DataFrame, width: int =
                     out.append((e["known"], e["doc_id"], e["copy"], before + e["at"], e["n"], zlib.crc32(ids), ids if keep_ids else None))
                 yield pd.DataFrame(out, columns=["known", "doc_id", "copy", "start", "n_tokens", "ids_crc32", "ids"])
 
-    files = spark.read.format("binaryFile").load(f"{folder}/data").where("kind = 0").select("shard", "content")
-    rows = files.join(wanted, "shard").select("before", "content", "entries").mapInPandas(sliced, "known boolean, doc_id long, copy long, start long, n_tokens long, ids_crc32 long, ids binary")
+    rows = shard_files(spark, folder, 0).join(wanted, "shard").select("before", "content", "entries").mapInPandas(sliced, "known boolean, doc_id long, copy long, start long, n_tokens long, ids_crc32 long, ids binary")
     rows = rows.select(F.when(F.col("known"), F.col("doc_id")).alias("doc_id"), "copy", "start", "n_tokens", "ids_crc32", "ids")
     return rows if keep_ids else rows.drop("ids")
 
