@@ -116,11 +116,17 @@ def visible_seconds(intervals: DataFrame, keys: Sequence[str], visible: Column,
 
 
 def coverage(intervals: DataFrame, visible: Column, length: float, objects: int, buckets: int = 600) -> DataFrame:
-    """Of each time bucket the share of objects that are visible in it; intervals are listed in the buckets that they reach, which are a fixed number."""
+    """Of each time bucket that has any the share of objects that are visible in it.
+
+    A difference array: each interval adds one at its first bucket and takes it off after its last, and a running sum over the buckets, a fixed number of rows, gives their
+    counts. Two rows an interval, combined before the shuffle, whatever its length.
+    """
     at = lambda c: F.greatest(F.lit(0), F.least(F.lit(buckets - 1), F.floor(F.col(c) / F.lit(length / buckets)))).cast("int")
-    return intervals.where(visible).select(F.explode(F.sequence(at("start_sec"), F.greatest(at("start_sec"), at("end_sec")))).alias("bucket")).groupBy("bucket").agg(
-        F.round(F.count("*") / F.lit(objects), 6).alias("density")
-    )
+    ends = F.array(F.struct(at("start_sec").alias("bucket"), F.lit(1).alias("step")), F.struct((F.greatest(at("start_sec"), at("end_sec")) + 1).alias("bucket"), F.lit(-1).alias("step")))
+    steps = intervals.where(visible).select(F.explode(ends).alias("e")).groupBy("e.bucket").agg(F.sum("e.step").alias("_step"))
+    every = intervals.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(steps, "bucket", "left")
+    count = F.sum(F.coalesce("_step", F.lit(0))).over(Window.orderBy("bucket"))  # a row for each bucket
+    return every.select("bucket", count.alias("_n")).where("_n > 0").select("bucket", F.round(F.col("_n") / F.lit(objects), 6).alias("density"))
 
 
 def balanced_objects(samples: DataFrame, keys: Sequence[str], flag: Column, least: int = 10) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .temporal import asof_join
+
 
 def microseconds(time: str) -> Column:
     """Seconds as a whole number of microseconds, which range frames need."""
@@ -35,8 +37,11 @@ def last_true_index(samples: DataFrame, keys: Sequence[str], order: Sequence[str
     return samples.withColumn(name, F.last(F.when(flag, F.col(index)), ignorenulls=True).over(w))
 
 
-def last_true_time(samples: DataFrame, keys: Sequence[str], order: Sequence[str], time: str, flag: Column, name: str) -> DataFrame:
-    """samples with the time of the last sample strictly before in time whose flag holds."""
+def last_true_time(samples: DataFrame, keys: Sequence[str], order: Sequence[str], time: str, flag: Column, name: str, block: float | None = None) -> DataFrame:
+    """samples with the time of the last sample strictly before in time whose flag holds. block: a width in time by which a long key is split over tasks."""
+    if block:
+        seen = samples.where(flag).select(*keys, F.col(time).alias("_seen"))
+        return asof_join(samples, seen, keys, time, "_seen", strict=True, name="_hit", block=block).withColumn(name, F.col("_hit")["_seen"]).drop("_hit")
     w = Window.partitionBy(*keys).orderBy(microseconds(time)).rangeBetween(Window.unboundedPreceding, -1)
     return samples.withColumn(name, F.max(F.when(flag, F.col(time))).over(w))
 
@@ -72,9 +77,12 @@ def open_close_intervals(events: DataFrame, ends: DataFrame, keys: Sequence[str]
     return forward.unionByName(back)
 
 
-def interval_violations(intervals: DataFrame, keys: Sequence[str], statuses: Sequence[str], counts: Sequence[str] = ()) -> DataFrame:
-    """Rows that break a rule, with the rule: unknown_status, negative_length, overlap with the interval before, negative_count."""
-    w = Window.partitionBy(*keys).orderBy("start_sec", "end_sec")
+def interval_violations(intervals: DataFrame, keys: Sequence[str], statuses: Sequence[str], counts: Sequence[str] = (), order: Sequence[str] = ()) -> DataFrame:
+    """Rows that break a rule, with the rule: unknown_status, negative_length, overlap with the interval before, negative_count.
+
+    Intervals are ordered by start, end and `order`, whose last column should tell all of a key apart: else it is open which of two equal ones comes first.
+    """
+    w = Window.partitionBy(*keys).orderBy("start_sec", "end_sec", *order)
     before = F.lag("end_sec").over(w)
     rules = [
         F.when(~F.coalesce(F.col("status").isin(*statuses), F.lit(False)), "unknown_status"),
@@ -83,21 +91,3 @@ def interval_violations(intervals: DataFrame, keys: Sequence[str], statuses: Seq
         *(F.when(F.col(c) < 0, "negative_count") for c in counts),
     ]
     return intervals.withColumn("_rules", F.array_compact(F.array(*rules))).withColumn("rule", F.explode("_rules")).drop("_rules")
-
-
-def smoothed(samples: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, alpha: float, name: str) -> DataFrame:
-    """samples with the exponential moving average alpha * x + (1 - alpha) * previous, the first value being itself.
-
-    The recursion can't be split, so the samples of one object are one group; objects are spread over tasks.
-    """
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in samples.schema.fields)}, {name} double"
-
-    def run(rows):
-        rows = rows.sort_values(list(order), ignore_index=True)
-        out, state = [], None
-        for x in rows[value]:
-            state = x if state is None else alpha * x + (1 - alpha) * state
-            out.append(state)
-        return rows.assign(**{name: out})
-
-    return samples.groupBy(*keys).applyInPandas(run, schema)

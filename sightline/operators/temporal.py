@@ -6,8 +6,11 @@ neither side is broadcast or collected.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import heapq
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,35 +19,65 @@ FPS = 30.0
 EPS = 1e-9
 
 
-def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str, right_time: str, order: Sequence[str] = (), direction: str = "backward", strict: bool = False, name: str = "match") -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str, right_time: str, order: Sequence[str] = (), direction: str = "backward", strict: bool = False, name: str = "match", block: float | None = None) -> DataFrame:
     """left with a struct column `name` of the right row next to its time on the given side; null if there is none.
 
     backward: the last right row at or before the time (strict: before); forward: the first at or after (strict: after).
     Of rows with equal times the last in `order` wins backward and the first forward. Both sides are
     sorted together once by key and time, and a running last or first value carries the match. A null time matches nothing.
+
+    block: a width in time by which a key is split over tasks, for keys that are too long for one. Each block is sorted by itself; the value that it starts from is
+    carried by a scan over the blocks' last (or first) rows.
     """
-    back = direction == "backward"
-    fields = [F.col(c) for c in right.columns if c not in keys]
-    r = right.select(*keys, F.col(right_time).cast("double").alias("_t"), F.lit(0 if back != strict else 2).alias("_side"), F.struct(*fields).alias("_r"), F.struct(*(order or [right_time])).alias("_o")).where("_t is not null")
-    lefts = [c for c in left.columns if c not in keys]
-    empty_r, empty_o = F.lit(None).cast(r.schema["_r"].dataType), F.lit(None).cast(r.schema["_o"].dataType)
-    l = left.select(*keys, F.col(time).cast("double").alias("_t"), F.lit(1).alias("_side"), empty_r.alias("_r"), empty_o.alias("_o"), F.struct(*lefts).alias("_l"))
-    both = r.withColumn("_l", F.lit(None).cast(l.schema["_l"].dataType)).unionByName(l)
-    w = Window.partitionBy(*keys).orderBy("_t", "_side", "_o")
-    if back:
-        found = F.last("_r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    else:
-        found = F.first("_r", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    return both.withColumn(name, F.when(F.col("_t").isNotNull(), found)).where("_side = 1").select(*keys, *(F.col("_l")[c].alias(c) for c in lefts), name)
-
-
-def nearest_join(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str, right_time: str, order: Sequence[str] = (), tie: str = "later", tolerance: float | None = None, name: str = "match") -> DataFrame:
+    return _merged(left, [(right, right_time, order, direction, strict, name)], keys, time, block)
+
+
+def asof_both(left: DataFrame, before: tuple, after: tuple, keys: Sequence[str], time: str, block: float | None = None) -> DataFrame:
+    """left with the rows next to its time on both sides, from one sort. before and after: (rows, time column, order, strict, name)."""
+    sides = [(*x[:3], direction, *x[3:]) for x, direction in ((before, "backward"), (after, "forward"))]
+    return _merged(left, sides, keys, time, block)
+
+
+def _merged(left: DataFrame, sides: list[tuple], keys: Sequence[str], time: str, block: float | None) -> DataFrame:
+    lefts, split = [c for c in left.columns if c not in keys], ["_block"] if block else []
+    cut = lambda rows: rows.withColumn("_block", F.floor(F.col("_t") / block)) if block else rows
+    l = cut(left.select(*keys, F.col(time).cast("double").alias("_t"), F.lit(1).alias("_side"), F.struct(*lefts).alias("_l")))
+    timeless = l.where("_t is null") if block else None
+    both = asked = l.where("_t is not null") if block else l
+    for n, (right, right_time, order, direction, strict, _) in enumerate(sides):
+        back = direction == "backward"
+        fields = F.struct(*(F.col(c) for c in right.columns if c not in keys))
+        r = right.select(*keys, F.col(right_time).cast("double").alias("_t"), F.lit(0 if back != strict else 2).alias("_side"), fields.alias(f"_r{n}"), F.struct(*(order or [right_time])).alias(f"_o{n}")).where("_t is not null")
+        r = cut(r)
+        both = both.unionByName(r, allowMissingColumns=True)
+        if block:
+            last = (F.max_by if back else F.min_by)(f"_r{n}", F.struct("_t", f"_o{n}"))
+            steps = r.groupBy(*keys, "_block").agg(last.alias("_v")).unionByName(asked.select(*keys, "_block").distinct().withColumn("_asked", F.lit(True)), allowMissingColumns=True)
+            steps = steps.groupBy(*keys, "_block").agg(F.first("_v", ignorenulls=True).alias("_v"), F.max("_asked").alias("_asked"))
+            over = Window.partitionBy(*keys).orderBy("_block")
+            carried = F.last("_v", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)) if back else F.first("_v", ignorenulls=True).over(over.rowsBetween(1, Window.unboundedFollowing))
+            steps = steps.withColumn(f"_r{n}", carried).where(F.col("_asked") & F.col(f"_r{n}").isNotNull())
+            both = both.unionByName(steps.select(*keys, "_block", F.lit(float("-inf" if back else "inf")).alias("_t"), F.lit(0 if back else 2).alias("_side"), f"_r{n}"), allowMissingColumns=True)
+    w = Window.partitionBy(*keys, *split).orderBy("_t", "_side", *(f"_o{n}" for n in range(len(sides))))
+    for n, side in enumerate(sides):
+        if side[3] == "backward":
+            found = F.last(f"_r{n}", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+        else:
+            found = F.first(f"_r{n}", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+        both = both.withColumn(f"_found{n}", F.when(F.col("_t").isNotNull(), found))
+    names = [side[5] for side in sides]
+    out = both.where("_side = 1").select(*keys, "_l", *(F.col(f"_found{n}").alias(name) for n, name in enumerate(names)))
+    if timeless is not None:
+        out = out.unionByName(timeless.select(*keys, "_l"), allowMissingColumns=True)
+    return out.select(*keys, *(F.col("_l")[c].alias(c) for c in lefts), *names)
+
+
+def nearest_join(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str, right_time: str, order: Sequence[str] = (), tie: str = "later", tolerance: float | None = None, name: str = "match", block: float | None = None) -> DataFrame:
     """left with the right row nearest in time: of two at the same distance the later, or the earlier.
 
-    The nearest row is the last at or before or the first after; with a tolerance, none farther away counts.
+    The nearest row is the last at or before or the first after; with a tolerance, none farther away counts. block: as in asof_join.
     """
-    out = asof_join(left, right, keys, time, right_time, order, "backward", name="_before")
-    out = asof_join(out, right, keys, time, right_time, order, "forward", strict=True, name="_after")
+    out = asof_both(left, (right, right_time, order, False, "_before"), (right, right_time, order, True, "_after"), keys, time, block)
     before, after = F.col(time) - F.col("_before")[right_time], F.col("_after")[right_time] - F.col(time)
     later = after <= before if tie == "later" else after < before
     found = F.when(F.col("_before").isNull() | F.coalesce(later, F.lit(False)), F.col("_after")).otherwise(F.col("_before"))
@@ -54,6 +87,21 @@ def nearest_join(left: DataFrame, right: DataFrame, keys: Sequence[str], time: s
     return out
 
 
+def exact_join(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str, right_time: str, order: Sequence[str] = (), eps: float = 1e-6, name: str = "match") -> DataFrame:
+    """left with the right row whose time is the same to within eps: of several the earliest, of equal times the first in `order`; null if there is none.
+
+    Times meet in buckets of eps: a right row, the first of its time, is listed in its own and both adjacent ones, so each left row looks into one, which holds few rows.
+    """
+    fields = F.struct(*(F.col(c) for c in right.columns if c not in keys))
+    t = F.col(right_time).cast("double")
+    once = right.where(t.isNotNull()).groupBy(*keys, t.alias("_t")).agg(F.min_by(fields, F.struct(*(order or [right_time]))).alias("_v"))
+    own = F.floor(F.col("_t") / eps)
+    listed = once.withColumn("_b", F.explode(F.array(own - 1, own, own + 1))).groupBy(*keys, "_b").agg(F.sort_array(F.collect_list(F.struct("_t", "_v"))).alias("_near"))
+    met = left.withColumn("_b", F.floor(F.col(time).cast("double") / eps)).join(listed, [*keys, "_b"], "left")
+    hit = F.get(F.filter("_near", lambda x: F.abs(x["_t"] - F.col(time)) <= eps), 0)["_v"]
+    return met.select(*left.columns, hit.alias(name))
+
+
 def rejoin(left: DataFrame, right: DataFrame, columns: Sequence[str], how: str = "left") -> DataFrame:
     """left with what right has for the same values of the columns, null being a value like others."""
     names = {c: f"_same_{c}" for c in columns}
@@ -131,23 +179,82 @@ def first_match(joined: DataFrame, by: Sequence[str], pick: Column, values: Sequ
     return joined.groupBy(*by).agg(chosen.alias("_v")).select(*by, *(F.col("_v")[v].alias(v) for v in values))
 
 
+def skyline(spans: DataFrame, points: DataFrame, keys: Sequence[str], time: str, start: str, end: str, rank: Sequence[Column], eps: float = 0.0, bucket: float = 256.0) -> DataFrame:
+    """Disjoint pieces (keys, _b, _from, s_*): from `_from` to the next piece of its bucket `_b` the span with the least rank holds; s_* are null where none does.
+
+    rank: expressions over a span's columns, called s_*. Spans hold from their start to their end, both included, a null end being open as far as the key's points reach. They are listed in
+    the time buckets that they reach, which are sorted and swept with a heap: n spans give at most 2 n pieces, however they overlap, and a task holds no more than the spans that overlap at one time.
+    A span with a null start or key holds nothing.
+    """
+    names = [c for c in spans.columns if c not in keys]
+    rows = ended(spans.where(F.col(start).isNotNull()).dropna(subset=list(keys)).withColumn("_open", F.col(end).isNull()), points, keys, time, start, end)
+    rows = rows.select(*keys, *(F.when(~F.col("_open"), F.col(end)).alias(f"s_{c}") if c == end else F.col(c).alias(f"s_{c}") for c in names), (F.col(start).cast("double") - eps).alias("_low"), (F.col(end).cast("double") + eps).alias("_high"))
+    rows = rows.where("_low <= _high").select("*", *(r.cast("double").alias(f"_rank{i}") for i, r in enumerate(rank)))
+    rows = rows.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_low") / bucket), F.floor(F.col("_high") / bucket)))).withColumn("_low", F.greatest("_low", F.col("_b") * F.lit(float(bucket))))
+    group, values, ranks = [*keys, "_b"], [f"s_{c}" for c in names], [f"_rank{i}" for i in range(len(rank))]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*group, *values).schema.fields] + ["_from double"])
+
+    def swept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, heap, out, number, none = None, [], [], 0, (None,) * len(values)
+
+        def piece(t: float) -> None:
+            """From t on the top of the heap holds; what was to hold from the same time on never does."""
+            if out and out[-1][0] == now and out[-1][2] == t:
+                out.pop()
+            out.append((now, heap[0][3] if heap else none, t))
+
+        def expire(t: float) -> None:
+            while heap and heap[0][2] <= t:
+                gone = heap[0][2]
+                while heap and heap[0][2] <= gone:
+                    heapq.heappop(heap)
+                if gone < (now[-1] + 1) * bucket:
+                    piece(gone)
+
+        for b in batches:
+            # A span that holds at its end too ends before the next number.
+            gone = np.nextafter(b["_high"].to_numpy(), np.inf)
+            columns = [b[c].astype(object).where(b[c].notna(), None) for c in (*group, *values)]
+            for low, end_, order, *row in zip(b["_low"], gone, zip(*(b[r] for r in ranks), strict=True), *columns, strict=True):
+                key = tuple(row[: len(group)])
+                if key != now:
+                    expire(np.inf)
+                    now = key
+                expire(low)
+                heapq.heappush(heap, (order, number, end_, tuple(row[len(group) :])))
+                number += 1
+                if heap[0][1] == number - 1:
+                    piece(low)
+            # The last piece may be replaced yet.
+            yield pd.DataFrame([(*k, *v, t) for k, v, t in out[:-1]], columns=[*group, *values, "_from"], dtype=object)
+            out = out[-1:]
+        expire(np.inf)
+        yield pd.DataFrame([(*k, *v, t) for k, v, t in out], columns=[*group, *values, "_from"], dtype=object)
+
+    return rows.repartition(*group).sortWithinPartitions(*group, "_low", *ranks).mapInPandas(swept, schema)
+
+
+def stab_strongest(points: DataFrame, spans: DataFrame, keys: Sequence[str], time: str, start: str, end: str, rank: Sequence[Column], eps: float = 0.0, bucket: float = 256.0) -> DataFrame:
+    """points, repeated ones too, with the columns (s_*) of the span of the least rank that holds their time; null without one. Each point meets one piece of the skyline."""
+    pieces = skyline(spans, points, keys, time, start, end, rank, eps, bucket)
+    held = asof_join(points.withColumn("_b", F.floor(F.col(time).cast("double") / bucket)), pieces, [*keys, "_b"], time, "_from", name="_piece")
+    return held.select(*points.columns, *(F.col("_piece")[f"s_{c}"].alias(f"s_{c}") for c in spans.columns if c not in keys))
+
+
 def choose_track(points: DataFrame, tracks: DataFrame, keys: Sequence[str], time: str) -> DataFrame:
     """points with `track` and `relation`: the first track (by track_pos) that holds the time is in_motion; else the past one that ends last; else
-    the future one that starts first; ties go to the first listed. Past and future come from as-of joins, the rest from a stabbing join.
+    the future one that starts first; ties go to the first listed. The track that holds a time comes from the skyline of tracks, past and future from one as-of sort.
     """
     names = ["track_pos", "track_id", "start_sec", "end_sec"]
     t = tracks.select(*keys, *names)
-    ids = [c for c in points.columns]
-    inside = first_match(stab_join(points, t, keys, time, "start_sec", "end_sec", bucket=16.0), ids, F.col("s_track_pos"), [f"s_{n}" for n in names])
-    inside = inside.select(*ids, F.struct(*(F.col(f"s_{n}").alias(n) for n in names)).alias("_in"))
+    inside = stab_strongest(points, t, keys, time, "start_sec", "end_sec", [F.col("s_track_pos")])
     past = t.groupBy(*keys, "end_sec").agg(F.min_by(F.struct(*names), "track_pos").alias("_v")).select(*keys, *(F.col("_v")[n].alias(n) for n in names))
     future = t.groupBy(*keys, "start_sec").agg(F.min_by(F.struct(*names), "track_pos").alias("_v")).select(*keys, *(F.col("_v")[n].alias(n) for n in names))
-    out = asof_join(points, past, keys, time, "end_sec", name="_past", strict=True)
-    out = asof_join(out, future, keys, time, "start_sec", direction="forward", strict=True, name="_future")
-    out = rejoin(out, inside, ids)
-    pick = lambda n: F.coalesce(F.col("_in")[n], F.col("_past")[n], F.col("_future")[n])
-    relation = F.when(F.col("_in").isNotNull(), "in_motion").when(F.col("_past").isNotNull(), "past").when(F.col("_future").isNotNull(), "future").otherwise("no_track_available")
-    return out.select(*ids, *(pick(n).alias(n) for n in names), relation.alias("relation"))
+    out = asof_both(inside, (past, "end_sec", (), True, "_past"), (future, "start_sec", (), True, "_future"), keys, time)
+    held = F.col("s_track_pos").isNotNull()
+    pick = lambda n: F.when(held, F.col(f"s_{n}")).otherwise(F.coalesce(F.col("_past")[n], F.col("_future")[n]))
+    relation = F.when(held, "in_motion").when(F.col("_past").isNotNull(), "past").when(F.col("_future").isNotNull(), "future").otherwise("no_track_available")
+    return out.select(*points.columns, *(pick(n).alias(n) for n in names), relation.alias("relation"))
 
 
 def pick_mask(tracks: DataFrame, masks: DataFrame, last: bool = True) -> DataFrame:
@@ -158,15 +265,14 @@ def pick_mask(tracks: DataFrame, masks: DataFrame, last: bool = True) -> DataFra
     return first_match(found, ["track_id"], key, fields, largest=last)
 
 
-def strongest_span(points: DataFrame, spans: DataFrame, keys: Sequence[str], time: str, priority: Column, eps: float = EPS, bucket: float | None = None) -> DataFrame:
-    """points with the status of the span that holds the time and has the highest priority; of equal ones the shorter, then the later. Without a span out_of_view.
+def strongest_span(points: DataFrame, spans: DataFrame, keys: Sequence[str], time: str, priority: Column, eps: float = EPS, bucket: float = 256.0) -> DataFrame:
+    """points, repeated ones too, with the status of the span that holds the time and has the highest priority; of equal ones the shorter, then the later. Without a span out_of_view.
 
-    priority: an expression over the joined rows, where a span's columns are called s_*.
+    priority: an expression over a span's columns, called s_*. Spans become their skyline first, so a point meets one piece.
     """
-    ids = points.columns
-    held = stab_join(points, spans, keys, time, "start_sec", "end_sec", eps, bucket)
-    best = first_match(held, ids, F.struct(priority.alias("p"), (-(F.col("s_end_sec") - F.col("s_start_sec"))).alias("l"), F.col("s_start_sec").alias("s")), ["s_status"], largest=True)
-    return rejoin(points, best, ids).withColumn("status", F.coalesce("s_status", F.lit("out_of_view"))).drop("s_status")
+    rank = [-priority, F.col("s_end_sec") - F.col("s_start_sec"), -F.col("s_start_sec")]
+    held = stab_strongest(points, spans.select(*keys, "start_sec", "end_sec", "status"), keys, time, "start_sec", "end_sec", rank, eps, bucket)
+    return held.select(*points.columns, F.coalesce("s_status", F.lit("out_of_view")).alias("status"))
 
 
 def last_started(points: DataFrame, spans: DataFrame, keys: Sequence[str], time: str) -> DataFrame:
@@ -242,7 +348,7 @@ def time_of(frame: Column, fps: float = FPS) -> Column:
     return frame / F.lit(fps)
 
 
-def thinned(frames: DataFrame, keys: Sequence[str], time: str, fps: float) -> DataFrame:
-    """The first frame of each 1 / fps seconds of its key."""
-    w = Window.partitionBy(*keys, "_slot").orderBy(time)
+def thinned(frames: DataFrame, keys: Sequence[str], time: str, fps: float, order: Sequence[str] = ()) -> DataFrame:
+    """The first frame of each 1 / fps seconds of its key; of frames of one time the first in `order`."""
+    w = Window.partitionBy(*keys, "_slot").orderBy(time, *order)
     return frames.withColumn("_slot", F.floor(F.col(time) * fps + EPS)).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_slot", "_n")

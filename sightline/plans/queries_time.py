@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.statuses import is_stable, is_visible, priority, status_ladder
 from ..operators import islands as I
+from ..operators import scan
 from ..operators import temporal as T
 from ..operators.visibility import classified_samples, coarse_intervals, merged_tracks, run_stages
 from . import adapters as A
@@ -67,8 +68,8 @@ def last_visible_index(spark, d):
 SELECT s.event_id, max(CASE WHEN {VISIBLE_SQL.replace('status', 'b.status')} THEN b.time_sec END) AS seen_sec, max(CASE WHEN {STABLE_SQL.replace('status', 'b.status')} THEN b.time_sec END) AS stable_sec
 FROM samples s LEFT JOIN samples b ON s.assoc_id = b.assoc_id AND b.time_sec < s.time_sec GROUP BY s.event_id""", A.SAMPLES)
 def last_visible_time(spark, d):
-    s = I.last_true_time(A.samples(spark, d), OBJ, [], "time_sec", is_visible(F.col("status")), "seen_sec")
-    return I.last_true_time(s, OBJ, [], "time_sec", is_stable(F.col("status")), "stable_sec").select("event_id", "seen_sec", "stable_sec")
+    s = I.last_true_time(A.samples(spark, d), OBJ, [], "time_sec", is_visible(F.col("status")), "seen_sec", block=500.0)
+    return I.last_true_time(s, OBJ, [], "time_sec", is_stable(F.col("status")), "stable_sec", block=500.0).select("event_id", "seen_sec", "stable_sec")
 
 
 @query("win8_last_stable_in_clip", f"""
@@ -111,19 +112,20 @@ def open_close_states(spark, d):
 
 
 @query("win15_ema_smoother", """
-SELECT event_id, round(smooth, 6) AS smooth FROM ema""", "RECURSIVE " + A.SAMPLES.strip(), """ema AS (
+SELECT event_id, round(smooth + 1e-10, 6) AS smooth FROM ema""", "RECURSIVE " + A.SAMPLES.strip(), """ema AS (
   SELECT assoc_id, i, event_id, score AS smooth FROM samples WHERE i = 0 UNION ALL
   SELECT s.assoc_id, s.i, s.event_id, CAST(0.7 AS DOUBLE) * s.score + (1 - CAST(0.7 AS DOUBLE)) * e.smooth FROM ema e JOIN samples s ON s.assoc_id = e.assoc_id AND s.i = e.i + 1)""")
 def ema_smoother(spark, d):
-    return I.smoothed(A.samples(spark, d).select("assoc_id", "event_id", "time_sec", "score"), OBJ, ["time_sec", "event_id"], "score", 0.7, "smooth").select("event_id", F.round("smooth", 6).alias("smooth"))
+    """Chunks of the history are summed up by themselves; decimal ties are moved off, as sums in another order differ in the last bit."""
+    return scan.exponential_average(A.samples(spark, d).select("assoc_id", "event_id", "time_sec", "score"), OBJ, ["time_sec", "event_id"], "score", 0.7, "smooth").select("event_id", F.round(F.col("smooth") + 1e-10, 6).alias("smooth"))
 
 
 @query("flt22_interval_invariants", """
 SELECT span_id, rule FROM (SELECT span_id, unnest([CASE WHEN status NOT IN ('in_view', 'out_of_view') THEN 'unknown_status' END, CASE WHEN end_sec < start_sec THEN 'negative_length' END,
-  CASE WHEN lag(end_sec) OVER (PARTITION BY assoc_id ORDER BY start_sec, end_sec) > start_sec THEN 'overlap' END, CASE WHEN rank < 0 THEN 'negative_count' END]) AS rule FROM spans WHERE end_sec IS NOT NULL) WHERE rule IS NOT NULL""", A.SPANS)
+  CASE WHEN lag(end_sec) OVER (PARTITION BY assoc_id ORDER BY start_sec, end_sec, span_id) > start_sec THEN 'overlap' END, CASE WHEN rank < 0 THEN 'negative_count' END]) AS rule FROM spans WHERE end_sec IS NOT NULL) WHERE rule IS NOT NULL""", A.SPANS)
 def interval_invariants(spark, d):
     s = A.spans(spark, d).where("end_sec is not null")
-    return I.interval_violations(s, OBJ, ["in_view", "out_of_view"], ["rank"]).select("span_id", "rule")
+    return I.interval_violations(s, OBJ, ["in_view", "out_of_view"], ["rank"], ["span_id"]).select("span_id", "rule")
 
 
 @query("jn1_track_choice", """
@@ -151,9 +153,9 @@ def nearest_sql(tie: str, tolerance: str = "") -> str:
 SELECT s.event_id, arg_min(b.t, {order}) AS nearest_sec FROM samples s LEFT JOIN (SELECT DISTINCT assoc_id, start_sec AS t FROM spans) b ON s.assoc_id = b.assoc_id {tolerance} GROUP BY s.event_id"""
 
 
-def nearest(spark, d, tie, tolerance=None):
+def nearest(spark, d, tie, tolerance=None, block=None):
     s, b = A.samples(spark, d).select("assoc_id", "event_id", "time_sec"), A.spans(spark, d).select("assoc_id", F.col("start_sec").alias("t")).distinct()
-    return T.nearest_join(s, b, OBJ, "time_sec", "t", tie=tie, tolerance=tolerance).select("event_id", F.col("match")["t"].alias("nearest_sec"))
+    return T.nearest_join(s, b, OBJ, "time_sec", "t", tie=tie, tolerance=tolerance, block=block).select("event_id", F.col("match")["t"].alias("nearest_sec"))
 
 
 @query("jn3_asof_nearest_late_tie", nearest_sql("later"), A.SAMPLES, A.SPANS)
@@ -163,12 +165,12 @@ def nearest_late(spark, d):
 
 @query("jn4_jn14_asof_nearest_first_tie", nearest_sql("earlier"), A.SAMPLES, A.SPANS)
 def nearest_first(spark, d):
-    return nearest(spark, d, "earlier")
+    return nearest(spark, d, "earlier", block=600.0)
 
 
 @query("jn12_flt21_nearest_within_tolerance", nearest_sql("earlier", "AND abs(b.t - s.time_sec) <= 0.51"), A.SAMPLES, A.SPANS)
 def nearest_tolerance(spark, d):
-    return nearest(spark, d, "earlier", max(1e-6, 0.51))
+    return nearest(spark, d, "earlier", max(1e-6, 0.51), block=600.0)
 
 
 @query("jn5_jn7_stab_first_match", """
@@ -194,7 +196,7 @@ SELECT s.event_id, coalesce(arg_max(p.status, ({PRIORITY_SQL.format(s='p.status'
 LEFT JOIN (SELECT * FROM spans WHERE end_sec IS NOT NULL) p ON s.assoc_id = p.assoc_id AND s.time_sec BETWEEN p.start_sec - 1e-9 AND p.end_sec + 1e-9 GROUP BY s.event_id""", A.SAMPLES, A.SPANS)
 def stab_priority(spark, d):
     p = A.spans(spark, d).where("end_sec is not null").select("assoc_id", "start_sec", "end_sec", "status")
-    return T.strongest_span(A.samples(spark, d).select("assoc_id", "event_id", "time_sec"), p, OBJ, "time_sec", priority(F.col("s_status")), bucket=16.0).select("event_id", "status")
+    return T.strongest_span(A.samples(spark, d).select("assoc_id", "event_id", "time_sec"), p, OBJ, "time_sec", priority(F.col("s_status"))).select("event_id", "status")
 
 
 @query("jn9_sound_snap", """
@@ -213,6 +215,33 @@ def exact_time(spark, d):
     return s.join(A.spans(spark, d).select("assoc_id", F.round("start_sec", 0).alias("t")), ["assoc_id", "t"]).groupBy("event_id").agg(F.count("*").alias("n"))
 
 
+@query("jn13_epsilon_lookup", """
+SELECT s.event_id, arg_min(b.span_id, (b.start_sec, b.rank, b.span_id)) AS span_id, min(b.start_sec) AS start_sec
+FROM (SELECT event_id, assoc_id, round(time_sec, 0) + (k % 5 - 2) * 6e-7 AS t FROM samples) s LEFT JOIN spans b ON s.assoc_id = b.assoc_id AND abs(b.start_sec - s.t) <= 1e-6 GROUP BY s.event_id""", A.SAMPLES, A.SPANS)
+def epsilon_lookup(spark, d):
+    """Times that are up to 1.2e-6 off whole seconds find the span that starts then, if they are within 1e-6."""
+    s = A.samples(spark, d).select("assoc_id", "event_id", (F.round("time_sec", 0) + (F.col("k") % 5 - 2) * F.lit(6e-7)).alias("t"))
+    b = A.spans(spark, d).select("assoc_id", "span_id", "start_sec", "rank")
+    found = T.exact_join(s, b, OBJ, "t", "start_sec", ["rank", "span_id"])
+    return found.select("event_id", F.col("match")["span_id"].alias("span_id"), F.col("match")["start_sec"].alias("start_sec"))
+
+
+LONG = "w AS (SELECT assoc_id % 4 AS video, event_id, time_sec FROM samples), v AS (SELECT assoc_id % 4 AS video, start_sec AS t, min(span_id) AS first_id, max(span_id) AS last_id FROM spans GROUP BY 1, 2)"
+
+
+@query("jn3_jn4_win7_long_keys", """
+SELECT w.event_id, arg_min(v.t, (abs(v.t - w.time_sec), -v.t)) AS nearest_sec, max(CASE WHEN v.t < w.time_sec THEN v.t END) AS before_sec, arg_max(v.last_id, CASE WHEN v.t <= w.time_sec THEN v.t END) AS last_id,
+  arg_min(v.first_id, CASE WHEN v.t >= w.time_sec THEN v.t END) AS next_id FROM w LEFT JOIN v ON w.video = v.video GROUP BY w.event_id""", A.SAMPLES, A.SPANS, LONG)
+def long_keys(spark, d):
+    """Four keys hold all rows, which time blocks split over tasks."""
+    s = A.samples(spark, d).select((F.col("assoc_id") % 4).alias("video"), "event_id", "time_sec")
+    b = A.spans(spark, d).select((F.col("assoc_id") % 4).alias("video"), F.col("start_sec").alias("t"), "span_id")
+    out = T.nearest_join(s, b, ["video"], "time_sec", "t", ["span_id"], name="near", block=50.0)
+    out = T.asof_both(out, (b, "t", ["span_id"], False, "at"), (b, "t", ["span_id"], False, "next"), ["video"], "time_sec", block=50.0)
+    out = T.asof_join(out, b, ["video"], "time_sec", "t", ["span_id"], strict=True, name="before", block=50.0)
+    return out.select("event_id", F.col("near")["t"].alias("nearest_sec"), F.col("before")["t"].alias("before_sec"), F.col("at")["span_id"].alias("last_id"), F.col("next")["span_id"].alias("next_id"))
+
+
 @query("jn17_jn18_other_objects_with_past_track", f"""
 SELECT s.event_id, count(DISTINCT o.assoc_id) AS n_others FROM samples s JOIN samples o ON s.video_id = o.video_id AND s.assoc_id <> o.assoc_id AND floor(s.time_sec) = floor(o.time_sec) AND {STABLE_SQL.replace('status', 'o.status')}
 JOIN (SELECT assoc_id, min(end_sec) AS first_end FROM tracks GROUP BY 1) t ON t.assoc_id = o.assoc_id AND t.first_end <= o.time_sec + 1e-9 GROUP BY s.event_id""", A.SAMPLES, A.TRACKS)
@@ -287,8 +316,8 @@ def next_seconds(spark, d):
 
 @query("tim5_thinned_frames", "SELECT assoc_id, arg_min(event_id, (time_sec, event_id)) AS event_id FROM samples GROUP BY assoc_id, floor(time_sec * 0.1 + 1e-9)", A.SAMPLES)
 def thinned(spark, d):
-    s = A.samples(spark, d).select("assoc_id", "event_id", "time_sec", F.struct("time_sec", "event_id").alias("o"))
-    return T.thinned(s.withColumn("slot_time", F.col("time_sec")), OBJ, "time_sec", 0.1).select("assoc_id", "event_id")
+    s = A.samples(spark, d).select("assoc_id", "event_id", "time_sec")
+    return T.thinned(s, OBJ, "time_sec", 0.1, ["event_id"]).select("assoc_id", "event_id")
 
 
 @query("flt9_flt10_flt11_flt17_sample_flags", f"""

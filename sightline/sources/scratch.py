@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -22,3 +22,11 @@ def shared_root(spark: SparkSession) -> str:
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder's path below the shared one."""
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, written once to the shared folder and read from there, so that its lineage is cut and a lost executor costs nothing before it."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_root(df.sparkSession))
+    return df.checkpoint(eager=True)

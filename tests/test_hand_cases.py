@@ -8,7 +8,7 @@ from sightline.functions import names as N
 from sightline.functions.statuses import status_ladder
 from sightline.operators import islands as I
 from sightline.operators import rank as R
-from sightline.operators import rays
+from sightline.operators import rays, scan
 from sightline.operators import temporal as T
 from sightline.operators.aggregates import interval_verdicts
 from sightline.plans.adapters import LENS
@@ -168,7 +168,7 @@ def test_orders(spark):
 
 def test_smoother_and_verdicts(spark):
     s = spark.createDataFrame([(1, i, x) for i, x in enumerate([1.0, 0.0, 1.0])], "o int, i int, x double")
-    assert [round(r.e, 6) for r in I.smoothed(s, ["o"], ["i"], "x", 0.7, "e").orderBy("i").collect()] == [1, 0.3, 0.79]
+    assert [round(r.e, 6) for r in scan.exponential_average(s, ["o"], ["i"], "x", 0.7, "e").orderBy("i").collect()] == [1, 0.3, 0.79]
     a = spark.createDataFrame([(1, "detected"), (1, "not_detected"), (2, "skipped")], "o int, verdict string")
     assert rows(interval_verdicts(a, ["o"]), "o", "verdict") == [(1, "detected"), (2, "skipped")]
 
