@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from ..functions import geometry as G
 from ..functions.names import class_prompt
+from ..sources.scratch import checkpointed
 
 Detector = Callable[[pd.DataFrame], pd.DataFrame]
 BACKENDS: dict[str, Callable[[], Detector]] = {}
@@ -59,10 +60,7 @@ def detections(regions: DataFrame, name: str, keys: Sequence[str]) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         detect = factory()
         for batch in batches:
-            found = detect(batch)
-            for c, o in (("x1", "rx1"), ("x2", "rx1"), ("y1", "ry1"), ("y2", "ry1")):
-                found[c] = found[c].to_numpy() + batch[o].to_numpy()
-            yield pd.concat([batch.reset_index(drop=True), found.reset_index(drop=True)], axis=1)
+            yield pd.concat([batch.reset_index(drop=True), _looked_at(detect(batch), batch)], axis=1)
 
     return regions.mapInPandas(run, schema)
 
@@ -98,3 +96,68 @@ def audited(samples: DataFrame, name: str, keys: Sequence[str], width: int, heig
     hit = (F.col("score") >= least) & (u >= F.col("x1") - slack) & (u <= F.col("x2") + slack) & (v >= F.col("y1") - slack) & (v <= F.col("y2") + slack)
     verdicts = found.select(*keys, F.when(hit, "detected").otherwise("not_detected").alias("_verdict"), F.when(hit, F.col("score")).alias("match_score"))
     return samples.join(verdicts, list(keys), "left").withColumn("verdict", F.coalesce("_verdict", F.lit("skipped"))).drop("_verdict")
+
+
+def _looked_at(found: pd.DataFrame, regions: pd.DataFrame) -> pd.DataFrame:
+    """Detections with their boxes moved from the regions to the image."""
+    found = found.reset_index(drop=True)
+    for c, o in (("x1", "rx1"), ("x2", "rx1"), ("y1", "ry1"), ("y2", "ry1")):
+        found[c] = found[c].to_numpy() + regions[o].to_numpy()
+    return found
+
+
+def escalated(candidates: DataFrame, name: str, keys: Sequence[str], pool: Sequence[str], order: Sequence[str], quota: int, start: int, most: int, accept: Sequence[str] = ("visible",), visible: float = 0.5, partial: float = 0.3) -> DataFrame:
+    """The candidates(keys, pool, order, phrase, rx1..ry2) that the detector was shown, each with its detection, verdict, accepted, multiplier and call (its number within the key, from 1).
+
+    A key wants `quota` accepted candidates. Its pool is its first quota * start candidates by `pool`; while the quota isn't filled the pool doubles, up to quota * most. Of a pool the candidates that
+    are new are shown in `order`, and none after the one that fills the quota.
+
+    Each round is a job over the keys that still lack some, and what a round passes on is a row for each key: how many it lacks, and how many calls were made. Within a round a key's new candidates, at most
+    quota * most / 2, are one group; the detector gets as many at once as are lacking, which it needs to see in any case.
+    """
+    if not 0 < start <= most:
+        raise ValueError("a pool starts with a multiplier of at least 1, and at most the largest")
+    factory = backend(name)
+    placed = candidates.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(*pool))).where(F.col("_place") <= quota * most)
+    placed = checkpointed(placed)
+    fields = [f for f in placed.schema.fields if f.name != "_place"]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), DETECTION, "verdict string, accepted boolean, multiplier int, call long"])
+    names = [f.name for f in fields]
+
+    def shown(multiplier: int):
+        def run(rows: pd.DataFrame) -> pd.DataFrame:
+            detect = factory()
+            rows = rows.sort_values(list(order), ignore_index=True)
+            lacking, calls, at, out = int(rows["_lacking"].iloc[0]), int(rows["_calls"].iloc[0]), 0, []
+            while lacking > 0 and at < len(rows):
+                part = rows[names].iloc[at : at + lacking].reset_index(drop=True)
+                found = _looked_at(detect(part), part)
+                score = found["score"]
+                verdict = pd.Series("not_visible", index=score.index).mask(score >= partial, "partially_visible").mask(score >= visible, "visible").mask(score.isna(), "skipped")
+                accepted = verdict.isin(list(accept))
+                at += len(part)
+                out.append(pd.concat([part, found], axis=1).assign(verdict=verdict, accepted=accepted, multiplier=multiplier, call=range(calls + 1, calls + 1 + len(part))))
+                calls += len(part)
+                lacking -= int(accepted.sum())
+            return pd.concat(out) if out else rows[names].iloc[:0].assign(**dict.fromkeys(["score", "x1", "y1", "x2", "y2", "verdict", "accepted", "multiplier", "call"]))
+
+        return run
+
+    lacking = placed.select(*keys).distinct().select(*keys, F.lit(quota).cast("long").alias("_lacking"), F.lit(0).cast("long").alias("_calls"))
+    done, low, multiplier = [], 0, start
+    while True:
+        new = placed.where((F.col("_place") > quota * low) & (F.col("_place") <= quota * multiplier)).join(lacking.where("_lacking > 0"), list(keys))
+        round_ = checkpointed(new.groupBy(*keys).applyInPandas(shown(multiplier), schema))
+        done.append(round_)
+        low, multiplier = multiplier, multiplier * 2
+        if multiplier > most:
+            break
+        spent = round_.groupBy(*keys).agg(F.count_if("accepted").alias("_a"), F.count("*").alias("_n"))
+        lacking = lacking.join(spent, list(keys), "left").select(*keys, (F.col("_lacking") - F.coalesce("_a", F.lit(0))).alias("_lacking"), (F.col("_calls") + F.coalesce("_n", F.lit(0))).alias("_calls"))
+        lacking = checkpointed(lacking)
+        if lacking.where("_lacking > 0").isEmpty():
+            break
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out

@@ -6,10 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.geometry import interaction
+from ..sources.scratch import checkpointed
 from .islands import open_close_intervals
 from .rank import best_and_runner_up
+from .temporal import asof_join
 
 
 def narration_events(narrations: DataFrame, nouns, states) -> DataFrame:
@@ -31,14 +34,26 @@ def first_existing_type(events: DataFrame, catalog: DataFrame, keys: Sequence[st
 def interaction_scores(events: DataFrame, frames: DataFrame, fixtures: DataFrame, keys: Sequence[str], place: str, fps: float) -> DataFrame:
     """(keys, fixture, score): the mean, over the event's frames with a pose and a gaze, of how much the look is on each fixture; no such frame, no row.
 
-    Events meet frames by place and by seconds, so a long video's frames aren't all joined with each event.
+    A place's frames are numbered, and for each fixture the looks are summed up along them, once. An event finds the numbers of its first and last frame, and its score is the difference
+    of two totals by the frames between: the work is frames x fixtures and events x fixtures of a place, however long events are.
     """
     low, high = F.rint(F.col("start_sec") * fps), F.rint(F.col("end_sec") * fps)
-    e = events.select(*keys, place, low.alias("_low"), high.alias("_high")).withColumn("_second", F.explode(F.sequence(F.floor(F.col("_low") / fps), F.greatest(F.floor(F.col("_low") / fps), F.floor(F.col("_high") / fps)))))
-    f = frames.where("camera is not null and gaze is not null").withColumn("_second", F.floor(F.col("frame_index") / F.lit(fps)))
-    met = e.join(f.select(place, "_second", "frame_index", "camera", "gaze"), [place, "_second"]).where("frame_index >= _low and frame_index <= _high")
-    scored = met.join(fixtures.where("position is not null").select(place, "fixture", "position"), place)
-    return scored.groupBy(*keys, "fixture").agg(F.round(F.avg(interaction(F.col("gaze"), F.col("camera"), F.col("position"))), 6).alias("score"))
+    seen = frames.where("camera is not null and gaze is not null").select(place, "frame_index", "camera", "gaze")
+    numbered = seen.withColumn("_at", F.row_number().over(Window.partitionBy(place).orderBy("frame_index")))
+    looks = numbered.join(fixtures.where("position is not null").select(place, "fixture", "position"), place)
+    along = Window.partitionBy(place, "fixture").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    totals = looks.select(place, "_at", "fixture", F.sum(interaction(F.col("gaze"), F.col("camera"), F.col("position"))).over(along).alias("total"))
+    # A place's fixtures in one order: few for each frame.
+    totals = checkpointed(totals.groupBy(place, "_at").agg(F.sort_array(F.collect_list(F.struct("fixture", "total"))).alias("_totals")))
+    number = numbered.select(place, F.col("frame_index").cast("double").alias("frame_index"), "_at")
+    e = events.select(*keys, place, low.alias("_low"), high.alias("_high"))
+    e = asof_join(e, number, [place], "_high", "frame_index", ["_at"], name="_to")
+    e = asof_join(e, number, [place], "_low", "frame_index", ["_at"], strict=True, name="_from")
+    e = e.select(*keys, place, F.coalesce(F.col("_from")["_at"], F.lit(0)).alias("_first"), F.col("_to")["_at"].alias("_last")).where("_last > _first")
+    e = e.join(totals.withColumnsRenamed({"_at": "_last", "_totals": "_after"}), [place, "_last"]).join(totals.withColumnsRenamed({"_at": "_first", "_totals": "_before"}), [place, "_first"], "left")
+    nothing = F.transform("_after", lambda x: F.struct(x["fixture"].alias("fixture"), F.lit(0.0).alias("total")))
+    means = F.zip_with("_after", F.coalesce("_before", nothing), lambda a, b: F.struct(a["fixture"].alias("fixture"), F.round((a["total"] - b["total"]) / (F.col("_last") - F.col("_first")), 6).alias("score")))
+    return e.select(*keys, F.explode(means).alias("_m")).select(*keys, "_m.fixture", "_m.score")
 
 
 def resolved_events(typed: DataFrame, catalog: DataFrame, scores: DataFrame, keys: Sequence[str], place: str) -> DataFrame:

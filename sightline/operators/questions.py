@@ -135,7 +135,7 @@ def trajectories(rows: DataFrame, order: Sequence[str], steps: Sequence[str], br
 
 
 def detector_gate(rows: DataFrame, keys: Sequence[str], order: Sequence[str], passed: Column, count: int) -> DataFrame:
-    """The first count rows of each key, in order, that the detector passes; its verdicts are a column, computed over the capped pool only."""
+    """The first count rows of each key, in order, whose verdict passes; verdicts are a column, so all rows have been looked at. detect.escalated stops early instead."""
     return rows.where(passed).withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_rn") <= count).drop("_rn")
 
 

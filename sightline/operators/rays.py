@@ -30,25 +30,45 @@ def hit_distance(origin: Column, way: Column, v0: Column, v1: Column, v2: Column
     return F.when((F.abs(det) > 1e-12), F.when((u >= 0) & (v >= 0) & (u + v <= 1) & (far > 1e-9), far))
 
 
-def cells_along(low: Column, high: Column, size: float) -> Column:
-    """Numbers of the grid cells of a coordinate range."""
-    return F.sequence(F.floor(low / size), F.floor(high / size))
+def crossed_cells(origin: Column, target: Column, size: Column) -> Column:
+    """The grid cells (x, y, z) that a segment passes, each once.
 
+    The segment is cut where it crosses the grid's planes, axis by axis; each cut's middle tells its cell. They are one more than the planes crossed, at most.
+    """
+
+    def crossings(axis: str) -> Column:
+        a, b = origin[axis] / size, target[axis] / size
+        low, high = F.floor(F.least(a, b)) + 1, F.floor(F.greatest(a, b))
+        return F.when(low <= high, F.transform(F.sequence(low, high), lambda plane: (plane - a) / (b - a))).otherwise(F.array().cast("array<double>"))
+
+    cuts = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), crossings("x"), crossings("y"), crossings("z"))))
+    middles = F.zip_with(F.slice(cuts, 1, F.size(cuts) - 1), F.slice(cuts, 2, F.size(cuts)), lambda p, q: (p + q) / 2)
+    return F.array_distinct(F.transform(middles, lambda m: F.struct(*(F.floor((origin[c] + m * (target[c] - origin[c])) / size).alias(c) for c in "xyz"))))
 
-def occluded_fraction(rays: DataFrame, triangles: DataFrame, scene: str, size: float = 2.0) -> DataFrame:
+
+def occluded_fraction(rays: DataFrame, triangles: DataFrame, scene: str, least: float = 2.0) -> DataFrame:
     """(key, n_rays, n_blocked, fraction): rays(scene, key, origin, target) against triangles(scene, v0, v1, v2).
 
-    A ray is blocked if the nearest triangle is hit before its target, less a tolerance; no hit is no block; rays shorter than 1e-6 count nowhere. Rays and
-    triangles meet in the cells of a coarse ground grid that their extents reach, so a scene is neither broadcast nor met as a whole.
+    A ray is blocked if the nearest triangle is hit before its target, less a tolerance; no hit is no block; rays shorter than 1e-6 count nowhere.
+
+    Grids of cells of `least`, twice that, four times and so on: a triangle is listed in the grid whose cells are as large as its extent, hence in eight cells at most, and a ray in
+    the cells that it passes in each grid that its scene uses. So neither a scene nor the box around a ray is met as a whole.
     """
     long = rays.withColumn("_len", norm(minus(F.col("target"), F.col("origin")))).where(F.col("_len") >= MIN_RAY)
     long = long.withColumn("_way", vec(*((F.col("target")[c] - F.col("origin")[c]) / F.col("_len") for c in "xyz"))).withColumn("_ray", F.xxhash64("key", "origin", "target"))
-    reach = lambda c: cells_along(F.least(F.col("origin")[c], F.col("target")[c]), F.greatest(F.col("origin")[c], F.col("target")[c]), size)
-    met = long.withColumn("_cx", F.explode(reach("x"))).withColumn("_cz", F.explode(reach("z")))
     corner = lambda f, c: f(*(F.col(v)[c] for v in ("v0", "v1", "v2")))
-    spread = lambda c: cells_along(corner(F.least, c), corner(F.greatest, c), size)
-    tri = triangles.withColumn("_cx", F.explode(spread("x"))).withColumn("_cz", F.explode(spread("z")))
-    hits = met.join(tri, [scene, "_cx", "_cz"]).withColumn("_hit", hit_distance(F.col("origin"), F.col("_way"), F.col("v0"), F.col("v1"), F.col("v2")))
+    extent = F.greatest(*(corner(F.greatest, c) - corner(F.least, c) for c in "xyz"))
+    grid = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(extent, F.lit(1e-9)) / least))).cast("int")
+    # A little more than the triangle, so that rounding of a ray's cells on a face loses nothing.
+    size, room = F.lit(float(least)) * F.pow(F.lit(2.0), F.col("_grid")), 1e-6
+    spread = lambda c: F.sequence(F.floor(corner(F.least, c) / size - room), F.floor(corner(F.greatest, c) / size + room))
+    tri = triangles.withColumn("_grid", grid)
+    grids = tri.select(scene, "_grid").distinct()  # a few of each scene
+    for c in "xyz":
+        tri = tri.withColumn(f"_{c}", F.explode(spread(c)))
+    met = long.join(grids, scene).withColumn("_cell", F.explode(crossed_cells(F.col("origin"), F.col("target"), size)))
+    met = met.select("*", *(F.col("_cell")[c].alias(f"_{c}") for c in "xyz")).drop("_cell")
+    hits = met.join(tri, [scene, "_grid", "_x", "_y", "_z"]).withColumn("_hit", hit_distance(F.col("origin"), F.col("_way"), F.col("v0"), F.col("v1"), F.col("v2")))
     blocked = hits.where(F.col("_hit") < F.col("_len") - TOLERANCE).select(scene, "key", "_ray").distinct()
     counts = blocked.groupBy(scene, "key").agg(F.count("*").alias("n_blocked"))
     every = long.select(scene, "key", "_ray").distinct().groupBy(scene, "key").agg(F.count("*").alias("n_rays"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import names as N
 from ..functions.statuses import CLAIMS, STATUSES, claim, is_stable, is_visible
@@ -10,6 +11,7 @@ from ..operators import aggregates as G
 from ..operators import detect as D
 from ..operators import export as E
 from ..operators import fixtures as X
+from ..operators import manifest as M
 from ..operators import questions as Q
 from ..operators import rank as R
 from ..operators import visibility as V
@@ -385,6 +387,36 @@ def incremental(spark, d):
     return E.missing_statuses(s, s.where("event_id < 2"), "status").select("event_id")
 
 
+AUDITED = """pool AS (SELECT status, 'v' || CAST(assoc_id % 4 AS VARCHAR) AS video_id, CAST(span_id AS VARCHAR) AS assoc_id, start_sec, start_sec + (end_sec - start_sec) / 10 AS end_sec FROM spans WHERE end_sec IS NOT NULL),
+picked AS (SELECT *, count(*) OVER (PARTITION BY status) AS pool_size, row_number() OVER (PARTITION BY status ORDER BY md5('8|' || status || '|' || video_id || '|' || assoc_id || '|' || CAST(start_sec AS VARCHAR) || '|' || CAST(end_sec AS VARCHAR)), video_id, assoc_id, start_sec, end_sec) AS rn FROM pool),
+shots AS (SELECT *, row_number() OVER (PARTITION BY status, video_id, assoc_id, start_sec, end_sec ORDER BY md5('8|' || status || '|' || video_id || '|' || assoc_id || '|' || CAST(start_sec AS VARCHAR) || '|' || CAST(end_sec AS VARCHAR) || '|' || CAST(frame_index AS VARCHAR)), frame_index) AS fn FROM (
+  SELECT *, unnest(range(CAST(round_even(start_sec * 30, 0) AS BIGINT), CAST(round_even(end_sec * 30, 0) AS BIGINT) + 1)) AS frame_index FROM picked WHERE rn <= 12)),
+items AS (SELECT *, printf('%s|%s|%.6f|%.6f', video_id, assoc_id, start_sec, end_sec) AS part, round(frame_index / 30.0, 6) AS time_sec FROM shots WHERE fn <= 3)"""
+
+
+@query("qst19_incremental_frames", """
+SELECT status, substr(sha1(part || printf('|%.6f', time_sec)), 1, 12) AS item_id, assoc_id, time_sec, 'frames/' || status || '/' || substr(sha1(part || printf('|%.6f', time_sec)), 1, 12) || '.jpg' AS image_path, pool_size, least(pool_size, 12) AS n_intervals_sampled, 1 AS n_signatures
+FROM items""", A.SPANS, AUDITED)
+def incremental_frames(spark, d):
+    """A manifest of two statuses' frames, extended to all three: what it had stays, and one signature holds for all."""
+    s = A.spans(spark, d).where("end_sec is not null")
+    pool = s.select("status", F.concat(F.lit("v"), (c("assoc_id") % 4).cast("string")).alias("video_id"), c("span_id").cast("string").alias("assoc_id"), F.lit("object").alias("object_name"), "start_sec", (c("start_sec") + (c("end_sec") - c("start_sec")) / 10).alias("end_sec"))
+    first = M.extended(None, pool, ["in_view", "out_of_view"], 12, 3, 30.0, 8)
+    grown = M.extended(first, pool, ["out_of_view", "in_view", "geometrically_occluded"], 12, 3, 30.0, 8)
+    shot = c("frames")[0]
+    marks = grown.agg(F.count_distinct("signature").alias("n_signatures"))
+    return grown.select("status", "item_id", "assoc_id", shot["time_sec"].alias("time_sec"), shot["image_path"].alias("image_path"), "pool_size", "n_intervals_sampled").crossJoin(F.broadcast(marks))  # one row
+
+
+@query("qst19_incremental_intervals", """
+SELECT status, substr(sha1(part || '|interval'), 1, 12) AS item_id, count(*) AS n_frames, round(sum(time_sec), 4) AS times FROM items GROUP BY status, part""", A.SPANS, AUDITED)
+def incremental_intervals(spark, d):
+    s = A.spans(spark, d).where("end_sec is not null")
+    pool = s.select("status", F.concat(F.lit("v"), (c("assoc_id") % 4).cast("string")).alias("video_id"), c("span_id").cast("string").alias("assoc_id"), F.lit("object").alias("object_name"), "start_sec", (c("start_sec") + (c("end_sec") - c("start_sec")) / 10).alias("end_sec"))
+    grown = M.extended(M.extended(None, pool, ["in_view"], 12, 3, 30.0, 8, by_interval=True), pool, ["in_view", "out_of_view", "geometrically_occluded"], 12, 3, 30.0, 8, by_interval=True)
+    return grown.select("status", "item_id", F.size("frames").cast("long").alias("n_frames"), F.round(F.aggregate("frames", F.lit(0.0), lambda a, x: a + x["time_sec"]), 4).alias("times"))
+
+
 def bool_spans(spark, d):
     from ..operators.islands import collapse_runs
 
@@ -472,6 +504,28 @@ def detector_path(spark, d):
     return Q.detector_gate(found, ["label"], ["vec_id"], c("verdict") == "visible", 2).select("label", "vec_id", F.round("score", 6).alias("score"), "verdict", "x1", "y1")
 
 
+@query("qst13_qst14_escalating_pool", f"""
+SELECT video_id, count(*) AS n_calls, count(*) FILTER (ok) AS n_accepted, max(multiplier) AS multiplier, string_agg(CASE WHEN ok THEN CAST(event_id AS VARCHAR) END, ',' ORDER BY multiplier, time_sec, event_id) AS accepted FROM (
+  SELECT *, coalesce(sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY video_id ORDER BY multiplier, time_sec, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (
+    SELECT video_id, event_id, time_sec, CASE WHEN place <= 6 THEN 2 WHEN place <= 12 THEN 4 WHEN place <= 24 THEN 8 WHEN place <= 48 THEN 16 ELSE 32 END AS multiplier,
+      CAST('0x' || substring(md5('object ' || assoc_id || '|' || x1 || '|' || y1 || '|' || x2 || '|' || y2), 1, 2) AS INTEGER) / 255.0 >= 0.93 AS ok FROM (
+      SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY round, assoc_id) AS place, greatest(0, least(1408, cu - 34)) AS x1, greatest(0, least(1408, cu + 34)) AS x2, greatest(0, least(1408, cv - 34)) AS y1, greatest(0, least(1408, cv + 34)) AS y2 FROM (
+        SELECT *, row_number() OVER (PARTITION BY video_id, assoc_id ORDER BY time_sec, event_id) AS round, CAST(round_even(time_sec % 1408, 0) AS INTEGER) AS cu, CAST(round_even(k * 10.0, 0) AS INTEGER) AS cv FROM samples WHERE {STABLE_SQL})) WHERE place <= 96))
+WHERE before < 3 GROUP BY video_id""", A.SAMPLES)
+def escalating_pool(spark, d):
+    """Three samples that the detector accepts from each video, objects in turns, from pools of 6, 12, 24, 48 and 96 samples; n_calls counts what the detector has seen.
+    """
+    s = A.samples(spark, d).where(is_stable(c("status"))).select("video_id", "assoc_id", "event_id", "time_sec", F.struct((c("time_sec") % 1408).alias("u"), (c("k") * 10.0).alias("v")).alias("pixel"))
+    s = s.withColumn("round", F.row_number().over(Window.partitionBy("video_id", "assoc_id").orderBy("time_sec", "event_id")))
+    s = s.select("*", F.lit(None).cast("double").alias("last_size"), F.lit(45.0).alias("expected_size"), F.lit(0.25).alias("slack"), F.concat(F.lit("object "), c("assoc_id").cast("string")).alias("phrase"))
+    regions = D.searched(s, 1408, 1408).drop("pixel", "last_size", "expected_size", "slack")
+    shown = D.escalated(regions, "stub", ["video_id"], ["round", "assoc_id"], ["time_sec", "event_id"], 3, 2, 32, visible=0.93)
+    ids = F.transform(F.array_sort(F.collect_list(F.when(c("accepted"), F.struct("call", "event_id")))), lambda x: x["event_id"].cast("string"))
+    return shown.groupBy("video_id").agg(
+        F.count("*").alias("n_calls"), F.count_if("accepted").alias("n_accepted"), F.max("multiplier").alias("multiplier"), F.array_join(F.when(F.count_if("accepted") > 0, ids), ",").alias("accepted")
+    )
+
+
 @query("udf7_audit_loop", """
 SELECT vec_id, CASE WHEN label % 3 = 0 THEN 'skipped' WHEN hit THEN 'detected' ELSE 'not_detected' END AS verdict, CASE WHEN label % 3 <> 0 AND hit THEN round(b / 255.0, 6) END AS match_score FROM (
   SELECT *, u BETWEEN 352 - 20 AND 704 + 20 AND v BETWEEN 352 - 20 AND 704 + 20 AS hit, CAST('0x' || substring(md5('object ' || label || '|0|0|1408|1408'), 1, 2) AS INTEGER) AS b FROM points)""", A.POINTS)

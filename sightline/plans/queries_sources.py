@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..sources import readers as S
 from ..sources import writers as W
+from ..sources.keyed_table import KeyedTable
 from ..sources.scratch import shared_folder
 from . import adapters as A
 from .registry import query
@@ -162,3 +164,69 @@ def allowed_entries(spark, d):
     first = p.agg(F.min("p_type")).first()[0]
     rel = F.format_string("%s/P%02d/%s", "p_type", "p_size", c("p_partkey").cast("string"))
     return S.allowed_entries(p.select(F.md5("p_name").alias("md5"), rel.alias("rel_path")), [first], ["P07", "P21"])
+
+
+MESH_VERTICES = """v AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n, count(*) OVER (PARTITION BY label) AS total, round_even(ax * 1000, 0) AS x, round_even(ay * 1000, 0) AS y, round_even(az * 1000, 0) AS z FROM points)"""
+
+
+@query("src10_mesh_triangles", """
+SELECT CAST(a.label AS VARCHAR) AS participant, a.n AS face, k.part, a.x + 0 AS x0, b.y + 0 AS y1, d.z + 0 AS z2
+FROM v a, (VALUES (1), (2)) k(part), v b, v d WHERE a.n + 3 <= a.total AND b.label = a.label AND d.label = a.label AND b.n = a.n + k.part AND d.n = a.n + k.part + 1""", A.POINTS, MESH_VERTICES)
+def mesh_triangles(spark, d):
+    """A mesh for each label: its places as vertices in thousandths, and a face of four corners from each on, by numbers from the file's start, with texture numbers, or back from its end."""
+    p = A.points(spark, d)
+    w = Window.partitionBy("label")
+    n, total = F.row_number().over(w.orderBy("vec_id")), F.count("*").over(w)
+    v = p.select("label", n.alias("n"), total.alias("total"), *(F.rint(c("a")[x] * 1000).cast("long").cast("string").alias(x) for x in "xyz"))
+    corner = lambda i: F.when(c("n") % 3 == 0, (c("n") + i - c("total") - 1).cast("string")).when(c("n") % 3 == 1, F.concat((c("n") + i).cast("string"), F.lit("/1/1"))).otherwise((c("n") + i).cast("string"))
+    lines = v.select("label", F.lit(0).alias("kind"), "n", F.concat_ws(" ", F.lit("v"), "x", "y", "z").alias("value"))
+    faces = v.where("n + 3 <= total").select("label", F.lit(1).alias("kind"), "n", F.concat_ws(" ", F.lit("f"), *(corner(i) for i in range(4))).alias("value"))
+    path = shared_folder(spark, "meshes")
+    lines.unionByName(faces).repartition("label").sortWithinPartitions("label", "kind", "n").select("label", "value").write.partitionBy("label").text(path)
+    t = S.mesh_triangles(spark, path, F.regexp_extract("path", "label=(-?[0-9]+)", 1), "*.txt")
+    return t.select("participant", "face", c("part").alias("part"), c("v0.x").alias("x0"), c("v1.y").alias("y1"), c("v2.z").alias("z2"))
+
+
+@query("src20_qst20_upserted_twice", """
+SELECT k AS event_id, CASE WHEN s.doc_id IS NOT NULL THEN 'toxic' WHEN f.doc_id IS NOT NULL THEN 'quality ' || f.quality ELSE 'unscored' END AS score, CASE WHEN s.doc_id IS NOT NULL THEN 2 WHEN f.doc_id IS NOT NULL THEN 1 ELSE 0 END AS scored_at
+FROM (SELECT event_id AS k FROM events UNION SELECT doc_id FROM labels UNION SELECT -doc_id - 1 FROM labels WHERE toxic = 1) LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) f ON f.doc_id = k
+LEFT JOIN (SELECT doc_id FROM labels WHERE toxic = 1 UNION SELECT -doc_id - 1 FROM labels WHERE toxic = 1) s ON s.doc_id = k""")
+def upserted_twice(spark, d):
+    """Verdicts of all events, in the place of which two rounds put others; some have new keys."""
+    table = KeyedTable(shared_folder(spark, "verdicts"), "event_id", 32)
+    entry = lambda rows, key, score, at: rows.select(key.alias("event_id"), score.alias("score"), F.lit(at).alias("scored_at"))
+    table.write(entry(A.read(spark, d, "events"), c("event_id"), F.lit("unscored"), 0), ["scored_at"])
+    labels = A.read(spark, d, "labels")
+    table.upsert(entry(labels, c("doc_id"), F.concat(F.lit("quality "), c("quality").cast("string")), 1), ["score"])
+    toxic = labels.where("toxic = 1")
+    table.upsert(entry(toxic, c("doc_id"), F.lit("toxic"), 2).unionByName(entry(toxic, -c("doc_id") - 1, F.lit("toxic"), 2)), ["score"])
+    return table.read(spark)
+
+
+@query("src7_video_source", """
+SELECT 'objects' AS what, count(DISTINCT assoc_id) AS n FROM tracks WHERE assoc_id % 4 = 1 UNION ALL SELECT 'tracks', count(*) FROM tracks WHERE assoc_id % 4 = 1
+UNION ALL SELECT 'track_masks', count(*) FROM tracks JOIN masks USING (track_id) WHERE assoc_id % 4 = 1 UNION ALL SELECT 'masks', count(*) FROM masks WHERE track_id % 4 = 1 UNION ALL SELECT 'frames', count(*) FROM points UNION ALL SELECT 'calibration', 1""", A.TRACKS, A.MASKS, A.POINTS)
+def video_source(spark, d):
+    """All documents of all videos are written, and what one of them consists of is read; each table is counted."""
+    root, video = shared_folder(spark, "videos"), lambda k: F.concat(F.lit("P0"), (k % 4 + 1).cast("string"), F.lit("-v"))
+    config = S.Config(data_root=root, output_root=root)
+    m = A.masks(spark, d)
+    listed = m.groupBy("track_id").agg(F.sort_array(F.collect_list(F.concat_ws("/", c("track_id").cast("string"), c("frame_number").cast("string")))).alias("masks"))
+    t = A.tracks(spark, d).join(listed, "track_id", "left").withColumn("masks", F.coalesce("masks", F.array().cast("array<string>")))
+    track = F.struct("track_pos", c("track_id").cast("string").alias("track_id"), F.array("start_sec", "end_sec").alias("time_segment"), "masks")
+    objects = t.groupBy("assoc_id").agg(F.sort_array(F.collect_list(track)).alias("tracks"))
+    entry = F.struct(F.concat(F.lit("object "), c("assoc_id").cast("string")).alias("name"), F.transform("tracks", lambda x: x.dropFields("track_pos")).alias("tracks"))
+    one_line_each(objects, F.create_map(video(c("assoc_id")), F.create_map(F.expr(OBJECT), entry)), f"{root}/assoc_info.json")
+    place = F.when(c("x").isNotNull(), F.array("x", "y", "z"))
+    mask = F.create_map(F.concat_ws("/", c("track_id").cast("string"), c("frame_number").cast("string")), F.struct("frame_number", place.alias("3d_location"), F.lit(None).cast("array<double>").alias("bbox"), "fixture"))
+    one_line_each(m, F.create_map(video(c("track_id")), mask), f"{root}/mask_info.json")
+    p = A.points(spark, d)
+    rows = F.array(*(F.slice("pose", i, 4) for i in (1, 5, 9)))
+    one_line_each(p, F.struct(c("vec_id").alias("frame_index"), rows.alias("T_world_device"), F.array("gaze.x", "gaze.y", "gaze.z").alias("gaze_direction_in_world")), config.frames_path("P02-v"))
+    camera = F.struct(F.array(F.lit(1408), F.lit(1408)).alias("image_size"), F.lit("FISHEYE624").alias("model_name"), F.array(*(F.lit(x) for x in A.LENS)).alias("projection_params"), F.array(*(F.lit([1.0, 0.0, 0.0, 0.0]) for _ in range(3))).alias("T_device_camera"), F.lit(700.0).alias("valid_radius"))
+    one_line_each(spark.range(1), F.struct(F.create_map(F.lit("camera-rgb"), camera).alias("cameras")), f"{root}/P02/P02-v/calibration.json")
+    out = None
+    for name, rows in S.video_source(spark, config, "P02-v").items():
+        counted = rows.agg(F.lit(name).alias("what"), F.count("*").alias("n"))
+        out = counted if out is None else out.unionByName(counted)
+    return out

@@ -12,8 +12,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.names import seconds_of
+from .scratch import checkpointed
 
 TRACK = "struct<track_id: string, time_segment: array<double>, masks: array<string>>"
 OBJECTS = f"value map<string, map<string, struct<name: string, tracks: array<{TRACK}>>>>"
@@ -109,20 +111,29 @@ def merged_samples(spark: SparkSession, path: str, video_id: str, lines: bool =
     return out.select(F.lit(video_id).alias("video_id"), "assoc_id", F.col("v.name").alias("name"), "i", "time_sec", *cols)
 
 
-def mesh_triangles(spark: SparkSession, path: str, participant: Column) -> DataFrame:
-    """triangles(participant, tri_id, v0, v1, v2) of the OBJ files under a path: faces are joined with the vertices that they number, file by file."""
-    lines = spark.read.option("recursiveFileLookup", "true").format("binaryFile").option("pathGlobFilter", "*.obj").load(path)
-    rows = lines.select("path", F.posexplode(F.split(F.decode("content", "UTF-8"), "\n")).alias("at", "line")).withColumn("p", F.split(F.trim("line"), r"\s+"))
-    from pyspark.sql.window import Window
-
-    order = Window.partitionBy("path").orderBy("at")
-    vertex = rows.where("p[0] = 'v'").select("path", F.row_number().over(order).alias("n"), F.struct(*(F.col("p")[i + 1].cast("double").alias(c) for i, c in enumerate("xyz"))).alias("at_xyz"))
-    corner = lambda i: F.split(F.col("p")[i], "/")[0].cast("int")
-    fan = rows.where("p[0] = 'f'").select("path", "at", "p", F.explode(F.sequence(F.lit(2), F.size("p") - 2)).alias("k"))
-    faces = fan.select("path", "at", "k", corner(1).alias("a"), corner(F.col("k")).alias("b"), corner(F.col("k") + 1).alias("c"))
-    for name, v in (("a", "v0"), ("b", "v1"), ("c", "v2")):
-        faces = faces.join(vertex.select("path", F.col("n").alias(name), F.col("at_xyz").alias(v)), ["path", name])
-    return faces.select(participant.alias("participant"), F.xxhash64("path", "at", "k").alias("tri_id"), "v0", "v1", "v2")
+def mesh_triangles(spark: SparkSession, path: str, participant: Column, glob: str = "*.obj") -> DataFrame:
+    """triangles(participant, path, face, part, v0, v1, v2) of the OBJ files under a path.
+
+    Files are read in splits. A face names vertices by their number in the file, or back from its own line if negative, so each split counts its vertices and faces, the counts of a file's splits before it are added, and
+    corners are then joined with vertices by file and number. A face of more corners is a fan of triangles, `part` of them; texture and normal numbers, other lines, and triangles with a vertex that isn't there are skipped.
+    """
+    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path)
+    rows = text.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_split"), F.split(F.trim(F.regexp_replace("value", r"[\t\r]", " ")), " +").alias("_p"))
+    rows = rows.where(F.col("_p")[0].isin("v", "f")).withColumn("_at", F.monotonically_increasing_id())
+    vertex = F.col("_p")[0] == "v"
+    within = Window.partitionBy("path", "_split").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    counted = checkpointed(rows.select("path", "_split", "_p", F.count_if(vertex).over(within).alias("_v"), F.count_if(~vertex).over(within).alias("_f")))
+    before = Window.partitionBy("path").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = counted.groupBy("path", "_split").agg(*(F.max(c).alias(c) for c in ("_v", "_f")))
+    splits = splits.select("path", "_split", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}0") for c in ("_v", "_f")))
+    placed = counted.join(splits, ["path", "_split"]).select("path", "_p", (F.col("_v") + F.col("_v0")).alias("n"), (F.col("_f") + F.col("_f0")).alias("face"))
+    vertices = placed.where("_p[0] = 'v'").select("path", "n", F.struct(*(F.col("_p")[i + 1].cast("double").alias(c) for i, c in enumerate("xyz"))).alias("_xyz"))
+    number = lambda token: F.split(token, "/")[0].cast("long")
+    fans = placed.where("_p[0] = 'f' and size(_p) > 3").select("path", "face", "n", "_p", F.explode(F.sequence(F.lit(2), F.size("_p") - 2)).alias("part"))
+    corners = fans.select("path", "face", F.col("part") - 1, F.col("n").alias("_seen"), F.posexplode(F.array(F.col("_p")[1], F.get("_p", F.col("part")), F.get("_p", F.col("part") + 1))).alias("_corner", "_token")).toDF("path", "face", "part", "_seen", "_corner", "_token")
+    corners = corners.withColumn("n", F.when(number(F.col("_token")) < 0, F.col("_seen") + 1 + number(F.col("_token"))).otherwise(number(F.col("_token"))))
+    met = corners.join(vertices, ["path", "n"]).groupBy("path", "face", "part").agg(*(F.max(F.when(F.col("_corner") == i, F.col("_xyz"))).alias(f"v{i}") for i in range(3)))
+    return met.where("v0 is not null and v1 is not null and v2 is not null").select(participant.alias("participant"), "path", "face", "part", "v0", "v1", "v2")
 
 
 def decoded_png(content: bytes) -> tuple[int, int, np.ndarray]:
