@@ -54,16 +54,15 @@ def _merged(left: DataFrame, sides: list[tuple], keys: Sequence[str], time: str,
             last = (F.max_by if back else F.min_by)(f"_r{n}", F.struct("_t", f"_o{n}"))
             steps = r.groupBy(*keys, "_block").agg(last.alias("_v")).unionByName(asked.select(*keys, "_block").distinct().withColumn("_asked", F.lit(True)), allowMissingColumns=True)
             steps = steps.groupBy(*keys, "_block").agg(F.first("_v", ignorenulls=True).alias("_v"), F.max("_asked").alias("_asked"))
-            over = Window.partitionBy(*keys).orderBy("_block")
-            carried = F.last("_v", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)) if back else F.first("_v", ignorenulls=True).over(over.rowsBetween(1, Window.unboundedFollowing))
+            over = Window.partitionBy(*keys).orderBy("_block" if back else F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
+            carried = F.last("_v", ignorenulls=True).over(over)
             steps = steps.withColumn(f"_r{n}", carried).where(F.col("_asked") & F.col(f"_r{n}").isNotNull())
             both = both.unionByName(steps.select(*keys, "_block", F.lit(float("-inf" if back else "inf")).alias("_t"), F.lit(0 if back else 2).alias("_side"), f"_r{n}"), allowMissingColumns=True)
-    w = Window.partitionBy(*keys, *split).orderBy("_t", "_side", *(f"_o{n}" for n in range(len(sides))))
+    by = ["_t", "_side", *(f"_o{n}" for n in range(len(sides)))]
     for n, side in enumerate(sides):
-        if side[3] == "backward":
-            found = F.last(f"_r{n}", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-        else:
-            found = F.first(f"_r{n}", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+        # Forward the rows are run through from the end: a frame up to the end would be gone through anew for each row.
+        w = Window.partitionBy(*keys, *split).orderBy(*(by if side[3] == "backward" else [F.desc(c) for c in by])).rowsBetween(Window.unboundedPreceding, 0)
+        found = F.last(f"_r{n}", ignorenulls=True).over(w)
         both = both.withColumn(f"_found{n}", F.when(F.col("_t").isNotNull(), found))
     names = [side[5] for side in sides]
     out = both.where("_side = 1").select(*keys, "_l", *(F.col(f"_found{n}").alias(name) for n, name in enumerate(names)))
@@ -248,9 +247,8 @@ def choose_track(points: DataFrame, tracks: DataFrame, keys: Sequence[str], time
     names = ["track_pos", "track_id", "start_sec", "end_sec"]
     t = tracks.select(*keys, *names)
     inside = stab_strongest(points, t, keys, time, "start_sec", "end_sec", [F.col("s_track_pos")])
-    past = t.groupBy(*keys, "end_sec").agg(F.min_by(F.struct(*names), "track_pos").alias("_v")).select(*keys, *(F.col("_v")[n].alias(n) for n in names))
-    future = t.groupBy(*keys, "start_sec").agg(F.min_by(F.struct(*names), "track_pos").alias("_v")).select(*keys, *(F.col("_v")[n].alias(n) for n in names))
-    out = asof_both(inside, (past, "end_sec", (), True, "_past"), (future, "start_sec", (), True, "_future"), keys, time)
+    past = t.withColumn("_first_listed", -F.col("track_pos"))
+    out = asof_both(inside, (past, "end_sec", ["_first_listed"], True, "_past"), (t, "start_sec", ["track_pos"], True, "_future"), keys, time)
     held = F.col("s_track_pos").isNotNull()
     pick = lambda n: F.when(held, F.col(f"s_{n}")).otherwise(F.coalesce(F.col("_past")[n], F.col("_future")[n]))
     relation = F.when(held, "in_motion").when(F.col("_past").isNotNull(), "past").when(F.col("_future").isNotNull(), "future").otherwise("no_track_available")
