@@ -70,11 +70,11 @@ def resolved_events(typed: DataFrame, catalog: DataFrame, scores: DataFrame, key
 
 
 def fixture_intervals(events: DataFrame, catalog: DataFrame, ends: DataFrame) -> DataFrame:
-    """Open and closed intervals of all fixtures of the catalog; one without events is assumed closed over the whole video."""
+    """Open and closed intervals of all fixtures of catalog(video_id, fixture); one without events is assumed closed over the whole video. ends(video_id, video_end)."""
     keys = ["video_id", "fixture"]
     found = open_close_intervals(events, ends, keys).withColumn("confidence", F.lit("medium"))
     silent = catalog.select(*keys).distinct().join(events.select(*keys).distinct(), keys, "left_anti")
-    placeholder = silent.join(ends, keys, "left").select(
+    placeholder = silent.join(ends, "video_id", "left").select(
         *keys, F.lit("closed").alias("state"), F.lit(0.0).alias("start_time"), F.col("video_end").alias("end_time"), F.lit(False).alias("backfilled"), F.lit("assumed_closed").alias("confidence")
     )
     return found.unionByName(placeholder)

@@ -64,12 +64,12 @@ def open_close_intervals(events: DataFrame, ends: DataFrame, keys: Sequence[str]
     """State intervals of fixtures from events(state, start_sec, end_sec): each lasts to the next change.
 
     Events are ordered by their start; the state changes at an event's END. Repeated states are folded into the first. From 0 to the first event
-    its opposite is filled in (backfilled); the last interval lasts to the video's end, of ends(keys, video_end).
+    its opposite is filled in (backfilled); the last interval lasts to the end, of ends(keys or some of them, video_end).
     """
     w = Window.partitionBy(*keys).orderBy("start_sec", "end_sec", "state")
     kept = events.withColumn("_before", F.lag("state").over(w)).where("_before is null or _before <> state").drop("_before")
     steps = kept.withColumn("_next", F.lead("end_sec").over(w)).withColumn("_first", F.row_number().over(w) == 1)
-    known = steps.join(ends, list(keys), "left")
+    known = steps.join(ends, [k for k in keys if k in ends.columns], "left")
     last = F.coalesce("_next", "video_end")
     forward = known.select(*keys, "state", F.col("end_sec").alias("start_time"), last.alias("end_time"), F.lit(False).alias("backfilled"))
     opposite = F.when(F.col("state") == "open", "closed").otherwise("open")

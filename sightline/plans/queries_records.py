@@ -56,9 +56,12 @@ def durations(spark, d):
     return G.duration_by_status(status_runs(spark, d), OBJ)
 
 
-@query("agg4_duration_map")
+@query("agg4_duration_map", """
+SELECT video_id, assoc_id, string_agg(status || '=' || printf('%.3f', seconds), ',' ORDER BY status) AS duration_by_status FROM (SELECT video_id, assoc_id, status, round(sum(greatest(0.0, end_sec - start_sec)), 3) AS seconds FROM runs GROUP BY ALL) GROUP BY ALL""", A.SAMPLES, RUNS_SQL)
 def duration_map(spark, d):
-    return G.duration_map(durations(spark, d), OBJ)
+    """The map of each object, its entries written out."""
+    entry = lambda e: F.concat(e["key"], F.lit("="), F.format_string("%.3f", e["value"]))
+    return G.duration_map(durations(spark, d), OBJ).select(*OBJ, F.array_join(F.transform(F.array_sort(F.map_entries("duration_by_status")), entry), ",").alias("duration_by_status"))
 
 
 @query("agg5_centroids", "SELECT track_id, round(avg(x), 6) AS x, round(avg(y), 6) AS y, round(avg(z), 6) AS z FROM masks WHERE x IS NOT NULL GROUP BY track_id", A.MASKS)
@@ -429,14 +432,17 @@ BOOL_RUNS = f"""b AS (SELECT *, {VISIBLE_SQL} AS visible, {STABLE_SQL} AS stable
     SELECT *, CASE WHEN visible IS DISTINCT FROM lag(visible, 1, visible) OVER (PARTITION BY video_id, assoc_id ORDER BY time_sec, event_id) THEN 1 ELSE 0 END AS ch FROM b)) GROUP BY 1, 2, 3, 4)"""
 
 
-@query("qst11_flt18_hidden_candidates", """
-SELECT assoc_id, query_sec, usable_sec, last_stable_sec FROM (
+HIDDEN_SQL = """
+SELECT video_id, assoc_id, query_sec, usable_sec, last_stable_sec FROM (
   SELECT *, row_number() OVER (PARTITION BY video_id, assoc_id, round(query_sec, 3) ORDER BY query_sec, start_sec) AS rn, (SELECT max(x.time_sec) FROM b x WHERE x.assoc_id = q.assoc_id AND x.stable AND x.time_sec < q.query_sec) AS last_stable_sec FROM (
     SELECT u.video_id, u.assoc_id, u.start_sec, u.end_sec, u.usable_sec, arg_min(s.time_sec, (abs(s.time_sec - (u.usable_sec + 20)), s.time_sec)) AS query_sec FROM (
       SELECT r.*, greatest(r.start_sec, coalesce((SELECT max(t.end_sec) FROM tracks t WHERE t.assoc_id = r.assoc_id AND t.end_sec <= r.start_sec), -1)) AS usable_sec FROM bruns r WHERE NOT visible AND end_sec - start_sec >= 20) u
     JOIN b s ON s.assoc_id = u.assoc_id AND NOT s.visible AND s.time_sec BETWEEN u.usable_sec AND u.end_sec WHERE u.end_sec - u.usable_sec >= 20 GROUP BY 1, 2, 3, 4, 5) q
   WHERE start_sec <= greatest(0.0, query_sec - 20) + 0.5 AND end_sec >= least(2400.0, query_sec + 20) - 0.5)
-WHERE rn = 1 AND last_stable_sec IS NOT NULL""", A.SAMPLES, BOOL_RUNS, A.TRACKS)
+WHERE rn = 1 AND last_stable_sec IS NOT NULL"""
+
+
+@query("qst11_flt18_hidden_candidates", f"SELECT assoc_id, query_sec, usable_sec, last_stable_sec FROM ({HIDDEN_SQL})", A.SAMPLES, BOOL_RUNS, A.TRACKS)
 def hidden(spark, d):
     s, spans = bool_spans(spark, d)
     tracks = A.tracks(spark, d).join(s.select(*OBJ).distinct(), "assoc_id").select("video_id", "assoc_id", "end_sec")
@@ -454,8 +460,7 @@ def seen(spark, d):
     return Q.visible_candidates(spans, s, 50).select("video_id", "assoc_id", "time_sec", c("turn").cast("long"))
 
 
-@query("qst1_qst10_qst16_trajectories")
-def trajectories(spark, d):
+def trajectory_records(spark, d, cap):
     """Hidden candidates as records of steps: visible or not, last seen, stopped, nearest fixture, direction, relation and distance."""
     s, spans = bool_spans(spark, d)
     tracks = A.tracks(spark, d).join(s.select(*OBJ).distinct(), "assoc_id").select("video_id", "assoc_id", "end_sec")
@@ -478,7 +483,12 @@ def trajectories(spark, d):
         Q.drop_reason(F.lit(True), F.lit(False), c("last_stable_sec"), F.lit(False), N.valid_fixture(label), c("usable_sec"), F.lit("x"), c("anchor_id"), F.lit(True)).alias("reason"),
     )
     kept = rows.where("reason in ('kept', 'seen_before_placement')")
-    return Q.trajectories(kept, ["query_sec", "assoc_id"], ["s1", "s2", "s3", "s4"], ["b1", "b2", "b3", "b4"], 2).select(
+    return Q.trajectories(kept, ["query_sec", "assoc_id"], ["s1", "s2", "s3", "s4"], ["b1", "b2", "b3", "b4"], cap)
+
+
+@query("qst1_qst10_qst16_trajectories")
+def trajectories(spark, d):
+    return trajectory_records(spark, d, 2).select(
         "video_id", "trajectory_id", "assoc_id", "query_sec", F.size("incremental_steps").alias("n_steps"), F.to_json("incremental_steps").alias("steps"), F.to_json("branch_groups").alias("branches")
     )
 
@@ -664,13 +674,52 @@ def area_steps(spark, d):
 @query("qst9_qst16_trajectory_records", """
 SELECT video_id, event_id, row_number() OVER (ORDER BY video_id, rn) AS trajectory_id, 1 + CAST(in_view AS INTEGER) + CAST(NOT occluded AS INTEGER) AS n_steps, CAST(k % 2 = 0 AS INTEGER) AS n_branches FROM (
   SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY time_sec, event_id) AS rn FROM samples) WHERE rn <= 30""", A.SAMPLES)
-def trajectory_records(spark, d):
+def trajectory_sizes(spark, d):
     """Steps that are null are left out of a record; branches stand in their own group."""
     s = A.samples(spark, d).select("video_id", "event_id", "time_sec", F.lit("1").alias("s1"), F.when(c("in_view"), "2").alias("s2"), F.when(~c("occluded"), "3").alias("s3"), F.when(c("k") % 2 == 0, "5a").alias("b1"))
     r = Q.trajectories(s, ["time_sec", "event_id"], ["s1", "s2", "s3"], ["b1"], 30)
     return r.select("video_id", "event_id", "trajectory_id", F.size("incremental_steps").alias("n_steps"), F.size(c("branch_groups")["post_step4"]).alias("n_branches"))
 
 
+def tok(t):
+    return TOKEN.replace("t ", f"CAST(round_even({t} * 10, 0) AS BIGINT) ")
+
+
+def drawn(words, seed):
+    """A list of words in the order of a seed."""
+    return f"list_transform(list_sort(list_transform({words}, lambda w: {{'h': md5('{seed}|' || key || '|' || w), 'word': w}})), lambda e: e.word)"
+
+
+QUADRANT = "CASE WHEN abs({z}) >= 0.05 AND abs({x}) >= 0.05 AND abs(abs(degrees(atan2({x}, {z}))) - 90) >= 5 THEN (CASE WHEN {z} > 0 THEN 'Front' ELSE 'Back' END) || (CASE WHEN {x} > 0 THEN '-right' ELSE '-left' END) END"
+VOCABULARY = "['counter', 'drawer', 'cupboard', 'fridge', 'oven', 'bin']"
+TRAJECTORIES = f"""cand AS (SELECT video_id, assoc_id, query_sec, usable_sec, last_stable_sec FROM ({HIDDEN_SQL})),
+named AS (SELECT n.*, arg_min(o.assoc_id, (md5('11|' || n.assoc_id || '|' || o.assoc_id), o.assoc_id)) AS anchor_id FROM cand n JOIN (SELECT DISTINCT video_id, assoc_id FROM b WHERE stable) o ON o.video_id = n.video_id AND o.assoc_id <> n.assoc_id GROUP BY ALL),
+placed AS (SELECT n.*, 'object ' || assoc_id AS name, 'object ' || anchor_id AS other, video_id || ':' || assoc_id || ':' || query_sec AS key, ['counter', 'drawer', 'mid-air'][assoc_id % 3 + 1] AS label, p.ax AS x, p.ay AS y, p.az AS z, p.ax - q.ax AS dx, p.ay - q.ay AS dy, p.az - q.az AS dz, p.c, p.s
+  FROM named n JOIN points p ON p.vec_id = assoc_id JOIN points q ON q.vec_id = anchor_id),
+kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY query_sec, assoc_id) AS rn FROM placed WHERE label <> 'mid-air') WHERE rn <= 30),
+rec AS (SELECT *, row_number() OVER (ORDER BY video_id, rn) AS trajectory_id, {QUADRANT.format(x='x', z='z')} AS own, {QUADRANT.format(x='(c * dx + s * dz)', z='(c * dz - s * dx)')} AS rel, CASE WHEN sqrt(dx * dx + dy * dy + dz * dz) < 1.0 THEN 'close' WHEN sqrt(dx * dx + dy * dy + dz * dz) < 1.5 THEN 'medium' ELSE 'far' END AS far,
+  {drawn(f"list_concat([label], list_slice({drawn(f'list_filter({VOCABULARY}, lambda w: w <> label)', '2')}, 1, 4))", '2:order')} AS c4, {drawn(f"list_concat([label], list_slice({drawn(f'list_filter({VOCABULARY}, lambda w: w <> label)', '3')}, 1, 3))", '3:order')} AS c5 FROM kept),
+each_step AS (
+  SELECT trajectory_id, '1' AS step, 'visibility' AS question_class, 'Is ' || name || ' visible at ' || {tok('query_sec')} || '?' AS question, 'No' AS answer, {drawn("['Yes', 'No']", '1')} AS choices FROM rec
+  UNION ALL SELECT trajectory_id, '2', 'last_visible', 'When was ' || name || ' last visible before ' || {tok('query_sec')} || '?', {tok('last_stable_sec')} || ' (' || {NUMBER.format(x='x')} || ', ' || {NUMBER.format(x='y')} || ')', [] FROM rec
+  UNION ALL SELECT trajectory_id, '3', 'stopped_moving', 'When did ' || name || ' stop moving before ' || {tok('query_sec')} || '?', {tok('usable_sec')}, [] FROM rec
+  UNION ALL SELECT trajectory_id, '4', 'nearest_fixture', 'What is ' || name || ' closest to?', label, c4 FROM rec
+  UNION ALL SELECT trajectory_id, '5a', 'quadrant', 'In which direction is ' || name || '?', own, ['Front-left', 'Front-right', 'Back-left', 'Back-right'] FROM rec WHERE own IS NOT NULL
+  UNION ALL SELECT trajectory_id, '5b', 'relation', 'Where is ' || name || ' from ' || other || '?', rel, ['Front-left', 'Front-right', 'Back-left', 'Back-right'] FROM rec WHERE rel IS NOT NULL
+  UNION ALL SELECT trajectory_id, '5c', 'distance', 'How far is ' || name || ' from ' || other || '?', far, ['close', 'medium', 'far'] FROM rec
+  UNION ALL SELECT trajectory_id, '5d', 'counter_area', 'Which part of the counter is ' || name || ' on?', label, c5 FROM rec)"""
+
+
+@query("qst1_qst10_qst16_trajectory_steps", """
+SELECT trajectory_id, step, question_class, question, answer, array_to_string(choices, ',') AS choices, CAST(CASE WHEN len(choices) > 0 THEN list_position(choices, answer) - 1 END AS INTEGER) AS correct_idx FROM each_step""", A.SAMPLES, BOOL_RUNS, A.TRACKS, A.POINTS, TRAJECTORIES)
+def trajectory_steps(spark, d):
+    """All that stands in the records of hidden objects, a row for each step and branch."""
+    r = trajectory_records(spark, d, 30)
+    every = F.concat("incremental_steps", c("branch_groups")["post_step4"])
+    out = r.select("trajectory_id", F.explode(every).alias("s")).select("trajectory_id", "s.*")
+    return out.select("trajectory_id", "step", "question_class", "question", "answer", F.array_join("choices", ",").alias("choices"), "correct_idx")
+
+
 @query("qst10_drop_reasons", f"""
 SELECT event_id, CASE WHEN raw_status = 'no_valid_mask' THEN 'no_state' WHEN {VISIBLE_SQL} THEN 'one_step' WHEN k % 5 = 0 THEN 'never_visible' WHEN k % 7 = 0 THEN 'in_motion' WHEN fixture IS NULL OR fixture = 'mid-air' THEN 'invalid_fixture' WHEN k % 11 = 0 THEN 'no_placement'
   WHEN k % 13 = 0 THEN 'seen_before_placement' WHEN k % 17 = 0 THEN 'ambiguous_direction' WHEN k % 19 = 0 THEN 'no_anchor' WHEN occluded THEN 'branch_failed' ELSE 'kept' END AS reason FROM samples""", A.SAMPLES)

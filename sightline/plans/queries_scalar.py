@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import names as N
 from ..operators import rank as R
-from ..operators import rays
+from ..operators import rays, sets
 from . import adapters as A
 from .registry import query
 
@@ -292,13 +292,13 @@ def chosen(spark, d):
 
 @query("set1_union", "SELECT assoc_id AS id FROM tracks UNION SELECT user_id FROM events", A.TRACKS)
 def unions(spark, d):
-    return A.tracks(spark, d).select(c("assoc_id").alias("id")).union(A.read(spark, d, "events").select("user_id")).distinct()
+    return sets.union_of([(A.tracks(spark, d), "assoc_id"), (A.read(spark, d, "events"), "user_id")], "id")
 
 
 @query("set2_ordered_union", """
 SELECT p_partkey, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ',') AS ids FROM (SELECT p_partkey, [p_type, p_brand, p_type, p_name, p_brand] AS l FROM part)""")
 def ordered_union(spark, d):
-    ids = F.array_distinct(F.concat(F.array("p_type", "p_brand"), F.array("p_type", "p_name", "p_brand")))
+    ids = sets.ordered_union(F.array("p_type", "p_brand"), F.array("p_type", "p_name", "p_brand"))
     return A.read(spark, d, "part").select("p_partkey", F.array_join(ids, ",").alias("ids"))
 
 
@@ -306,9 +306,8 @@ def ordered_union(spark, d):
 SELECT assoc_id, array_to_string(list_sort(list_filter(['in_view', 'in_motion', 'out_of_view', 'unobservable_no_data'], lambda x: NOT list_contains(l, x))), ',') AS missing,
   array_to_string(list_sort(list_distinct(list_concat(l, ['geometrically_occluded']))), ',') AS domain FROM (SELECT assoc_id, list(DISTINCT status) AS l FROM samples GROUP BY assoc_id)""", A.SAMPLES)
 def status_domains(spark, d):
-    known = F.array(*(F.lit(x) for x in ("in_view", "in_motion", "out_of_view", "unobservable_no_data")))
-    seen = A.samples(spark, d).groupBy("assoc_id").agg(F.collect_set("status").alias("l"))
-    return seen.select("assoc_id", F.array_join(F.sort_array(F.array_except(known, c("l"))), ",").alias("missing"), F.array_join(F.sort_array(F.array_union("l", F.array(F.lit("geometrically_occluded")))), ",").alias("domain"))
+    out = sets.domains(A.samples(spark, d), ["assoc_id"], "status", ["in_view", "in_motion", "out_of_view", "unobservable_no_data"], ["geometrically_occluded"])
+    return out.select("assoc_id", F.array_join("missing", ",").alias("missing"), F.array_join("domain", ",").alias("domain"))
 
 
 @query("set7_selected_videos", "SELECT DISTINCT video_id FROM samples WHERE split_part(video_id, '-', 1) IN ('P01', 'P03')", A.SAMPLES)

@@ -285,12 +285,19 @@ def merged(spark, d):
 
 
 @query("jn23_placeholder_anti", """
-SELECT c_custkey AS fixture, 'closed' AS state, 'assumed_closed' AS confidence FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)
-UNION ALL SELECT o_custkey, 'open', 'medium' FROM orders""")
+SELECT 'v' || CAST(assoc_id % 4 AS VARCHAR) AS video_id, assoc_id AS fixture, state, end_sec AS start_time, coalesce(lead(end_sec) OVER (PARTITION BY assoc_id ORDER BY start_sec, end_sec, state), 2500.0) AS end_time, false AS backfilled, 'medium' AS confidence FROM kept
+UNION ALL SELECT 'v' || CAST(assoc_id % 4 AS VARCHAR), assoc_id, CASE state WHEN 'open' THEN 'closed' ELSE 'open' END, 0.0, end_sec, true, 'medium' FROM (SELECT *, row_number() OVER (PARTITION BY assoc_id ORDER BY start_sec, end_sec, state) AS rn FROM kept) WHERE rn = 1
+UNION ALL SELECT 'v' || CAST(c_custkey % 4 AS VARCHAR), c_custkey, 'closed', 0.0, 2500.0, false, 'assumed_closed' FROM customer WHERE c_custkey NOT IN (SELECT assoc_id FROM kept)""",
+A.SPANS, """kept AS (SELECT * FROM (SELECT *, lag(state) OVER (PARTITION BY assoc_id ORDER BY start_sec, end_sec, state) AS before FROM spans WHERE end_sec IS NOT NULL) WHERE before IS NULL OR before <> state)""")
 def placeholder(spark, d):
-    hit = A.read(spark, d, "orders").select(F.col("o_custkey").alias("fixture"))
-    quiet = A.read(spark, d, "customer").select(F.col("c_custkey").alias("fixture")).join(hit, "fixture", "left_anti")
-    return quiet.select("fixture", F.lit("closed").alias("state"), F.lit("assumed_closed").alias("confidence")).unionByName(hit.select("fixture", F.lit("open").alias("state"), F.lit("medium").alias("confidence")))
+    """Customers are a catalog of fixtures; those that no span speaks of are assumed closed."""
+    from ..operators.fixtures import fixture_intervals
+
+    video = lambda k: F.concat(F.lit("v"), (F.col(k) % 4).cast("string")).alias("video_id")
+    events = A.spans(spark, d).where("end_sec is not null").select(video("assoc_id"), F.col("assoc_id").alias("fixture"), "state", "start_sec", "end_sec")
+    catalog = A.read(spark, d, "customer").select(video("c_custkey"), F.col("c_custkey").alias("fixture"))
+    ends = spark.range(4).select(video("id"), F.lit(2500.0).alias("video_end"))
+    return fixture_intervals(events, catalog, ends)
 
 
 @query("tim1_jn24_time_grid", """
