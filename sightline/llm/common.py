@@ -46,6 +46,25 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: Where the rest of a user's row lies while an operator works: among columns that the operator names itself no name of the user's can clash.
+REST = "_rest_of_row"
+
+
+def called(names: list[str]) -> list[Column]:
+    """The columns of these names, which may hold dots and quotes."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in names]
+
+
+def aside(names: list[str]) -> list[Column]:
+    """The columns of these names as one struct, or none."""
+    return [F.struct(*called(names)).alias(REST)] if names else []
+
+
+def again(names: list[str]) -> list[Column]:
+    """The columns that `aside` has put together."""
+    return [F.col(REST)[c].alias(c) for c in names]
+
+
 def text_of(column: str | Column = "text") -> Column:
     """The text; a null one counts as empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

@@ -50,6 +50,14 @@ def takes(name: Column, weights: Mapping[str, float]) -> Column:
     return F.coalesce(name.isin(listed) != F.lit(others), F.lit(others)) if listed else F.lit(others)
 
 
+def able(weights: Mapping[str, Mapping[str, float]]) -> Column:
+    """Whether a leaf may give anything: no name above it, or its own, has weight 0."""
+    out = F.lit(True)
+    for level in LEVELS:
+        out = out & takes(F.col(level), dict(weights.get(level, {})))
+    return out
+
+
 def leaf_budgets(leaves: DataFrame, weights: Mapping[str, Mapping[str, float]], budget_share: float, max_epochs: int) -> DataFrame:
     """leaves(domain, lang, source, tokens) with budget, in tokens.
 
@@ -58,10 +66,7 @@ def leaf_budgets(leaves: DataFrame, weights: Mapping[str, Mapping[str, float]],
     lacks by the siblings of its ancestors. A leaf below a name of weight 0 can take nothing, so its tokens are no capacity of
     the nodes above it. Each node's children are one group of a Spark job.
     """
-    able = F.lit(True)
-    for level in LEVELS:
-        able = able & takes(F.col(level), dict(weights.get(level, {})))
-    capacity = leaves.withColumn("capacity", F.when(able, F.col("tokens") * float(max_epochs)).otherwise(0.0))
+    capacity = leaves.withColumn("capacity", F.when(able(weights), F.col("tokens") * float(max_epochs)).otherwise(0.0))
     whole = (leaves.agg(F.sum("tokens")).first()[0] or 0) * float(budget_share)
     nodes = None
     path: list[str] = []
@@ -102,7 +107,7 @@ def mix(docs: DataFrame, domain: Column, weights: Mapping[str, Mapping[str, floa
     epoch e the longest prefix of that epoch's seeded order within the rest.
 
     The order's running totals go over ranges of a hash, so that no leaf, however large, is in one task.
-    Null levels are names of their own, of the others' weight; an empty text has no tokens and comes with the prefix it stands in. Rows
+    Null levels are names of their own, of the others' weight; a leaf of weight 0 gives nothing. An empty text has no tokens and comes with the prefix it stands in. Rows
     that repeat are taken each; rows with equal hashes come in the order of doc_id. Without rows the result is empty. Very long texts count whole; one longer than what is left of
     its leaf's budget ends the prefix. Columns of docs other than doc_id, lang and source are left out.
     """
@@ -128,7 +133,7 @@ def mix(docs: DataFrame, domain: Column, weights: Mapping[str, Mapping[str, floa
         on = on & F.col(c).eqNullSafe(F.col(f"c_{c}"))
     within = Window.partitionBy(*LEVELS, "_cell").orderBy("_u", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
     ended = shuffled.join(cells, on).withColumn("_end", F.col("_before") + F.sum("n_tokens").over(within))
-    more = (F.col("_end") <= F.col("rest")) & ((F.col("rest") > 0) | (F.col("epochs") == 0))
+    more = (F.col("_end") <= F.col("rest")) & ((F.col("rest") > 0) | ((F.col("epochs") == 0) & able(weights or {})))
     times = F.col("epochs") + F.when(more & (F.col("epochs") < max_epochs), 1).otherwise(0)
     taken = ended.withColumn("_times", times).where("_times > 0")
     return taken.select("doc_id", *LEVELS, "n_tokens", F.explode(F.sequence(F.lit(0), F.col("_times") - 1)).alias("epoch"))
@@ -150,7 +155,8 @@ def mixed_documents(docs: DataFrame, budget_share: float = 0.7, seed: int = 0) -
     """docs cut down to the mixture, each document once at most; all columns stay. Rows with the same doc_id stay or go together."""
     rows = docs.select("doc_id", "lang", "source", words().alias("_n")).groupBy("doc_id").agg(F.min(F.struct("lang", "source", "_n")).alias("_v")).select("doc_id", "_v.*")
     taken = mix(rows, domain_of(), WEIGHTS, budget_share, max_epochs=1, seed=seed, tokens=F.col("_n")).select(F.col("doc_id").alias("_taken"))
-    return docs.join(small(checkpointed(taken)), docs.doc_id.eqNullSafe(F.col("_taken")), "left_semi").select(*docs.columns)
+    taken = small(checkpointed(taken))
+    return docs.join(taken, docs["doc_id"].eqNullSafe(taken["_taken"]), "left_semi")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, connected_components, id_columns, in_text_batches, small, table, text_of
+from .common import called, checkpointed, connected_components, id_columns, in_text_batches, small, table, text_of
 
 #: Share of a set that its prefix under the hash order has; more prunes better and costs more rows.
 HASH_PREFIX = 0.2
@@ -409,7 +409,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, text:
 def keep_one_of_each_group(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
     """The documents whose doc_id is the smallest of their component; all columns stay. Rows that share a doc_id stay or go together."""
     out = jaccard_components(docs, width, percent, text).where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(small(checkpointed(out)), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(small(checkpointed(out)), "doc_id", "left_anti").select(*called(docs.columns))
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, checkpointed, table, text_of
+from .common import BROADCAST_ROWS, again, aside, called, checkpointed, table, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 #: What stands in the text for a digit's separator while cards are looked for; one in the text itself stands as a letter.
@@ -138,16 +138,18 @@ def private_spans(docs: DataFrame, reach: int = 80, contexts: int = 3, strength:
     non-overlapping over the whole text. Term spans, of kind generalised or removed, never overlap those. A null or empty text has no
     spans; no rows give no rows. Rows with the same doc_id are masked for the terms that either has; a repeated row counts as one document
     beside an entity and as itself in a term's total, so repeats never make a term look more revealing. Rows without doc_id count as one. A term that ties between
-    both actions is removed. Extra columns stay; those named base or terms are replaced. Texts of any length are read whole, in time linear in their length but
+    both actions is removed. Extra columns stay, whatever their names; those named base or terms are replaced. Texts of any length are read whole, in time linear in their length but
     for the square root of their matches.
     """
+    kept = [c for c in docs.columns if c not in ("doc_id", "text", "base", "terms")]
+    docs = docs.select("doc_id", "text", *aside(kept))
     narrow = docs.select("doc_id", "text")
     disclosing, found = revealing_terms(narrow, base_spans(narrow), reach, contexts, strength)
     found = checkpointed(found.select(F.col("doc_id").alias("_doc"), "term").join(held(checkpointed(disclosing), "term"), "term"))
     has = checkpointed(found.groupBy("_doc").agg(F.sort_array(F.collect_set(F.struct("term", "action"))).alias("_terms")))
     has = held(has.withColumn("_said", F.array_join(F.transform("_terms", lambda t: t["term"]), "|")), "_said", 100_000).drop("_said")
     spans = base_spans(docs)
-    joined = spans.join(has, spans.doc_id.eqNullSafe(has._doc), "left").drop("_doc")
+    joined = spans.join(has, spans["doc_id"].eqNullSafe(has["_doc"]), "left")
     pattern = "concat('(?iu)(?<![\\\\p{L}])(?:', array_join(transform(_terms, x -> x.term), '|'), ')(?![\\\\p{L}])')"
     located_terms = f"""
         if(_terms is null, cast(array() as array<struct<kind: string, start: int, end: int, value: string>>),
@@ -155,7 +157,7 @@ def private_spans(docs: DataFrame, reach: int = 80, contexts: int = 3, strength:
              x -> named_struct('kind', if(exists(_terms, t -> t.term = lower(x.value) and t.action = 'generalise'), 'generalised', 'removed'),
                                'start', x.start, 'end', x.start + length(x.value), 'value', x.value)),
              x -> not exists(base, b -> b.start < x.end and x.start < b.end)))"""
-    return joined.withColumn("terms", F.expr(located_terms)).drop("_terms")
+    return joined.withColumn("terms", F.expr(located_terms)).select("doc_id", "text", *again(kept), "base", "terms")
 
 
 def listed(spans: str) -> str:
@@ -168,8 +170,8 @@ def sanitised(docs: DataFrame, **options) -> DataFrame:
     Spans of two kinds that overlap are replaced as one, by what stands for the first.
     """
     columns = docs.columns
-    held = {c: f"__{c}" for c in columns if c in ("base", "terms")}
-    spanned = private_spans(docs.withColumnsRenamed(held), **options).withColumn(
+    kept = [c for c in columns if c not in ("doc_id", "text")]
+    spanned = private_spans(docs.select("doc_id", "text", *aside(kept)), **options).withColumn(
         "_all", F.expr("array_sort(concat(base, terms), (a, b) -> case when a.start != b.start then a.start - b.start else b.end - a.end end)")
     )
     cut = """
@@ -179,7 +181,7 @@ def sanitised(docs: DataFrame, **options) -> DataFrame:
             named_struct('at', greatest(acc.at, s.end), 'out', acc.out)),
           acc -> concat(acc.out, substring(text, acc.at + 1, length(text))))"""
     clean = F.when(F.size("_all") > 0, F.expr(cut)).otherwise(F.col("text"))
-    return spanned.withColumn("text", clean).drop("base", "terms").withColumnsRenamed({v: k for k, v in held.items()}).select(*columns)
+    return spanned.select("doc_id", clean.alias("text"), *again(kept)).select(*called(columns))
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, in_text_batches, table, text_of
+from .common import again, aside, checkpointed, in_text_batches, small, table, text_of
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -18,8 +18,10 @@ SYMBOLS = "#*$%&|<>"
 WINDOW, LEAST_WORDS, MOST_REPEATED_PERCENT = 8, 20, 30
 #: The rules that get cutoffs: a document fails one if its measure is at or over the cutoff. Each is in [0, 1].
 RULES = ("symbol_share", "dup_line_share", "repeat_share", "long_word_share")
-#: Cutoffs tried for a rule, from the most lenient on: steps of 1/200 from 1 down.
+#: Cutoffs are multiples of 1/200.
 STEPS = 200
+#: Levels of a stratum's path of cutoffs: at level i each rule rejects i of so many parts of the stratum's documents at most.
+LEVELS, PARTS = 1000, 4000
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_long_words long"
 #: A word of more code points counts as long.
 LONG_WORD = 12
@@ -129,35 +131,56 @@ def certified_step(rejected: list[int], n: int, risk: float, delta: float) -> in
     return found
 
 
-def risk_cutoffs(holdout: DataFrame, strata: int, risk: float = 0.02, delta: float = 0.05) -> DataFrame:
-    """(stratum, cutoff of each rule) from holdout(stratum, the rules) of documents labelled good.
+def binned(rows: DataFrame, *columns: str) -> DataFrame:
+    """A row for each rule of each row: rule, and the measure's bin of STEPS."""
+    stack = ", ".join(f"'{r}', {r}" for r in RULES)
+    long = rows.selectExpr(*columns, f"stack({len(RULES)}, {stack}) as (rule, measure)")
+    return long.select(*columns, "rule", F.least(F.lit(STEPS), F.floor(F.col("measure") * STEPS + 1e-9)).cast("int").alias("bin"))
+
+
+def joint_paths(unlabelled: DataFrame) -> DataFrame:
+    """(stratum, rule, bin, level): the first level of a stratum's path at which a rule rejects a measure of that bin.
 
-    In every stratum, with probability 1 - delta over all strata together, at most `risk` of the good documents
-    fail any rule: a rule has an equal share of the risk, and a Bonferroni share of delta over strata and
-    rules. Counts for each step are aggregated by Spark over all labelled rows; a cutoff is null if
-    not even the most lenient can be certified, and then the rule rejects nothing in that stratum.
+    All rules tighten together: at level i each rejects at most i / PARTS of the stratum's documents, and as many as that allows. Bins that no level rejects are left out, bin 0 is one of them. The path
+    comes from documents without labels, so what labels show of it is a fair test.
     """
-    stack = ", ".join(f"'{r}', {r}" for r in RULES)
-    bins = (
-        holdout.selectExpr("stratum", f"stack({len(RULES)}, {stack}) as (rule, measure)")
-        .groupBy("stratum", "rule", F.least(F.lit(STEPS), F.floor(F.col("measure") * STEPS + 1e-9)).cast("int").alias("bin"))
-        .agg(F.count("*").alias("n"))
-    )
-    each, share = risk / len(RULES), delta / (max(1, strata) * len(RULES))
+    counts = binned(unlabelled, "stratum").groupBy("stratum", "rule", "bin").agg(F.count("*").alias("n"))
 
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        out = {"stratum": rows["stratum"].iloc[0]}
+    def levels(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
         for rule in RULES:
-            counts = np.zeros(STEPS + 1, np.int64)
             own = rows[rows["rule"] == rule]
-            np.add.at(counts, own["bin"].to_numpy(), own["n"].to_numpy())
-            # Step i rejects measures of bin STEPS - i and over; bin 0 is never rejected.
-            rejected = np.cumsum(counts[::-1])[:STEPS]
-            step = certified_step(rejected.tolist(), int(counts.sum()), each, share)
-            out[rule] = None if step is None else (STEPS - step) / STEPS
-        return pd.DataFrame([out]).astype({r: "float64" for r in RULES})
+            counted = np.zeros(STEPS + 1, np.int64)
+            np.add.at(counted, own["bin"].to_numpy(), own["n"].to_numpy())
+            over = np.cumsum(counted[::-1])[::-1]
+            level = np.maximum(1, -(-PARTS * over // max(1, over[0])))
+            used = np.flatnonzero(level <= LEVELS)
+            out.append(pd.DataFrame({"rule": rule, "bin": used, "level": level[used]}))
+        out = pd.concat(out).query("bin > 0")
+        return out.assign(stratum=rows["stratum"].iloc[0])[["stratum", "rule", "bin", "level"]]
+
+    return counts.groupBy("stratum").applyInPandas(levels, "stratum string, rule string, bin int, level int")
 
-    return bins.groupBy("stratum").applyInPandas(choose, "stratum string, " + ", ".join(f"{r} double" for r in RULES))
+
+def risk_cutoffs(holdout: DataFrame, paths: DataFrame, strata: int, risk: float = 0.02, delta: float = 0.05) -> DataFrame:
+    """(stratum, cutoff of each rule) from holdout(doc_id, stratum, the rules) of documents labelled good.
+
+    In every stratum, with probability 1 - delta over all strata together, at most `risk` of the good documents fail any rule: the levels of its path are tested in order, each on what all rules together reject at the
+    whole risk, with a Bonferroni share of delta for the stratum, up to the first that can't be certified. Without a rejection among them ln(strata / delta) / risk good documents, 217 for four strata, certify a
+    level. Counts are aggregated by Spark over all labelled rows; where no level is certified a stratum's cutoffs are null, and the rules reject nothing there.
+    """
+    met = binned(holdout, "doc_id", "stratum").join(small(paths), ["stratum", "rule", "bin"], "left")
+    first = met.groupBy("doc_id", "stratum").agg(F.min("level").alias("level")).groupBy("stratum", "level").agg(F.count("*").alias("n"))
+
+    def certified(rows: pd.DataFrame) -> pd.DataFrame:
+        counts = np.zeros(LEVELS + 2, np.int64)
+        np.add.at(counts, rows["level"].fillna(LEVELS + 1).astype(int).to_numpy(), rows["n"].to_numpy())
+        step = certified_step(np.cumsum(counts)[1 : LEVELS + 1].tolist(), int(counts.sum()), risk, delta / max(1, strata))
+        return pd.DataFrame({"stratum": rows["stratum"].iloc[:1], "last": [0 if step is None else step + 1]})
+
+    last = first.groupBy("stratum").applyInPandas(certified, "stratum string, last int")
+    inside = paths.join(last, "stratum").where("level <= last")
+    return inside.groupBy("stratum").agg(*(F.min(F.when(F.col("rule") == r, F.col("bin") / float(STEPS))).alias(r) for r in RULES))
 
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.02, delta: float = 0.05, text: str = "text") -> DataFrame:
@@ -166,24 +189,32 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, stratum: str = "lang",
     labels: doc_id, quality (1: good). A document whose labels disagree or are null is no part of the holdout, which
     has the good documents that pass the base rules; each doc_id counts once there, rows that share one by the largest of their measures. kept is false if base_failed, or if a
     measure reaches its stratum's certified cutoff, a measure equal to it included. A null stratum is a stratum of its own; without labels
-    only the base rules reject. A null text has no words and fails the base rules. Rows are returned each, repeated ones too, and no rows give none.
-    Texts of any length are measured whole. Columns of docs with the names of measures, rules, base_failed or kept are replaced; others stay.
+    only the base rules reject. The order in which cutoffs are tried comes from the documents that have no label and pass the base rules, or from all that pass where a stratum has none without.
+    A null text has no words and fails the base rules. Rows are returned each, repeated ones too, and no rows give none.
+    Texts of any length are measured whole. Columns of docs with the names of measures, rules, base_failed or kept are replaced; others stay, whatever their names.
     """
+    names = [x.split()[0] for x in MEASURES.split(", ")]
+    kept = [c for c in docs.columns if c not in {text, *names, *RULES, "base_failed", "kept"}]
+    own = docs.select(F.col("doc_id").alias("doc_id"), F.coalesce(F.col(stratum).cast("string"), F.lit("\x00")).alias("stratum"), F.col(text).alias("text"), *aside(kept))
     base = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
-    found = checkpointed(measured(docs, text).withColumn("base_failed", base))
-    ruled = with_rules(found).withColumn("_stratum", F.coalesce(F.col(stratum).cast("string"), F.lit("\x00")))
-    good = labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("quality").alias("r")).where("q = 1 and r = 1").select("doc_id")
-    holdout = ruled.where("not base_failed").select(F.col("_stratum").alias("stratum"), "doc_id", *RULES)
-    strata = ruled.select("_stratum").distinct().count()
-    once = holdout.join(good, "doc_id", "left_semi").groupBy("doc_id").agg(F.max(F.struct("stratum", *RULES)).alias("_v")).select("_v.*")
-    cutoffs = risk_cutoffs(once, strata, risk, delta)
+    found = checkpointed(measured(own).withColumn("base_failed", base))
+    ruled = with_rules(found)
+    known = labels.where("doc_id is not null").groupBy("doc_id").agg((F.min("quality") == 1).alias("q"), (F.max("quality") == 1).alias("r"))
+    known = checkpointed(known.select("doc_id", F.coalesce(F.col("q") & F.col("r"), F.lit(False)).alias("good")))
+    passing = ruled.where("not base_failed").select("doc_id", "stratum", *RULES).join(small(known), "doc_id", "left")
+    passing = checkpointed(passing)
+    strata = ruled.select("stratum").distinct().count()
+    free = passing.where("good is null")
+    unlabelled = free.unionByName(passing.join(F.broadcast(free.select("stratum").distinct()), "stratum", "left_anti").select(free.columns))  # a row for each stratum
+    holdout = passing.where("good").groupBy("doc_id").agg(F.max(F.struct("stratum", *RULES)).alias("_v")).select("doc_id", "_v.*")
+    cutoffs = risk_cutoffs(holdout, checkpointed(joint_paths(unlabelled)), strata, risk, delta)
     for r in RULES:
         cutoffs = cutoffs.withColumnRenamed(r, f"_{r}_cutoff")
-    judged = ruled.join(cutoffs.withColumnRenamed("stratum", "_stratum"), "_stratum", "left")
+    judged = ruled.join(cutoffs, "stratum", "left")
     fails = F.lit(False)
     for r in RULES:
         fails = fails | F.coalesce(F.floor(F.col(r) * STEPS + 1e-9) >= F.round(F.col(f"_{r}_cutoff") * STEPS), F.lit(False))
-    return judged.withColumn("kept", ~F.col("base_failed") & ~fails).drop("_stratum", *(f"_{r}_cutoff" for r in RULES))
+    return judged.select(*again(kept), *names, *RULES, "base_failed", (~F.col("base_failed") & ~fails).alias("kept"))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

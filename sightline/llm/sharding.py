@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import distributed_rank, parts_for, table, text_of, unit_hash
+from .common import again, aside, distributed_rank, parts_for, table, text_of, unit_hash
 
 
 def interleave_shards(rows: DataFrame, shards: int, stratum: str = "source", key: tuple[str, ...] = ("doc_id",), seed: int = 0) -> DataFrame:
@@ -17,10 +17,15 @@ def interleave_shards(rows: DataFrame, shards: int, stratum: str = "source", key
 
     Both rankings go over ranges of the hash and of the fractional rank, so a stratum that holds a
     third of all rows is split over many tasks. A null stratum is a stratum of its own; repeated
-    rows each get a place; with no rows the result is empty.
+    rows each get a place; of rows with equal hashes those with the smaller key come first, of rows with equal keys any. Texts are
+    moved with their rows, whatever their length, so leave out those that aren't needed. Columns named shard and slot are replaced, others stay, whatever their names; with no
+    rows the result is empty.
     """
     parts = parts_for(rows.count())
-    names = list(dict.fromkeys(key))
+    kept = [c for c in rows.columns if c not in ("shard", "slot")]
+    names = [f"key{i}" for i, _ in enumerate(dict.fromkeys(key))]
+    rows = rows.select(F.col(stratum).alias("stratum"), *(F.col(k).alias(n) for k, n in zip(dict.fromkeys(key), names, strict=True)), *aside(kept))
+    stratum = "stratum"
     shuffled = rows.withColumn("_u", unit_hash(*names, seed=seed))
     ranked = distributed_rank(shuffled, [stratum], "_u", names, "_rank", parts, total="_rows")
     spread = ranked.withColumn("_f", (F.col("_rank") + 0.5) / F.col("_rows")).drop("_rank", "_rows").withColumn("_all", F.lit(0))
@@ -29,7 +34,7 @@ def interleave_shards(rows: DataFrame, shards: int, stratum: str = "source", key
     return (
         placed.withColumn("shard", F.expr(f"cast(_place * {shards} div _total as int)"))
         .withColumn("slot", F.expr(f"_place - (cast(shard as bigint) * _total + {shards} - 1) div {shards}"))
-        .drop("_u", "_f", "_all", "_place", "_total")
+        .select(*again(kept), "shard", "slot")
     )
 
 

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, small, table
+from .common import again, aside, checkpointed, small, table
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: (host, path, verdict): the production rules.
@@ -123,7 +123,8 @@ def judged_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULE
     Equally likely splits of a name: the one whose last words are longest. Urls and pages of any length are read whole.
     """
     rule, verdict = best_rule(rules)
-    parts = with_parts(pages.select(*(c for c in pages.columns if c not in {html, "host", "path", "rule", "verdict"})), url)
+    kept = [c for c in pages.columns if c not in {html, "host", "path", "rule", "verdict"}]
+    parts = with_parts(pages.select(F.col(url).alias("url"), *aside(kept)), "url")
     texts = pages.select(F.lower(F.regexp_replace(F.coalesce(F.col(html), F.lit("")), "<[^>]*>", " ")).alias("t"))
     unigrams = (
         texts.select(F.explode(F.array_distinct(F.split("t", NOT_LETTERS))).alias("word"))
@@ -156,7 +157,7 @@ def judged_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULE
     known = F.coalesce("_rule", "_hot")
     out = out.withColumn("_salt", F.when(known.isNull(), F.lit(-1)).otherwise(F.monotonically_increasing_id() % SALTS).cast("long"))
     out = out.join(cold, ["host", "path", "_salt"], "left").withColumn("verdict", F.coalesce("_rule", "_hot", "_cold"))
-    return out.select(*(x for x in parts.columns if x not in ("host", "path")), "host", "path", "rule", "verdict")
+    return out.select(*again(kept), "host", "path", "rule", "verdict")
 
 
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,15 +45,23 @@ def brute_quality(docs, labels, risk=Fraction(1, 50), delta=Fraction(1, 20)):
         counts, shares = brute_measures(text)
         seen[d] = (lang, counts, shares, counts[0] < 20 or 100 * counts[4] > 30 * counts[0])
     strata = {x[0] for x in seen.values()}
-    cutoff = {}
+    cutoff, bins = {}, {d: [math.floor(y * 200 + Fraction(1, 10**9)) for y in x[2]] for d, x in seen.items()}
     for s in strata:
-        for r in range(len(RULES)):
-            bins = [math.floor(x[2][r] * 200 + Fraction(1, 10**9)) for d, x in seen.items() if x[0] == s and not x[3] and good.get(d)]
-            for step in range(200):
-                rejected = sum(b >= 200 - step for b in bins)
-                if not bins or tail(rejected, len(bins), risk / len(RULES)) > delta / (len(strata) * len(RULES)):
-                    break
-                cutoff[s, r] = 200 - step
+        passing = [d for d, x in seen.items() if x[0] == s and not x[3]]
+        path = [d for d in passing if d not in good] or passing
+        share = lambda r, c: sum(bins[d][r] >= c for d in path)
+        tight = {r: {c: share(r, c) for c in range(1, 202)} for r in range(len(RULES))}
+        holdout = [d for d in passing if good.get(d)]
+        tested = None
+        for level in range(1, 1001):
+            now = {r: min(c for c in tight[r] if 4000 * tight[r][c] <= level * len(path)) for r in tight}
+            if now == tested:
+                continue
+            tested = now
+            rejected = sum(any(bins[d][r] >= now[r] for r in now) for d in holdout)
+            if not holdout or tail(rejected, len(holdout), risk) > delta / len(strata):
+                break
+            cutoff |= {(s, r): c for r, c in now.items()}
     return {d: not failed and not any(math.floor(x * 200 + Fraction(1, 10**9)) >= cutoff.get((s, r), 201) for r, x in enumerate(shares)) for d, (s, _, shares, failed) in seen.items()}, seen
 
 
