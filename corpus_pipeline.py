@@ -23,7 +23,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     verdicts = quality_verdicts(docs.select("doc_id", "lang", "text"), labels)
     rejected = verdicts.groupBy("doc_id").agg(F.max("kept").alias("any")).where("not any").select(F.col("doc_id").alias("_rejected"))
-    return docs.join(small(rejected), docs.doc_id.eqNullSafe(F.col("_rejected")), "left_anti").select(*docs.columns)
+    rejected = small(rejected)
+    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["_rejected"]), "left_anti")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,10 +38,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data and revealing terms are replaced in the texts; n_chars follows (null for a null text). No row goes."""
+    """Personal data and revealing terms are replaced in the texts; n_chars follows (null for a null text). No row goes.
+
+    A term that ties between both actions is removed.
+    """
     from sightline.llm.pii import sanitised
 
-    return sanitised(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    clean = sanitised(docs)
+    return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +59,10 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 2048 tokens; each row is packed, a null or empty text as its end token alone."""
+    """Pieces of documents in sequences of 2048 tokens; each row is packed, a null or empty text as its end token alone.
+
+    Texts of any length are cut into pieces; pieces of equal length lie in the order of doc_id and start.
+    """
     import public_tokenizers
 
     from sightline.llm.packing import pack
