@@ -50,10 +50,19 @@ TEXT_PRIOR = {"words 0": -1.0, "words 1": -1.0, "words 4": 1.5, "words 5": 2.0,
 MOST_WEIGHT, MOST_TEXT, MOST_NAMES = 2.5, 4.0, 6.0
 #: Pages that the classifier is fitted on, in the mean: a seeded hash draws them.
 FIT_PAGES = 20_000
+#: Elements that only arrange what a container holds: their blocks count as the container's own.
+ARRANGING = set("ul ol dl table thead tbody tfoot tr blockquote figure section".split())
+#: Blocks of these kinds are short by nature; one that isn't mostly links is tied to its container by LISTED_WEIGHT.
+LISTED = set("li td th dt dd caption figcaption blockquote pre h2 h3 h4 h5 h6".split())
+#: What shows that a form is a frame around the page, and no form to fill in.
+FRAME = re.compile(r"<(?:article|main|h1)[\s>]", re.I)
+FORM_END = re.compile(r"</form[\s>]", re.I)
 #: Boilerplate elements that no article inside them overrides; a form may hold a whole page.
 HELD_TAGS = BOILERPLATE_TAGS - {"form"}
 #: Cost of calling a block what its element is not, and of calling content what stands outside the articles of a page that has some; the edges' weights.
-SEED_COST, OUTSIDE_COST, NEXT_WEIGHT, NEAR_WEIGHT = 3.0, 2.0, 0.6, 0.6
+SEED_COST, OUTSIDE_COST, NEXT_WEIGHT, NEAR_WEIGHT, LISTED_WEIGHT = 3.0, 2.0, 0.6, 0.6, 1.5
+#: What a block's text may weigh against an article around it that no name speaks against: less than the article.
+LEAST_SURE = 1.0
 
 
 def feature(name: str) -> int:
@@ -69,9 +78,13 @@ class Block:
     seed: int  # 1 content, -1 boilerplate, 0 unknown
     inside: bool  # in an article or main element
     depth: int
-    parent: int  # number of the element around the block's own
+    parent: int  # number of the container: the element around the block's own, past those that only arrange
     steps: int  # elements between this block and the one before
 
+    @property
+    def listed(self) -> bool:
+        return self.tag in LISTED and 2 * self.linked <= len(self.text)
+
 
 @dataclass
 class Element:
@@ -108,6 +121,7 @@ def blocks(page: str) -> list[Block]:
     text: list[str] = []
     linked = skipped = number = at = before = 0
     link_depth = 0  # of the element in which the open link stands
+    form_end = -1  # of the form that was opened last, and of those in it
     lowest = 1  # elements that were open all the time since the last block
 
     def flush() -> None:
@@ -203,7 +217,10 @@ def blocks(page: str) -> list[Block]:
         bad, good = bool(said_names & BOILERPLATE_WORDS), bool(said_names & CONTENT_WORDS)
         names = outer.names if own <= outer.names else outer.names | own
         seed, held, inside = outer.seed, outer.held or tag in HELD_TAGS, outer.inside
-        if tag in BOILERPLATE_TAGS:
+        if tag == "form" and at > form_end:
+            found = FORM_END.search(page, at)
+            form_end = found.start() if found else len(page)
+        if tag in BOILERPLATE_TAGS and not (tag == "form" and FRAME.search(page, at, form_end)):
             seed = -1
         elif tag == "main" or tag == "article" and not held:
             inside = True
@@ -214,7 +231,7 @@ def blocks(page: str) -> list[Block]:
         elif bad:
             seed = min(seed, 0)
         number += 1
-        stack.append(Element(tag, number, outer.number, names, seed, held, inside))
+        stack.append(Element(tag, number, outer.parent if outer.tag in ARRANGING else outer.number, names, seed, held, inside))
         counts[tag] += 1
         skipped += tag in SKIPPED
     said(page[start:])
@@ -334,7 +351,8 @@ def edges_of(found: list[Block]) -> list[tuple[int, int, float]]:
         if i:
             out.append((i - 1, i, NEXT_WEIGHT / (1 + b.steps)))
         if b.parent in last:
-            out.append((last[b.parent], i, NEAR_WEIGHT))
+            short = found[last[b.parent]].listed or b.listed
+            out.append((last[b.parent], i, LISTED_WEIGHT if short else NEAR_WEIGHT))
         last[b.parent] = i
     return out
 
@@ -348,6 +366,10 @@ def main_text(page: str, weights: np.ndarray) -> str:
     for i, b in enumerate(found):
         said = max(-MOST_TEXT, min(MOST_TEXT, weights[features(b)].sum() + weights[FEATURES]))
         named = max(-MOST_NAMES, min(MOST_NAMES, weights[list(b.names)].sum())) if b.names else 0.0
+        if b.seed > 0 and named >= 0:
+            said = max(said, LEAST_SURE - SEED_COST)
+        elif not b.seed and named > 0 and b.listed:
+            said = max(said, -named / 2)
         cost[i] = said + named + SEED_COST * b.seed - (OUTSIDE_COST if held and not b.inside and not b.seed else 0.0)
     side = content_side(cost, edges_of(found))
     return "\n\n".join(b.text for b, s in zip(found, side, strict=True) if s)
@@ -405,7 +427,7 @@ def extract_main_text(pages: DataFrame, html_column: str = "html") -> DataFrame:
     A block is a run of text between block elements. A classifier, trained on blocks whose elements say what
     they are, gives each block a cost for either label from its names, text and links; with the cost of those elements these are the terminal
     capacities. Neighbours in the page and in the tree are tied by edges, and the minimum cut labels all blocks. Content blocks are
-    joined by a blank line. A null or empty page, or one without content, has an empty text. Pages of any length are read whole;
+    joined by a blank line. Inside an article or main that no name speaks against, a text weighs less than the element, so a short list, table or heading stays; where names speak for a part of a page, the same holds for its lists, tables, headings and quotes that aren't mostly links. A null or empty page, or one without content, has an empty text. Pages of any length are read whole;
     repeated rows are returned each, and no rows give none; columns named text or n_chars are replaced. Where both labels cost the same a block is boilerplate.
     """
     weights = block_weights(pages, html_column)

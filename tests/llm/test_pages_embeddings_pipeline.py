@@ -10,7 +10,7 @@ import pytest
 import corpus_pipeline
 from sightline.llm import embedding_dedup
 from sightline.llm.embedding_dedup import OP3_SQL, CoverTree, near_duplicate_vectors, near_pairs, op3_embedding_dedup
-from sightline.llm.html_text import blocks, content_side, edges_of, extract_main_text, feature, main_text, op8_html_text, prior_weights
+from sightline.llm.html_text import block_weights, blocks, content_side, edges_of, extract_main_text, feature, main_text, op8_html_text, prior_weights
 from sightline.llm.url_filters import RULES, best_split, judged_urls, op6_url_filters
 
 SF = "/root/testdata/sf0.001"
@@ -298,3 +298,44 @@ def test_a_head_without_end_tag_takes_no_text():
     assert texts("<head><title>t</title>story<p>more") == ["story", "more"]
     assert texts("<head><head><script>x</script></head><body>story") == ["story"]
     assert texts("<html><head><title>t</title><style>x</style></head><body><header>menu</header>story") == ["menu", "story"]
+
+
+LONG = "Long text of an article that says much, in many words, and ends here."
+MORE = "More text follows after that, again with many words in it, and a stop."
+#: The inside of an article, and its blocks.
+SHAPES = {
+    "links in a list": ("<ul><li><a href=x>Bridges</a></li><li><a href=y>Tunnels</a></li></ul>", ["Bridges", "Tunnels"]),
+    "table": ("<table><tr><th>Year</th><th>Count</th></tr><tr><td>2019</td><td>12</td></tr></table>", ["Year", "Count", "2019", "12"]),
+    "headings": ("<h2>Notes</h2><h3>1</h3>", ["Notes", "1"]),
+    "quote": ("<blockquote>No</blockquote>", ["No"]),
+    "definitions": ("<dl><dt>Arch</dt><dd>A curve</dd></dl>", ["Arch", "A curve"]),
+    "a link alone": ("<p><a href=x>All of the bridges</a></p>", ["All of the bridges"]),
+    "list without links": ("<ol><li>One</li><li>Two</li></ol>", ["One", "Two"]),
+}
+
+
+@pytest.fixture(scope="module")
+def learned(spark):
+    return block_weights(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+
+
+@pytest.mark.parametrize("frame", ["<article>{}</article>", "<main>{}</main>", "<body><nav><a href=/>Home</a></nav><article><div>{}</div></article><footer>About us</footer>"])
+@pytest.mark.parametrize("shape", SHAPES)
+def test_no_block_of_an_article_is_lost_for_its_shape(learned, frame, shape):
+    inside, want = SHAPES[shape]
+    for weights in (learned, prior_weights()):
+        assert main_text(frame.format(f"<p>{LONG}</p>{inside}<p>{MORE}</p>"), weights).split("\n\n") == [LONG, *want, MORE]
+
+
+@pytest.mark.parametrize("shape", ["table", "headings", "quote", "definitions", "list without links"])
+def test_blocks_of_a_part_that_names_speak_for(learned, shape):
+    inside, want = SHAPES[shape]
+    page = f"<div class=menu><ul><li><a href=/>Home</a></li></ul></div><div class=content><p>{LONG}</p>{inside}<p>{MORE}</p></div>"
+    for weights in (learned, prior_weights()):
+        assert main_text(page, weights).split("\n\n") == [LONG, *want, MORE]
+
+
+def test_a_form_around_the_page_is_no_form():
+    page = f"<form id=aspnetForm><input type=hidden name=x><h1>A title of the page</h1><p>{LONG}</p><p>{MORE}</p></form><form><p>Your name</p><input name=n><p>Send us your thoughts about all of this today.</p></form>"
+    assert main_text(page, prior_weights()).split("\n\n")[-2:] == [LONG, MORE]
+    assert "thoughts" not in main_text(f"<article><p>{LONG}</p><form><p>Send us your thoughts about all of this today.</p></form></article>", prior_weights())
