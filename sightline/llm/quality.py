@@ -210,7 +210,7 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, stratum: str = "lang",
     cutoffs = risk_cutoffs(holdout, checkpointed(joint_paths(unlabelled)), strata, risk, delta)
     for r in RULES:
         cutoffs = cutoffs.withColumnRenamed(r, f"_{r}_cutoff")
-    judged = ruled.join(cutoffs, "stratum", "left")
+    judged = ruled.join(small(checkpointed(cutoffs)), "stratum", "left")  # a row for each stratum
     fails = F.lit(False)
     for r in RULES:
         fails = fails | F.coalesce(F.floor(F.col(r) * STEPS + 1e-9) >= F.round(F.col(f"_{r}_cutoff") * STEPS), F.lit(False))
