@@ -11,6 +11,11 @@ COARSE_STATUSES = (
 )
 REFINED_ONLY = ("observed_visible_in_open_fixture", "observed_not_visible_in_open_fixture", "assumed_not_visible_in_open_fixture")
 STATUSES = (*COARSE_STATUSES, *REFINED_ONLY)
+#: The reasons that are given for the coarse ones.
+REASONS = {
+    "in_motion": "object in motion", "unobservable_no_data": "no stable track or mask available", "out_of_view": "projection outside image", "occluded_inside_closed_fixture": "inside a closed fixture",
+    "potentially_visible_inside_open_fixture": "inside an open fixture", "geometrically_occluded": "line of sight blocked by scene geometry", "in_view": "in view, not inside a fixture",
+}
 #: What the pipeline claims of an object's visibility, by status; the others make no claim.
 CLAIMS = {
     "in_view": True, "observed_visible_in_open_fixture": True, "occluded_inside_closed_fixture": False, "observed_not_visible_in_open_fixture": False,
@@ -46,17 +51,17 @@ def status_ladder(in_motion: Column, has_data: Column, in_view: Column, fixture_
     """
     sure = F.coalesce(confidence_rank(confidence) >= CONFIDENCES.index(least), F.lit(False))
     held = lambda c: F.coalesce(c, F.lit(False))
-    rung = lambda status, reason, tier=None: F.struct(
-        F.lit(status).alias("status"), F.lit(reason).alias("reason"), (F.lit(tier).cast("string") if tier is None else tier).alias("confidence")
+    rung = lambda status, tier=None: F.struct(
+        F.lit(status).alias("status"), F.lit(REASONS[status]).alias("reason"), (F.lit(tier).cast("string") if tier is None else tier).alias("confidence")
     )
     return (
-        F.when(held(in_motion), rung("in_motion", "object in motion"))
-        .when(~held(has_data), rung("unobservable_no_data", "no stable track or mask available"))
-        .when(~held(in_view), rung("out_of_view", "projection outside image"))
-        .when(held(fixture_state == "closed") & sure, rung("occluded_inside_closed_fixture", "inside a closed fixture", confidence))
-        .when(held(fixture_state == "open"), rung("potentially_visible_inside_open_fixture", "inside an open fixture", confidence))
-        .when(held(occluded), rung("geometrically_occluded", "line of sight blocked by scene geometry"))
-        .otherwise(rung("in_view", "in view, not inside a fixture"))
+        F.when(held(in_motion), rung("in_motion"))
+        .when(~held(has_data), rung("unobservable_no_data"))
+        .when(~held(in_view), rung("out_of_view"))
+        .when(held(fixture_state == "closed") & sure, rung("occluded_inside_closed_fixture", confidence))
+        .when(held(fixture_state == "open"), rung("potentially_visible_inside_open_fixture", confidence))
+        .when(held(occluded), rung("geometrically_occluded"))
+        .otherwise(rung("in_view"))
     )
 
 
