@@ -11,7 +11,7 @@ from ..functions.geometry import anchored, project_fisheye, transform
 from ..functions.statuses import fallback_status, is_stable, is_visible, status_ladder
 from .aggregates import refined_verdicts
 from .islands import collapse_runs, last_true_index
-from .temporal import last_started, nearest_join, rejoin, stab_first
+from .temporal import last_started, nearest_join, stab_first
 
 
 def classified_samples(samples: DataFrame, intervals: DataFrame, keys: Sequence[str] = ("video_id", "fixture"), bucket: float = 32.0) -> DataFrame:
@@ -76,18 +76,23 @@ def central_object(states: DataFrame, keys: Sequence[str], visible: Column, widt
 
 
 def matched_boxes(pixels: DataFrame, boxes: DataFrame, keys: Sequence[str], slack: float = 20.0, cell: float = 128.0) -> DataFrame:
-    """pixels with how many boxes hold them, grown by the slack, and the box whose centre is closest. Repeated pixels are counted once and come each.
+    """pixels with how many boxes hold them, grown by the slack, and the box whose centre is closest, of equals the smaller id. Repeated pixels come each.
 
-    Both meet in cells of the image: a box is listed in those that it reaches.
+    Both meet in cells of the image: a box is listed in those that it reaches, and a pixel looks through the list of its own cell.
     """
     u, v = F.col("pixel")["u"], F.col("pixel")["v"]
     reach = lambda a, b: F.sequence(F.floor((F.col(a) - slack) / cell), F.greatest(F.floor((F.col(a) - slack) / cell), F.floor((F.col(b) + slack) / cell)))
     listed = boxes.withColumn("_cu", F.explode(reach("x1", "x2"))).withColumn("_cv", F.explode(reach("y1", "y2")))
-    near = pixels.distinct().withColumn("_cu", F.floor(u / cell)).withColumn("_cv", F.floor(v / cell)).join(listed, [*keys, "_cu", "_cv"])
-    held = near.where((u >= F.col("x1") - slack) & (u <= F.col("x2") + slack) & (v >= F.col("y1") - slack) & (v <= F.col("y2") + slack))
-    du, dv = u - (F.col("x1") + F.col("x2")) / 2.0, v - (F.col("y1") + F.col("y2")) / 2.0
-    best = held.groupBy(*pixels.columns).agg(F.count("*").alias("n_boxes"), F.min_by("box_id", F.struct((du * du + dv * dv).alias("d"), F.col("box_id").alias("b"))).alias("box_id"))
-    return rejoin(pixels, best, pixels.columns).fillna(0, ["n_boxes"])
+    listed = listed.groupBy(*keys, "_cu", "_cv").agg(F.collect_list(F.struct("box_id", "x1", "y1", "x2", "y2")).alias("_boxes"))
+    near = pixels.withColumn("_cu", F.floor(u / cell)).withColumn("_cv", F.floor(v / cell)).join(listed, [*keys, "_cu", "_cv"], "left")
+    held = F.filter("_boxes", lambda b: (u >= b["x1"] - slack) & (u <= b["x2"] + slack) & (v >= b["y1"] - slack) & (v <= b["y2"] + slack))
+
+    def rank(b: Column) -> Column:
+        du, dv = u - (b["x1"] + b["x2"]) / 2.0, v - (b["y1"] + b["y2"]) / 2.0
+        return F.struct((du * du + dv * dv).alias("d"), b["box_id"].alias("box_id"))
+
+    near = near.withColumn("_held", F.transform(F.coalesce(held, F.array().cast(listed.schema["_boxes"].dataType)), rank))
+    return near.select(*pixels.columns, F.size("_held").cast("long").alias("n_boxes"), F.array_min("_held")["box_id"].alias("box_id"))
 
 
 def run_stages(samples: DataFrame, intervals: DataFrame, keys: Sequence[str], occlusion: DataFrame | None = None, detections: DataFrame | None = None) -> DataFrame:
