@@ -398,7 +398,7 @@ items AS (SELECT *, printf('%s|%s|%.6f|%.6f', video_id, assoc_id, start_sec, end
 
 
 @query("qst19_incremental_frames", """
-SELECT status, substr(sha1(part || printf('|%.6f', time_sec)), 1, 12) AS item_id, assoc_id, time_sec, 'frames/' || status || '/' || substr(sha1(part || printf('|%.6f', time_sec)), 1, 12) || '.jpg' AS image_path, pool_size, least(pool_size, 12) AS n_intervals_sampled, 1 AS n_signatures
+SELECT status, substr(sha1(part || printf('|%.6f', time_sec)), 1, 12) AS item_id, assoc_id, time_sec, 'frames/' || status || '/' || substr(sha1(part || printf('|%.6f', time_sec)), 1, 12) || '.jpg' AS image_path, pool_size, least(pool_size, 12) AS n_intervals_sampled, CAST(1 AS BIGINT) AS n_signatures
 FROM items""", A.SPANS, AUDITED)
 def incremental_frames(spark, d):
     """A manifest of two statuses' frames, extended to all three: what it had stays, and one signature holds for all."""
