@@ -10,9 +10,10 @@ from pyspark.sql.window import Window
 
 from ..functions import geometry as G
 from ..functions import names as N
-from ..functions.statuses import covers_hidden_window
+from ..functions.statuses import covers_hidden_window, is_visible, priority
+from .islands import collapse_runs, last_true_index
 from .rank import capped_with_ids, closest_sample, keep_first, location_first, round_robin
-from .temporal import EPS, asof_join, stab_join
+from .temporal import EPS, asof_join, stab_join, strongest_span
 
 OBJECT = ("video_id", "assoc_id")
 
@@ -207,3 +208,22 @@ def video_windows(samples: DataFrame) -> DataFrame:
     """(video_id, start_sec, end_sec, n_samples) from the samples of each video's first object; all objects of a video are sampled at the same times."""
     each = samples.groupBy(*OBJECT).agg(F.min("time_sec").alias("start_sec"), F.max("time_sec").alias("end_sec"), F.count("*").alias("n_samples"))
     return each.groupBy("video_id").agg(F.min_by(F.struct("start_sec", "end_sec", "n_samples"), "assoc_id").alias("_w")).select("video_id", "_w.*")
+
+
+def precomputed_tracks(samples: DataFrame, spans: DataFrame, order: Sequence[str], keys: Sequence[str] = OBJECT) -> DataFrame:
+    """(keys, samples, visible_spans, window) for each object: what question generation needs of a video, made once.
+
+    samples(keys, time_sec, ...) are overlaid with spans(keys or some of them, start_sec, end_sec, status): of the spans that hold a sample the strongest gives its status, none means out of view. samples: its times with
+    status, visible and the index of the last visible one so far, in the order of time and `order`; visible_spans: the runs of visible samples; window: the first and last time and the number of samples of the video,
+    by its first object, as all objects of a video are sampled at the same times.
+    """
+    by = [k for k in keys if k in spans.columns]
+    held = strongest_span(samples.select(*keys, "time_sec", *order), spans, by, "time_sec", priority(F.col("s_status")))
+    flagged = held.withColumn("visible", is_visible(F.col("status"))).withColumn("index", F.row_number().over(Window.partitionBy(*keys).orderBy("time_sec", *order)) - 1)
+    flagged = last_true_index(flagged, keys, ["time_sec", *order], "index", F.col("visible"), "last_visible_index")
+    runs = collapse_runs(flagged, keys, ["time_sec", *order], "time_sec", "visible").where("visible")
+    runs = runs.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("start_sec", "end_sec", "n_samples"))).alias("visible_spans"))
+    each = flagged.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("index", "time_sec", "status", "visible", "last_visible_index"))).alias("samples"))
+    windows = video_windows(samples).select("video_id", F.struct("start_sec", "end_sec", "n_samples").alias("window"))
+    none = F.array().cast(runs.schema["visible_spans"].dataType)
+    return each.join(runs, list(keys), "left").join(windows, "video_id").select(*keys, "samples", F.coalesce("visible_spans", none).alias("visible_spans"), "window")

@@ -16,7 +16,7 @@ from ..operators import questions as Q
 from ..operators import rank as R
 from ..operators import visibility as V
 from . import adapters as A
-from .queries_time import RUNS_SQL, STABLE_SQL, VISIBLE_SQL, status_runs
+from .queries_time import PRIORITY_SQL, RUNS_SQL, STABLE_SQL, VISIBLE_SQL, status_runs
 from .registry import query
 
 c = F.col
@@ -581,6 +581,27 @@ def video_windows(spark, d):
     return Q.video_windows(A.samples(spark, d))
 
 
+@query("qst18_precomputed_tracks", f"""
+SELECT r.video_id, r.assoc_id, sum(r.n)::BIGINT AS n_samples, coalesce(sum(r.n) FILTER (r.visible), 0)::BIGINT AS n_visible, count(*) FILTER (r.visible) AS n_spans, round(coalesce(sum(r.end_sec - r.start_sec) FILTER (r.visible), 0), 4) AS visible_sec, max(l.last) AS last_index, max(w.start_sec) AS window_start, max(w.n_samples) AS window_samples
+FROM (SELECT video_id, assoc_id, run, visible, min(time_sec) AS start_sec, max(time_sec) AS end_sec, count(*) AS n FROM (
+  SELECT *, sum(ch) OVER (PARTITION BY video_id, assoc_id ORDER BY time_sec, event_id) AS run FROM (SELECT *, CASE WHEN visible IS DISTINCT FROM lag(visible, 1, visible) OVER (PARTITION BY video_id, assoc_id ORDER BY time_sec, event_id) THEN 1 ELSE 0 END AS ch FROM over_)) GROUP BY ALL) r
+JOIN (SELECT video_id, assoc_id, max(CASE WHEN visible THEN i END) AS last FROM over_ GROUP BY ALL) l USING (video_id, assoc_id)
+JOIN (SELECT video_id, min(time_sec) AS start_sec, count(*) AS n_samples FROM samples s WHERE assoc_id = (SELECT min(assoc_id) FROM samples x WHERE x.video_id = s.video_id) GROUP BY video_id) w USING (video_id) GROUP BY r.video_id, r.assoc_id""", A.SAMPLES, A.SPANS, f"""strongest AS (
+  SELECT s.event_id, coalesce(arg_max(p.status, ({PRIORITY_SQL.format(s='p.status')}, -(p.end_sec - p.start_sec), p.start_sec)), 'out_of_view') AS status FROM samples s
+  LEFT JOIN (SELECT * FROM spans WHERE end_sec IS NOT NULL) p ON s.assoc_id = p.assoc_id AND s.time_sec BETWEEN p.start_sec - 1e-9 AND p.end_sec + 1e-9 GROUP BY s.event_id),
+over_ AS (SELECT s.video_id, s.assoc_id, s.event_id, s.time_sec, s.i, t.status IN ('in_view', 'observed_visible_in_open_fixture', 'in_motion') AS visible FROM samples s JOIN strongest t USING (event_id))""")
+def precomputed_tracks(spark, d):
+    """Samples overlaid with external spans, their visible runs and the video's window."""
+    spans = A.spans(spark, d).where("end_sec is not null").select("assoc_id", "start_sec", "end_sec", "status")
+    t = Q.precomputed_tracks(A.samples(spark, d).select(*OBJ, "time_sec", "event_id"), spans, ["event_id"])
+    seen = F.filter("samples", lambda x: x["visible"])
+    return t.select(
+        *OBJ, F.size("samples").cast("long").alias("n_samples"), F.size(seen).cast("long").alias("n_visible"), F.size("visible_spans").cast("long").alias("n_spans"),
+        F.round(F.aggregate("visible_spans", F.lit(0.0), lambda a, x: a + (x["end_sec"] - x["start_sec"])), 4).alias("visible_sec"), F.element_at("samples", -1)["last_visible_index"].cast("long").alias("last_index"),
+        c("window.start_sec").alias("window_start"), c("window.n_samples").alias("window_samples"),
+    )
+
+
 FAMILIES = """starts AS (SELECT video_id, min(time_sec) AS first_sec FROM samples GROUP BY 1),
 cand AS (SELECT s.*, time_sec - 30 - 5 AS clip_start, (k - 50) / 2.0 AS deg, CASE WHEN k % 4 <> 0 THEN CASE WHEN k % 3 = 0 THEN 'left' ELSE 'right' END END AS rel,
   CASE WHEN fixture IS NOT NULL AND fixture <> 'mid-air' THEN lower(regexp_replace(split_part(fixture, '.', 1), '^[^_]*_', '')) END AS label FROM samples s JOIN starts USING (video_id) WHERE time_sec - 30 - 5 >= first_sec - 1e-9),
