@@ -276,8 +276,7 @@ def interactions(spark, d):
     frames = p.select(c("label").alias("place"), c("vec_id").alias("frame_index"), "camera", "gaze")
     fixtures = p.select(c("label").alias("place"), c("vec_id").alias("fixture"), c("a").alias("position"))
     events = A.tracks(spark, d).select("track_id", (c("assoc_id") % 10).cast("int").alias("place"), (c("start_sec") / 100).alias("start_sec"), (c("end_sec") / 100 + 1).alias("end_sec"))
-    typed = X.interaction_scores(events, frames, fixtures, ["track_id"], "place", 30.0)
-    return R.best_and_runner_up(typed, ["track_id"], "score", "fixture")
+    return X.best_interactions(events, frames, fixtures, ["track_id"], "place", 30.0)
 
 
 @query("jn16_name_lookup", """
