@@ -22,3 +22,23 @@ def test_best_interactions_are_those_of_all_scores(spark, monkeypatch):
     want = {r.e: r for r in R.best_and_runner_up(scores, ["e"], "score", "fixture").collect()}
     got = {r.e: r for r in X.best_interactions(events, frames, fixtures, ["e"], "place", 30.0).collect()}
     assert got == want and len(got) > 20
+
+
+def test_rays_meet_triangles_in_rounds(spark):
+    """A ray is tested against part of the triangles first; whatever the rounds, those are blocked that all pairs block. Some run far past the scene, some along an axis."""
+    from sightline.operators import rays
+
+    rng = random.Random(8)
+    at = lambda r: tuple(rng.uniform(-r, r) for _ in range(3))
+    struct = "struct<x double, y double, z double>"
+    lines = [(n % 2, n, a := at(2), at(2) if n % 3 else (a[0], a[1], a[2] + 1.5)) for n in range(120)] + [(0, 900, at(1), (1e5, 3e4, -2e4)), (1, 901, (50.0, 50.0, 50.0), (60.0, 50.0, 50.0))]
+    faces = [(rng.randrange(2), v := at(2), *(tuple(x + rng.uniform(-1.5, 1.5) for x in v) for _ in range(2))) for _ in range(150)]
+    ray, tri = spark.createDataFrame(lines, f"scene int, key int, origin {struct}, target {struct}"), spark.createDataFrame(faces, f"scene int, v0 {struct}, v1 {struct}, v2 {struct}")
+    size = rays.norm(rays.minus(F.col("target"), F.col("origin")))
+    way = rays.vec(*((F.col("target")[c] - F.col("origin")[c]) / size for c in "xyz"))
+    pairs = ray.join(tri, "scene").where(rays.hit_distance(F.col("origin"), way, F.col("v0"), F.col("v1"), F.col("v2")) < size - rays.TOLERANCE)
+    want = {r.key for r in pairs.select("key").distinct().collect()}
+    assert 20 < len(want) < 110
+    for first, growth in ((4, 3), (1000, 16)):
+        got = rays.occluded_fraction(ray, tri, "scene", first=first, growth=growth).collect()
+        assert len(got) == len(lines) and {r.key for r in got if r.n_blocked} == want
