@@ -86,9 +86,21 @@ def sampled_per_group(rows: DataFrame, group: Sequence[str], key: Sequence[str],
 
 
 def sampled_frames(spans: DataFrame, key: Sequence[str], start: str, end: str, fps: float, count: int, seed: int | str) -> DataFrame:
-    """count different frames of each span, seeded; frame_index and its time."""
-    frames = spans.withColumn("frame_index", F.explode(F.sequence(F.rint(F.col(start) * fps).cast("long"), F.greatest(F.rint(F.col(start) * fps), F.rint(F.col(end) * fps)).cast("long"))))
-    return sampled_per_group(frames, list(key), ["frame_index"], count, seed, salt=True).withColumn("time_sec", F.round(F.col("frame_index") / F.lit(fps), 6))
+    """count different frames of each span, seeded; frame_index and its time.
+
+    Spans are shuffled, not their frames: all rows of a key come together, and each key draws from its list of frames.
+    """
+    first, last = F.rint(F.col(start) * fps).cast("long"), F.greatest(F.rint(F.col(start) * fps), F.rint(F.col(end) * fps)).cast("long")
+    rest = [c for c in spans.columns if c not in key]
+    grouped = spans.select(*key, F.struct(*rest, first.alias("_low"), last.alias("_high")).alias("_s")).where("_s._low is not null and _s._high is not null").groupBy(*key).agg(F.collect_list("_s").alias("_spans"))
+    drawn = lambda s, f: F.struct(hash_order(seed, *(F.col(k) for k in key), f).alias("h"), f.alias("frame_index"))
+    # A span's own first frames in seeded order hold all that its key can draw from it.
+    own = lambda s: F.slice(F.array_sort(F.transform(F.sequence(s["_low"], s["_high"]), lambda f: drawn(s, f))), 1, count)
+    every = F.flatten(F.transform("_spans", lambda s, i: F.transform(own(s), lambda x: F.struct(x["h"].alias("h"), x["frame_index"].alias("frame_index"), i.alias("_i")))))
+    taken = grouped.select(*key, "_spans", F.explode(F.slice(F.array_sort(every), 1, count)).alias("_f"))
+    one = F.get("_spans", F.col("_f._i"))
+    out = taken.select(*key, *(one[c].alias(c) for c in rest), F.col("_f.frame_index").alias("frame_index"))
+    return out.select(*spans.columns, "frame_index", F.round(F.col("frame_index") / F.lit(fps), 6).alias("time_sec"))
 
 
 def uniform_times(rows: DataFrame, key: Sequence[str], low: Column, high: Column, seed: int | str, name: str) -> DataFrame:
