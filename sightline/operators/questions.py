@@ -11,11 +11,14 @@ from pyspark.sql.window import Window
 from ..functions import geometry as G
 from ..functions import names as N
 from ..functions.statuses import covers_hidden_window, is_visible, priority
+from ..sources.scratch import checkpointed
 from .islands import collapse_runs, last_true_index
-from .rank import capped_with_ids, closest_sample, keep_first, location_first, round_robin
+from .rank import capped_with_ids, closest_sample, keep_first, location_first, numbered, round_robin
 from .temporal import EPS, asof_join, stab_join, strongest_span
 
 OBJECT = ("video_id", "assoc_id")
+#: Objects in one row that a candidate's anchor is chosen from, about.
+ANCHORS = 1024
 
 
 def held_samples(samples: DataFrame, spans: DataFrame, start: str) -> DataFrame:
@@ -56,12 +59,40 @@ def visible_candidates(spans: DataFrame, samples: DataFrame, limit: int) -> Data
 def with_anchor(candidates: DataFrame, states: DataFrame, seed: int | str) -> DataFrame:
     """candidates with a seeded choice among the other objects that are visible, placed and at rest at the query time; those without one are dropped.
 
-    states(video_id, query_sec, anchor_id, ...) has the eligible objects.
+    states(video_id, query_sec, anchor_id, ...) has the eligible objects. They are listed in blocks for each time, and an object looks through a block within one row, once however often it is a candidate
+    then: pairs are neither stored nor sorted. Their number remains objects x eligible ones of a time, as each pair has a hash of its own.
     """
-    met = candidates.join(states, ["video_id", "query_sec"]).where("anchor_id <> assoc_id")
-    pick = F.min_by(F.struct("anchor_id"), F.struct(N.hash_order(seed, F.col("assoc_id"), F.col("anchor_id")).alias("h"), F.col("anchor_id")))
-    best = met.groupBy("video_id", "assoc_id", "query_sec").agg(pick.alias("_a"))
-    return candidates.join(best.select("video_id", "assoc_id", "query_sec", F.col("_a.anchor_id").alias("anchor_id")), ["video_id", "assoc_id", "query_sec"])
+    at, who = ["video_id", "query_sec"], ["video_id", "assoc_id", "query_sec"]
+    eligible = states.select(*at, "anchor_id").distinct()
+    blocks = eligible.groupBy(*at).agg(F.ceil(F.count("*") / F.lit(ANCHORS)).alias("_blocks"))
+    listed = eligible.join(blocks, at).withColumn("_block", F.pmod(F.xxhash64("anchor_id"), F.col("_blocks"))).groupBy(*at, "_block").agg(F.collect_list("anchor_id").alias("_anchors"))
+    ranked = F.transform("_anchors", lambda a: F.when(a != F.col("assoc_id"), F.struct(N.hash_order(seed, F.col("assoc_id"), a).alias("h"), a.alias("anchor_id"))))
+    met = candidates.select(*who).distinct().join(listed, at).select(*who, F.array_min(ranked).alias("_a")).where("_a is not null")
+    best = met.groupBy(*who).agg(F.min("_a").alias("_a"))
+    return candidates.join(best.select(*who, F.col("_a.anchor_id").alias("anchor_id")), who)
+
+
+def first_with_anchor(candidates: DataFrame, objects: DataFrame, places: DataFrame, seed: int | str, order: Sequence[str], cap: int) -> DataFrame:
+    """The first cap candidates of each video, in order, whose anchor has a place, with that; at least those, and some that come later.
+
+    objects(video_id, anchor_id) are eligible at all times, places(anchor_id, ...). A video's pool is its first 2 * cap candidates and grows fourfold while it has found fewer than cap; so anchors are
+    chosen for few candidates, however many there are.
+    """
+    candidates, objects = checkpointed(candidates), checkpointed(objects.distinct())
+    most = candidates.groupBy("video_id").count().agg(F.max("count")).first()[0] or 0
+    out, open_, low, high = None, None, 0, 2 * cap
+    while True:
+        pool = numbered(candidates, ["video_id"], order, "_place").where(F.col("_place") <= high).where(F.col("_place") > low).drop("_place")
+        pool = checkpointed(pool if open_ is None else pool.join(open_, "video_id", "left_semi"))
+        found = checkpointed(with_anchor(pool, pool.select("video_id", "query_sec").distinct().join(objects, "video_id"), seed).join(places, "anchor_id"))
+        out = found if out is None else out.unionByName(found)
+        if high >= most:
+            return out
+        filled = out.groupBy("video_id").count().where(F.col("count") >= cap)
+        open_ = checkpointed(candidates.select("video_id").distinct().join(filled, "video_id", "left_anti"))
+        if open_.isEmpty():
+            return out
+        low, high = high, 4 * high
 
 
 def step_struct(step: Column | str, kind: str, question: Column, answer: Column, choices: Column | None = None, index: Column | None = None) -> Column:

@@ -42,3 +42,40 @@ def test_rays_meet_triangles_in_rounds(spark):
     for first, growth in ((4, 3), (1000, 16)):
         got = rays.occluded_fraction(ray, tri, "scene", first=first, growth=growth).collect()
         assert len(got) == len(lines) and {r.key for r in got if r.n_blocked} == want
+
+
+def test_anchors_are_chosen_in_blocks_and_pools(spark, monkeypatch):
+    """The smallest hash among the other objects of a time, from blocks of few; and the first candidates of each video whose anchor has a place, from pools that grow."""
+    import hashlib
+
+    from sightline.operators import questions as Q
+
+    monkeypatch.setattr(Q, "ANCHORS", 3)
+    rng = random.Random(6)
+    candidates = [(f"v{n % 3}", rng.randrange(12), float(rng.randrange(4))) for n in range(40)]
+    states = [(f"v{rng.randrange(3)}", float(rng.randrange(3)), rng.randrange(12)) for _ in range(70)]
+    c, s = spark.createDataFrame(candidates, "video_id string, assoc_id int, query_sec double"), spark.createDataFrame(states, "video_id string, query_sec double, anchor_id int")
+    order = lambda a, o: (hashlib.md5(f"11|{a}|{o}".encode()).hexdigest(), o)
+    want = []
+    for v, a, t in candidates:
+        others = [o for w, u, o in states if (w, u) == (v, t) and o != a]
+        want += [(v, a, t, min(others, key=lambda o: order(a, o)))] if others else []  # noqa: B023
+    assert sorted((r.video_id, r.assoc_id, r.query_sec, r.anchor_id) for r in Q.with_anchor(c, s, 11).collect()) == sorted(want)
+    once = sorted({(v, a, t) for v, a, t in candidates})
+    objects = {(v, o) for v, _, o in states}
+    got = Q.first_with_anchor(spark.createDataFrame(once, c.schema), s.select("video_id", "anchor_id"), spark.range(0, 12, 3).select(F.col("id").cast("int").alias("anchor_id")), 11, ["query_sec", "assoc_id"], 1).collect()
+    for v in ("v0", "v1", "v2"):
+        chosen = [(t, a, min((o for w, o in objects if w == v and o != a), key=lambda o: order(a, o))) for w, a, t in once if w == v]  # noqa: B023
+        first = min((x for x in chosen if x[2] % 3 == 0), default=None)
+        assert min(((r.query_sec, r.assoc_id, r.anchor_id) for r in got if r.video_id == v), default=None) == first
+
+
+def test_frames_are_drawn_without_a_row_for_each(spark):
+    """As by numbering all frames of a key; a key may have several spans, and nothing of the plan lists frames before the spans have met."""
+    spans = spark.createDataFrame([("a", 0.0, 3.0), ("a", 2.0, 3.0), ("b", 1.0, 1.0), ("c", 5.0, 5.05), ("d", None, 1.0)], "k string, s double, e double")
+    got = R.sampled_frames(spans, ["k"], "s", "e", 30.0, 4, 5)
+    frames = spans.withColumn("frame_index", F.explode(F.sequence(F.rint(F.col("s") * 30).cast("long"), F.rint(F.col("e") * 30).cast("long"))))
+    want = R.sampled_per_group(frames, ["k"], ["frame_index"], 4, 5, salt=True)
+    assert sorted((r.k, r.frame_index) for r in got.collect()) == sorted((r.k, r.frame_index) for r in want.collect())
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.index("Generate") < plan.index("Aggregate")
