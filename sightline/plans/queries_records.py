@@ -467,13 +467,13 @@ def trajectory_records(spark, d, cap):
     cand = Q.hidden_candidates(spans, s, tracks, videos, 20.0, 1.0)
     places = A.points(spark, d).select(c("vec_id").alias("assoc_id"), c("a").alias("world"), "pose")
     anchors = places.select(c("assoc_id").alias("anchor_id"), c("world").alias("anchor_world"))
-    eligible = cand.select("video_id", "query_sec").distinct().join(s.where("stable").select("video_id", c("assoc_id").alias("anchor_id")).distinct(), "video_id")
-    named = Q.with_anchor(cand, eligible, 11).join(places, "assoc_id").join(anchors, "anchor_id")
+    label = F.element_at(F.array(F.lit("counter"), F.lit("drawer"), F.lit("mid-air")), (c("assoc_id") % 3 + 1).cast("int"))
+    objects = s.where("stable").select("video_id", c("assoc_id").alias("anchor_id"))
+    named = Q.first_with_anchor(cand.join(places, "assoc_id").where(N.valid_fixture(label)), objects, anchors, 11, ["query_sec", "assoc_id"], cap)
     from ..functions.geometry import anchored, distance
 
     name, other, key = F.concat(F.lit("object "), c("assoc_id").cast("string")), F.concat(F.lit("object "), c("anchor_id").cast("string")), F.concat_ws(":", "video_id", "assoc_id", "query_sec")
     rel = anchored(c("pose"), c("world"), c("anchor_world"))
-    label = F.element_at(F.array(F.lit("counter"), F.lit("drawer"), F.lit("mid-air")), (c("assoc_id") % 3 + 1).cast("int"))
     vocabulary = F.array(*(F.lit(x) for x in ("counter", "drawer", "cupboard", "fridge", "oven", "bin")))
     rows = named.select(
         "*", Q.visibility_step(name, c("query_sec"), F.lit(False), key, 1).alias("s1"), Q.last_seen_step(name, c("query_sec"), c("last_stable_sec"), c("world.x"), c("world.y")).alias("s2"),
