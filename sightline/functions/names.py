@@ -135,8 +135,10 @@ def horizon_token(h: Column) -> Column:
 
 
 def short_number(x: Column, places: int = 4) -> Column:
-    """Rounded, without zeros at the end or a bare point."""
-    return F.regexp_replace(F.regexp_replace(F.format_string(f"%.{places}f", F.bround(x, places)), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    """Rounded, without zeros at the end or a bare point; what is negative and rounds to 0 keeps its sign."""
+    rounded = F.bround(x, places)
+    signed = F.when((rounded == 0) & F.startswith(F.format_string("%.1f", x), F.lit("-")), F.lit(-0.0)).otherwise(rounded)
+    return F.regexp_replace(F.regexp_replace(F.format_string(f"%.{places}f", signed), r"(\.\d*?)0+$", "$1"), r"\.$", "")
 
 
 def seconds_of(text: Column) -> Column:

@@ -215,3 +215,9 @@ def test_the_first_span_that_holds_a_time(spark):
         held = sorted((s, n) for k, n, s, e in spans if k == r.k and s <= r.t and (e is None or r.t <= e))
         assert r.s_span == (held[0][1] if held else None)
     assert out.count() == 400
+
+
+def test_short_numbers_keep_the_sign_of_what_rounds_to_zero(spark):
+    xs = [-0.00003, -0.0, 0.0, 0.00003, -0.5, 0.12345, -0.00005, -20.0]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double").select("i", N.short_number(F.col("x")).alias("t")).orderBy("i").collect()
+    assert [r.t for r in rows] == ["-0", "-0", "0", "0", "-0.5", "0.1234", "-0", "-20"]
