@@ -23,7 +23,7 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str,
     """left with a struct column `name` of the right row next to its time on the given side; null if there is none.
 
     backward: the last right row at or before the time (strict: before); forward: the first at or after (strict: after).
-    Of rows with equal times the last in `order` wins backward and the first forward. Both sides are
+    Of rows with equal times the last in `order` wins backward and the first forward; with an order only that one of each time is left before the sort. Both sides are
     sorted together once by key and time, and a running last or first value carries the match. A null time matches nothing.
 
     block: a width in time by which a key is split over tasks, for keys that are too long for one. Each block is sorted by itself; the value that it starts from is
@@ -46,19 +46,21 @@ def _merged(left: DataFrame, sides: list[tuple], keys: Sequence[str], time: str,
     both = asked = l.where("_t is not null") if block else l
     for n, (right, right_time, order, direction, strict, _) in enumerate(sides):
         back = direction == "backward"
-        fields = F.struct(*(F.col(c) for c in right.columns if c not in keys))
-        r = right.select(*keys, F.col(right_time).cast("double").alias("_t"), F.lit(0 if back != strict else 2).alias("_side"), fields.alias(f"_r{n}"), F.struct(*(order or [right_time])).alias(f"_o{n}")).where("_t is not null")
-        r = cut(r)
+        fields = F.struct(*(F.col(c) for c in right.columns if c not in keys)).alias(f"_r{n}")
+        r = right.select(*keys, F.col(right_time).cast("double").alias("_t"), fields, *([F.struct(*order).alias("_o")] if order else [])).where("_t is not null")
+        if order:
+            r = r.groupBy(*keys, "_t").agg((F.max_by if back else F.min_by)(f"_r{n}", "_o").alias(f"_r{n}"))
+        r = cut(r.withColumn("_side", F.lit(0 if back != strict else 2)))
         both = both.unionByName(r, allowMissingColumns=True)
         if block:
-            last = (F.max_by if back else F.min_by)(f"_r{n}", F.struct("_t", f"_o{n}"))
+            last = (F.max_by if back else F.min_by)(f"_r{n}", "_t")
             steps = r.groupBy(*keys, "_block").agg(last.alias("_v")).unionByName(asked.select(*keys, "_block").distinct().withColumn("_asked", F.lit(True)), allowMissingColumns=True)
             steps = steps.groupBy(*keys, "_block").agg(F.first("_v", ignorenulls=True).alias("_v"), F.max("_asked").alias("_asked"))
             over = Window.partitionBy(*keys).orderBy("_block" if back else F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
             carried = F.last("_v", ignorenulls=True).over(over)
             steps = steps.withColumn(f"_r{n}", carried).where(F.col("_asked") & F.col(f"_r{n}").isNotNull())
             both = both.unionByName(steps.select(*keys, "_block", F.lit(float("-inf" if back else "inf")).alias("_t"), F.lit(0 if back else 2).alias("_side"), f"_r{n}"), allowMissingColumns=True)
-    by = ["_t", "_side", *(f"_o{n}" for n in range(len(sides)))]
+    by = ["_t", "_side"]
     for n, side in enumerate(sides):
         # Forward the rows are run through from the end: a frame up to the end would be gone through anew for each row.
         w = Window.partitionBy(*keys, *split).orderBy(*(by if side[3] == "backward" else [F.desc(c) for c in by])).rowsBetween(Window.unboundedPreceding, 0)

@@ -236,10 +236,11 @@ def long_keys(spark, d):
     """Four keys hold all rows, which time blocks split over tasks."""
     s = A.samples(spark, d).select((F.col("assoc_id") % 4).alias("video"), "event_id", "time_sec")
     b = A.spans(spark, d).select((F.col("assoc_id") % 4).alias("video"), F.col("start_sec").alias("t"), "span_id")
-    out = T.nearest_join(s, b, ["video"], "time_sec", "t", ["span_id"], name="near", block=50.0)
+    out = T.nearest_join(s, b, ["video"], "time_sec", "t", ["span_id"], name="near", block=50.0).withColumn("nearest_sec", F.col("near")["t"]).drop("near")
     out = T.asof_both(out, (b, "t", ["span_id"], False, "at"), (b, "t", ["span_id"], False, "next"), ["video"], "time_sec", block=50.0)
+    out = out.withColumn("last_id", F.col("at")["span_id"]).withColumn("next_id", F.col("next")["span_id"]).drop("at", "next")
     out = T.asof_join(out, b, ["video"], "time_sec", "t", ["span_id"], strict=True, name="before", block=50.0)
-    return out.select("event_id", F.col("near")["t"].alias("nearest_sec"), F.col("before")["t"].alias("before_sec"), F.col("at")["span_id"].alias("last_id"), F.col("next")["span_id"].alias("next_id"))
+    return out.select("event_id", "nearest_sec", F.col("before")["t"].alias("before_sec"), "last_id", "next_id")
 
 
 @query("jn17_jn18_other_objects_with_past_track", f"""

@@ -79,3 +79,24 @@ def test_frames_are_drawn_without_a_row_for_each(spark):
     assert sorted((r.k, r.frame_index) for r in got.collect()) == sorted((r.k, r.frame_index) for r in want.collect())
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and plan.index("Generate") < plan.index("Aggregate")
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_one_right_row_of_each_time_is_sorted(spark):
+    """Many right rows share their times: one of each is left before the sort, the last backward and the first forward, with blocks or without."""
+    from sightline.operators import temporal as T
+
+    rng = random.Random(7)
+    right = [(rng.choice("ab"), float(rng.randrange(6)) * 10, n) for n in range(200)]
+    left = [(n, rng.choice("abc"), rng.choice([rng.uniform(-5, 60), 20.0])) for n in range(80)]
+    r, q = spark.createDataFrame(right, "k string, t double, id int"), spark.createDataFrame(left, "n int, k string, s double")
+    for block in (None, 15.0):
+        out = T.asof_both(q, (r, "t", ["id"], False, "at"), (r, "t", ["id"], True, "next"), ["k"], "s", block=block)
+        assert "max_by" in plan_of(out) and "min_by" in plan_of(out)
+        for x in out.collect():
+            at = max(((t, i) for k, t, i in right if k == x.k and t <= x.s), default=None)
+            after = min(((t, i) for k, t, i in right if k == x.k and t > x.s), default=None)
+            assert (x.at and tuple(x.at)) == at and (x.next and tuple(x.next)) == after
