@@ -144,15 +144,28 @@ def stab_join(points: DataFrame, spans: DataFrame, keys: Sequence[str], time: st
     return found.unionByName(missed, allowMissingColumns=True)
 
 
-def first_spans(spans: DataFrame, keys: Sequence[str], start: str, end: str, order: Sequence[Column | str] = ()) -> DataFrame:
+def first_spans(spans: DataFrame, keys: Sequence[str], start: str, end: str, order: Sequence[Column | str] = (), block: float | None = None) -> DataFrame:
     """spans, cut to the times at which each is the first (by its start, then by order) of its key's that hold them: `_after`, which must be passed, to the end.
 
     In that order a span is first where all before it have ended, so what is left is disjoint, at most one piece of a span, and comes from a running
     maximum of ends. A span that others cover is dropped. null start, or a null key: dropped.
+
+    block: a width in time by which a key's starts are split over tasks; a block starts from the latest end of all blocks before it, of which there is one row each.
     """
-    far = F.coalesce(F.col(end).cast("double"), F.lit(float("inf")))
-    before = Window.partitionBy(*keys).orderBy(start, *order).rowsBetween(Window.unboundedPreceding, -1)
-    return spans.where(F.col(start).isNotNull()).withColumn("_after", F.max(far).over(before)).where(F.col("_after").isNull() | (F.col("_after") < far))
+    far, split = F.coalesce(F.col(end).cast("double"), F.lit(float("inf"))), ["_block"] if block else []
+    rest = [c for c in spans.columns if c not in (*keys, start, end)]
+    rows, so_far = spans.where(F.col(start).isNotNull()), F.lit(None).cast("double")
+    if rest and order:
+        # Of spans with equal starts and ends the others are covered by the first.
+        rows = rows.groupBy(*keys, start, end).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_v")).select(*keys, start, end, "_v.*")
+    if block:
+        rows = rows.withColumn("_block", F.floor(F.col(start) / block))
+        blocks = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+        tops = rows.groupBy(*keys, "_block").agg(F.max(far).alias("_top")).withColumn("_top", F.max("_top").over(blocks))
+        rows, so_far = rows.join(tops, [*keys, "_block"]), F.col("_top")
+    before = Window.partitionBy(*keys, *split).orderBy(start, *order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_after", F.greatest(F.max(far).over(before), so_far)).where(F.col("_after").isNull() | (F.col("_after") < far))
+    return rows.select(*spans.columns, "_after")
 
 
 def stab_first(points: DataFrame, spans: DataFrame, keys: Sequence[str], time: str, start: str, end: str, order: Sequence[Column | str] = (), bucket: float = 32.0) -> DataFrame:
@@ -161,7 +174,7 @@ def stab_first(points: DataFrame, spans: DataFrame, keys: Sequence[str], time: s
     Only the disjoint pieces of first_spans are joined, in time buckets, so a point meets at most the few pieces of its bucket however many spans overlap.
     """
     names = [c for c in spans.columns if c not in keys]
-    pieces = ended(first_spans(spans, keys, start, end, order).withColumn("_open", F.col(end).isNull()), points, keys, time, start, end)
+    pieces = ended(first_spans(spans, keys, start, end, order, bucket).withColumn("_open", F.col(end).isNull()), points, keys, time, start, end)
     t = F.col(time).cast("double")
     low = F.greatest(F.col(start).cast("double"), F.coalesce("_after", F.lit(float("-inf"))))
     pieces = pieces.withColumn("_b", F.explode(F.sequence(F.floor(low / bucket), F.greatest(F.floor(low / bucket), F.floor(F.col(end) / bucket)))))

@@ -100,3 +100,18 @@ def test_one_right_row_of_each_time_is_sorted(spark):
             at = max(((t, i) for k, t, i in right if k == x.k and t <= x.s), default=None)
             after = min(((t, i) for k, t, i in right if k == x.k and t > x.s), default=None)
             assert (x.at and tuple(x.at)) == at and (x.next and tuple(x.next)) == after
+
+
+def test_first_spans_in_blocks(spark):
+    """A key's spans are split by their starts; spans that reach over several blocks, have no end, or are equal to others count as in one window."""
+    from sightline.operators import temporal as T
+
+    rng = random.Random(9)
+    rows = [(n, rng.choice("ab"), s := float(rng.randrange(200)), None if n in (5, 6) else s + rng.choice([0.0, 1.0, 4.0, 50.0])) for n in range(150)]
+    spans = spark.createDataFrame(rows, "id int, k string, s double, e double")
+    kept = lambda block: sorted(tuple(r) for r in T.first_spans(spans.where("e is not null"), ["k"], "s", "e", ["id"], block).collect())
+    assert kept(16.0) == kept(None) and len(kept(None)) > 10
+    points = spark.createDataFrame([(n, rng.choice("ab"), rng.uniform(0, 260)) for n in range(200)], "n int, k string, t double")
+    for x in T.stab_first(points, spans, ["k"], "t", "s", "e", ["id"], 16.0).collect():
+        want = min(((s, i) for i, k, s, e in rows if k == x.k and s <= x.t and (e is None or x.t <= e)), default=(None, None))
+        assert (x.s_s, x.s_id) == want
