@@ -204,8 +204,10 @@ def skyline(spans: DataFrame, points: DataFrame, keys: Sequence[str], time: str,
     rows = ended(spans.where(F.col(start).isNotNull()).dropna(subset=list(keys)).withColumn("_open", F.col(end).isNull()), points, keys, time, start, end)
     rows = rows.select(*keys, *(F.when(~F.col("_open"), F.col(end)).alias(f"s_{c}") if c == end else F.col(c).alias(f"s_{c}") for c in names), (F.col(start).cast("double") - eps).alias("_low"), (F.col(end).cast("double") + eps).alias("_high"))
     rows = rows.where("_low <= _high").select("*", *(r.cast("double").alias(f"_rank{i}") for i, r in enumerate(rank)))
-    rows = rows.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_low") / bucket), F.floor(F.col("_high") / bucket)))).withColumn("_low", F.greatest("_low", F.col("_b") * F.lit(float(bucket))))
     group, values, ranks = [*keys, "_b"], [f"s_{c}" for c in names], [f"_rank{i}" for i in range(len(rank))]
+    # Of spans that hold the same times only the least can ever hold one.
+    rows = rows.groupBy(*keys, "_low", "_high").agg(F.min_by(F.struct(*values, *ranks), F.struct(*ranks)).alias("_v")).select(*keys, "_low", "_high", "_v.*")
+    rows = rows.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_low") / bucket), F.floor(F.col("_high") / bucket)))).withColumn("_low", F.greatest("_low", F.col("_b") * F.lit(float(bucket))))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*group, *values).schema.fields] + ["_from double"])
 
     def swept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -115,3 +115,15 @@ def test_first_spans_in_blocks(spark):
     for x in T.stab_first(points, spans, ["k"], "t", "s", "e", ["id"], 16.0).collect():
         want = min(((s, i) for i, k, s, e in rows if k == x.k and s <= x.t and (e is None or x.t <= e)), default=(None, None))
         assert (x.s_s, x.s_id) == want
+
+
+def test_equal_spans_meet_the_skyline_once(spark):
+    from sightline.operators import temporal as T
+
+    rng = random.Random(3)
+    rows = [("a", s := float(rng.randrange(8)), s + rng.randrange(3), n) for n in rng.sample(range(300), 300)]
+    pieces = T.skyline(spark.createDataFrame(rows, "k string, s double, e double, r int"), spark.createDataFrame([("a", 9.0)], "k string, t double"), ["k"], "t", "s", "e", [F.col("s_r")])
+    assert "min_by" in plan_of(pieces)
+    points = spark.createDataFrame([("a", n / 4) for n in range(50)], "k string, t double")
+    got = T.stab_strongest(points, spark.createDataFrame(rows, "k string, s double, e double, r int"), ["k"], "t", "s", "e", [F.col("s_r")]).collect()
+    assert len(got) == 50 and all(x.s_r == min((r for _, s, e, r in rows if s <= x.t <= e), default=None) for x in got)
