@@ -298,12 +298,18 @@ def last_started(points: DataFrame, spans: DataFrame, keys: Sequence[str], time:
     return out.withColumn("match", F.when(~F.coalesce(ended, F.lit(False)), F.col("match")))
 
 
-def snap_to_sound(events: DataFrame, sounds: DataFrame, keys: Sequence[str], tolerance: float = 1.5) -> DataFrame:
-    """events(start_sec, end_sec) with the times of the sound whose middle is nearest to theirs, if that is within the tolerance; of equals the earliest."""
+def snap_to_sound(events: DataFrame, sounds: DataFrame, keys: Sequence[str], tolerance: float = 1.5, block: float = 64.0) -> DataFrame:
+    """events(start_sec, end_sec) with the times of the sound whose middle is nearest to theirs, if that is within the tolerance; of equals the earliest.
+
+    Sounds are looked up once for each different middle of a key's events, in blocks of time.
+    """
     middle = lambda a, b: (F.col(a) + F.col(b)) / 2
     heard = sounds.select(*keys, middle("start_sec", "stop_sec").alias("mid"), F.col("start_sec").alias("s"), F.col("stop_sec").alias("e"))
     heard = heard.groupBy(*keys, "mid").agg(F.min(F.struct("s", "e")).alias("_v")).select(*keys, "mid", "_v.s", "_v.e")
-    out = nearest_join(events.withColumn("mid_sec", middle("start_sec", "end_sec")), heard, keys, "mid_sec", "mid", tie="earlier", tolerance=tolerance)
+    events = events.withColumn("mid_sec", middle("start_sec", "end_sec"))
+    asked = events.select(*keys, "mid_sec").distinct()
+    met = nearest_join(asked, heard.join(asked.select(*keys).distinct(), list(keys), "left_semi"), keys, "mid_sec", "mid", tie="earlier", tolerance=tolerance, block=block).where("match is not null")
+    out = events.join(met, [*keys, "mid_sec"], "left")
     near = F.col("match").isNotNull()
     return out.withColumn("start_sec", F.when(near, F.col("match")["s"]).otherwise(F.col("start_sec"))).withColumn("end_sec", F.when(near, F.col("match")["e"]).otherwise(F.col("end_sec"))).withColumn("snapped", near).drop("match", "mid_sec")
 

@@ -127,3 +127,14 @@ def test_equal_spans_meet_the_skyline_once(spark):
     points = spark.createDataFrame([("a", n / 4) for n in range(50)], "k string, t double")
     got = T.stab_strongest(points, spark.createDataFrame(rows, "k string, s double, e double, r int"), ["k"], "t", "s", "e", [F.col("s_r")]).collect()
     assert len(got) == 50 and all(x.s_r == min((r for _, s, e, r in rows if s <= x.t <= e), default=None) for x in got)
+
+
+def test_sounds_are_looked_up_in_blocks(spark):
+    """Events with the same middle share a lookup; the nearest sound may lie in another block."""
+    from sightline.operators import temporal as T
+
+    sounds = spark.createDataFrame([("a", 9.0, 10.0), ("a", 30.0, 31.0), ("b", 5.0, 6.0)], "k string, start_sec double, stop_sec double")
+    events = spark.createDataFrame([(1, "a", 10.0, 11.0), (2, "a", 9.5, 11.5), (3, "a", 10.0, 11.0), (4, "a", 20.0, 21.0), (5, "c", 5.0, 6.0), (6, None, 5.0, 6.0)], "n int, k string, start_sec double, end_sec double")
+    out = T.snap_to_sound(events, sounds, ["k"], block=10.0)
+    assert "_block" in plan_of(out)
+    assert sorted((r.n, r.start_sec, r.end_sec, r.snapped) for r in out.collect()) == [(1, 9.0, 10.0, True), (2, 9.0, 10.0, True), (3, 9.0, 10.0, True), (4, 20.0, 21.0, False), (5, 5.0, 6.0, False), (6, 5.0, 6.0, False)]
