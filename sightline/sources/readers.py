@@ -32,27 +32,36 @@ MERGED = (
 )
 
 
-def json_document(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
+def json_document(spark: SparkSession, path: str, schema: str, lines: bool = False, key: str | None = None) -> DataFrame:
     """A file that is one JSON map, as a column `value`: its ids stay keys and never become columns.
 
     One map is one row, and its file one task. lines: files that hold a map in each line, as writers.write_documents makes of a large
     map once; Spark splits them.
+
+    key: what a map must have to be of use; texts that can't have it, as it neither stands in them nor may be spelt with escapes, are left out unparsed.
     """
     kind = schema.removeprefix("value ")
-    return spark.read.text(path, wholetext=not lines).select(F.from_json("value", kind).alias("value"))
+    text = spark.read.text(path, wholetext=not lines)
+    if key is not None:
+        text = text.where(F.contains("value", F.lit(key)) | F.contains("value", F.lit("\\")))
+    return text.select(F.from_json("value", kind).alias("value"))
+
+
+def of_video(rows: DataFrame, video_id: str | None) -> DataFrame:
+    return rows if video_id is None else rows.where(F.col("video_id") == video_id)
 
 
-def object_tables(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """objects, tracks and track_masks of a document of object tracks, with places in their lists."""
-    flat = json_document(spark, path, OBJECTS, lines).select(F.explode("value").alias("video_id", "o")).select("video_id", F.explode("o").alias("assoc_id", "v"))
+def object_tables(spark: SparkSession, path: str, lines: bool = False, video_id: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """objects, tracks and track_masks of a document of object tracks, with places in their lists; of one video if one is given."""
+    flat = of_video(json_document(spark, path, OBJECTS, lines, video_id).select(F.explode("value").alias("video_id", "o")), video_id).select("video_id", F.explode("o").alias("assoc_id", "v"))
     objects = flat.select("video_id", "assoc_id", F.col("v.name").alias("name"))
     tracks = flat.select("video_id", "assoc_id", F.posexplode("v.tracks").alias("track_pos", "t"))
     masks = tracks.select("video_id", "assoc_id", "track_pos", F.posexplode("t.masks").alias("mask_pos", "mask_id"))
     return objects, tracks.select("video_id", "assoc_id", "track_pos", F.col("t.track_id").alias("track_id"), F.col("t.time_segment")[0].alias("start_sec"), F.col("t.time_segment")[1].alias("end_sec")), masks
 
 
-def masks_table(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    flat = json_document(spark, path, MASKS, lines).select(F.explode("value").alias("video_id", "m")).select("video_id", F.explode("m").alias("mask_id", "v"))
+def masks_table(spark: SparkSession, path: str, lines: bool = False, video_id: str | None = None) -> DataFrame:
+    flat = of_video(json_document(spark, path, MASKS, lines, video_id).select(F.explode("value").alias("video_id", "m")), video_id).select("video_id", F.explode("m").alias("mask_id", "v"))
     return flat.select("video_id", "mask_id", "v.frame_number", F.col("v.3d_location").alias("xyz"), "v.bbox", "v.fixture")
 
 
@@ -198,9 +207,8 @@ def pixel_is_valid(u: Column, v: Column, width: Column, height: Column, invalid:
 
 def video_source(spark: SparkSession, config: Config, video_id: str, lines: bool = True) -> dict[str, DataFrame]:
     """All of one video that a stage reads: objects, tracks, track_masks, masks, calibration and frames by their index; nothing is read before it is used."""
-    objects, tracks, track_masks = object_tables(spark, f"{config.data_root}/assoc_info.json", lines)
-    own = {"objects": objects, "tracks": tracks, "track_masks": track_masks, "masks": masks_table(spark, f"{config.data_root}/mask_info.json", lines)}
-    own = {k: t.where(F.col("video_id") == video_id) for k, t in own.items()}
+    objects, tracks, track_masks = object_tables(spark, f"{config.data_root}/assoc_info.json", lines, video_id)
+    own = {"objects": objects, "tracks": tracks, "track_masks": track_masks, "masks": masks_table(spark, f"{config.data_root}/mask_info.json", lines, video_id)}
     frames = frame_poses(spark, config.frames_path(video_id)).where("frame_index is not null")
     return own | {"frames": frames, "calibration": calibration(spark, f"{config.data_root}/{video_id.split('-')[0]}/{video_id}/calibration.json", lines=lines)}
 

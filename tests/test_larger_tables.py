@@ -138,3 +138,14 @@ def test_sounds_are_looked_up_in_blocks(spark):
     out = T.snap_to_sound(events, sounds, ["k"], block=10.0)
     assert "_block" in plan_of(out)
     assert sorted((r.n, r.start_sec, r.end_sec, r.snapped) for r in out.collect()) == [(1, 9.0, 10.0, True), (2, 9.0, 10.0, True), (3, 9.0, 10.0, True), (4, 20.0, 21.0, False), (5, 5.0, 6.0, False), (6, 5.0, 6.0, False)]
+
+
+def test_lines_of_other_videos_are_not_parsed(spark, tmp_path):
+    """A video's name may be spelt with escapes, and may stand in another place of a line."""
+    from sightline.sources import readers as S
+
+    lines = [r'{"\u005002-v": {"m1": {"frame_number": 1}}}', r'{"P02-v": {"m2": {"frame_number": 2}}}', r'{"P03-v": {"P02-v": {"frame_number": 3}}}', r'{"P04-v": {"m4": {"frame_number": 4}}}']
+    (tmp_path / "m.json").write_text("\n".join(lines))
+    found = S.masks_table(spark, str(tmp_path / "m.json"), lines=True, video_id="P02-v")
+    assert sorted(r.mask_id for r in found.collect()) == ["m1", "m2"]
+    assert S.json_document(spark, str(tmp_path / "m.json"), S.MASKS, True, "P02-v").count() == 3
