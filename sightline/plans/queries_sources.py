@@ -22,6 +22,14 @@ def one_line_each(rows, value, path):
     return path
 
 
+def mask_document(m, video, path):
+    """Masks by their ids in maps by video."""
+    place = F.when(c("x").isNotNull(), F.array("x", "y", "z"))
+    value = F.struct("frame_number", place.alias("3d_location"), F.lit(None).cast("array<double>").alias("bbox"), "fixture")
+    W.write_maps(m, [video], F.concat_ws("/", c("track_id").cast("string"), c("frame_number").cast("string")), value, path)
+    return path
+
+
 @query("src1_src7_src20_object_documents", """
 SELECT 'P0' || CAST(t.assoc_id % 4 + 1 AS VARCHAR) AS video_id, 'a' || CAST(t.assoc_id AS VARCHAR) AS assoc_id, CAST(t.track_pos AS BIGINT) AS track_pos, CAST(t.track_id AS VARCHAR) AS track_id, t.start_sec, t.end_sec, coalesce(m.n, 0) AS n_masks, m.first_mask
 FROM tracks t LEFT JOIN (SELECT track_id, count(*) AS n, CAST(arg_min(frame_number, frame_number) AS VARCHAR) AS first_mask FROM masks GROUP BY track_id) m ON m.track_id = t.track_id""", A.TRACKS, A.MASKS)
@@ -41,10 +49,7 @@ def object_documents(spark, d):
 @query("src1_mask_documents", """
 SELECT 'v' || CAST(track_id % 40 AS VARCHAR) AS video_id, CAST(track_id AS VARCHAR) || '/' || CAST(frame_number AS VARCHAR) AS mask_id, frame_number, x, z, fixture FROM masks""", A.MASKS)
 def mask_documents(spark, d):
-    m = A.masks(spark, d)
-    place = F.when(c("x").isNotNull(), F.array("x", "y", "z"))
-    entry = F.create_map(F.concat_ws("/", c("track_id").cast("string"), c("frame_number").cast("string")), F.struct(c("frame_number"), place.alias("3d_location"), F.lit(None).cast("array<double>").alias("bbox"), c("fixture")))
-    path = one_line_each(m, F.create_map(F.concat(F.lit("v"), (c("track_id") % 40).cast("string")), entry), shared_folder(spark, "masks"))
+    path = mask_document(A.masks(spark, d), F.concat(F.lit("v"), (c("track_id") % 40).cast("string")), shared_folder(spark, "masks"))
     return S.masks_table(spark, path, lines=True).select("video_id", "mask_id", "frame_number", F.get("xyz", 0).alias("x"), F.get("xyz", 2).alias("z"), "fixture")
 
 
@@ -94,8 +99,9 @@ def corner_boxes(spark, d):
 
 @query("src16_region_map", "SELECT 'P' || CAST(p_size AS VARCHAR) AS participant, p_type AS fixture_type, CAST(p_partkey AS VARCHAR) AS fixture_id, p_name AS description FROM part")
 def region_map(spark, d):
-    inner = F.create_map(c("p_type"), F.create_map(c("p_partkey").cast("string"), c("p_name")))
-    return S.regions_table(spark, one_line_each(A.read(spark, d, "part"), F.create_map(F.concat(F.lit("P"), c("p_size").cast("string")), inner), shared_folder(spark, "regions")), lines=True)
+    path = shared_folder(spark, "regions")
+    W.write_maps(A.read(spark, d, "part"), [F.concat(F.lit("P"), c("p_size").cast("string")), c("p_type")], c("p_partkey").cast("string"), c("p_name"), path)
+    return S.regions_table(spark, path, lines=True)
 
 
 @query("src17_src26_merged_tracks", """
@@ -217,9 +223,7 @@ def video_source(spark, d):
     objects = t.groupBy("assoc_id").agg(F.sort_array(F.collect_list(track)).alias("tracks"))
     entry = F.struct(F.concat(F.lit("object "), c("assoc_id").cast("string")).alias("name"), F.transform("tracks", lambda x: x.dropFields("track_pos")).alias("tracks"))
     one_line_each(objects, F.create_map(video(c("assoc_id")), F.create_map(F.expr(OBJECT), entry)), f"{root}/assoc_info.json")
-    place = F.when(c("x").isNotNull(), F.array("x", "y", "z"))
-    mask = F.create_map(F.concat_ws("/", c("track_id").cast("string"), c("frame_number").cast("string")), F.struct("frame_number", place.alias("3d_location"), F.lit(None).cast("array<double>").alias("bbox"), "fixture"))
-    one_line_each(m, F.create_map(video(c("track_id")), mask), f"{root}/mask_info.json")
+    mask_document(m, video(c("track_id")), f"{root}/mask_info.json")
     p = A.points(spark, d)
     rows = F.array(*(F.slice("pose", i, 4) for i in (1, 5, 9)))
     one_line_each(p, F.struct(c("vec_id").alias("frame_index"), rows.alias("T_world_device"), F.array("gaze.x", "gaze.y", "gaze.z").alias("gaze_direction_in_world")), config.frames_path("P02-v"))

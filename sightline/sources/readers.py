@@ -47,13 +47,18 @@ def json_document(spark: SparkSession, path: str, schema: str, lines: bool = Fal
     return text.select(F.from_json("value", kind).alias("value"))
 
 
+def entries(document: DataFrame, key: str, value: str) -> DataFrame:
+    """A row for each entry of a document's map. Before `explode` the optimizer asks whether a map has entries at all, and parses each text once more for that; before `explode_outer` it doesn't."""
+    return document.select(F.explode_outer("value").alias(key, value)).where(F.col(key).isNotNull())
+
+
 def of_video(rows: DataFrame, video_id: str | None) -> DataFrame:
     return rows if video_id is None else rows.where(F.col("video_id") == video_id)
 
 
 def object_tables(spark: SparkSession, path: str, lines: bool = False, video_id: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """objects, tracks and track_masks of a document of object tracks, with places in their lists; of one video if one is given."""
-    flat = of_video(json_document(spark, path, OBJECTS, lines, video_id).select(F.explode("value").alias("video_id", "o")), video_id).select("video_id", F.explode("o").alias("assoc_id", "v"))
+    flat = of_video(entries(json_document(spark, path, OBJECTS, lines, video_id), "video_id", "o"), video_id).select("video_id", F.explode("o").alias("assoc_id", "v"))
     objects = flat.select("video_id", "assoc_id", F.col("v.name").alias("name"))
     tracks = flat.select("video_id", "assoc_id", F.posexplode("v.tracks").alias("track_pos", "t"))
     masks = tracks.select("video_id", "assoc_id", "track_pos", F.posexplode("t.masks").alias("mask_pos", "mask_id"))
@@ -61,7 +66,7 @@ def object_tables(spark: SparkSession, path: str, lines: bool = False, video_id:
 
 
 def masks_table(spark: SparkSession, path: str, lines: bool = False, video_id: str | None = None) -> DataFrame:
-    flat = of_video(json_document(spark, path, MASKS, lines, video_id).select(F.explode("value").alias("video_id", "m")), video_id).select("video_id", F.explode("m").alias("mask_id", "v"))
+    flat = of_video(entries(json_document(spark, path, MASKS, lines, video_id), "video_id", "m"), video_id).select("video_id", F.explode("m").alias("mask_id", "v"))
     return flat.select("video_id", "mask_id", "v.frame_number", F.col("v.3d_location").alias("xyz"), "v.bbox", "v.fixture")
 
 
@@ -97,12 +102,12 @@ def calibration(spark: SparkSession, path: str, camera: str = "camera-rgb", line
 
 
 def regions_table(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    one = json_document(spark, path, REGIONS, lines).select(F.explode("value").alias("participant", "a")).select("participant", F.explode("a").alias("fixture_type", "b"))
+    one = entries(json_document(spark, path, REGIONS, lines), "participant", "a").select("participant", F.explode("a").alias("fixture_type", "b"))
     return one.select("participant", "fixture_type", F.explode("b").alias("fixture_id", "description"))
 
 
 def fixture_metadata(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    return json_document(spark, path, FIXTURES, lines).select(F.explode("value").alias("fixture_id", "v")).select("fixture_id", "v.*")
+    return entries(json_document(spark, path, FIXTURES, lines), "fixture_id", "v").select("fixture_id", "v.*")
 
 
 def box_of_corners(corners: DataFrame, key: str = "fixture_id") -> DataFrame:
@@ -112,7 +117,7 @@ def box_of_corners(corners: DataFrame, key: str = "fixture_id") -> DataFrame:
 
 def merged_samples(spark: SparkSession, path: str, video_id: str, lines: bool = False) -> DataFrame:
     """One row for each sample of a document of parallel arrays; an array that is missing or too short gives nulls, and flags false."""
-    flat = json_document(spark, path, MERGED, lines).select(F.explode("value").alias("assoc_id", "v"))
+    flat = entries(json_document(spark, path, MERGED, lines), "assoc_id", "v")
     names = ["visible", "stable", "status", "pixel", "camera_xyz", "frame_index", "fixture", "world_xyz", "last_visible_index"]
     out = flat.select("assoc_id", "v", F.posexplode("v.sampled_times_sec").alias("i", "time_sec"))
     cols = [F.get(F.col(f"v.{n}"), F.col("i")).alias(n) for n in names]

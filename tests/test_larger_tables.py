@@ -149,3 +149,45 @@ def test_lines_of_other_videos_are_not_parsed(spark, tmp_path):
     found = S.masks_table(spark, str(tmp_path / "m.json"), lines=True, video_id="P02-v")
     assert sorted(r.mask_id for r in found.collect()) == ["m1", "m2"]
     assert S.json_document(spark, str(tmp_path / "m.json"), S.MASKS, True, "P02-v").count() == 3
+
+
+def test_a_document_is_parsed_once(spark, tmp_path):
+    from sightline.sources import readers as S
+
+    path = tmp_path / "m.json"
+    path.write_text('{"v": {"m1": {"frame_number": 1}, "m2": {"frame_number": 2}}, "w": {}, "x": null}\n{}\nnone\n')
+    masks = S.masks_table(spark, str(path), lines=True)
+    assert sorted((r.video_id, r.mask_id, r.frame_number) for r in masks.collect()) == [("v", "m1", 1), ("v", "m2", 2)]
+    others = [S.object_tables(spark, str(path), True)[1], S.regions_table(spark, str(path), True), S.fixture_metadata(spark, str(path), True), S.merged_samples(spark, str(path), "v", True)]
+    for df in [masks, *others]:
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
+
+
+def test_entries_of_a_map_share_lines(spark, tmp_path):
+    """Keys and ids with quotes, braces, escapes, other alphabets and none of these; an id that occurs twice stays twice."""
+    from sightline.sources import readers as S
+    from sightline.sources import writers as W
+
+    names = ['a"b', "c\\d", "}{", "é\n", "", "x"]
+    want = sorted((names[n % 6], names[n // 6 % 6], names[n // 36 % 6] + str(n % 250), None if n % 7 == 0 else f"{{{n}") for n in range(600))
+    rows = spark.createDataFrame(want, "p string, t string, i string, d string").coalesce(1)
+    W.write_maps(rows, [F.col("p"), F.col("t")], F.col("i"), F.col("d"), str(tmp_path / "r"))
+    assert spark.read.text(str(tmp_path / "r")).count() <= 72
+    found = S.regions_table(spark, str(tmp_path / "r"), lines=True).collect()
+    order = lambda r: tuple(x or "" for x in r)
+    assert sorted(map(tuple, found), key=order) == sorted(want, key=order)
+    nothing = spark.createDataFrame([], "p string, t string, i string, d string")
+    W.write_maps(nothing, [F.col("p"), F.col("t")], F.col("i"), F.col("d"), str(tmp_path / "n"))
+    assert S.regions_table(spark, str(tmp_path / "n"), lines=True).count() == 0
+    with pytest.raises(Exception, match="key is null"):
+        W.write_maps(rows, [F.lit(None).cast("string")], F.col("i"), F.col("d"), str(tmp_path / "b"))
+
+
+def test_masks_share_lines(spark, monkeypatch):
+    """The document of masks has at most a line for each of its videos in a batch."""
+    from sightline.plans import queries_sources as Q
+
+    seen = {}
+    monkeypatch.setattr(Q.S, "masks_table", lambda spark, path, lines, f=Q.S.masks_table: seen.setdefault("rows", f(spark, seen.setdefault("path", path), lines)))
+    assert Q.mask_documents(spark, "/root/testdata/sf0.001").count() > 5000
+    assert spark.read.text(seen["path"]).count() <= 40 * 4
