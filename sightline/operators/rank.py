@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.digests import first_numbers
 from ..functions.names import hash_order, hash_unit
 
 
@@ -88,16 +91,24 @@ def sampled_per_group(rows: DataFrame, group: Sequence[str], key: Sequence[str],
 def sampled_frames(spans: DataFrame, key: Sequence[str], start: str, end: str, fps: float, count: int, seed: int | str) -> DataFrame:
     """count different frames of each span, seeded; frame_index and its time.
 
-    Spans are shuffled, not their frames: all rows of a key come together, and each key draws from its list of frames.
+    Spans are shuffled, not their frames: all rows of a key come together, and each key draws from all its frames, which are hashed many at a time (`digests`).
     """
     first, last = F.rint(F.col(start) * fps).cast("long"), F.greatest(F.rint(F.col(start) * fps), F.rint(F.col(end) * fps)).cast("long")
     rest = [c for c in spans.columns if c not in key]
-    grouped = spans.select(*key, F.struct(*rest, first.alias("_low"), last.alias("_high")).alias("_s")).where("_s._low is not null and _s._high is not null").groupBy(*key).agg(F.collect_list("_s").alias("_spans"))
-    drawn = lambda s, f: F.struct(hash_order(seed, *(F.col(k) for k in key), f).alias("h"), f.alias("frame_index"))
-    # A span's own first frames in seeded order hold all that its key can draw from it.
-    own = lambda s: F.slice(F.array_sort(F.transform(F.sequence(s["_low"], s["_high"]), lambda f: drawn(s, f))), 1, count)
-    every = F.flatten(F.transform("_spans", lambda s, i: F.transform(own(s), lambda x: F.struct(x["h"].alias("h"), x["frame_index"].alias("frame_index"), i.alias("_i")))))
-    taken = grouped.select(*key, "_spans", F.explode(F.slice(F.array_sort(every), 1, count)).alias("_f"))
+    parts = int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but much to hash: tasks must not be merged
+    grouped = spans.repartition(parts, *key).select(*key, F.struct(*rest, first.alias("_low"), last.alias("_high")).alias("_s")).where("_s._low is not null and _s._high is not null").groupBy(*key).agg(F.collect_list("_s").alias("_spans"))
+
+    @F.arrow_udf("array<struct<frame_index:long,_i:long>>")
+    def drawn(begins: pa.Array, lows: pa.Array, highs: pa.Array) -> pa.Array:
+        offsets = lows.offsets.to_numpy() - lows.offsets[0].as_py()
+        owner = np.repeat(np.arange(len(begins)), np.diff(offsets))
+        key, span, frame = first_numbers([b.encode() for b in begins.to_pylist()], owner, lows.flatten().to_numpy(), highs.flatten().to_numpy(), count)
+        places = pa.StructArray.from_arrays([pa.array(frame, pa.int64()), pa.array(span - offsets[key], pa.int64())], names=["frame_index", "_i"])
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(key, np.arange(len(begins) + 1)), pa.int32()), places)
+
+    begin = F.concat_ws("|", F.lit(str(seed)), *(F.col(k).cast("string") for k in key), F.lit(""))
+    frames = drawn(begin, F.transform("_spans", lambda s: s["_low"]), F.transform("_spans", lambda s: s["_high"]))
+    taken = grouped.select(*key, "_spans", frames.alias("_drawn")).select(*key, "_spans", F.explode("_drawn").alias("_f"))
     one = F.get("_spans", F.col("_f._i"))
     out = taken.select(*key, *(one[c].alias(c) for c in rest), F.col("_f.frame_index").alias("frame_index"))
     return out.select(*spans.columns, "frame_index", F.round(F.col("frame_index") / F.lit(fps), 6).alias("time_sec"))

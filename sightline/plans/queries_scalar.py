@@ -272,9 +272,9 @@ def hash_sample(spark, d):
 
 @query("rnd5_sampled_frames", """
 SELECT span_id, frame_index, round(frame_index / 30.0, 6) AS time_sec FROM (SELECT *, row_number() OVER (PARTITION BY span_id ORDER BY md5('5|' || CAST(span_id AS VARCHAR) || '|' || CAST(frame_index AS VARCHAR)), frame_index) AS rn FROM (
-  SELECT span_id, unnest(range(CAST(round_even(start_sec * 30, 0) AS BIGINT), CAST(round_even((start_sec + (end_sec - start_sec) / 10) * 30, 0) AS BIGINT) + 1)) AS frame_index FROM spans WHERE end_sec IS NOT NULL)) WHERE rn <= 5""", A.SPANS)
+  SELECT span_id, unnest(range(CAST(round_even(start_sec * 30, 0) AS BIGINT), CAST(round_even(end_sec * 30, 0) AS BIGINT) + 1)) AS frame_index FROM spans WHERE end_sec IS NOT NULL)) WHERE rn <= 5""", A.SPANS)
 def sampled_frames(spark, d):
-    s = A.spans(spark, d).where("end_sec is not null").select("span_id", "start_sec", (c("start_sec") + (c("end_sec") - c("start_sec")) / 10).alias("end_sec"))
+    s = A.spans(spark, d).where("end_sec is not null").select("span_id", "start_sec", "end_sec")
     return R.sampled_frames(s, ["span_id"], "start_sec", "end_sec", 30.0, 5, 5).select("span_id", "frame_index", "time_sec")
 
 

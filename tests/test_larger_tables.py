@@ -81,6 +81,42 @@ def test_frames_are_drawn_without_a_row_for_each(spark):
     assert "Window" not in plan and plan.index("Generate") < plan.index("Aggregate")
 
 
+def test_all_frames_of_a_span_can_be_drawn(spark):
+    """The query draws from whole spans: some frames lie in each tenth of them."""
+    from sightline.plans import adapters as A
+    from sightline.plans.catalog import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    drawn = QUERIES["rnd5_sampled_frames"](spark, sf).join(A.spans(spark, sf).where("end_sec > start_sec + 5"), "span_id")
+    part = F.floor((F.col("time_sec") - F.col("start_sec")) / (F.col("end_sec") - F.col("start_sec")) * 10)
+    assert {r[0] for r in drawn.select(part).distinct().collect()} >= set(range(10))
+
+
+def test_first_numbers_by_hash(monkeypatch):
+    """As by hashing one after another, with pieces of any size, texts of any length, negative numbers, ranges that share a key, and hashes whose leading bits are equal."""
+    import hashlib
+
+    import numpy as np
+
+    from sightline.functions import digests as D
+
+    rng = random.Random(2)
+    for trial in range(60):
+        monkeypatch.setattr(D, "CHUNK", rng.choice([1, 7, 300, 32768]))
+        begins = [f"5|{'x' * rng.choice([0, 3, 48, 60, 130])}{rng.randrange(10 ** rng.randrange(1, 8))}|".encode() for _ in range(rng.randrange(1, 8))]
+        owner = np.sort(np.array([rng.randrange(len(begins)) for _ in range(rng.randrange(12))], np.int64))
+        low = np.array([rng.choice([0, -50, 10**9]) + rng.randrange(-100, 100) for _ in owner], np.int64)
+        high, count = low + np.array([rng.randrange(120) for _ in owner], np.int64), rng.choice([1, 3, 5, 40, 500])
+        got = list(zip(*(x.tolist() for x in D.first_numbers(begins, owner, low, high, count))))
+        want = []
+        for k, begin in enumerate(begins):
+            own = sorted((hashlib.md5(begin + str(f).encode()).hexdigest(), f, i) for i in range(len(owner)) if owner[i] == k for f in range(low[i], high[i] + 1))
+            want += [(k, i, f) for _, f, i in own[:count]]
+        assert got == want
+    at = D._first_of_each(np.array([5, 5, 5, 9, 1 << 60, 2 << 60, 3 << 60], np.uint64), np.array([4, 3]), np.array([0, 4]), 2)
+    assert sorted(at) == [0, 1, 2, 3, 4, 5]
+
+
 def plan_of(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
