@@ -159,3 +159,79 @@ def _first_of_each(h: np.ndarray, counts: np.ndarray, starts: np.ndarray, count:
     if len(equal):
         wanted |= np.isin(np.repeat(np.arange(len(counts)), counts), equal)
     return (packed[wanted] & np.uint64(2**places - 1)).astype(np.int64)
+
+
+def least_others(ids: tuple[Sequence[bytes], np.ndarray, np.ndarray], others: tuple[Sequence[bytes], np.ndarray, np.ndarray], own: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(id, time, other, high, low): for each id and time of it the other one of that time whose text, after the id's, has the least MD5, with that; none where there is no other.
+
+    Both sides have texts, offsets and times: entry i has times[offsets[i] : offsets[i + 1]]. An id's text begins the message; own[i] is its place among the others, or -1. Of equal hashes the first other counts.
+    Each pair is hashed once, at however many times it meets.
+    """
+    (texts, offsets, times), (endings, ends, dates) = ids, others
+    known = np.unique(dates)
+    order = np.argsort(dates, kind="stable")
+    present = np.repeat(np.arange(len(endings)), np.diff(ends))[order]
+    edges = np.append(np.searchsorted(dates[order], known), len(dates))
+    tails, lengths, size = Endings.of(endings), np.array([len(t) for t in texts]), len(endings)
+    bits = np.uint64(max(1, (size - 1).bit_length()))
+    owner, at = np.repeat(np.arange(len(texts)), np.diff(offsets)), np.searchsorted(known, times)
+    hit = np.flatnonzero(np.append(known, known[:1])[at] == times) if len(known) else np.empty(0, np.int64)
+    owner, at = owner[hit], at[hit]
+    first = np.searchsorted(owner, np.arange(len(texts) + 1))
+    found, batch, total = [], [], 0
+
+    def looked_up() -> None:
+        counts = np.array([len(u) for _, u, _, _ in batch])
+        high, low = digests(joined([texts[i] for i, *_ in batch], int(lengths[batch[0][0]])), counts, tails, np.concatenate([u for _, u, _, _ in batch]))
+        stop = np.cumsum(counts)
+        for (i, u, lists, starts), b in zip(batch, stop):
+            h, l = high[b - len(u) : b], low[b - len(u) : b]
+            won = _least_of_lists(h, l, lists, starts, np.flatnonzero(u == own[i]), bits)
+            some = np.flatnonzero(won >= 0)
+            won = won[some]
+            found.append((np.full(len(some), i), hit[first[i] : first[i + 1]][some], u[won], h[won], l[won]))
+
+    for i in np.argsort(lengths, kind="stable"):
+        mine = at[first[i] : first[i + 1]]
+        if not len(mine):
+            continue
+        lists = np.concatenate([present[edges[t] : edges[t + 1]] for t in mine])
+        n = edges[mine + 1] - edges[mine]
+        if len(lists) < size:
+            u, lists = np.unique(lists, return_inverse=True)
+        else:
+            u = np.arange(size)
+        if batch and lengths[i] != lengths[batch[0][0]]:
+            looked_up()
+            batch, total = [], 0
+        batch.append((i, u, lists, np.cumsum(n) - n))
+        total += len(u)
+        if total >= CHUNK:
+            looked_up()
+            batch, total = [], 0
+    if batch:
+        looked_up()
+    if not found:
+        return np.empty(0, np.int64), times[:0], np.empty(0, np.int64), *(np.empty(0, np.uint64),) * 2
+    who, place, other, high, low = (np.concatenate(x) for x in zip(*found))
+    return who, times[place], other, high, low
+
+
+def _least_of_lists(h: np.ndarray, l: np.ndarray, lists: np.ndarray, starts: np.ndarray, but: np.ndarray, bits: np.uint64) -> np.ndarray:
+    """For each of consecutive lists of places its place with the least (h, l), of equals the first place, without the places `but`; -1 where there is none."""
+    none = np.uint64(2**64 - 1)
+    packed = h >> bits << bits | np.arange(len(h), dtype=np.uint64)
+    packed[but] = none
+    least = np.minimum.reduceat(packed[lists], starts)
+    real = least != none
+    if real.any():
+        most = least[real].max() | np.uint64(2 ** int(bits) - 1)
+        near = np.sort(packed[packed <= most])
+        if (near[1:] >> bits == near[:-1] >> bits).any():  # leading bits don't tell all: whole hashes are compared
+            at = np.flatnonzero((packed <= most) & (packed != none))
+            rank = np.full(len(h), len(h), np.int64)
+            at = at[np.lexsort((at, l[at], h[at]))]
+            rank[at] = np.arange(len(at))
+            won = np.minimum.reduceat(rank[lists], starts)
+            return np.where(won < len(at), at[np.minimum(won, len(at) - 1)], -1)
+    return np.where(real, (least & np.uint64(2 ** int(bits) - 1)).astype(np.int64), -1)

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions import geometry as G
 from ..functions import names as N
+from ..functions.digests import least_others
 from ..functions.statuses import covers_hidden_window, is_visible, priority
 from ..sources.scratch import checkpointed
 from .islands import collapse_runs, last_true_index
@@ -17,8 +21,10 @@ from .rank import capped_with_ids, closest_sample, keep_first, location_first, n
 from .temporal import EPS, asof_join, stab_join, strongest_span
 
 OBJECT = ("video_id", "assoc_id")
-#: Objects in one row that a candidate's anchor is chosen from, about.
-ANCHORS = 1024
+#: Objects that meet in one row, about: those that ask for an anchor, those that it is chosen from; and times of either that a row holds.
+ASKED, ANCHORS, TIMES = 4096, 32768, 2**20
+#: Pairs of objects that a task hashes, about, where there are more rows than shuffle partitions.
+PAIRS = 2**24
 
 
 def held_samples(samples: DataFrame, spans: DataFrame, start: str) -> DataFrame:
@@ -59,19 +65,54 @@ def visible_candidates(spans: DataFrame, samples: DataFrame, limit: int) -> Data
 def with_anchor(candidates: DataFrame, states: DataFrame, seed: int | str) -> DataFrame:
     """candidates with a seeded choice among the other objects that are visible, placed and at rest at the query time; those without one are dropped.
 
-    states(video_id, query_sec, anchor_id, ...) has the eligible objects. They are listed in blocks for each time, and an object looks through a block within one row, once however often it is a candidate
-    then: pairs are neither stored nor sorted. Their number remains objects x eligible ones of a time, as each pair has a hash of its own.
+    states(video_id, query_sec, anchor_id, ...) has the eligible objects. Blocks of a video's objects meet blocks of its eligible ones in one row, each object with all its times, so a pair has one hash at
+    however many times it meets, and hashes are made many at a time (`digests`). Their number remains objects x eligible ones of a video, or the pairs of its times where those are fewer.
     """
-    at, who = ["video_id", "query_sec"], ["video_id", "assoc_id", "query_sec"]
-    eligible = states.select(*at, "anchor_id").distinct()
-    blocks = eligible.groupBy(*at).agg(F.ceil(F.count("*") / F.lit(ANCHORS)).alias("_blocks"))
-    listed = eligible.join(blocks, at).withColumn("_block", F.pmod(F.xxhash64("anchor_id"), F.col("_blocks"))).groupBy(*at, "_block").agg(F.collect_list("anchor_id").alias("_anchors"))
-    ranked = F.transform("_anchors", lambda a: F.when(a != F.col("assoc_id"), F.struct(N.hash_order(seed, F.col("assoc_id"), a).alias("h"), a.alias("anchor_id"))))
-    met = candidates.select(*who).distinct().join(listed, at).select(*who, F.array_min(ranked).alias("_a")).where("_a is not null")
-    best = met.groupBy(*who).agg(F.min("_a").alias("_a"))
+    who, spark = ["video_id", "assoc_id", "query_sec"], candidates.sparkSession
+    timed = lambda rows, key: checkpointed(rows.where(F.col(key).isNotNull()).groupBy("video_id", F.col(key).alias("id")).agg(F.collect_set("query_sec").alias("times")))
+    asked, offered = timed(candidates, "assoc_id"), timed(states, "anchor_id")
+    sized = lambda rows, n, most, name: rows.groupBy("video_id").agg(F.count("*").alias(n), F.ceil(F.greatest(F.count("*") / F.lit(most), F.sum(F.size("times")) / F.lit(TIMES), F.lit(1.0))).alias(name))
+    sizes = sized(asked, "_n", ASKED, "_rows").join(sized(offered, "_m", ANCHORS, "_columns"), "video_id")
+    before = Window.orderBy("video_id").rowsBetween(Window.unboundedPreceding, -1)  # a row for each video
+    sizes = checkpointed(sizes.withColumn("_first", F.coalesce(F.sum(F.col("_rows") * F.col("_columns")).over(before), F.lit(0))))
+    units, pairs = sizes.agg(F.sum(F.col("_rows") * F.col("_columns")), F.sum(F.col("_n").cast("double") * F.col("_m"))).first()
+    parts = max(1, min(units or 1, max(int(spark.conf.get("spark.sql.shuffle.partitions")), int((pairs or 0) // PAIRS))))
+
+    def blocks(rows: DataFrame, own: str, other: str, place: Column, name: str) -> DataFrame:
+        """Rows (_unit, objects), each block as often as it meets one of the other side; by id, so that of equal hashes the first object counts."""
+        listed = rows.join(sizes, "video_id").groupBy("video_id", "_first", "_rows", "_columns", F.pmod(F.xxhash64("id"), F.col(own)).alias("_own")).agg(F.sort_array(F.collect_list(F.struct("id", F.col("id").cast("string").alias("text"), "times"))).alias(name))
+        return listed.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1))).select((F.col("_first") + place).alias("_unit"), "video_id", name)
+
+    met = blocks(asked, "_rows", "_columns", F.col("_own") * F.col("_columns") + F.col("_other"), "_asked")
+    met = met.join(blocks(offered, "_columns", "_rows", F.col("_other") * F.col("_columns") + F.col("_own"), "_offered").drop("video_id"), "_unit")
+    fields = [candidates.schema[c] for c in who] + [states.schema["anchor_id"]]
+    schema = StructType([*(StructField(f.name, f.dataType) for f in fields), StructField("_h", LongType()), StructField("_l", LongType())])
+    chosen = met.repartitionById(parts, F.pmod("_unit", F.lit(parts)).cast("int")).mapInArrow(chosen_anchors(seed), schema)
+    best = chosen.groupBy(*who).agg(F.min(F.struct("_h", "_l", "anchor_id")).alias("_a"))
     return candidates.join(best.select(*who, F.col("_a.anchor_id").alias("anchor_id")), who)
 
 
+def chosen_anchors(seed: int | str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of blocks that meet, to (video_id, assoc_id, query_sec, anchor_id) with the hash in two numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                sides = [batch.column(c)[row].values for c in ("_asked", "_offered")]
+                texts = [[t.encode() for t in s.field("text").to_pylist()] for s in sides]
+                times = [s.field("times") for s in sides]
+                asked, offered = ((x, t.offsets.to_numpy() - t.offsets[0].as_py(), t.flatten().to_numpy(zero_copy_only=False)) for x, t in zip(texts, times))
+                place = {x: i for i, x in enumerate(texts[1])}
+                own = np.array([place.get(x, -1) for x in texts[0]])
+                who, time, other, high, low = least_others(([f"{seed}|".encode() + x + b"|" for x in texts[0]], *asked[1:]), offered, own)
+                signed = lambda x: pa.array((x ^ np.uint64(2**63)).view(np.int64))
+                video = batch.column("video_id").take(pa.array(np.full(len(who), row)))
+                ids = [s.field("id").take(pa.array(x)) for s, x in zip(sides, (who, other))]
+                yield pa.RecordBatch.from_arrays([video, ids[0], pa.array(time), ids[1], signed(high), signed(low)], names=["video_id", "assoc_id", "query_sec", "anchor_id", "_h", "_l"])
+
+    return run
+
+
 def first_with_anchor(candidates: DataFrame, objects: DataFrame, places: DataFrame, seed: int | str, order: Sequence[str], cap: int) -> DataFrame:
     """The first cap candidates of each video, in order, whose anchor has a place, with that; at least those, and some that come later.
 

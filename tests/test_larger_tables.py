@@ -117,6 +117,51 @@ def test_first_numbers_by_hash(monkeypatch):
     assert sorted(at) == [0, 1, 2, 3, 4, 5]
 
 
+def test_least_other_of_each_time(monkeypatch):
+    """As by hashing every pair of each time, though a pair is hashed once; lists shorter and longer than the others' number, an object alone at a time, and hashes whose leading bits are equal."""
+    import hashlib
+
+    import numpy as np
+
+    from sightline.functions import digests as D
+
+    hashed = []
+    monkeypatch.setattr(D, "digests", lambda a, n, e, picked, f=D.digests: hashed.append(len(picked)) or f(a, n, e, picked))
+    rng = random.Random(5)
+    flat = lambda lists: (np.cumsum([0, *map(len, lists)]), np.array([x for one in lists for x in one], np.int64))
+    for trial in range(16):
+        monkeypatch.setattr(D, "CHUNK", rng.choice([60, 300, 32768]))
+        names, last = [str(n).encode() for n in range(0, 120, rng.choice([1, 7]))], rng.choice([2, 9, 60])
+        times = lambda most: [sorted(rng.sample(range(last), rng.randrange(min(last, most) + 1))) for _ in names]  # noqa: E731, B023
+        asked, offered = times(6), times(rng.choice([1, 4]))
+        hashed.clear()
+        got = D.least_others(([b"11|" + x + b"|" for x in names], *flat(asked)), (names, *flat(offered)), np.arange(len(names)))
+        want = []
+        for i, x in enumerate(names):
+            for t in asked[i]:
+                others = [(hashlib.md5(b"11|" + x + b"|" + o).hexdigest(), j) for j, o in enumerate(names) if j != i and t in offered[j]]
+                want += [(i, t, min(others)[1], min(others)[0])] if others else []
+        assert sorted((i, t, o, f"{h:016x}{l:016x}") for i, t, o, h, l in zip(*(x.tolist() for x in got))) == sorted(want)
+        assert sum(hashed) <= len(names) ** 2
+    h, l = np.array([9, 8, 8, 8, 1], np.uint64) << np.uint64(3), np.array([0, 7, 5, 5, 0], np.uint64)
+    assert D._least_of_lists(h, l, np.array([0, 1, 3, 2, 1, 4, 4]), np.array([0, 4, 6]), np.array([4]), np.uint64(3)).tolist() == [2, 1, -1]
+
+
+def test_a_pair_of_objects_has_one_hash(spark, monkeypatch):
+    """Anchors are chosen by blocks of a video's objects, not by pairs of each time: all times of an object stand in one row, in blocks of either side."""
+    from sightline.operators import questions as Q
+
+    monkeypatch.setattr(Q, "ASKED", 2)
+    monkeypatch.setattr(Q, "ANCHORS", 3)
+    objects = spark.range(8).select(F.concat(F.lit("v"), (F.col("id") % 2).cast("string")).alias("video_id"), F.col("id").alias("assoc_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(30).cast("long"))).alias("query_sec"))
+    got = Q.with_anchor(objects, objects.withColumnRenamed("assoc_id", "anchor_id"), 11)
+    assert "MapInArrow" in plan_of(got)
+    other = objects.select("video_id", F.col("assoc_id").alias("anchor_id")).distinct()
+    pairs = objects.join(other, "video_id").where("assoc_id <> anchor_id").groupBy("video_id", "assoc_id", "query_sec").agg(F.expr("min_by(anchor_id, md5(concat('11|', assoc_id, '|', anchor_id)))").alias("anchor_id"))
+    columns = ["video_id", "assoc_id", "query_sec", "anchor_id"]
+    assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, pairs.select(columns).collect())) and got.count() == 248
+
+
 def plan_of(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
